@@ -1,5 +1,6 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL
-twins. Inputs are the driver's test tables or data Spark derives from them."""
+twins for DuckDB. Every query reads the driver's test tables, or data Spark
+derives from them row by row, so its work grows with the tables."""
 
 from __future__ import annotations
 
@@ -8,49 +9,373 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ALIAS_PATTERN, NUMBERING_PATTERN, WS_CHARS, remove_aliases, strip_code_fence
 from tessera.operators import layers as L
+from tessera.operators import lineage as LN
+from tessera.operators import mapping as M
+from tessera.operators import quality as Q
+from tessera.operators import scripts as R
+from tessera.operators.joins import lookup_join
 from tessera.oracle import bank_sql as B
+from tessera.oracle import derived_sql as DS
 from tessera.params import DEFAULT
+from tessera.sources import derived as D
 from tessera.sources.bank import BankViews
+from tessera.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = DEFAULT
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
 
+def register(name: str, sql: str | None = None):
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
 
-def _views(spark: SparkSession, sf_dir: str) -> BankViews:
+
+def _v(spark, sf_dir) -> BankViews:
     return BankViews.from_testdata(spark, sf_dir, P)
 
 
+def _t(spark, sf_dir) -> Tables:
+    return Tables(spark, sf_dir)
+
+
+d = B.d
+
+# ====================================================================== Q1-Q4
+
+@register("q_base_layer", B.with_layers("SELECT * FROM q_base"))
 def q_base_layer(spark, sf_dir):
-    return L.base_layer(_views(spark, sf_dir), P)
+    return L.base_layer(_v(spark, sf_dir), P)
 
 
+@register("q_union_layer", B.with_layers("SELECT * FROM q_union"))
 def q_union_layer(spark, sf_dir):
-    return L.union_layer(_views(spark, sf_dir), P)
+    return L.union_layer(_v(spark, sf_dir), P)
 
 
+@register("q_nested_layer", B.with_layers(
+    "SELECT * REPLACE (CAST(total_debit AS DECIMAL(28,2)) AS total_debit, "
+    "CAST(total_credit AS DECIMAL(28,2)) AS total_credit) FROM q_nested"))
 def q_nested_layer(spark, sf_dir):
-    return L.nested_layer(_views(spark, sf_dir), P)
+    return L.nested_layer(_v(spark, sf_dir), P)
 
 
+@register("q_customer_summary", B.with_layers("SELECT * FROM q_summary"))
 def q_customer_summary(spark, sf_dir):
-    df = L.customer_summary(_views(spark, sf_dir), P)
-    return df.withColumn("risk_score", F.round("risk_score", 6))
+    return L.customer_summary(_v(spark, sf_dir), P).withColumn("risk_score", F.round("risk_score", 6))
 
 
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+# ====================================================================== P, J, A
 
+@register("q_coalesce_default", B.with_bank(
+    "SELECT customer_id, coalesce(segment, 'UNKNOWN') AS segment FROM b_customer"))
+def q_coalesce_default(spark, sf_dir):
+    return _v(spark, sf_dir).customer.select("customer_id", L.unknown_if_null("segment").alias("segment"))
 
-def register(name: str, fn: Query, sql: str | None) -> None:
-    QUERIES[name] = fn
-    if sql is not None:
-        ORACLE[name] = sql
 
+@register("q_snapshot_filter", B.with_bank(
+    f"SELECT account_id, customer_id, account_type FROM b_account WHERE load_date = {d(P.as_of)}"))
+def q_snapshot_filter(spark, sf_dir):
+    return L.snapshot(_v(spark, sf_dir).account, "load_date", P).select("account_id", "customer_id", "account_type")
 
-register("q_base_layer", q_base_layer, B.with_layers("SELECT * FROM q_base"))
-register("q_union_layer", q_union_layer, B.with_layers("SELECT * FROM q_union"))
-register("q_nested_layer", q_nested_layer, B.with_layers(
-    "SELECT * REPLACE (CAST(total_debit AS DECIMAL(28,2)) AS total_debit, "
-    "CAST(total_credit AS DECIMAL(28,2)) AS total_credit) FROM q_nested"))
-register("q_customer_summary", q_customer_summary, B.with_layers("SELECT * FROM q_summary"))
+
+@register("q_recent_txn", B.with_bank(
+    "SELECT account_id, txn_id, amount, txn_type, txn_date, merchant_id FROM b_transaction "
+    f"WHERE load_date = {d(P.as_of)} AND txn_date >= {d(P.window_start)}"))
+def q_recent_txn(spark, sf_dir):
+    return L.recent_transactions(_v(spark, sf_dir).transaction, P).select(
+        "account_id", "txn_id", "amount", "txn_type", "txn_date", "merchant_id")
+
+
+@register("q_left_join_residual", B.with_bank(
+    "SELECT c.customer_id, c.name, a.account_id, a.account_type FROM b_customer c "
+    f"LEFT JOIN b_account a ON c.customer_id = a.customer_id AND a.load_date = {d(P.as_of)}"))
+def q_left_join_residual(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    acc = L.snapshot(v.account, "load_date", P).select("customer_id", "account_id", "account_type")
+    return v.customer.join(acc, "customer_id", "left").select("customer_id", "name", "account_id", "account_type")
+
+
+@register("q_archive_join", B.with_layers("SELECT * FROM q_archive"))
+def q_archive_join(spark, sf_dir):
+    return L.archive_branch(_v(spark, sf_dir), P)
+
+
+@register("q_join_distinct_dim", B.with_bank(
+    "SELECT c.customer_id, s.segment_name FROM b_customer c LEFT JOIN "
+    "(SELECT DISTINCT customer_id, segment_name FROM b_segmentation_rules) s ON c.customer_id = s.customer_id"))
+def q_join_distinct_dim(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    seg = v.segmentation_rules.select("customer_id", "segment_name").distinct()
+    return lookup_join(v.customer.select("customer_id"), seg, "customer_id", "customer_id", ["segment_name"])
+
+
+@register("q_active_region", B.with_bank(
+    "SELECT c.customer_id, r.region FROM b_customer c LEFT JOIN "
+    "(SELECT cust_id, region FROM b_customer_region WHERE active_flag = 'Y') r ON c.customer_id = r.cust_id"))
+def q_active_region(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    r = L.active(v.customer_region).select("cust_id", "region")
+    return lookup_join(v.customer.select("customer_id"), r, "customer_id", "cust_id", ["region"])
+
+
+@register("q_fraud_join", B.with_bank(
+    "SELECT t.txn_id, t.account_id, f.fraud_flag FROM b_transaction t LEFT JOIN "
+    "(SELECT DISTINCT txn_id, fraud_flag FROM b_fraud_flags WHERE active_flag = 'Y') f ON t.txn_id = f.txn_id"))
+def q_fraud_join(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    f = L.active(v.fraud_flags).select("txn_id", "fraud_flag").distinct()
+    return lookup_join(v.transaction.select("txn_id", "account_id"), f, "txn_id", "txn_id", ["fraud_flag"])
+
+
+@register("q_credit_snapshot", B.with_bank(
+    "SELECT c.customer_id, cb.external_credit_score FROM b_customer c LEFT JOIN "
+    f"(SELECT customer_id, external_credit_score FROM b_credit_bureau WHERE report_date = {d(P.as_of)}) cb "
+    "ON c.customer_id = cb.customer_id"))
+def q_credit_snapshot(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    cb = L.snapshot(v.credit_bureau, "report_date", P)
+    return lookup_join(v.customer.select("customer_id"), cb, "customer_id", "customer_id",
+                       ["external_credit_score"])
+
+
+@register("q_sanctions_flag", B.with_bank(
+    "SELECT c.customer_id, s.sanctions_hit FROM b_customer c LEFT JOIN "
+    "(SELECT customer_id, CASE WHEN blacklisted = 'Y' THEN 1 ELSE 0 END AS sanctions_hit FROM b_sanctions_list) s "
+    "ON c.customer_id = s.customer_id"))
+def q_sanctions_flag(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    return lookup_join(v.customer.select("customer_id"), L.sanctions_decoded(v.sanctions_list),
+                       "customer_id", "customer_id", ["sanctions_hit"])
+
+
+@register("q_risk_score", B.with_bank(
+    "SELECT c.customer_id, round(r.risk_score, 6) AS risk_score FROM b_customer c LEFT JOIN "
+    f"(SELECT customer_id, AVG(score) AS risk_score FROM b_risk_assessment WHERE as_of_date = {d(P.risk_as_of)} "
+    "GROUP BY customer_id) r ON c.customer_id = r.customer_id"))
+def q_risk_score(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    out = lookup_join(v.customer.select("customer_id"), L.risk_by_customer(v.risk_assessment, P),
+                      "customer_id", "customer_id", ["risk_score"])
+    return out.withColumn("risk_score", F.round("risk_score", 6))
+
+
+@register("q_conditional_sum", B.with_bank(
+    "SELECT account_id, "
+    "CAST(SUM(CASE WHEN txn_type = 'DEBIT' THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS total_debit, "
+    "CAST(SUM(CASE WHEN txn_type = 'CREDIT' THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS total_credit, "
+    "MAX(txn_date) AS last_txn_date FROM b_transaction GROUP BY account_id"))
+def q_conditional_sum(spark, sf_dir):
+    t = _v(spark, sf_dir).transaction
+    return t.groupBy("account_id").agg(
+        F.sum(L._amount_if("DEBIT")).cast(L.MONEY).alias("total_debit"),
+        F.sum(L._amount_if("CREDIT")).cast(L.MONEY).alias("total_credit"),
+        F.max("txn_date").alias("last_txn_date"))
+
+
+@register("q_count_distinct", B.with_bank(
+    "SELECT merchant_id, COUNT(DISTINCT txn_id) AS txn_count, COUNT(DISTINCT account_id) AS account_count "
+    "FROM b_transaction GROUP BY merchant_id"))
+def q_count_distinct(spark, sf_dir):
+    t = _v(spark, sf_dir).transaction
+    return t.groupBy("merchant_id").agg(F.count_distinct("txn_id").alias("txn_count"),
+                                        F.count_distinct("account_id").alias("account_count"))
+
+
+@register("q_two_level_agg", B.with_bank(
+    "SELECT account_id, CAST(SUM(debit) AS DECIMAL(18,2)) AS total_debit, "
+    "CAST(SUM(credit) AS DECIMAL(18,2)) AS total_credit, COUNT(*) AS merchants FROM ("
+    "SELECT account_id, merchant_id, SUM(CASE WHEN txn_type = 'DEBIT' THEN amount ELSE 0 END) AS debit, "
+    "SUM(CASE WHEN txn_type = 'CREDIT' THEN amount ELSE 0 END) AS credit "
+    "FROM b_transaction GROUP BY account_id, merchant_id) x GROUP BY account_id"))
+def q_two_level_agg(spark, sf_dir):
+    t = _v(spark, sf_dir).transaction
+    first = t.groupBy("account_id", "merchant_id").agg(
+        F.sum(L._amount_if("DEBIT")).alias("debit"), F.sum(L._amount_if("CREDIT")).alias("credit"))
+    return first.groupBy("account_id").agg(
+        F.sum("debit").cast(L.MONEY).alias("total_debit"), F.sum("credit").cast(L.MONEY).alias("total_credit"),
+        F.count(F.lit(1)).alias("merchants"))
+
+
+@register("q_region_null_groups", B.with_bank(
+    "SELECT coalesce(region, 'UNKNOWN') AS region, n_customers FROM ("
+    "SELECT r.region, COUNT(*) AS n_customers FROM b_customer c LEFT JOIN "
+    "(SELECT cust_id, CASE WHEN region = 'MIDDLE EAST' THEN 'UNKNOWN' ELSE region END AS region "
+    " FROM b_customer_region WHERE active_flag = 'Y') r ON c.customer_id = r.cust_id GROUP BY r.region) g"))
+def q_region_null_groups(spark, sf_dir):
+    """The NULL group and a literal 'UNKNOWN' group stay two rows."""
+    v = _v(spark, sf_dir)
+    r = L.active(v.customer_region).select(
+        "cust_id", F.when(F.col("region") == "MIDDLE EAST", "UNKNOWN").otherwise(F.col("region")).alias("region"))
+    g = lookup_join(v.customer.select("customer_id"), r, "customer_id", "cust_id", ["region"])
+    return (g.groupBy("region").agg(F.count(F.lit(1)).alias("n_customers"))
+            .select(L.unknown_if_null("region").alias("region"), "n_customers"))
+
+
+# ====================================================================== mapping
+
+@register("q_catalog_flat", DS.CATALOG_FLAT)
+def q_catalog_flat(spark, sf_dir):
+    return M.flatten_catalog(D.catalog_documents(_t(spark, sf_dir).part), "value")
+
+
+def _catalog_with_holes(t: Tables) -> DataFrame:
+    e = D.catalog_entries(t.part).where(F.col("p_size") > 5)
+    return e.select("table_name", "column_name", "data_type", "is_categorical", "categories")
+
+
+@register("q_enrich_mapping", DS.ENRICH_MAPPING)
+def q_enrich_mapping(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return M.enrich_with_catalog(D.mapping_rows(t.lineitem), _catalog_with_holes(t))
+
+
+@register("q_default_logic", DS.DEFAULT_LOGIC)
+def q_default_logic(spark, sf_dir):
+    m = D.mapping_rows(_t(spark, sf_dir).lineitem)
+    return m.select("mapping_id", M.default_logic(F.col("transformation_logic")).alias("transformation_logic"))
+
+
+@register("q_strip_alias", DS.STRIP_ALIAS)
+def q_strip_alias(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    pages = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"),
+                           remove_aliases("url").alias("cleaned"))
+    docs = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
+                              remove_aliases("text").alias("cleaned"))
+    return pages.unionByName(docs)
+
+
+def _parsed_mapping_docs(spark, sf_dir) -> DataFrame:
+    return M.parse_documents(D.mapping_documents(_t(spark, sf_dir).orders), "text")
+
+
+@register("q_mapping_validate", DS.MAPPING_VALID)
+def q_mapping_validate(spark, sf_dir):
+    return M.valid_mappings(_parsed_mapping_docs(spark, sf_dir))
+
+
+@register("q_mapping_quarantine", DS.MAPPING_QUARANTINE)
+def q_mapping_quarantine(spark, sf_dir):
+    return M.quarantine(_parsed_mapping_docs(spark, sf_dir)).select("doc_id", "error")
+
+
+@register("q_mapping_csv_rows", DS.MAPPING_CSV)
+def q_mapping_csv_rows(spark, sf_dir):
+    return M.csv_projection(M.valid_mappings(_parsed_mapping_docs(spark, sf_dir)), ("doc_id", "pos"))
+
+
+def _lineage_parsed(spark, sf_dir) -> DataFrame:
+    return LN.parse_lineage(D.lineage_documents(_t(spark, sf_dir).lineitem))
+
+
+@register("q_mapping_final_only", DS.MAPPING_FINAL_ONLY)
+def q_mapping_final_only(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    sinks = LN.roots_and_sinks(LN.lineage_edges(_lineage_parsed(spark, sf_dir))).where(F.col("role") == "sink")
+    return M.final_table_only(D.mapping_rows(t.lineitem), sinks).select(
+        "mapping_id", "source_table", "source_column", "target_table", "target_column")
+
+
+# ====================================================================== lineage
+
+@register("q_strip_fence", DS.STRIP_FENCE)
+def q_strip_fence(spark, sf_dir):
+    docs = D.fenced_answers(_t(spark, sf_dir).documents)
+    return docs.select("doc_id", strip_code_fence("text").alias("cleaned"))
+
+
+@register("q_lineage_edges", DS.LINEAGE_EDGES)
+def q_lineage_edges(spark, sf_dir):
+    return LN.lineage_edges(_lineage_parsed(spark, sf_dir))
+
+
+@register("q_lineage_nodes", DS.LINEAGE_NODES)
+def q_lineage_nodes(spark, sf_dir):
+    return LN.lineage_nodes(_lineage_parsed(spark, sf_dir))
+
+
+@register("q_lineage_columns", DS.LINEAGE_COLUMNS)
+def q_lineage_columns(spark, sf_dir):
+    return LN.lineage_columns(_lineage_parsed(spark, sf_dir))
+
+
+@register("q_lineage_roots", DS.LINEAGE_ROOTS)
+def q_lineage_roots(spark, sf_dir):
+    return LN.roots_and_sinks(D.lineage_tree_edges(_t(spark, sf_dir).part))
+
+
+@register("q_lineage_closure", DS.LINEAGE_CLOSURE)
+def q_lineage_closure(spark, sf_dir):
+    return LN.closure_to_base(D.lineage_tree_edges(_t(spark, sf_dir).part))
+
+
+def _script_refs(spark, sf_dir) -> DataFrame:
+    scripts = D.scripts_from_documents(_t(spark, sf_dir).documents)
+    return R.script_references(scripts, key="doc_id")
+
+
+@register("q_script_refs", DS.SCRIPT_REFS)
+def q_script_refs(spark, sf_dir):
+    return _script_refs(spark, sf_dir)
+
+
+@register("q_lineage_missing", DS.LINEAGE_MISSING)
+def q_lineage_missing(spark, sf_dir):
+    nodes = LN.lineage_nodes(LN.parse_lineage(D.script_lineage_documents(_t(spark, sf_dir).documents)))
+    return LN.missing_from_lineage(_script_refs(spark, sf_dir), nodes)
+
+
+# ====================================================================== DQ
+
+@register("q_rule_flatten", DS.RULE_FLATTEN)
+def q_rule_flatten(spark, sf_dir):
+    return Q.flatten_rules(D.rule_answers(_t(spark, sf_dir).documents))
+
+
+@register("q_dq_rules", DS.DQ_RULES)
+def q_dq_rules(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    cat = _catalog_with_holes(t)
+    enriched = M.enrich_with_catalog(D.dq_mapping_rows(t.part), cat)
+    return Q.derive_rules(enriched, cat, P.as_of)
+
+
+def transaction_rules() -> list[Q.RowRule]:
+    """Row rules of the transaction table as D8 derives them from its catalog
+    entries (completeness, domain, date, type)."""
+    c = F.col
+    return [
+        Q.RowRule("txn_id_complete", c("txn_id").isNotNull()),
+        Q.RowRule("amount_complete", c("amount").isNotNull()),
+        Q.RowRule("txn_date_complete", c("txn_date").isNotNull()),
+        Q.RowRule("txn_type_domain", c("txn_type").isin("DEBIT", "CREDIT")),
+        Q.RowRule("txn_date_not_future", c("txn_date") <= F.lit(P.as_of)),
+        Q.RowRule("amount_non_negative", c("amount") >= 0),
+        Q.RowRule("txn_id_is_bigint", F.expr("try_cast(txn_id AS bigint)").isNotNull()),
+    ]
+
+
+@register("q_dq_row_checks", DS.DQ_ROW_CHECKS)
+def q_dq_row_checks(spark, sf_dir):
+    return Q.check_rows(_v(spark, sf_dir).transaction, transaction_rules())
+
+
+@register("q_dq_referential", DS.DQ_REFERENTIAL)
+def q_dq_referential(spark, sf_dir):
+    v, t = _v(spark, sf_dir), _t(spark, sf_dir)
+    acct = Q.check_reference(v.transaction, "account_id", t.orders, "o_orderkey", "account_id_in_accounts")
+    merch = Q.check_reference(v.transaction, "merchant_id", v.merchant_dim, "merchant_id",
+                              "merchant_id_in_merchant_dim")
+    live = Q.check_reference(v.transaction, "account_id", v.account, "account_id", "account_id_in_live_accounts")
+    return acct.unionByName(merch).unionByName(live)
+
+
+__all__ = ["QUERIES", "ORACLE", "register", "ALIAS_PATTERN", "NUMBERING_PATTERN", "WS_CHARS"]
