@@ -24,6 +24,8 @@ from tessera.plans.inspect import estimated_bytes
 BROADCAST_LIMIT = 64 * 1024 * 1024
 # parquet estimates are compressed bytes; rows in memory are larger
 SIZE_SAFETY_FACTOR = 8
+# salt range for fact rows without a key
+NULL_SPREAD = 1024
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
@@ -37,17 +39,23 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                keep: Sequence[str], broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+                keep: Sequence[str], broadcast_limit: int | None = None,
+                null_spread: int = NULL_SPREAD) -> DataFrame:
     """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key``, adding ``keep``.
 
     Fan-out is kept: a key with two dimension rows doubles the fact row, as in
-    SQL. Fact rows with a NULL key skip the shuffle.
+    SQL. Fact rows with a NULL key never match; they get a spread salt (a
+    hash of the row, so a retried task sends each row to the same place) and
+    the dimension side salt 0, so they scatter over the reducers instead of
+    all hashing to one. Non-NULL keys join on salt 0 = 0 exactly as before.
     """
-    k = f"__k_{dim_key}"
-    d = dim.select(F.col(dim_key).alias(k), *keep).where(F.col(k).isNotNull())
-    d = maybe_broadcast(d, broadcast_limit)
-    has_key = fact.where(F.col(fact_key).isNotNull())
-    no_key = fact.where(F.col(fact_key).isNull())
-    joined = has_key.join(d, F.col(fact_key) == F.col(k), "left").drop(k)
-    nulls = no_key.select("*", *(F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in keep))
-    return joined.unionByName(nulls)
+    k, salt = f"__k_{dim_key}", "__salt"
+    d = (dim.select(F.col(dim_key).alias(k), *keep).where(F.col(k).isNotNull())
+         .withColumn(salt, F.lit(0)))
+    d = maybe_broadcast(d, BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit)
+    spread = F.when(F.col(fact_key).isNull(),
+                    F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(null_spread)) + 1
+                    ).otherwise(F.lit(0))
+    f = fact.withColumn(salt, spread)
+    cond = (F.col(fact_key) == F.col(k)) & (f[salt] == d[salt])
+    return f.join(d, cond, "left").drop(k, salt)

@@ -50,8 +50,11 @@ def parse_lineage(docs: DataFrame, text_col: str = "text", key: str = "doc_id")
 
 
 def _steps(parsed: DataFrame, key: str) -> DataFrame:
-    ok = parsed.where(F.col("error").isNull())
-    return ok.select(key, F.posexplode("doc.steps").alias("step_pos", "step"))
+    """Steps of valid documents. The validity test sits inside the generator:
+    a Filter here would be pushed below the projection and evaluate
+    ``from_json`` a second time per row."""
+    steps = F.when(F.col("error").isNull(), F.col("doc.steps"))
+    return parsed.select(key, F.posexplode(steps).alias("step_pos", "step"))
 
 
 # ---------------------------------------------------------------- L3, L4

@@ -119,8 +119,9 @@ def parse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def valid_mappings(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """M7: one row per mapping of each valid document, with its position."""
-    ok = parsed.where(F.col("error").isNull())
-    rows = ok.select(key, F.posexplode("doc.mappings").alias("pos", "m"))
+    # validity inside the generator: a Filter would re-run from_json (see lineage._steps)
+    maps = F.when(F.col("error").isNull(), F.col("doc.mappings"))
+    rows = parsed.select(key, F.posexplode(maps).alias("pos", "m"))
     return rows.select(
         key, "pos", *[F.col(f"m.{c}").alias(c) for c in REQUIRED],
         F.coalesce("m.data_type", F.lit("")).alias("data_type"),
@@ -130,7 +131,8 @@ def valid_mappings(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def quarantine(parsed: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents the original would have rejected, with the reason."""
-    return parsed.where(F.col("error").isNotNull()).select(key, "error", text_col)
+    bad = F.when(F.col("error").isNotNull(), F.array(F.struct("error", text_col)))
+    return parsed.select(key, F.explode(bad).alias("q")).select(key, "q.error", f"q.{text_col}")
 
 
 # ---------------------------------------------------------------- M8

@@ -28,10 +28,12 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pairs(df: DataFrame, key: str, pattern: str, a: int, b: int, na: str, nb: str) -> DataFrame:
-    xs = F.regexp_extract_all(F.col("text"), F.lit(pattern), a)
-    ys = F.regexp_extract_all(F.col("text"), F.lit(pattern), b)
-    z = df.select(key, F.posexplode(F.arrays_zip(xs.alias("x"), ys.alias("y"))).alias("pos", "p"))
-    return z.select(key, "pos", F.col("p.x").alias(na), F.col("p.y").alias(nb))
+    """One scan of each whole text for the matches; the groups are then
+    taken from the short matches only."""
+    z = df.select(key, F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(pattern), 0))
+                  .alias("pos", "match"))
+    return z.select(key, "pos", F.regexp_extract("match", pattern, a).alias(na),
+                    F.regexp_extract("match", pattern, b).alias(nb))
 
 
 def _resolve(refs: DataFrame, assigns: DataFrame, key: str) -> DataFrame:

@@ -13,10 +13,38 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# a scan smaller than this is not worth a shuffle
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread_narrow_scan(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin a scan that arrives in fewer splits than there are cores.
+
+    A parquet file with one row group is read by one task however large it
+    is, leaving the other cores idle for all row-wise work up to the first
+    shuffle. On a warehouse table the scan has far more splits than cores and
+    this returns ``df`` unchanged. Round-robin (not a key hash) cannot be
+    skewed by a hot key, and Catalyst still prunes columns and pushes
+    filters through it. Reads no data: only the scan is planned.
+    """
+    from tessera.plans.inspect import estimated_bytes
+    sc = df.sparkSession.sparkContext
+    est = estimated_bytes(df)
+    if est is None or est < min_bytes:
+        return df
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect)
+        return df
+    cores = sc.defaultParallelism
+    return df.repartition(cores) if parts < cores else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_narrow_scan(df) if spread else df
 
 
 class Tables:
