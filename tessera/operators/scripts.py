@@ -22,8 +22,8 @@ VAR_REF = r"^\{(\w+)\}\.(\w+)$"
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """Whole scripts (.py, .sql, .txt) under ``path`` as (script_id, text)."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{py,sql,txt}")
-          .option("recursiveFileLookup", True).text(path))
+    # text()'s own wholetext=False default would override an option()
+    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.{py,sql,txt}", recursiveFileLookup=True)
     return df.select(F.col("_metadata.file_path").alias("script_id"), F.col("value").alias("text"))
 
 

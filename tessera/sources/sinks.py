@@ -13,7 +13,9 @@ from tessera.operators.mapping import (MAPPING_FIELDS, csv_projection, flatten_c
 
 # CSV dialect of Python's csv module: quote only when needed, double quotes
 # inside quoted fields, empty string written as nothing
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+               # Spark's writer trims blanks by default; Python's csv keeps them
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def ensure_databases(spark: SparkSession, names=("staging_db", "core_db", "final_db")) -> None:
