@@ -1,0 +1,4 @@
+"""Intentionally empty: the original tools have no streams, event-time
+windows or state, so there is nothing to run as Structured Streaming. The
+batch operators take DataFrames and work unchanged inside ``foreachBatch``
+should answers ever arrive as a stream."""
