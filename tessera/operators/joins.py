@@ -40,22 +40,31 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                 keep: Sequence[str], broadcast_limit: int | None = None,
-                null_spread: int = NULL_SPREAD) -> DataFrame:
+                null_spread: int = NULL_SPREAD, keep_salt: str | None = None) -> DataFrame:
     """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key``, adding ``keep``.
 
     Fan-out is kept: a key with two dimension rows doubles the fact row, as in
-    SQL. Fact rows with a NULL key never match; they get a spread salt (a
-    hash of the row, so a retried task sends each row to the same place) and
-    the dimension side salt 0, so they scatter over the reducers instead of
-    all hashing to one. Non-NULL keys join on salt 0 = 0 exactly as before.
+    SQL. A dimension with a checked size bound is broadcast and the fact side
+    is not shuffled at all. Otherwise both sides are shuffled on the key, and
+    fact rows with a NULL key - which never match - would all hash to one
+    reducer; they get a spread salt (a hash of the row, so a retried task
+    sends each row to the same place) against salt 0 on the dimension side.
+    Non-NULL keys join on salt 0 = 0 exactly as before.
+
+    ``keep_salt`` names a column that keeps the salt (0 for every row that has
+    a key): the output of a shuffled join is partitioned on (key, salt), and
+    a later aggregate that groups on both reuses that partitioning.
     """
     k, salt = f"__k_{dim_key}", "__salt"
-    d = (dim.select(F.col(dim_key).alias(k), *keep).where(F.col(k).isNotNull())
-         .withColumn(salt, F.lit(0)))
-    d = maybe_broadcast(d, BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit)
+    d = dim.select(F.col(dim_key).alias(k), *keep).where(F.col(k).isNotNull())
+    if fits_broadcast(d, BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit):
+        out = fact.join(F.broadcast(d), F.col(fact_key) == F.col(k), "left").drop(k)
+        return out.withColumn(keep_salt, F.lit(0)) if keep_salt else out
+    d = d.withColumn(salt, F.lit(0))
     spread = F.when(F.col(fact_key).isNull(),
                     F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(null_spread)) + 1
                     ).otherwise(F.lit(0))
     f = fact.withColumn(salt, spread)
     cond = (F.col(fact_key) == F.col(k)) & (f[salt] == d[salt])
-    return f.join(d, cond, "left").drop(k, salt)
+    out = f.join(d, cond, "left").drop(k).drop(d[salt])
+    return out.withColumnRenamed(salt, keep_salt) if keep_salt else out.drop(salt)

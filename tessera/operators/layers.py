@@ -161,11 +161,13 @@ def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT) -> Dat
                  "txn_type", "txn_date", "merchant_id")
     # transaction-grain lookups
     t = lookup_join(u, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"])
-    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"])
+    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"], keep_salt="txn_salt")
+    # (txn_id, txn_salt) counts like txn_id (salt is 0 wherever txn_id is set,
+    # rows without txn_id are not counted) and reuses the join's partitioning
     pre = (t.groupBy("customer_id", "account_id", "account_type", "merchant_category", "fraud_flag")
            .agg(F.sum(_amount_if("DEBIT")).alias("debit"),
                 F.sum(_amount_if("CREDIT")).alias("credit"),
-                F.count_distinct("txn_id").alias("n_txn"),
+                F.count_distinct("txn_id", "txn_salt").alias("n_txn"),
                 F.max("txn_date").alias("max_date")))
     # customer- and account-grain lookups on the pre-aggregated rows
     g = lookup_join(pre, d["seg"], "customer_id", "customer_id", ["segment_name"])
