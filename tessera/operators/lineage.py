@@ -77,26 +77,24 @@ def lineage_nodes(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     output step (a redraw replaces the earlier box); a dataset that is only a
     source takes those of its first appearance. Missing lists are empty.
 
-    One aggregate with ``min_by`` instead of a window: no sort, and partial
-    aggregation per (document, dataset).
+    Nodes belong to one document, so they are computed inside the row with
+    array functions: candidates ranked (outputs first, later steps first;
+    then sources, earlier first), sorted, first per dataset kept. No shuffle.
     """
-    s = _steps(parsed, key)
-    outs = s.select(key, F.col("step.output").alias("dataset"),
-                    F.coalesce("step.columns", _empty()).alias("columns"),
-                    F.struct(F.lit(0).alias("kind"), (-F.col("step_pos")).alias("a"),
-                             F.lit(0).alias("b")).alias("rank"))
-    srcs = (s.select(key, "step_pos", F.posexplode("step.sources").alias("source_pos", "src"))
-            .select(key, F.col("src.name").alias("dataset"),
-                    F.coalesce("src.columns", _empty()).alias("columns"),
-                    F.struct(F.lit(1).alias("kind"), F.col("step_pos").alias("a"),
-                             F.col("source_pos").alias("b")).alias("rank")))
-    both = outs.unionByName(srcs)
-    return (both.groupBy(key, "dataset")
-            .agg(F.min_by("columns", "rank").alias("columns"),
-                 F.min("rank.kind").alias("kind"))
-            .select(key, "dataset",
-                    F.when(F.col("kind") == 0, "output").otherwise("source").alias("drawn_as"),
-                    "columns"))
+    steps = F.when(F.col("error").isNull(), F.col("doc.steps"))
+    outs = F.transform(steps, lambda s, i: F.struct(
+        s["output"].alias("dataset"), F.lit(0).alias("kind"), (-i).alias("a"), F.lit(0).alias("b"),
+        F.coalesce(s["columns"], _empty()).alias("columns")))
+    srcs = F.flatten(F.transform(steps, lambda s, i: F.transform(
+        F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE))),
+        lambda src, j: F.struct(src["name"].alias("dataset"), F.lit(1).alias("kind"), i.alias("a"),
+                                j.alias("b"), F.coalesce(src["columns"], _empty()).alias("columns")))))
+    ranked = parsed.select(key, F.array_sort(F.concat(outs, srcs)).alias("c"))
+    first = F.filter("c", lambda x, i: (i == 0) | (x["dataset"] != F.element_at(F.col("c"), i)["dataset"]))
+    nodes = ranked.select(key, F.explode(first).alias("n"))
+    return nodes.select(key, F.col("n.dataset").alias("dataset"),
+                        F.when(F.col("n.kind") == 0, "output").otherwise("source").alias("drawn_as"),
+                        F.col("n.columns").alias("columns"))
 
 
 # ---------------------------------------------------------------- L8

@@ -18,6 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.bank import txn_key
+from tessera.sources.tables import spread_narrow_scan
+
+# builders that parse or format text per row spread narrow inputs even when
+# they are small, since the per-row work, not the read, dominates
+HEAVY_MIN_BYTES = 1 << 20
 
 S = F.lit
 
@@ -84,6 +89,7 @@ def mapping_documents(orders: DataFrame) -> DataFrame:
     """(doc_id, text) with three mappings per order; damaged variants:
     5-LOW/P truncated JSON, 1-URGENT/F a mapping without target_column,
     2-HIGH/O no mappings list."""
+    orders = spread_narrow_scan(orders, HEAVY_MIN_BYTES)
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     none = S(None).cast("string")
 
@@ -120,6 +126,7 @@ def lineage_documents(lineitem: DataFrame) -> DataFrame:
     from stg.order_<o>; lines with linenumber 1 redraw stg.order_<o> with
     fewer columns; lines with status F list the part source without columns.
     """
+    lineitem = spread_narrow_scan(lineitem, HEAVY_MIN_BYTES)
     o, s = _s("l_orderkey"), _s("l_suppkey")
     stg = F.concat(S("stg.order_"), o)
     cols = lambda *xs: F.array(*[S(x) for x in xs])
@@ -166,6 +173,7 @@ def _nl(*parts) -> Column:
 def scripts_from_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, text): a two-block pipeline script per document; the whole
     document text follows as a comment (it must not yield references)."""
+    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     lang, src, i = F.col("lang"), F.col("source"), _s("doc_id")
     comment = F.regexp_replace(F.coalesce(F.col("text"), S("")), "(?m)^", "# ")
     text = _nl(
@@ -189,6 +197,7 @@ def scripts_from_documents(documents: DataFrame) -> DataFrame:
 def script_lineage_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, text): the lineage answer for each script; it names the
     dimension only for English documents and never ``core_db.keys``."""
+    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     lang, src, i = F.col("lang"), F.col("source"), _s("doc_id")
     layer = F.concat(S("layer_"), i)
     staging = F.struct(F.concat(S("staging_"), lang, S(".events_"), src).alias("name"))
@@ -205,6 +214,7 @@ def script_lineage_documents(documents: DataFrame) -> DataFrame:
 def rule_answers(documents: DataFrame) -> DataFrame:
     """Model answers for rule generation: each document with its lines
     numbered ``1. ``, ``2) ``, ..; documents of source src0 failed."""
+    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     numbered = F.array_join(F.transform(
         F.split(F.col("text"), "\n"),
         lambda x, i: F.concat((i + 1).cast("string"),
@@ -238,6 +248,7 @@ def fenced_answers(documents: DataFrame) -> DataFrame:
     """Raw answers wrapped as models do: en in a ```json fence, fr in a bare
     fence with stray blanks, de with tab/no-break-space padding, es with
     trailing backticks only (no opening fence, so they stay)."""
+    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     t, lang = F.coalesce(F.col("text"), S("")), F.col("lang")
     wrapped = (F.when(lang == "en", F.concat(S("```json\n"), t, S("\n```")))
                .when(lang == "fr", F.concat(S("  ```\n"), t, S("\n``` \n")))
