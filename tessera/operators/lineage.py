@@ -133,7 +133,9 @@ def closure_to_base(edges: DataFrame, max_rounds: int = 10_000,
     the checkpoint folder (reliable, shared), which keeps the plan flat and
     survives lost executors. The driver only sees one boolean per round.
     """
-    e = edges.select("source", "output").distinct()
+    # the edge table is joined every round: write it once instead of
+    # re-deriving it from its sources each time
+    e = cut_lineage(edges.select("source", "output").distinct())
     base = roots_and_sinks(e).where(F.col("role") == "base").select(F.col("dataset").alias("source"))
     frontier = cut_lineage(e.join(base, "source", "left_semi")
                            .select(F.col("output").alias("dataset"), F.col("source").alias("base")))

@@ -161,9 +161,9 @@ FROM ranked WHERE rn = 1"""
 
 LINEAGE_COLUMNS = f"""WITH {_LINEAGE}
 SELECT doc_id, step_pos, output AS dataset, 'write' AS role,
-       generate_subscripts(cols, 1) - 1 AS col_pos, unnest(cols) AS column_name FROM steps
+       CAST(generate_subscripts(cols, 1) - 1 AS INTEGER) AS col_pos, unnest(cols) AS column_name FROM steps
 UNION ALL
-SELECT doc_id, step_pos, name, 'read', generate_subscripts(coalesce(cols, {EMPTY}), 1) - 1,
+SELECT doc_id, step_pos, name, 'read', CAST(generate_subscripts(coalesce(cols, {EMPTY}), 1) - 1 AS INTEGER),
        unnest(coalesce(cols, {EMPTY})) FROM srcs"""
 
 _TREE = f"""e AS (
@@ -210,7 +210,7 @@ r AS (
                   lambda x: regexp_replace({strip('x')}, {NUMBERING}, '')) END AS rules
   FROM a)
 SELECT source_table, source_column, target_table, target_column,
-       generate_subscripts(rules, 1) AS rule_no, unnest(rules) AS rule
+       CAST(generate_subscripts(rules, 1) AS INTEGER) AS rule_no, unnest(rules) AS rule
 FROM r"""
 
 _NUMERIC = "(dtype IN ('tinyint', 'int', 'bigint', 'double') OR starts_with(dtype, 'decimal('))"

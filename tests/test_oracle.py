@@ -28,3 +28,20 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["customer_id", "total_accounts", "total_debit"]
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
+                 "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
+def _duck_type(t: str) -> str:
+    import re
+    m = re.match(r"decimal\((\d+),(\d+)\)", t)
+    return f"DECIMAL({m[1]},{m[2]})" if m else SPARK_TO_DUCK.get(t, t)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_types_match_oracle(spark, con, name):
+    spark_types = {c: _duck_type(t) for c, t in QUERIES[name](spark, SF001).dtypes}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert spark_types == duck_types
