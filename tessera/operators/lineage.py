@@ -115,12 +115,19 @@ def lineage_columns(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def roots_and_sinks(edges: DataFrame) -> DataFrame:
     """Base tables (sources that are no output) and sinks (outputs that
-    are no source), over the whole edge table."""
-    src = edges.select(F.col("source").alias("dataset")).distinct()
-    out = edges.select(F.col("output").alias("dataset")).distinct()
-    base = src.join(out, "dataset", "left_anti").withColumn("role", F.lit("base"))
-    sink = out.join(src, "dataset", "left_anti").withColumn("role", F.lit("sink"))
-    return base.unionByName(sink)
+    are no source), over the whole edge table.
+
+    One aggregate over (dataset, seen as source, seen as output) instead of
+    two DISTINCTs and two anti joins: a single shuffle, and partial
+    aggregation collapses a dataset that appears in millions of edges
+    before it is shuffled.
+    """
+    seen = edges.select(F.col("source").alias("dataset"), F.lit(True).alias("src"),
+                        F.lit(False).alias("out")).unionByName(
+        edges.select(F.col("output").alias("dataset"), F.lit(False).alias("src"), F.lit(True).alias("out")))
+    flags = seen.groupBy("dataset").agg(F.max("src").alias("src"), F.max("out").alias("out"))
+    role = F.when(F.col("src") & ~F.col("out"), "base").when(F.col("out") & ~F.col("src"), "sink")
+    return flags.select("dataset", role.alias("role")).where(F.col("role").isNotNull())
 
 
 def closure_to_base(edges: DataFrame, max_rounds: int = 10_000,
