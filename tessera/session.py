@@ -78,5 +78,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
+    try:
+        checkpoint_dir(df.sparkSession)
+    except AttributeError:
+        pass  # Spark Connect: the server checkpoints into its own configured folder
     return df.checkpoint(eager=True)

@@ -29,7 +29,6 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> Data
     filters through it. Reads no data: only the scan is planned.
     """
     from tessera.plans.inspect import estimated_bytes
-    sc = df.sparkSession.sparkContext
     est = estimated_bytes(df)
     if est is None or est < min_bytes:
         return df
@@ -37,7 +36,7 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> Data
         parts = df._jdf.rdd().getNumPartitions()     # plans the scan, runs no job
     except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect)
         return df
-    cores = sc.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if parts < cores else df
 
 
@@ -46,11 +45,18 @@ def spread_narrow_scan(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> Data
 _RELATIONS: dict[tuple[str, str, bool], DataFrame] = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return f"session-{id(spark)}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path, spread)
+    key = (_app_id(spark), path, spread)
     if key not in _RELATIONS:
         df = spark.read.parquet(path)
         _RELATIONS[key] = spread_narrow_scan(df) if spread else df
