@@ -18,6 +18,8 @@ TABLE_REF = r"(?i)\b(?:from|join)\s+(\{\w+\}\.\w+|\w+\.\w+|\w+)"
 TEMP_VIEW = r"""([A-Za-z_]\w*)\.createOrReplaceTempView\(\s*["'](\w+)["']\s*\)"""
 SAVE_TABLE = r"""([A-Za-z_]\w*)\.write(?:\s*\.\s*\w+\([^)]*\))*\s*\.\s*saveAsTable\(\s*f?["']([^"']+)["']\s*\)"""
 VAR_REF = r"^\{(\w+)\}\.(\w+)$"
+# SQL functions whose argument syntax contains FROM (not a table reference)
+FROM_FUNCTIONS = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|POSITION|OVERLAY)\s*\([^()]*\)"
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
@@ -54,8 +56,9 @@ def script_references(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     assigns = _pairs(scripts, key, ASSIGN, 1, 2, "name", "value")
     assigns = (assigns.groupBy(key, "name").agg(F.max_by("value", "pos").alias("value")))
     blocks = _pairs(scripts, key, BLOCK, 1, 3, "var", "sql").withColumn("block_no", F.col("pos") + 1)
+    sql = F.regexp_replace("sql", FROM_FUNCTIONS, " ")
     reads = blocks.select(key, "block_no",
-                          F.explode(F.regexp_extract_all("sql", F.lit(TABLE_REF), 1)).alias("raw"))
+                          F.explode(F.regexp_extract_all(sql, F.lit(TABLE_REF), 1)).alias("raw"))
     reads = _resolve(reads, assigns, key).select(key, F.lit("read").alias("role"), "block_no", "dataset")
     views = _pairs(scripts, key, TEMP_VIEW, 1, 2, "var", "raw")
     saves = _pairs(scripts, key, SAVE_TABLE, 1, 2, "var", "raw")

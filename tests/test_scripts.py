@@ -11,7 +11,8 @@ core_db = "core_db"
 final_db = "final_db"
 # from a comment: FROM nowhere.table must not count
 df = spark.sql(f"""
-    SELECT DISTINCT c.customer_id
+    SELECT DISTINCT c.customer_id, EXTRACT(YEAR FROM c.since) AS y, TRIM(BOTH ' ' FROM c.name) AS n,
+           SUBSTRING(c.code FROM 2 FOR 3) AS s
     FROM {stg_db}.customer c
     LEFT JOIN {stg_db}.account a ON c.customer_id = a.customer_id
     LEFT JOIN (SELECT account_id FROM {stg_db}.transaction WHERE x = 1) t ON a.account_id = t.account_id
