@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_extract, license_scan, line_dedup, mixing, secret_scan, url_filter
+from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, mixing, secret_scan, url_filter
 from tessera.llm.common import table
 
 QUERIES = {}
@@ -54,3 +54,13 @@ ORACLE["op9_line_dedup"] = line_dedup.sql()
 def op10_mixing(spark, sf_dir):
     return (mixing.with_probability(table(spark, sf_dir, "documents"))
             .select("doc_id", "source", "lang", "n_tokens", "topic", F.round("probability", 9).alias("probability"), "sampled"))
+
+
+@query
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))

@@ -69,8 +69,8 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-word shingles of each text: hashes, sorted within a text,
-    and the bounds of each text's run. A text of 1 to n - 1 words has one
+    """The distinct n-word shingles of each text: hashes, in ascending order
+    within a text, and the bounds of each text's run. A text of 1 to n - 1 words has one
     shingle, its whole sequence; one without words has none."""
     h, doc, _, _ = words_of(texts)
     g = ngrams(h, n)
@@ -85,7 +85,9 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray
         first = np.searchsorted(doc, short)
         whole = np.array([ngrams(h[a:a + count[d]], int(count[d]))[0] for d, a in zip(short, first, strict=True)], U)
         g, owner = np.concatenate((g, whole)), np.concatenate((owner, short))
-    order = np.lexsort((g, owner))
+    # one sort for both keys: the text's number above, the hash's leading bits below
+    bits = max(1, len(texts).bit_length())
+    order = np.argsort((owner.astype(U) << U(64 - bits)) | (g >> U(bits)))
     g, owner = g[order], owner[order]
     if len(g):
         new = np.ones(len(g), bool)
