@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, mixing, secret_scan, url_filter
+from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, mixing, secret_scan, toxicity, url_filter
 from tessera.llm.common import table
 
 QUERIES = {}
@@ -64,3 +64,13 @@ def op3_embedding_dedup(spark, sf_dir):
 @query
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def toxicity_model(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels.where(~toxicity.held_out("doc_id")))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
