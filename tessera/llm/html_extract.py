@@ -3,7 +3,7 @@
 The standard library's parser streams events; they are folded into lines, one
 per block, each with its text, the tags it took and the container it lies in.
 Structural boilerplate (menus, asides, forms, scripts, ...) is left out by tag,
-role and class. Over the remaining lines the text-to-tag ratio is smoothed with
+role and class. Over the remaining lines the ratio of text (outside links) to tags is smoothed with
 a Gaussian; lines above the threshold cluster into content regions. A region
 selects the content container it lies in (an article, a main part, or the
 smallest element that holds the region), and that container's lines are the
@@ -52,6 +52,7 @@ _HEADING_WORDS = frozenset("header masthead banner".split())
 class Line:
     text: str
     tags: int
+    plain: int                # characters outside links, white space left out
     path: tuple[int, ...]     # serial numbers of the open elements, outermost first
 
 
@@ -66,13 +67,13 @@ class _Lines(HTMLParser):
         self.content: set[int] = set()
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.plain = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open)))
-            self.tags = 0
+            self.lines.append(Line(text, self.tags, self.plain, tuple(n for _, n, _ in self.open)))
+            self.tags = self.plain = 0
         self.parts.clear()
 
     def _pop_to(self, i: int) -> None:
@@ -136,6 +137,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.parts.append(data)
+            if not any(tag == "a" for tag, _, _ in self.open):
+                self.plain += sum(map(len, data.split()))
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -181,9 +184,9 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5) -> str:
         return ""
     inside = [x for x in lines if parser.content.intersection(x.path)]
     pool = inside or lines
-    ratio = smooth([len(x.text) / max(1, x.tags) for x in pool], sigma)
+    ratio = smooth([x.plain / max(1, x.tags) for x in pool], sigma)
     level = cut * sum(ratio) / len(ratio)
-    hot = [x for x, r in zip(pool, ratio, strict=True) if r >= level]
+    hot = [x for x, r in zip(pool, ratio, strict=True) if r >= level and x.plain] or pool
     if inside:
         # the outermost content container of every line of a region
         chosen = {next(n for n in x.path if n in parser.content) for x in hot}

@@ -57,6 +57,8 @@ class Bound:
     """Integer forms of the threshold."""
 
     def __init__(self, percent: int):
+        if not 50 < percent <= 100:        # below, a set may differ from a linked one in all its segments
+            raise ValueError("percent must be over 50 and at most 100")
         self.percent = percent
 
     def differ(self, n: np.ndarray) -> np.ndarray:
@@ -282,7 +284,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of characters other than space and \\t\\n\\v\\f\\r, A-Z
     lower-cased. A text of 1 to ``words`` - 1 words has its whole sequence as its
     one shingle; NULL and empty texts have none and link with nothing. Sets link
-    when 100 * common >= percent * union. A row without a doc_id links with
+    when 100 * common >= percent * union (over 50). A row without a doc_id links with
     nothing and has no component. Repeated rows are copies of each other.
     """
     bound = Bound(percent)
