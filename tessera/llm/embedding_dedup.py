@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.components import connected
+from tessera.llm.components import connected, least_labels
 
 _CHUNK = 1 << 15      # pairs computed at a time in double precision
 
@@ -55,19 +55,6 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.nda
     return a[keep], b[keep]
 
 
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that it reaches."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _tile(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
@@ -83,7 +70,7 @@ def _tile(threshold: float):
         links = np.zeros(len(pdf), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        label = _least_labels(len(pdf), a, b)
+        label = least_labels(len(pdf), a, b)
         some = np.flatnonzero(links)
         return pd.DataFrame({"rep": rep[some], "links": links[some], "least": rep[label[some]]})
 

@@ -22,14 +22,19 @@ Cost-based allocation, twice:
   and nothing is lost by it. Segments that no other set has cost nothing.
 
 Candidates are verified on the whole sets, in two steps. First every set is
-verified against the one representative (least set of a segment) that it meets
-most; that joins the bulk of a group of near copies in as many comparisons as it
-has members. Then every remaining candidate pair whose sets lie in different
-groups so far is verified. Pairs within one group can't change the result.
+verified against the one representative that it meets most; a segment's
+representative is its most central set, whose segments have the most sets. That
+joins the bulk of a group of near copies in as many comparisons as it has
+members. Then every candidate pair whose sets lie in different groups so far is
+verified (pairs within one group can't change the result): pair by pair where
+the segment has at most ``SMALL`` sets, else in tiles. The large segments that
+some set looks at form clusters; a cluster's sets outside its largest group are
+compared with all of its sets, block by block, by counting common shingles in
+0/1 matrices. A tile returns at most one link per set.
 
 Exact copies are one set throughout. What is shuffled is three numbers a
-segment, never texts; sets move only for candidates, once each. Sets and
-shingles are compared by 64-bit hashes.
+segment, never texts; the shingles of a set move only where it is a candidate.
+Sets and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,12 +43,13 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fresh, slices
-from tessera.llm.components import connected
+from tessera.llm.components import connected, least_labels
 from tessera.llm.words import LOWER, U, mix, shingle_sets
 
 #: (shingles per segment at the band's upper end, are deletions indexed), cheapest first.
@@ -51,6 +57,10 @@ SETTINGS = [(3.0, False), (2.5, False), (2.0, False), (1.5, False), (1.5, True),
             *((2.0 ** -i, True) for i in range(1, 40))]
 #: Ids up to this many are sent to every task; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Segments with more sets are compared in tiles.
+SMALL = 16
+#: Sets and shingles of a block of a tile, about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 
 
 class Bound:
@@ -69,7 +79,7 @@ class Bound:
         """Least size of a set that a set of ``n`` can link with."""
         return -(-n * self.percent // 100)
 
-    def linked(self, common: int, n: int, m: int) -> bool:
+    def linked(self, common, n, m):
         return 100 * common >= self.percent * (n + m - common)
 
 
@@ -204,29 +214,26 @@ def _index(words: int, bound: Bound, settings: dict[int, int]):
 
 def _shared(batches: Iterator[pa.RecordBatch], spill: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows sorted by signature: those of signatures with two or more sets, with
-    the number of rows and the least set. A signature with over ``spill`` rows is
-    passed on in pieces; its number is then a lower bound (it only orders costs)."""
-    names = ["sig", "sid", "slack", "sets", "rep"]
+    the number of rows. A signature with over ``spill`` rows is passed on in
+    pieces; its number is then a lower bound (it only orders costs)."""
+    names = ["sig", "sid", "slack", "sets"]
     held: list[np.ndarray] | None = None
-    last, base, low = None, 0, None        # of a signature passed on in pieces
+    last, base = None, 0                   # of a signature passed on in pieces
 
-    def out(cols: list[np.ndarray], start_count: int, start_low):
+    def out(cols: list[np.ndarray], start_count: int):
         sig, sid, slack = cols
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(sig)))
-        least, most = np.minimum.reduceat(sid, at), np.maximum.reduceat(sid, at)
-        several = least != most
+        several = np.minimum.reduceat(sid, at) != np.maximum.reduceat(sid, at)
         if start_count:
             several[0] = True
             size[0] += start_count
-            least[0] = min(least[0], start_low)
         part = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(sig))))
         keep = several[part]
         if keep.any():
-            p = part[keep]
-            yield from _batches(names, [(sig[keep], sid[keep], slack[keep], size[p].astype(np.int64), least[p])])
+            yield from _batches(names, [(sig[keep], sid[keep], slack[keep], size[part[keep]].astype(np.int64))])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -234,18 +241,18 @@ def _shared(batches: Iterator[pa.RecordBatch], spill: int = 1 << 20) -> Iterator
         sig = held[0]
         cut_at = int(np.searchsorted(sig == sig[-1], True)) if len(sig) else 0
         if cut_at:
-            yield from out([c[:cut_at] for c in held], base if base and sig[0] == last else 0, low)
+            yield from out([c[:cut_at] for c in held], base if base and sig[0] == last else 0)
             held = [c[cut_at:] for c in held]
         if len(held[0]) > spill:
-            count, least = (base, low) if base and held[0][0] == last else (0, held[1].min())
+            count = base if base and held[0][0] == last else 0
             if count or (held[1] != held[1][0]).any():
-                yield from out(held, count, least)
-                last, base, low = held[0][0], count + len(held[0]), min(least, held[1].min())
+                yield from out(held, count)
+                last, base = held[0][0], count + len(held[0])
                 held = [c[:0] for c in held]
             else:
                 held = [c[:1] for c in held]     # one set again and again
     if held is not None and len(held[0]):
-        yield from out(held, base if base and held[0][0] == last else 0, low)
+        yield from out(held, base if base and held[0][0] == last else 0)
 
 
 def _members(words: int):
@@ -272,11 +279,77 @@ def _verify(bound: Bound):
     return run
 
 
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Numbers of common shingles of the sets of x (rows) and y (columns)."""
+    flat = [np.concatenate(s) for s in (x, y)]
+    owner = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), np.float32)
+    place = [np.searchsorted(both, f) for f in flat]
+    known = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool)
+             for p, f in zip(place, flat, strict=True)]
+    for a in range(0, len(both), width):
+        w = min(width, len(both) - a)
+        m = []
+        for k, s in enumerate((x, y)):
+            here = known[k] & (place[k] >= a) & (place[k] < a + w)
+            block = np.zeros((len(s), w), np.float32)
+            block[owner[k][here], place[k][here] - a] = 1.0
+            m.append(block)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _tile(bound: Bound):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sid", ignore_index=True)
+        sid, left = pdf["sid"].to_numpy(), pdf["left"].to_numpy()
+        sets = [np.frombuffer(b, U) for b in pdf["shingles"]]
+        i, j = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(i) or not len(j):
+            return pd.DataFrame({"a": sid[:0], "b": sid[:0]})
+        size = np.array([len(s) for s in sets])
+        common = common_shingles([sets[k] for k in i], [sets[k] for k in j])
+        a, b = np.nonzero(bound.linked(common, size[i][:, None], size[j][None, :]))
+        # a set that lies on both sides is one node
+        node = np.searchsorted(sid, sid)
+        label = least_labels(len(sid), node[i[a]], node[j[b]])[node]
+        some = np.unique(np.concatenate((i[a], j[b]))) if len(a) else i[:0]
+        some = some[label[some] != node[some]]
+        return pd.DataFrame({"a": sid[some], "b": sid[label[some]]})
+
+    return run
+
+
 def _sent(df: DataFrame) -> DataFrame:
     """A broadcast side if its rows are few, else as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _linked_in_tiles(rows: DataFrame, shingles_of, bound: Bound) -> DataFrame:
+    """Links among the sets of large segments: rows (sig, sid, group, n, looks)."""
+    looks = rows.where("looks").select("sid", "sig")
+    ties = looks.join(looks.groupBy("sid").agg(F.min("sig").alias("b")), "sid").select(F.col("sig").alias("a"), "b")
+    clusters = connected(ties).toDF("sig", "cluster")
+    sets = cut(rows.join(clusters, "sig", "left").select(F.coalesce("cluster", "sig").alias("cluster"), "sid", "group", "n").distinct())
+    main = (sets.groupBy("cluster", "group").agg(F.count("*").alias("c"))
+                .groupBy("cluster").agg(F.max(F.struct("c", "group")).alias("most")).select("cluster", F.col("most.group").alias("main")))
+    sets = sets.join(main, "cluster").withColumn("odd", F.col("group") != F.col("main"))
+
+    def blocks(which):
+        """Number of blocks for the rows of a cluster."""
+        return F.ceil(F.greatest(F.sum(which.cast("int")) / BLOCK_SETS, F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+
+    counts = sets.groupBy("cluster").agg(blocks(F.col("odd")).alias("is"), blocks(F.lit(True)).alias("js"))
+    full = sets.join(counts, "cluster").join(shingles_of(sets), "sid")
+    block = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = full.where("odd").withColumn("i", block("is")).withColumn("j", each("js")).withColumn("left", F.lit(True))
+    right = full.withColumn("j", block("js")).withColumn("i", each("is")).withColumn("left", F.lit(False))
+    return cut(left.unionByName(right).select("cluster", "i", "j", "left", "sid", "shingles")
+                   .groupBy("cluster", "i", "j").applyInPandas(_tile(bound), "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                    percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -297,53 +370,57 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     signed = ready.where("doc_id IS NOT NULL").mapInArrow(_index(words, bound, settings), "sig long, sid long, slack int")
     met = cut(signed.repartition("sig").sortWithinPartitions("sig")
-                    .mapInArrow(_shared, "sig long, sid long, slack int, sets long, rep long").distinct())
+                    .mapInArrow(_shared, "sig long, sid long, slack int, sets long").distinct())
     costly = Window.partitionBy("sid").orderBy(F.desc("sets"), "sig")
     picked = cut(met.where("slack >= 0").withColumn("place", F.row_number().over(costly))
-                    .where("place > slack").select("sig", "sid", "rep"))
-
+                    .where("place > slack").select("sig", "sid"))
     size = sets.select("sid", "n")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes allow a link."""
-        return (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-                     .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")).distinct()
-        wanted = cut(sets.join(ids, "sid").select(F.col("rep_doc").alias("doc_id"), "sid"))
-        full = cut(ready.join(_sent(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        """(sid, shingles) of the sets named, from the texts of one document each."""
+        wanted = cut(sets.join(ids.select("sid").distinct(), "sid").select(F.col("rep_doc").alias("doc_id"), "sid"))
+        return cut(ready.join(_sent(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
                         .mapInArrow(_members(words), "sid long, shingles binary")
                         .join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
-        both = (pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        pairs = cut(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+                         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
+        full = shingles_of(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")))
+        both = pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return cut(both.mapInArrow(_verify(bound), "a long, b long"))
 
     # every set against the representative that it meets most
-    first = cut(sized(picked.where("sid <> rep").groupBy("sid", "rep").agg(F.count("*").alias("c"))
-                      .groupBy("sid").agg(F.max(F.struct("c", "rep")).alias("best"))
-                      .select(F.col("sid").alias("a"), F.col("best.rep").alias("b"))))
-    links = linked(first)
+    central = met.groupBy("sid").agg(F.sum("sets").alias("meets"))
+    rep = (met.join(picked.select("sig").distinct(), "sig", "left_semi").join(central, "sid")
+              .groupBy("sig").agg(F.max(F.struct("meets", "sid")).alias("most")).select("sig", F.col("most.sid").alias("rep")))
+    links = linked(picked.join(rep, "sig").where("sid <> rep").groupBy("sid", "rep").agg(F.count("*").alias("c"))
+                   .groupBy("sid").agg(F.max(F.struct("c", "rep")).alias("best"))
+                   .select(F.col("sid").alias("a"), F.col("best.rep").alias("b")))
     groups = cut(connected(links))
 
-    # candidates that lie in different groups so far
-    label = met.join(groups.toDF("sid", "group"), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
-    counts = cut(label.groupBy("sig", "group").agg(F.count("*").alias("c")))
-    mixed = (counts.groupBy("sig").agg(F.count("*").alias("groups"), F.max(F.struct("c", "group")).alias("most"))
-                   .where("groups > 1").select("sig", F.col("most.group").alias("main")))
-    mixed = cut(mixed.join(picked.select("sig").distinct(), "sig"))
-    rows = cut(label.join(mixed, "sig").join(picked.select("sig", "sid", F.lit(True).alias("looks")), ["sig", "sid"], "left")
-                    .join(size, "sid").select("sig", "sid", "group", "n", (F.col("group") == F.col("main")).alias("is_main"),
+    # segments that some set looks at and that hold several groups so far
+    label = (met.join(picked.select("sig").distinct(), "sig", "left_semi").join(groups.toDF("sid", "group"), "sid", "left")
+                .withColumn("group", F.coalesce("group", "sid")))
+    mixed = (label.groupBy("sig", "group").agg(F.count("*").alias("c"))
+                  .groupBy("sig").agg(F.count("*").alias("groups"), F.sum("c").alias("c"), F.max(F.struct("c", "group")).alias("most"))
+                  .where("groups > 1").select("sig", "c", F.col("most.group").alias("main")))
+    rows = cut(label.join(mixed, "sig").join(picked.withColumn("looks", F.lit(True)), ["sig", "sid"], "left")
+                    .join(size, "sid").select("sig", "sid", "group", "n", "c", (F.col("group") == F.col("main")).alias("is_main"),
                                               F.coalesce("looks", F.lit(False)).alias("looks")))
-    mine = rows.where("looks").select("sig", *(F.col(c).alias(f"{c}_") for c in ("sid", "group", "n", "is_main")))
+    few = rows.where(F.col("c") <= SMALL)
+    mine = few.where("looks").select("sig", *(F.col(c).alias(f"{c}_") for c in ("sid", "group", "n", "is_main")))
     fits = f"group <> group_ AND n >= n_ AND 100 * n_ >= {percent} * n"
-    # the rows of a signature's largest group meet only the rows outside it
-    pairs = (mine.join(rows.where("NOT is_main"), "sig").where(fits)
-             .unionAll(mine.where("NOT is_main_").join(rows.where("is_main"), "sig").where(fits)))
-    rest = cut(pairs.select(F.col("sid_").alias("a"), F.col("sid").alias("b")).distinct()
-                    .join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionAll(linked(rest))
-        groups = cut(connected(links))
+    # the rows of a segment's largest group meet only the rows outside it
+    pairs = (mine.join(few.where("NOT is_main"), "sig").where(fits)
+             .unionAll(mine.where("NOT is_main_").join(few.where("is_main"), "sig").where(fits)))
+    links = links.unionAll(linked(pairs.select(F.col("sid_").alias("a"), F.col("sid").alias("b")).distinct()))
+
+    many = rows.where(F.col("c") > SMALL)
+    if not many.isEmpty():
+        links = links.unionAll(_linked_in_tiles(many, shingles_of, bound))
+    groups = cut(connected(links))
 
     least = sets.select("sid", "rep_doc").join(groups.toDF("sid", "group"), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
     roots = least.groupBy("group").agg(F.min("rep_doc").alias("component"))

@@ -423,7 +423,7 @@ def test_secret_spans(spark):
     assert len(out[1]) == 2 and out[0][0].spans == "" == out[1][0].spans
     assert out[0][0].base_sha256 == hashlib.sha256(b"").hexdigest()
     r = out[2][0]
-    assert (r.n_assign, r.spans) == (2, "assign:2:22,assign:37:51")
+    assert (r.n_assign, r.spans) == (2, "assign:2:22,assign:38:52")
     assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
     r = out[3][0]
     assert (r.n_access, r.n_hex) == (1, 1) and r.spans.startswith("hex:1:25") and "access:27:47" in r.spans
