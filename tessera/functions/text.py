@@ -9,8 +9,8 @@ Fixed values (they must equal Python's definitions for equal results):
   (``[\\p{L}\\p{N}_]``); combining marks are not word characters.
 * decimal digits of ``re`` ``\\d`` on ``str``: ``\\p{Nd}``.
 
-The patterns use only syntax that Java regex and RE2 read the same way, so
-the DuckDB oracle runs the very same strings.
+Apart from the alias pattern, the patterns use only syntax that Java regex and
+RE2 read the same way, so the DuckDB oracle runs the very same strings.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ WS = "[" + "".join(f"\\x{{{ord(ch):04X}}}" for ch in WS_CHARS) + "]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 
-# table alias in front of a column: t.col -> col (greedy runs make \b redundant)
-ALIAS_PATTERN = f"{WORD}+\\.({WORD}+)"
+# table alias in front of a column: t.col -> col. A run starts only where no word
+# character stands before it and is never given back, so a long word is read once.
+ALIAS_PATTERN = f"(?<!{WORD}){WORD}++\\.({WORD}+)"
 # list numbering "1. " or "2) " at the start of a rule
 NUMBERING_PATTERN = f"^{WS}*{DIGIT}+[.)]{WS}*"
 FENCE_OPEN_PATTERN = "^```(json)?"

@@ -1,70 +1,58 @@
-"""Join helpers for lookups of a large fact side against dimension tables.
+"""Lookups of a large fact side against dimension tables.
 
-Two hazards at scale are handled here rather than left to luck:
+A left join shuffles NULL keys like any other value, so every fact row without
+a key would land in one reducer. Here the join key is one struct (key, salt):
+the salt is 0 for rows that have a key and for the dimension, and spreads the
+rows without one, which match nothing. (As a second, separate key the salt
+would be folded away, because it is a constant on the dimension's side.)
 
-* broadcast: a dimension is broadcast only when Catalyst's upper-bound size
-  estimate (times a safety factor for decompression) is below a limit;
-  otherwise the join stays a sort-merge join and AQE may still switch it to a
-  broadcast from the measured shuffle size, or split skewed partitions.
-* NULL keys: a left join shuffles NULL keys like any other value, so every
-  fact row without a key lands in one reducer. Those rows can never match,
-  so they bypass the join and get NULL dimension columns.
+No broadcast is hinted: adaptive execution decides it from measured sizes, and
+splits hot keys of sort-merge joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.inspect import estimated_bytes
-
-# upper bound for a broadcast side, after the safety factor
-BROADCAST_LIMIT = 64 * 1024 * 1024
-# parquet estimates are compressed bytes; rows in memory are larger
-SIZE_SAFETY_FACTOR = 8
 # salt range for fact rows without a key
 NULL_SPREAD = 1024
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    est = estimated_bytes(df)
-    return est is not None and est * SIZE_SAFETY_FACTOR <= limit
-
+class Lookup(NamedTuple):
+    dim: DataFrame
+    key: str                  # of the dimension
+    keep: Sequence[str]       # columns that it adds
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint only for a side whose size bound is checked."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
+def spread_key(fact: DataFrame, key: str, spread: int = NULL_SPREAD) -> Column:
+    """(key, salt): the salt is a hash of the row, so a retried task sends each
+    row to the same place."""
+    row_hash = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(spread)).cast("int") + 1
+    return F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), row_hash).otherwise(F.lit(0)).alias("s"))
 
-def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                keep: Sequence[str], broadcast_limit: int | None = None,
-                null_spread: int = NULL_SPREAD, keep_salt: str | None = None) -> DataFrame:
-    """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key``, adding ``keep``.
 
-    Fan-out is kept: a key with two dimension rows doubles the fact row, as in
-    SQL. A dimension with a checked size bound is broadcast and the fact side
-    is not shuffled at all. Otherwise both sides are shuffled on the key, and
-    fact rows with a NULL key - which never match - would all hash to one
-    reducer; they get a spread salt (a hash of the row, so a retried task
-    sends each row to the same place) against salt 0 on the dimension side.
-    Non-NULL keys join on salt 0 = 0 exactly as before.
+def lookup_all(fact: DataFrame, fact_key: str, lookups: Sequence[Lookup],
+               spread: int = NULL_SPREAD) -> DataFrame:
+    """Several ``LEFT JOIN dim ON fact.fact_key = dim.key``, one after another.
 
-    ``keep_salt`` names a column that keeps the salt (0 for every row that has
-    a key): the output of a shuffled join is partitioned on (key, salt), and
-    a later aggregate that groups on both reuses that partitioning.
+    The struct key is made once, so the joins share one partitioning of the
+    fact side. Fan-out is kept: a key with two dimension rows doubles the fact
+    row, as in SQL.
     """
-    k, salt = f"__k_{dim_key}", "__salt"
-    d = dim.select(F.col(dim_key).alias(k), *keep).where(F.col(k).isNotNull())
-    if fits_broadcast(d, BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit):
-        out = fact.join(F.broadcast(d), F.col(fact_key) == F.col(k), "left").drop(k)
-        return out.withColumn(keep_salt, F.lit(0)) if keep_salt else out
-    d = d.withColumn(salt, F.lit(0))
-    spread = F.when(F.col(fact_key).isNull(),
-                    F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(null_spread)) + 1
-                    ).otherwise(F.lit(0))
-    f = fact.withColumn(salt, spread)
-    cond = (F.col(fact_key) == F.col(k)) & (f[salt] == d[salt])
-    out = f.join(d, cond, "left").drop(k).drop(d[salt])
-    return out.withColumnRenamed(salt, keep_salt) if keep_salt else out.drop(salt)
+    out = fact.withColumn("__key", spread_key(fact, fact_key, spread))
+    for i, look in enumerate(lookups):
+        k = f"__k{i}"
+        dim = (look.dim.where(F.col(look.key).isNotNull())
+               .select(F.struct(F.col(look.key).alias("k"), F.lit(0).alias("s")).alias(k), *look.keep))
+        out = out.join(dim, F.col("__key") == F.col(k), "left").drop(k)
+    return out.drop("__key")
+
+
+def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
+                keep: Sequence[str], spread: int = NULL_SPREAD) -> DataFrame:
+    """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key``, adding ``keep``."""
+    return lookup_all(fact, fact_key, [Lookup(dim, dim_key, keep)], spread)

@@ -10,12 +10,9 @@ Plan shape (see README "Scale"):
 
 * ``union_layer`` de-duplicates once, over all 12 columns (T9), without the
   redundant inner DISTINCT of the live branch.
-* ``nested_layer`` joins the two transaction-grain lookups (merchant, fraud
-  flag) first, pre-aggregates to (customer, account, account type, merchant
-  category, fraud flag), and joins the customer and account lookups to those
-  far fewer rows. A group of the original query is one pre-aggregated row
-  repeated k times by duplicate dimension rows, so SUM = sum of partial sums,
-  COUNT(DISTINCT) = max of partial counts and MAX = max of maxima.
+* ``nested_layer`` joins all eight dimensions to the transactions and groups
+  once. Lookups on one key share a partitioning of the fact side, and rows
+  without a key are spread (see ``joins``).
 * ``customer_summary`` aggregates before the risk lookup: the risk table is
   unique per customer and ``risk_score`` depends on ``customer_id`` only.
 """
@@ -25,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import lookup_join
+from tessera.operators.joins import Lookup, lookup_all, lookup_join
 from tessera.params import DEFAULT, RunParams
 from tessera.sources.bank import BankViews
 
@@ -94,8 +91,9 @@ def _live_branch(v: BankViews, p: RunParams) -> DataFrame:
         "customer_id", "account_id", "account_type", "status")
     txns = recent_transactions(v.transaction, p).select(
         "account_id", "txn_id", "amount", "txn_type", "txn_date", "merchant_id")
-    return (v.customer.join(accounts, "customer_id", "left")       # J1 + J2 residual
-            .join(txns, "account_id", "left")                       # J3
+    owned = v.customer.join(accounts, "customer_id", "left")        # J1 + J2 residual
+    # J3; customers without an account have a NULL key
+    return (lookup_join(owned, txns, "account_id", "account_id", [c for c in txns.columns if c != "account_id"])
             .select("customer_id", "name", "account_id", "account_type", "status",
                     "txn_id", "amount", "txn_type", "txn_date",
                     unknown_if_null("segment").alias("segment"),
@@ -157,30 +155,23 @@ def _amount_if(txn_type: str) -> Column:
 
 def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     d = _dims(v, p)
-    u = u.select("customer_id", "account_id", "account_type", "txn_id", "amount",
+    t = u.select("customer_id", "account_id", "account_type", "txn_id", "amount",
                  "txn_type", "txn_date", "merchant_id")
-    # transaction-grain lookups
-    t = lookup_join(u, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"])
-    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"], keep_salt="txn_salt")
-    # (txn_id, txn_salt) counts like txn_id (salt is 0 wherever txn_id is set,
-    # rows without txn_id are not counted) and reuses the join's partitioning
-    pre = (t.groupBy("customer_id", "account_id", "account_type", "merchant_category", "fraud_flag")
-           .agg(F.sum(_amount_if("DEBIT")).alias("debit"),
-                F.sum(_amount_if("CREDIT")).alias("credit"),
-                F.count_distinct("txn_id", "txn_salt").alias("n_txn"),
-                F.max("txn_date").alias("max_date")))
-    # customer- and account-grain lookups on the pre-aggregated rows
-    g = lookup_join(pre, d["seg"], "customer_id", "customer_id", ["segment_name"])
-    g = lookup_join(g, d["region"], "customer_id", "cust_id", ["region"])
-    g = lookup_join(g, d["credit"], "customer_id", "customer_id", ["external_credit_score"])
-    g = lookup_join(g, d["sanctions"], "customer_id", "customer_id", ["sanctions_hit"])
-    g = lookup_join(g, d["product"], "account_id", "account_id", ["product_name", "product_category"])
-    g = lookup_join(g, d["branch"], "account_id", "account_id", ["branch_name", "branch_region"])
-    out = (g.groupBy(*NESTED_KEYS)                                                   # A10
-           .agg(F.sum("debit").alias("total_debit"),
-                F.sum("credit").alias("total_credit"),
-                F.max("n_txn").alias("txn_count"),
-                F.max("max_date").alias("last_txn_date")))
+    t = lookup_all(t, "customer_id", [                                               # J6, J7, J12, J13
+        Lookup(d["seg"], "customer_id", ["segment_name"]),
+        Lookup(d["region"], "cust_id", ["region"]),
+        Lookup(d["credit"], "customer_id", ["external_credit_score"]),
+        Lookup(d["sanctions"], "customer_id", ["sanctions_hit"])])
+    t = lookup_all(t, "account_id", [                                                # J8, J9
+        Lookup(d["product"], "account_id", ["product_name", "product_category"]),
+        Lookup(d["branch"], "account_id", ["branch_name", "branch_region"])])
+    t = lookup_join(t, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"])   # J10
+    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"])               # J11
+    out = (t.groupBy(*NESTED_KEYS)                                                   # A10
+           .agg(F.sum(_amount_if("DEBIT")).alias("total_debit"),
+                F.sum(_amount_if("CREDIT")).alias("total_credit"),
+                F.count_distinct("txn_id").alias("txn_count"),
+                F.max("txn_date").alias("last_txn_date")))
     return out.select(
         "customer_id", "account_id", "account_type",
         F.col("total_debit").cast("decimal(28,2)").alias("total_debit"),

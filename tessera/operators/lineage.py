@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.json import is_a, is_string_list, items, kind, member, with_strict_variant
 from tessera.functions.text import strip_code_fence
 from tessera.session import cut_lineage
 
@@ -30,23 +31,57 @@ def _empty():
 
 # ---------------------------------------------------------------- L1, L2
 
-def clean_response(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """L1 on a column of raw answers."""
-    return df.withColumn(text_col, strip_code_fence(text_col))
-
-
-def parse_lineage(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """L2: (key, doc, error). Malformed documents, a missing steps list, a
-    step without output or a source without name are errors (the original
-    raises on each); they go to quarantine, the rest goes on."""
-    doc = F.from_json(strip_code_fence(text_col), LINEAGE_SCHEMA)
-    bad_step = F.exists(F.col("doc.steps"), lambda s: s["output"].isNull() | F.exists(
-        F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE))),
-        lambda src: src["name"].isNull()))
-    error = (F.when(F.col("doc.steps").isNull(), F.lit("malformed document or no steps list"))
-             .when(bad_step, F.lit("step without output or source without name")))
-    return (docs.select(key, doc.alias("doc"))
-            .withColumn("error", error))
+NO_STEPS = "malformed document or no steps list"
+NO_NAME = "step without output or source without name"
+BAD_TYPE = "field of a wrong type"
+_LIST = "ARRAY<(STRING|VOID)>"
+# the type of a list of steps whose fields are all as they shall be
+_PLAIN = (f"^ARRAY<(VOID|OBJECT<(columns: {_LIST}, )?(name: STRING, )?output: STRING"
+          f"(, sources: ARRAY<(VOID|OBJECT<(columns: {_LIST}, )?name: STRING>)>)?>)>$")
+
+
+def _bad_step(s: Column) -> Column:
+    """A step (variant) with a field of a wrong type; null names are told later."""
+    def bad_source(x: Column) -> Column:
+        return ~kind(x).startswith("OBJECT<") | ~is_a(member(x, "name"), "STRING", "VOID") | ~is_string_list(member(x, "columns"), "VOID")
+
+    sources = member(s, "sources")
+    return (~kind(s).startswith("OBJECT<") | ~is_a(member(s, "name"), "STRING", "VOID")
+            | ~is_a(member(s, "output"), "STRING", "VOID") | ~is_string_list(member(s, "columns"), "VOID")
+            | ~F.coalesce(kind(sources).startswith("ARRAY<") | (kind(sources) == "VOID"), F.lit(True))
+            | F.exists(items(sources), bad_source))
+
+
+def parse_lineage(docs: DataFrame, text_col: str = "text", key: str = "doc_id", mode: str = "PERMISSIVE") -> DataFrame:
+    """L2: (key, doc, error). A document is valid when it is, inside its code
+    fence, one JSON value with a list ``steps`` of objects with an output, whose
+    sources have a name; names are strings and columns lists of strings, or
+    missing or null. The original raises on everything else; here it goes to
+    quarantine and the rest goes on. With mode FAILFAST the job fails."""
+    parsed = docs.select(key, F.col(text_col).alias("__text")).withColumn("__json", strip_code_fence("__text"))
+    parsed = with_strict_variant(parsed, F.col("__json"), "__v").drop("__json")
+    steps = F.col("doc.steps")
+    sources = lambda s: F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE)))
+    no_name = F.exists(steps, lambda s: s["output"].isNull() | F.exists(sources(s), lambda x: x.isNull() | x["name"].isNull()))
+    null_in = lambda c: F.exists(F.coalesce(c, _empty()), lambda x: x.isNull())
+    bad_list = F.exists(steps, lambda s: null_in(s["columns"]) | F.exists(sources(s), lambda x: null_in(x["columns"])))
+    # most documents are plain, which one look at the type of the whole list tells
+    listed = member(F.col("__v"), "steps")
+    bad = F.when(kind(listed).rlike(_PLAIN), False).otherwise(F.exists(items(listed), _bad_step))
+    error = (F.when(~F.coalesce(kind(listed), F.lit("none")).startswith("ARRAY<"), F.lit(NO_STEPS))
+             .when(bad, F.lit(BAD_TYPE))
+             .when(F.exists(steps, lambda s: s.isNull()) | no_name, F.lit(NO_NAME))
+             .when(bad_list, F.lit(BAD_TYPE)))
+    if mode == "FAILFAST":
+        error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
+    return (parsed.withColumn("doc", F.try_variant_get(F.col("__v"), "$", LINEAGE_SCHEMA.simpleString()))
+                  .withColumn("error", error).withColumn("text", F.col("__text")).select(key, "doc", "error", "text"))
+
+
+def quarantine(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that are not valid: (key, error, text)."""
+    bad = F.when(F.col("error").isNotNull(), F.array(F.struct("error", "text")))
+    return parsed.select(key, F.explode(bad).alias("q")).select(key, "q.error", "q.text")
 
 
 def _steps(parsed: DataFrame, key: str) -> DataFrame:
@@ -101,14 +136,16 @@ def lineage_nodes(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def lineage_columns(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Columns written by each step and read from each of its sources."""
-    s = _steps(parsed, key)
-    written = s.select(key, "step_pos", F.col("step.output").alias("dataset"),
-                       F.lit("write").alias("role"),
-                       F.posexplode(F.coalesce("step.columns", _empty())).alias("col_pos", "column_name"))
-    read = (s.select(key, "step_pos", F.posexplode("step.sources").alias("source_pos", "src"))
-            .select(key, "step_pos", F.col("src.name").alias("dataset"), F.lit("read").alias("role"),
-                    F.posexplode(F.coalesce("src.columns", _empty())).alias("col_pos", "column_name")))
-    return written.unionByName(read)
+    # one array per step, so the document is parsed once
+    item = lambda dataset, role: lambda c, i: F.struct(
+        dataset.alias("dataset"), F.lit(role).alias("role"), i.alias("col_pos"), c.alias("column_name"))
+    step = F.col("step")
+    written = F.transform(F.coalesce(step["columns"], _empty()), item(step["output"], "write"))
+    read = F.flatten(F.transform(
+        F.coalesce(step["sources"], F.array().cast(T.ArrayType(SOURCE))),
+        lambda src: F.transform(F.coalesce(src["columns"], _empty()), item(src["name"], "read"))))
+    return (_steps(parsed, key).select(key, "step_pos", F.explode(F.concat(written, read)).alias("c"))
+            .select(key, "step_pos", "c.*"))
 
 
 # ---------------------------------------------------------------- L6, L7
@@ -117,50 +154,65 @@ def roots_and_sinks(edges: DataFrame) -> DataFrame:
     """Base tables (sources that are no output) and sinks (outputs that
     are no source), over the whole edge table.
 
-    One aggregate over (dataset, seen as source, seen as output) instead of
-    two DISTINCTs and two anti joins: a single shuffle, and partial
-    aggregation collapses a dataset that appears in millions of edges
-    before it is shuffled.
+    Each edge is read once and gives a row per end; one aggregate of (seen as
+    source, seen as output) per dataset, whose partial sums collapse a dataset
+    that appears in millions of edges before it is shuffled.
     """
-    seen = edges.select(F.col("source").alias("dataset"), F.lit(True).alias("src"),
-                        F.lit(False).alias("out")).unionByName(
-        edges.select(F.col("output").alias("dataset"), F.lit(False).alias("src"), F.lit(True).alias("out")))
+    end = lambda c, src: F.struct(F.col(c).alias("dataset"), F.lit(src).alias("src"), F.lit(not src).alias("out"))
+    seen = edges.select(F.explode(F.array(end("source", True), end("output", False))).alias("x")).select("x.*")
     flags = seen.groupBy("dataset").agg(F.max("src").alias("src"), F.max("out").alias("out"))
     role = F.when(F.col("src") & ~F.col("out"), "base").when(F.col("out") & ~F.col("src"), "sink")
     return flags.select("dataset", role.alias("role")).where(F.col("role").isNotNull())
 
 
-def closure_to_base(edges: DataFrame, max_rounds: int = 10_000,
-                    checkpoint_every: int = 1) -> DataFrame:
-    """Every (dataset, base table) pair with a path base -> .. -> dataset.
+def closure_to_base(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(dataset, base table) pairs with a path base -> .. -> dataset.
 
-    Semi-naive iteration: each round joins only the pairs found in the last
-    round with the edges, and ``left_anti`` drops pairs already known, so a
-    cycle ends the loop instead of looping forever. Each round is written to
-    the checkpoint folder (reliable, shared), which keeps the plan flat and
-    survives lost executors. The driver only sees one boolean per round.
+    With ``targets`` (a column ``dataset``) the walk starts from these datasets
+    and goes up only their own lineage; without, it covers every dataset.
+
+    Semi-naive iteration from the datasets upwards: a round moves the pairs
+    (dataset, reached node) found last one edge up, and ``left_anti`` drops the
+    pairs known already, which ends the walk on cycles. Edges are partitioned on
+    their join key once; every round is written to the checkpoint folder, and
+    the known pairs are written together as one table after each eight rounds,
+    so a plan has at most eight leaves of them whatever the depth. The driver
+    sees one boolean a round.
     """
-    # the edge table is joined every round: write it once instead of
-    # re-deriving it from its sources each time
-    e = cut_lineage(edges.select("source", "output").distinct())
-    base = roots_and_sinks(e).where(F.col("role") == "base").select(F.col("dataset").alias("source"))
-    frontier = cut_lineage(e.join(base, "source", "left_semi")
-                           .select(F.col("output").alias("dataset"), F.col("source").alias("base")))
-    known = frontier
-    for i in range(max_rounds):
-        step = (frontier.join(e, frontier["dataset"] == e["source"])
-                .select(F.col("output").alias("dataset"), "base").distinct())
-        new = step.join(known, ["dataset", "base"], "left_anti")
-        if (i + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
-        frontier = new
-    raise RuntimeError(f"lineage closure did not converge in {max_rounds} rounds")
+    e = cut_lineage(edges.select("source", "output").distinct().repartition("output"))
+    starts = e.select(F.col("output").alias("dataset")).distinct()
+    if targets is not None:
+        starts = starts.join(targets.select("dataset").distinct(), "dataset", "left_semi")
+    up = lambda f: (f.join(e, f["node"] == e["output"])
+                    .select("dataset", F.col("source").alias("node")).distinct())
+    pair = ["dataset", "node"]
+    frontier = cut_lineage(up(starts.select("dataset", F.col("dataset").alias("node"))))
+    known, loose = frontier, 1
+    while True:
+        frontier = cut_lineage(up(frontier).join(known, pair, "left_anti"))
+        if frontier.isEmpty():
+            break
+        known, loose = known.unionByName(frontier), loose + 1
+        if loose == 8:
+            known, loose = cut_lineage(known.repartition(*pair)), 1
+    inner = e.select(F.col("output").alias("node")).distinct()
+    return known.join(inner, "node", "left_anti").select("dataset", F.col("node").alias("base"))
 
 
 def missing_from_lineage(refs: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Datasets a script references that its lineage document lacks."""
     return (refs.select(key, "dataset").distinct()
             .join(nodes.select(key, "dataset"), [key, "dataset"], "left_anti"))
+
+
+def missing_in_row(scripts: DataFrame, key: str = "doc_id", refs: str = "refs", text: str = "lineage") -> DataFrame:
+    """L9 where a script's references and its lineage answer lie in one row:
+    (key, dataset) of the references that the answer lacks. No shuffle; an
+    answer that is not valid lacks all."""
+    doc = parse_lineage(scripts.withColumn("__key", F.struct(F.col(key).alias("k"), F.col(refs).alias("r"))), text, "__key")
+    steps = F.when(F.col("error").isNull(), F.col("doc.steps"))
+    named = F.flatten(F.transform(steps, lambda s: F.concat(F.array(s["output"]), F.transform(
+        F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE))), lambda x: x["name"]))))
+    used = F.transform(F.col("__key.r"), lambda r: r["dataset"])
+    lacking = F.array_except(used, F.coalesce(named, _empty()))      # array_except also drops repeats
+    return doc.select(F.col("__key.k").alias(key), F.explode(lacking).alias("dataset"))

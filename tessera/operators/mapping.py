@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.json import is_string_list, kind, member, with_strict_variant
 from tessera.functions.text import remove_aliases
 
 META = T.StructType([
@@ -42,13 +43,21 @@ def _empty():
 
 # ---------------------------------------------------------------- M1
 
+def parse_catalog(docs: DataFrame, text_col: str = "value") -> DataFrame:
+    """Adds ``cat`` (the catalog as a map) and ``error``, NULL for a readable one."""
+    read = with_strict_variant(docs, F.col(text_col), "__v")
+    return (read.withColumn("cat", F.when(kind(F.col("__v")).startswith("OBJECT<"), F.from_json(F.col(text_col), CATALOG_SCHEMA)))
+                .withColumn("error", F.when(F.col("cat").isNull(), F.lit("malformed catalog"))).drop("__v"))
+
+
 def flatten_catalog(docs: DataFrame, text_col: str = "value") -> DataFrame:
-    """One row per (table, column) of every catalog document in ``docs``.
+    """One row per (table, column) of every readable catalog document in ``docs``;
+    the others are the rows of ``parse_catalog`` with an error.
 
     Numbers in a domain (``[0, 1]``) come back as strings.
     """
-    parsed = docs.select(F.from_json(F.col(text_col), CATALOG_SCHEMA).alias("cat"))
-    tables = parsed.select(F.explode("cat").alias("table_name", "cols"))
+    # readability inside the generator: a Filter would parse again
+    tables = parse_catalog(docs, text_col).select(F.explode("cat").alias("table_name", "cols"))
     cols = tables.select("table_name", F.explode("cols").alias("column_name", "meta"))
     return cols.select("table_name", "column_name", "meta.data_type", "meta.is_categorical",
                        "meta.categories")
@@ -69,13 +78,14 @@ def clean_logic(c: Column) -> Column:
 def enrich_with_catalog(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
     """M2 (+M3, M5 in the original order): look up the *source* column in the
     catalog; type, flag and domain are overwritten from it, a miss gives
-    ``''``, ``false``, ``[]``. Row count is kept (catalog keys are unique).
+    ``''``, ``false``, ``[]``. Row count is kept: a catalog key that is given
+    more than once counts once (see ``dedupe_catalog``).
 
     The catalog holds one row per warehouse column; when it is small its
     broadcast is decided by AQE from the measured size, otherwise this is a
     sort-merge join that AQE splits on hot (table, column) keys.
     """
-    cat = catalog.select(F.col("table_name").alias("__t"), F.col("column_name").alias("__c"),
+    cat = dedupe_catalog(catalog).select(F.col("table_name").alias("__t"), F.col("column_name").alias("__c"),
                          F.col("data_type").alias("__dt"),
                          F.col("is_categorical").alias("__cat"),
                          F.col("categories").alias("__dom"))
@@ -91,30 +101,59 @@ def enrich_with_catalog(mappings: DataFrame, catalog: DataFrame) -> DataFrame:
         F.coalesce("__dom", _empty()).alias("categories"))
 
 
-def dedupe_catalog(catalog: DataFrame, order_col: str) -> DataFrame:
-    """Keep the last entry per (table, column), as a JSON object keeps the last
-    duplicate key; ``order_col`` orders the entries."""
-    latest = catalog.groupBy("table_name", "column_name").agg(
-        F.max_by(F.struct(*[c for c in catalog.columns if c not in ("table_name", "column_name")]),
-                 F.col(order_col)).alias("e"))
-    return latest.select("table_name", "column_name", "e.*").drop(order_col)
+def dedupe_catalog(catalog: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One entry per (table, column): the last by ``order_col``, as a JSON object
+    keeps the last of a repeated key; without an order the greatest entry."""
+    rest = [c for c in catalog.columns if c not in ("table_name", "column_name", order_col)]
+    entry = F.struct(*rest)
+    one = F.max_by(entry, F.col(order_col)) if order_col else F.max(entry)
+    return catalog.groupBy("table_name", "column_name").agg(one.alias("e")).select("table_name", "column_name", "e.*")
 
 
 # ---------------------------------------------------------------- M6, M7
 
-def parse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+# the type of a mapping whose fields are all as they shall be
+_PLAIN = ("^OBJECT<(categories: ARRAY<STRING>, )?(data_type: STRING, )?(is_categorical: BOOLEAN, )?"
+          "source_column: STRING, source_table: STRING, target_column: STRING, target_table: STRING, "
+          "transformation_logic: STRING>$")
+
+NO_LIST = "malformed document or no mappings list"
+NO_FIELD = "mapping without a required field"
+BAD_TYPE = "field of a wrong type"
+
+
+def _bad_type(m: Column) -> Column:
+    """A mapping (variant) with a field of a wrong type; a null is no string, flag or list."""
+    got = lambda c: F.coalesce(kind(member(m, c)), F.lit("none"))
+    odd = [~got(c).isin("none", "STRING") for c in REQUIRED + ("data_type",)]
+    odd += [~got("is_categorical").isin("none", "BOOLEAN"), ~is_string_list(member(m, "categories"))]
+    full = F.greatest(~kind(m).startswith("OBJECT<"), *odd)
+    # most mappings are plain, which one look tells (a list of strings may still hold a null)
+    return F.when(kind(m).rlike(_PLAIN), ~is_string_list(member(m, "categories"))).otherwise(full)
+
+
+def parse_documents(docs: DataFrame, text_col: str = "text", mode: str = "PERMISSIVE") -> DataFrame:
     """Parse mapping documents; adds ``doc`` (struct) and ``error`` (string).
 
-    A document is valid when it parses and every mapping has the five required
-    strings; the three optional fields get their defaults later.
+    A document is valid when it is one JSON value with a list ``mappings`` of
+    objects that have the five required strings, and where ``data_type`` is a
+    string, ``is_categorical`` a flag and ``categories`` a list of strings if they
+    are there (their defaults come later). Unknown fields don't matter. With mode
+    FAILFAST the first document that is not valid fails the job.
     """
-    doc = F.from_json(F.col(text_col), DOCUMENT_SCHEMA, {"mode": "PERMISSIVE"})
-    missing = F.exists(F.col("doc.mappings"),
-                       lambda m: F.greatest(*[m[c].isNull() for c in REQUIRED]))
-    error = (F.when(F.col("doc").isNull() | F.col("doc.mappings").isNull(),
-                    F.lit("malformed document or no mappings list"))
-             .when(missing, F.lit("mapping without a required field")))
-    return docs.withColumn("doc", doc).withColumn("error", error)
+    parsed = with_strict_variant(docs, F.col(text_col), "__v")
+    items = F.try_variant_get(F.col("__v"), "$.mappings", "array<variant>")
+    lacks = lambda m: F.greatest(*[kind(member(m, c)).isNull() for c in REQUIRED])
+    error = (F.when(F.coalesce(kind(member(F.col("__v"), "mappings")), F.lit("none")).startswith("ARRAY<"),
+                    F.when(F.exists(items, lambda m: F.when(kind(m).startswith("OBJECT<"), lacks(m)).otherwise(False)), F.lit(NO_FIELD))
+                    .when(F.exists(items, _bad_type), F.lit(BAD_TYPE)))
+             .otherwise(F.lit(NO_LIST)))
+    if mode == "FAILFAST":
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(error, F.lit(": "), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 200))).cast("string"))
+    return (parsed.withColumn("error", error)
+                  .withColumn("doc", F.when(F.col("error").isNull(),
+                                            F.try_variant_get(F.col("__v"), "$", DOCUMENT_SCHEMA.simpleString())))
+                  .drop("__v"))
 
 
 def valid_mappings(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -150,12 +189,12 @@ def csv_projection(m: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return m.select(*extra, *[text(c).alias(c) for c in MAPPING_FIELDS])
 
 
-def from_csv_projection(m: DataFrame) -> DataFrame:
+def from_csv_projection(m: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Inverse of M8 after a CSV read (S12): empty cells, which the reader
     returns as NULL, become the defaults (T24)."""
     return m.select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in REQUIRED + ("data_type",)],
-        (F.lower(F.col("is_categorical")) == "true").alias("is_categorical"),
+        *extra, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in REQUIRED + ("data_type",)],
+        F.coalesce(F.lower(F.col("is_categorical")) == "true", F.lit(False)).alias("is_categorical"),
         F.when(F.coalesce(F.col("categories"), F.lit("")) == "", _empty())
         .otherwise(F.split(F.col("categories"), ", ")).alias("categories"))
 

@@ -1,68 +1,226 @@
 """Dataset references of a corpus of pipeline scripts (R1) with database
-variables resolved (M12): what each ``spark.sql`` block reads and what each
-script writes (temp views and saved tables). Table level only; it stands in
-for the model's lineage extraction where a deterministic answer is wanted.
+variables resolved (M12): what each SQL block reads and what each script writes
+(views and tables). Table level only; it stands in for the model's lineage
+extraction where a deterministic answer is wanted.
 
-Only text inside ``spark.sql(...)`` blocks is searched for FROM/JOIN, so a
-Python ``from x import y`` line is never taken for a table.
+A script is one row and is read once, in order, by a small tokeniser: comments
+and string literals are told apart from code, a variable has the value of its
+last assignment before its use, and FROM counts only where SQL names a table
+after it. Built-in functions have no way to carry such state over the matches of
+a text, hence the Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASSIGN = r"""(?m)^[ \t]*([A-Za-z_]\w*)[ \t]*=[ \t]*["']([^"'\n]*)["'][ \t]*$"""
-BLOCK = r"""(?s)([A-Za-z_]\w*)\s*=\s*spark\.sql\(\s*f?("{3}|'{3}|"|')(.*?)\2\s*\)"""
-TABLE_REF = r"(?i)\b(?:from|join)\s+(\{\w+\}\.\w+|\w+\.\w+|\w+)"
-TEMP_VIEW = r"""([A-Za-z_]\w*)\.createOrReplaceTempView\(\s*["'](\w+)["']\s*\)"""
-SAVE_TABLE = r"""([A-Za-z_]\w*)\.write(?:\s*\.\s*\w+\([^)]*\))*\s*\.\s*saveAsTable\(\s*f?["']([^"']+)["']\s*\)"""
-VAR_REF = r"^\{(\w+)\}\.(\w+)$"
-# SQL functions whose argument syntax contains FROM (not a table reference)
-FROM_FUNCTIONS = r"(?i)\b(?:EXTRACT|TRIM|SUBSTRING|POSITION|OVERLAY)\s*\([^()]*\)"
+# ---------------------------------------------------------------- SQL text
+
+_SQL = re.compile(r"""
+    (?P<skip>--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|'')*'?|"(?:[^"\\]|\\.)*"?|\s+)
+  | (?P<name>(?:`[^`]*`|\{\w+\}|[A-Za-z_]\w*)(?:\s*\.\s*(?:`[^`]*`|\{\w+\}|\w+))*)
+  | (?P<mark>[^\s])""", re.S | re.X)
+# functions whose arguments may hold a FROM that names no table
+_FROM_FUNCTIONS = {"EXTRACT", "TRIM", "SUBSTRING", "SUBSTR", "POSITION", "OVERLAY"}
+# words that end a list of tables
+_END_OF_FROM = {"WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "MINUS", "SELECT", "WINDOW",
+                "QUALIFY", "SET", "CLUSTER", "DISTRIBUTE", "SORT", "WHEN"}
+# words that stand where a table could, and name none
+_NO_TABLE = _END_OF_FROM | {"VALUES", "LATERAL", "JOIN", "ON", "USING", "TABLE", "ONLY"}
+
+
+def _resolved(name: str, env: dict[str, str]) -> str:
+    """A dotted name with variables replaced and quotes dropped."""
+    parts = re.findall(r"`[^`]*`|\{\w+\}|\w+", name)
+    return ".".join(env.get(p[1:-1], p) if p[0] == "{" else p.strip("`") for p in parts)
+
+
+def sql_references(sql: str, env: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(role, dataset) of a SQL text, in order. Names of its WITH queries are no datasets."""
+    env = env or {}
+    tokens = [(m.lastgroup, m[0]) for m in _SQL.finditer(sql) if m.lastgroup != "skip"]
+    word = [t.upper() if kind == "name" else t for kind, t in tokens] + [""] * 8
+    found: list[tuple[str, str]] = []
+    ctes: set[str] = set()
+    opened: list[str] = []             # word before each open bracket
+    lists = [False]                    # by depth: are we in a list of tables
+    i = 0
+
+    def table(i: int, role: str) -> None:
+        """Note the table reference at token i, if there is one."""
+        if i < len(tokens) and tokens[i][0] == "name" and word[i] not in _NO_TABLE and word[i + 1] != "(":
+            found.append((role, _resolved(tokens[i][1], env)))
+
+    def past(i: int, *words: str) -> int:
+        while word[i] in words:
+            i += 1
+        return i
+
+    while i < len(tokens):
+        w = word[i]
+        if w == "(":
+            opened.append(word[i - 1] if i else "")
+            lists.append(False)
+        elif w == ")":
+            if opened:
+                opened.pop()
+                lists.pop()
+        elif w == "," and lists[-1]:
+            table(i + 1, "read")
+        elif w in _END_OF_FROM or w == "LATERAL" and word[i + 1] == "VIEW":
+            lists[-1] = False
+        elif w in ("WITH", ",") and i + 1 < len(tokens) and tokens[i + 1][0] == "name":
+            at = past(i + 1, "RECURSIVE")
+            if word[at + 1] == "AS" and word[at + 2] == "(" or word[at + 1] == "(" and w == "WITH":
+                ctes.add(_resolved(tokens[at][1], env).lower())
+        elif w in ("FROM", "JOIN"):
+            distinct = w == "FROM" and word[i - 1] == "DISTINCT" and i > 1 and word[i - 2] in ("IS", "NOT")
+            if not distinct and not (w == "FROM" and opened and opened[-1] in _FROM_FUNCTIONS):
+                table(i + 1, "write" if w == "FROM" and i and word[i - 1] == "DELETE" else "read")
+                lists[-1] = True
+        elif w == "INSERT" and word[i + 1] in ("INTO", "OVERWRITE"):
+            table(past(i + 1, "INTO", "OVERWRITE", "TABLE"), "write")
+        elif w == "CREATE":
+            j = past(i + 1, "OR", "REPLACE", "GLOBAL", "TEMP", "TEMPORARY", "EXTERNAL")
+            if word[j] in ("VIEW", "TABLE"):
+                table(past(j + 1, "IF", "NOT", "EXISTS"), "write")
+        elif w == "MERGE" and word[i + 1] == "INTO":
+            table(i + 2, "write")
+        elif w == "UPDATE" and i + 2 < len(tokens) and "SET" in word[i + 2:i + 5]:
+            table(i + 1, "write")
+        elif w == "USING" and word[i + 1] != "(" and "MERGE" in word[:i]:
+            table(i + 1, "read")
+        i += 1
+    return [(role, name) for role, name in found if name.lower() not in ctes]
+
+
+# ---------------------------------------------------------------- Python text
+
+_PYTHON = re.compile(r"""
+    (?P<comment>\#[^\n]*)
+  | (?P<string>[A-Za-z]{0,2}(?:\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?))
+  | (?P<name>[A-Za-z_]\w*)
+  | (?P<line>\n)
+  | (?P<space>[^\S\n]+|\\\n)
+  | (?P<mark>.)""", re.S | re.X)
+_WRITERS = ("createOrReplaceTempView", "createTempView", "createOrReplaceGlobalTempView", "createGlobalTempView",
+            "saveAsTable", "insertInto")
 
 
+def _text(token: str) -> str:
+    """The characters of a string literal."""
+    body = token.lstrip("rRbBuUfF")
+    quote = body[:3] if body[:3] in ('"""', "'''") else body[:1]
+    return body[len(quote):-len(quote)] if body.endswith(quote) and len(body) >= 2 * len(quote) else body[len(quote):]
+
+
+def _statements(script: str) -> Iterator[list[tuple[str, str]]]:
+    """Lists of (kind, text) of the code tokens of each statement."""
+    depth, now = 0, []
+    for m in _PYTHON.finditer(script):
+        kind, t = m.lastgroup, m[0]
+        if kind in ("comment", "space"):
+            continue
+        if kind == "mark" and t in "([{":
+            depth += 1
+        elif kind == "mark" and t in ")]}":
+            depth = max(0, depth - 1)
+        if depth == 0 and (kind == "line" or t == ";"):
+            if now:
+                yield now
+            now = []
+        elif kind != "line":
+            now.append((kind, t))
+    if now:
+        yield now
+
+
+def python_references(script: str) -> list[tuple[str, int | None, str]]:
+    """(role, block number, dataset) of a PySpark script. Each ``spark.sql`` or
+    ``spark.table`` call is a block, numbered from 1; a write belongs to the block
+    that its data frame was last assigned from."""
+    env: dict[str, str] = {}
+    block_of: dict[str, int] = {}
+    found: list[tuple[str, int | None, str]] = []
+    blocks = 0
+    for s in _statements(script):
+        text = [t for _, t in s] + [""] * 6
+        assigned = text[0] if s[0][0] == "name" and text[1] == "=" and text[2] != "=" else None
+        if assigned and len(s) == 3 and s[2][0] == "string":
+            env[assigned] = _text(s[2][1])
+            continue
+        source = next((t for kind, t in s[2 if assigned else 0:] if kind == "name"), None)
+        block = block_of.get(source) if source else None
+        for i, (kind, t) in enumerate(s):
+            is_call = text[i + 1] == "(" and i + 2 < len(s) and s[i + 2][0] == "string"
+            if not (kind == "name" and is_call and i and text[i - 1] == "."):
+                continue
+            value = _text(s[i + 2][1])
+            if t in ("sql", "table") and i > 1 and text[i - 2] == "spark":
+                blocks += 1
+                block = blocks
+                refs = sql_references(value, env) if t == "sql" else [("read", _resolved(value, env))]
+                found += [(role, block, name) for role, name in refs]
+            elif t in _WRITERS:
+                found.append(("write", block, _resolved(value, env)))
+        if assigned:
+            env.pop(assigned, None)
+            if block is None:
+                block_of.pop(assigned, None)
+            else:
+                block_of[assigned] = block
+    return found
+
+
+def references(text: str | None, kind: str = "py") -> list[tuple[str, int | None, str]]:
+    """References of a script of kind py, sql or txt. The statements of a SQL
+    file are its blocks; a txt file is a Python one if it mentions ``spark.``."""
+    if not text:
+        return []
+    if kind == "py" or kind == "txt" and "spark." in text:
+        return python_references(text)
+    bare = re.split(r";(?=(?:[^']*'[^']*')*[^']*$)", text) if len(text) < 1 << 16 else text.split(";")
+    return [(role, n, name) for n, part in enumerate((b for b in bare if b.strip()), 1)
+            for role, name in sql_references(part)]
+
+
+# ---------------------------------------------------------------- Spark
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole scripts (.py, .sql, .txt) under ``path`` as (script_id, text)."""
+    """Whole scripts (.py, .sql, .txt) under ``path`` as (script_id, text, kind)."""
     # text()'s own wholetext=False default would override an option()
     df = spark.read.text(path, wholetext=True, pathGlobFilter="*.{py,sql,txt}", recursiveFileLookup=True)
-    return df.select(F.col("_metadata.file_path").alias("script_id"), F.col("value").alias("text"))
+    name = F.col("_metadata.file_path")
+    return df.select(name.alias("script_id"), F.col("value").alias("text"),
+                     F.substring_index(name, ".", -1).alias("kind"))
+
+
+_REFS = pa.list_(pa.struct([("role", pa.string()), ("block_no", pa.int32()), ("dataset", pa.string())]))
 
 
-def _pairs(df: DataFrame, key: str, pattern: str, a: int, b: int, na: str, nb: str) -> DataFrame:
-    """One scan of each whole text for the matches; the groups are then
-    taken from the short matches only."""
-    z = df.select(key, F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(pattern), 0))
-                  .alias("pos", "match"))
-    return z.select(key, "pos", F.regexp_extract("match", pattern, a).alias(na),
-                    F.regexp_extract("match", pattern, b).alias(nb))
+def with_references(scripts: DataFrame, name: str = "refs") -> DataFrame:
+    """``scripts`` with an array of (role, block_no, dataset); the kind of a
+    script is taken from a column ``kind``, py without one."""
+    columns = scripts.columns
+    at, kind_at = columns.index("text"), columns.index("kind") if "kind" in columns else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(kind_at).to_pylist() if kind_at is not None else ["py"] * batch.num_rows
+            refs = [[{"role": r, "block_no": b, "dataset": d} for r, b, d in references(t.as_py(), k or "py")]
+                    for t, k in zip(batch.column(at), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(refs, _REFS)], names=[*columns, name])
 
-def _resolve(refs: DataFrame, assigns: DataFrame, key: str) -> DataFrame:
-    var = F.regexp_extract("raw", VAR_REF, 1)
-    r = refs.withColumn("__var", F.when(var != "", var))
-    a = assigns.select(F.col(key).alias("__s"), F.col("name").alias("__n"), F.col("value").alias("__v"))
-    j = r.join(a, (F.col(key) == F.col("__s")) & (F.col("__var") == F.col("__n")), "left")
-    resolved = F.when(F.col("__v").isNotNull(),
-                      F.concat(F.col("__v"), F.lit("."), F.regexp_extract("raw", VAR_REF, 2)))
-    return j.withColumn("dataset", F.coalesce(resolved, F.col("raw"))).drop("__var", "__s", "__n", "__v")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scripts.schema.fields)
+    return scripts.mapInArrow(run, f"{schema}, {name} array<struct<role:string,block_no:int,dataset:string>>")
 
 
 def script_references(scripts: DataFrame, key: str = "script_id") -> DataFrame:
-    """(script_id, role, block_no, dataset) with role ``read`` or ``write``.
-
-    A variable assigned twice keeps its last value.
-    """
-    assigns = _pairs(scripts, key, ASSIGN, 1, 2, "name", "value")
-    assigns = (assigns.groupBy(key, "name").agg(F.max_by("value", "pos").alias("value")))
-    blocks = _pairs(scripts, key, BLOCK, 1, 3, "var", "sql").withColumn("block_no", F.col("pos") + 1)
-    sql = F.regexp_replace("sql", FROM_FUNCTIONS, " ")
-    reads = blocks.select(key, "block_no",
-                          F.explode(F.regexp_extract_all(sql, F.lit(TABLE_REF), 1)).alias("raw"))
-    reads = _resolve(reads, assigns, key).select(key, F.lit("read").alias("role"), "block_no", "dataset")
-    views = _pairs(scripts, key, TEMP_VIEW, 1, 2, "var", "raw")
-    saves = _pairs(scripts, key, SAVE_TABLE, 1, 2, "var", "raw")
-    last_block = blocks.groupBy(key, "var").agg(F.max("block_no").alias("block_no"))
-    writes = _resolve(views.unionByName(saves), assigns, key).join(last_block, [key, "var"], "left")
-    writes = writes.select(key, F.lit("write").alias("role"), "block_no", "dataset")
-    return reads.unionByName(writes)
+    """(script_id, role, block_no, dataset) with role ``read`` or ``write``."""
+    keep = [key, "text"] + (["kind"] if "kind" in scripts.columns else [])
+    return with_references(scripts.select(*keep)).select(key, F.explode("refs").alias("r")).select(key, "r.*")

@@ -5,7 +5,7 @@ JSON that Spark writes, so the Spark side's parsing is checked too."""
 
 from __future__ import annotations
 
-from tessera.functions.text import ALIAS_PATTERN, NUMBERING_PATTERN, WS_CHARS
+from tessera.functions.text import NUMBERING_PATTERN, WORD, WS_CHARS
 from tessera.oracle.bank_sql import bank_ctes
 from tessera.params import DEFAULT as P
 
@@ -26,7 +26,7 @@ def vc(x: str) -> str:
 
 TXN_ID = (f"{vc('l_orderkey')} || '-' || {vc('l_linenumber')} || '-' || {vc('l_partkey')} || '-' "
           f"|| {vc('l_suppkey')}")
-ALIAS = q(ALIAS_PATTERN)
+ALIAS = q(f"{WORD}+\\.({WORD}+)")        # RE2 reads it in linear time as it is
 NUMBERING = q(NUMBERING_PATTERN)
 EMPTY = "CAST([] AS VARCHAR[])"
 
@@ -39,7 +39,8 @@ CATALOG_COLS = f"""
   CASE WHEN p_size > 10 AND p_size <= 20 THEN string_split(p_name, ' ') ELSE {EMPTY} END AS categories"""
 
 CATALOG_FLAT = f"SELECT {CATALOG_COLS} FROM part"
-CAT_HOLES = f"cat AS (SELECT {CATALOG_COLS} FROM part WHERE p_size > 5)"
+CAT_HOLES = (f"cat AS (SELECT CASE WHEN p_size > 5 THEN table_name ELSE 'gone.' || table_name END AS table_name, "
+             f"column_name, data_type, is_categorical, categories FROM (SELECT p_size, {CATALOG_COLS} FROM part))")
 
 MAPPING_ROWS = f"""m AS (
   SELECT {TXN_ID} AS mapping_id,
@@ -75,11 +76,15 @@ SELECT 'document' AS kind, doc_id AS id, regexp_replace(text, {ALIAS}, '\\1', 'g
 _DOC_STATE = """d AS (
   SELECT o_orderkey AS doc_id, o_custkey, o_orderstatus,
          'final_db.order_summary_' || lower(o_orderstatus) AS tgt,
-         CASE WHEN (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')
-                OR (o_orderpriority = '2-HIGH' AND o_orderstatus = 'O')
-              THEN 'malformed document or no mappings list'
-              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
-              THEN 'mapping without a required field' END AS error
+         CASE o_orderpriority || '/' || o_orderstatus
+              WHEN '5-LOW/P' THEN 'malformed document or no mappings list'
+              WHEN '5-LOW/F' THEN 'malformed document or no mappings list'
+              WHEN '3-MEDIUM/P' THEN 'malformed document or no mappings list'
+              WHEN '3-MEDIUM/F' THEN 'malformed document or no mappings list'
+              WHEN '2-HIGH/O' THEN 'malformed document or no mappings list'
+              WHEN '1-URGENT/F' THEN 'mapping without a required field'
+              WHEN '2-HIGH/P' THEN 'field of a wrong type'
+              WHEN '2-HIGH/F' THEN 'field of a wrong type' END AS error
   FROM orders)"""
 
 _VALID_ROWS = f"""WITH {_DOC_STATE},
@@ -183,17 +188,53 @@ r(dataset, base) AS (
   SELECT e.output, r.base FROM r JOIN e ON r.dataset = e.source)
 SELECT dataset, base FROM r"""
 
-SCRIPT_REFS = f"""
-SELECT doc_id, 'read' AS role, 1 AS block_no, 'staging_' || lang || '.events_' || source AS dataset FROM documents
-UNION ALL SELECT doc_id, 'read', 1, 'core_db.dim_' || lang FROM documents
-UNION ALL SELECT doc_id, 'read', 2, 'layer_' || {vc('doc_id')} FROM documents
-UNION ALL SELECT doc_id, 'read', 2, 'core_db.keys' FROM documents
-UNION ALL SELECT doc_id, 'write', 1, 'layer_' || {vc('doc_id')} FROM documents
-UNION ALL SELECT doc_id, 'write', 2, 'final_db.report_' || source FROM documents"""
+def _script_rows(which: int, rows: list[tuple[str, int, str]]) -> list[str]:
+    return [f"SELECT doc_id, '{role}' AS role, {block} AS block_no, {name} AS dataset FROM documents WHERE doc_id % 4 = {which}"
+            for role, block, name in rows]
+
+
+_STAGING = "'staging_' || lang || '.events_' || source"
+_LAYER = f"'layer_' || {vc('doc_id')}"
+_REPORT = "'final_db.report_' || source"
+SCRIPT_REFS = "\nUNION ALL ".join(
+    _script_rows(0, [("read", 1, _STAGING), ("read", 1, "'core_db.dim_' || lang"), ("write", 1, _LAYER),
+                     ("read", 2, _LAYER), ("read", 2, "'core_db.keys'"), ("write", 2, _REPORT)])
+    + _script_rows(1, [("write", 1, _LAYER), ("read", 1, _STAGING), ("read", 2, _LAYER),
+                       ("write", 2, "'core_db.copy_' || source"), ("write", 3, _REPORT),
+                       ("read", 3, "'core_db.copy_' || source"), ("read", 3, "'core_db.keys'")])
+    + _script_rows(2, [("read", 1, _STAGING), ("read", 1, "'lake.core_db.dim_' || lang"), ("write", 1, _REPORT)])
+    + _script_rows(3, [("read", 1, _STAGING), ("write", 1, _LAYER), ("read", 2, "'core_db.keys'"), ("read", 2, _LAYER),
+                       ("write", 2, "'core_db.out_' || source")]))
 
 LINEAGE_MISSING = """
-SELECT doc_id, 'core_db.keys' AS dataset FROM documents
-UNION ALL SELECT doc_id, 'core_db.dim_' || lang FROM documents WHERE lang <> 'en'"""
+SELECT doc_id, 'core_db.keys' AS dataset FROM documents WHERE doc_id % 4 <> 2
+UNION ALL SELECT doc_id, 'core_db.dim_' || lang FROM documents WHERE doc_id % 4 = 0 AND lang <> 'en'
+UNION ALL SELECT doc_id, 'core_db.copy_' || source FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, 'lake.core_db.dim_' || lang FROM documents WHERE doc_id % 4 = 2
+UNION ALL SELECT doc_id, 'core_db.out_' || source FROM documents WHERE doc_id % 4 = 3"""
+
+_ANSWER_STATE = """a AS (
+  SELECT o_orderkey AS doc_id, CASE o_orderpriority || '/' || o_orderstatus
+      WHEN '5-LOW/P' THEN 'malformed document or no steps list' WHEN '5-LOW/O' THEN 'malformed document or no steps list'
+      WHEN '5-LOW/F' THEN 'malformed document or no steps list' WHEN '2-HIGH/P' THEN 'field of a wrong type'
+      WHEN '2-HIGH/F' THEN 'field of a wrong type' WHEN '2-HIGH/O' THEN 'step without output or source without name'
+      END AS error
+  FROM orders)"""
+LINEAGE_QUARANTINE = f"WITH {_ANSWER_STATE}\nSELECT doc_id, error FROM a WHERE error IS NOT NULL"
+LINEAGE_JSON = f"""WITH {_ANSWER_STATE}
+SELECT doc_id, '{{"steps":[{{"name":"s","output":"final_db.order_' || {vc('doc_id')}
+    || '","columns":["a","b"],"sources":[{{"name":"stg.orders","columns":["a"]}}]}}]}}' AS text
+FROM a WHERE error IS NULL"""
+
+_FIELDS = ("source_table", "source_column", "target_table", "target_column", "transformation_logic", "data_type")
+MAPPING_JSON = _VALID_ROWS + f"""
+SELECT doc_id, '{{"mappings":[' || string_agg('{{' || {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:{chr(34)}' || {c} || '{chr(34)}'" for c in _FIELDS)}
+    || ',"is_categorical":' || CASE WHEN is_categorical THEN 'true' ELSE 'false' END || ',"categories":['
+    || array_to_string(list_transform(categories, lambda v: '"' || v || '"'), ',') || ']}}', ',' ORDER BY pos) || ']}}' AS text
+FROM v GROUP BY doc_id"""
+CSV_ROUND_TRIP = _VALID_ROWS + """
+SELECT * REPLACE (transformation_logic || chr(10) || '  -- "as is", ' || target_column AS transformation_logic) FROM v"""
+MAPPING_COUNT = f"WITH {MAPPING_ROWS}\nSELECT target_table, count(*) AS mappings FROM m GROUP BY target_table"
 
 RULE_FLATTEN = f"""WITH a AS (
   SELECT 'docs.' || lang AS source_table, source AS source_column, 'dq.' || lang AS target_table,
@@ -213,6 +254,14 @@ SELECT source_table, source_column, target_table, target_column,
        CAST(generate_subscripts(rules, 1) AS INTEGER) AS rule_no, unnest(rules) AS rule
 FROM r"""
 
+def _csv_cell(c: str) -> str:
+    return f"""CASE WHEN {c} LIKE '%,%' OR {c} LIKE '%"%' OR contains({c}, chr(10)) OR contains({c}, chr(13))
+      THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
+
+
+RULES_CSV = f"""SELECT target_column, rule_no, {" || ',' || ".join(_csv_cell(c) for c in ("source_table", "source_column", "target_table", "target_column", "rule"))} AS line
+FROM ({RULE_FLATTEN}) f"""
+
 _NUMERIC = "(dtype IN ('tinyint', 'int', 'bigint', 'double') OR starts_with(dtype, 'decimal('))"
 _KEYS = "source_table, source_column, target_table, target_column"
 DQ_RULES = f"""WITH {CAT_HOLES},
@@ -238,21 +287,22 @@ x AS (
          (starts_with(upper(ltrim(tl)), 'COUNT') OR starts_with(upper(ltrim(tl)), 'SUM')
           OR starts_with(upper(ltrim(tl)), 'AVG')) AS agg
   FROM m LEFT JOIN cat t ON m.target_table = t.table_name AND m.target_column = t.column_name)
-SELECT {_KEYS}, 'completeness' AS kind, target_column || ' IS NOT NULL' AS rule FROM x
+SELECT {_KEYS}, 'completeness' AS kind, target_column || ' IS NOT NULL' AS rule, CAST(NULL AS VARCHAR) AS argument FROM x
 UNION ALL SELECT {_KEYS}, 'domain', target_column || ' IN ('
-    || array_to_string(list_transform(dom, lambda v: '''' || v || ''''), ', ') || ')' FROM x
+    || array_to_string(list_transform(dom, lambda v: chr(39) || replace(v, chr(39), chr(39) || chr(39)) || chr(39)), ', ') || ')',
+    '[' || array_to_string(list_transform(dom, lambda v: '"' || v || '"'), ',') || ']' FROM x
     WHERE is_cat AND len(dom) > 0
-UNION ALL SELECT {_KEYS}, 'not_future', target_column || ' <= DATE ''{P.as_of.isoformat()}''' FROM x
+UNION ALL SELECT {_KEYS}, 'not_future', target_column || ' <= DATE ''{P.as_of.isoformat()}''', '{P.as_of.isoformat()}' FROM x
     WHERE dtype = 'date'
-UNION ALL SELECT {_KEYS}, 'non_negative', target_column || ' >= 0' FROM x WHERE {_NUMERIC} AND agg
-UNION ALL SELECT {_KEYS}, 'type', 'try_cast(' || target_column || ' AS ' || dtype || ') IS NOT NULL' FROM x
+UNION ALL SELECT {_KEYS}, 'non_negative', target_column || ' >= 0', NULL FROM x WHERE {_NUMERIC} AND agg
+UNION ALL SELECT {_KEYS}, 'type', 'try_cast(' || target_column || ' AS ' || dtype || ') IS NOT NULL', dtype FROM x
     WHERE {_NUMERIC} AND NOT agg
-UNION ALL SELECT {_KEYS}, 'not_blank', 'length(trim(' || target_column || ')) > 0' FROM x
+UNION ALL SELECT {_KEYS}, 'not_blank', 'length(trim(' || target_column || ')) > 0', NULL FROM x
     WHERE dtype = 'string' AND NOT is_cat
-UNION ALL SELECT {_KEYS}, 'catalog', source_table || '.' || source_column || ' is listed in the catalog' FROM x
-    WHERE dtype IS NULL
-UNION ALL SELECT {_KEYS}, 'reference', target_column || ' exists in ' || source_table || '.' || source_column
-    FROM x WHERE ends_with(target_column, '_id') AND tl = 'Direct mapping'"""
+UNION ALL SELECT {_KEYS}, 'catalog', source_table || '.' || source_column || ' is listed in the catalog',
+    source_table || '.' || source_column FROM x WHERE dtype IS NULL
+UNION ALL SELECT {_KEYS}, 'reference', target_column || ' exists in ' || source_table || '.' || source_column,
+    source_table || '.' || source_column FROM x WHERE ends_with(target_column, '_id') AND tl = 'Direct mapping'"""
 
 
 def _row_rule(name: str, ok: str) -> str:
@@ -261,13 +311,14 @@ def _row_rule(name: str, ok: str) -> str:
 
 
 DQ_ROW_CHECKS = f"WITH {bank_ctes(P)}\n" + "\nUNION ALL ".join([
-    _row_rule("txn_id_complete", "txn_id IS NOT NULL"),
-    _row_rule("amount_complete", "amount IS NOT NULL"),
-    _row_rule("txn_date_complete", "txn_date IS NOT NULL"),
+    *[_row_rule(f"{c}_completeness", f"{c} IS NOT NULL")
+      for c in ("account_id", "merchant_id", "txn_id", "amount", "txn_type", "txn_date")],
     _row_rule("txn_type_domain", "txn_type IN ('DEBIT', 'CREDIT')"),
     _row_rule("txn_date_not_future", f"txn_date <= DATE '{P.as_of.isoformat()}'"),
     _row_rule("amount_non_negative", "amount >= 0"),
-    _row_rule("txn_id_is_bigint", "TRY_CAST(txn_id AS BIGINT) IS NOT NULL"),
+    _row_rule("account_id_type", "TRY_CAST(account_id AS BIGINT) IS NOT NULL"),
+    _row_rule("merchant_id_type", "TRY_CAST(merchant_id AS BIGINT) IS NOT NULL"),
+    _row_rule("txn_id_type", "TRY_CAST(txn_id AS BIGINT) IS NOT NULL"),
 ])
 
 
@@ -281,6 +332,6 @@ DQ_REFERENTIAL = (f"WITH {bank_ctes(P)},\n"
                   "pk_merch AS (SELECT merchant_id AS k FROM b_merchant_dim),\n"
                   "pk_live AS (SELECT account_id AS k FROM b_account)\n"
                   + "\nUNION ALL ".join([
-                      _ref_rule("account_id_in_accounts", "account_id", "pk_orders"),
-                      _ref_rule("merchant_id_in_merchant_dim", "merchant_id", "pk_merch"),
-                      _ref_rule("account_id_in_live_accounts", "account_id", "pk_live")]))
+                      _ref_rule("account_id_reference_core_db.all_accounts.account_id", "account_id", "pk_orders"),
+                      _ref_rule("merchant_id_reference_core_db.merchant_dim.merchant_id", "merchant_id", "pk_merch"),
+                      _ref_rule("account_id_reference_staging_db.account.account_id", "account_id", "pk_live")]))

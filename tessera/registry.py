@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ALIAS_PATTERN, NUMBERING_PATTERN, WS_CHARS, remove_aliases, strip_code_fence
+from tessera.functions.text import remove_aliases, strip_code_fence
 from tessera.operators import layers as L
 from tessera.operators import lineage as LN
 from tessera.operators import mapping as M
@@ -20,6 +20,7 @@ from tessera.oracle import bank_sql as B
 from tessera.oracle import derived_sql as DS
 from tessera.params import DEFAULT
 from tessera.sources import derived as D
+from tessera.sources import sinks
 from tessera.sources.bank import BankViews
 from tessera.sources.tables import Tables
 
@@ -227,8 +228,10 @@ def q_catalog_flat(spark, sf_dir):
 
 
 def _catalog_with_holes(t: Tables) -> DataFrame:
-    e = D.catalog_entries(t.part).where(F.col("p_size") > 5)
-    return e.select("table_name", "column_name", "data_type", "is_categorical", "categories")
+    """The catalog, with the entries of small parts under a table that nobody asks for."""
+    e = D.catalog_entries(t.part)
+    table = F.when(F.col("p_size") > 5, F.col("table_name")).otherwise(F.concat(F.lit("gone."), "table_name"))
+    return e.select(table.alias("table_name"), "column_name", "data_type", "is_categorical", "categories")
 
 
 @register("q_enrich_mapping", DS.ENRICH_MAPPING)
@@ -317,20 +320,24 @@ def q_lineage_closure(spark, sf_dir):
     return LN.closure_to_base(D.lineage_tree_edges(_t(spark, sf_dir).part))
 
 
-def _script_refs(spark, sf_dir) -> DataFrame:
-    scripts = D.scripts_from_documents(_t(spark, sf_dir).documents)
-    return R.script_references(scripts, key="doc_id")
+@register("q_lineage_quarantine", DS.LINEAGE_QUARANTINE)
+def q_lineage_quarantine(spark, sf_dir):
+    return LN.quarantine(LN.parse_lineage(D.lineage_answers(_t(spark, sf_dir).orders))).select("doc_id", "error")
+
+
+@register("q_lineage_json_docs", DS.LINEAGE_JSON)
+def q_lineage_json_docs(spark, sf_dir):
+    return sinks.lineage_json(LN.parse_lineage(D.lineage_answers(_t(spark, sf_dir).orders)))
 
 
 @register("q_script_refs", DS.SCRIPT_REFS)
 def q_script_refs(spark, sf_dir):
-    return _script_refs(spark, sf_dir)
+    return R.script_references(D.scripts_from_documents(_t(spark, sf_dir).documents), key="doc_id")
 
 
 @register("q_lineage_missing", DS.LINEAGE_MISSING)
 def q_lineage_missing(spark, sf_dir):
-    nodes = LN.lineage_nodes(LN.parse_lineage(D.script_lineage_documents(_t(spark, sf_dir).documents)))
-    return LN.missing_from_lineage(_script_refs(spark, sf_dir), nodes)
+    return LN.missing_in_row(R.with_references(D.scripts_with_lineage(_t(spark, sf_dir).documents)))
 
 
 # ====================================================================== DQ
@@ -348,34 +355,85 @@ def q_dq_rules(spark, sf_dir):
     return Q.derive_rules(enriched, cat, P.as_of)
 
 
-def transaction_rules() -> list[Q.RowRule]:
-    """Row rules of the transaction table as D8 derives them from its catalog
-    entries (completeness, domain, date, type)."""
-    c = F.col
-    return [
-        Q.RowRule("txn_id_complete", c("txn_id").isNotNull()),
-        Q.RowRule("amount_complete", c("amount").isNotNull()),
-        Q.RowRule("txn_date_complete", c("txn_date").isNotNull()),
-        Q.RowRule("txn_type_domain", c("txn_type").isin("DEBIT", "CREDIT")),
-        Q.RowRule("txn_date_not_future", c("txn_date") <= F.lit(P.as_of)),
-        Q.RowRule("amount_non_negative", c("amount") >= 0),
-        Q.RowRule("txn_id_is_bigint", F.expr("try_cast(txn_id AS bigint)").isNotNull()),
-    ]
+# catalog entries and mapping rows of the transaction table, as configuration
+TRANSACTION = "bank.transaction"
+TRANSACTION_CATALOG = [
+    (TRANSACTION, "account_id", "bigint", False, []), (TRANSACTION, "merchant_id", "bigint", False, []),
+    (TRANSACTION, "txn_id", "bigint", False, []), (TRANSACTION, "amount", "decimal(18,2)", False, []),
+    (TRANSACTION, "txn_type", "string", True, ["DEBIT", "CREDIT"]), (TRANSACTION, "txn_date", "date", False, [])]
+TRANSACTION_MAPPINGS = [
+    ("core_db.all_accounts", "account_id", TRANSACTION, "account_id", "Direct mapping"),
+    ("staging_db.account", "account_id", TRANSACTION, "account_id", "Direct mapping"),
+    ("core_db.merchant_dim", "merchant_id", TRANSACTION, "merchant_id", "Direct mapping"),
+    ("staging_db.lines", "key", TRANSACTION, "txn_id", "concat_ws('-', key, line)"),
+    ("staging_db.lines", "price", TRANSACTION, "amount", "SUM(price)"),
+    ("staging_db.lines", "flag", TRANSACTION, "txn_type", "CASE WHEN flag = 'R' THEN 'DEBIT' ELSE 'CREDIT' END"),
+    ("staging_db.lines", "day", TRANSACTION, "txn_date", "CAST(day AS date)")]
+
+
+def _transaction_rules(spark, df):
+    """D8's rules for the transaction table, compiled for ``df``."""
+    cat = spark.createDataFrame(TRANSACTION_CATALOG, "table_name string, column_name string, data_type string, "
+                                                     "is_categorical boolean, categories array<string>")
+    maps = spark.createDataFrame(TRANSACTION_MAPPINGS, ", ".join(f"{c} string" for c in M.REQUIRED))
+    return Q.compile_rules(Q.derive_rules(M.enrich_with_catalog(maps, cat), cat, P.as_of), df)
 
 
 @register("q_dq_row_checks", DS.DQ_ROW_CHECKS)
 def q_dq_row_checks(spark, sf_dir):
-    return Q.check_rows(_v(spark, sf_dir).transaction, transaction_rules())
+    txn = _v(spark, sf_dir).transaction
+    return Q.check_rows(txn, _transaction_rules(spark, txn)[0])
 
 
 @register("q_dq_referential", DS.DQ_REFERENTIAL)
 def q_dq_referential(spark, sf_dir):
-    v, t = _v(spark, sf_dir), _t(spark, sf_dir)
-    acct = Q.check_reference(v.transaction, "account_id", t.orders, "o_orderkey", "account_id_in_accounts")
-    merch = Q.check_reference(v.transaction, "merchant_id", v.merchant_dim, "merchant_id",
-                              "merchant_id_in_merchant_dim")
-    live = Q.check_reference(v.transaction, "account_id", v.account, "account_id", "account_id_in_live_accounts")
-    return acct.unionByName(merch).unionByName(live)
+    v = _v(spark, sf_dir)
+    parents = {"core_db.all_accounts.account_id": (_t(spark, sf_dir).orders, "o_orderkey"),
+               "staging_db.account.account_id": (v.account, "account_id"),
+               "core_db.merchant_dim.merchant_id": (v.merchant_dim, "merchant_id")}
+    references = _transaction_rules(spark, v.transaction)[1]
+    return Q.check_references(v.transaction, [(n, c, *parents[p]) for n, c, p in references])
+
+
+# ====================================================================== artefacts as rows
+
+@register("q_mapping_json_docs", DS.MAPPING_JSON)
+def q_mapping_json_docs(spark, sf_dir):
+    return sinks.mapping_documents(M.valid_mappings(_parsed_mapping_docs(spark, sf_dir)))
+
+
+@register("q_csv_round_trip", DS.CSV_ROUND_TRIP)
+def q_csv_round_trip(spark, sf_dir):
+    """Mappings to CSV text and back, with quotes, commas and line breaks in the logic."""
+    m = M.valid_mappings(_parsed_mapping_docs(spark, sf_dir)).withColumn(
+        "transformation_logic", F.concat("transformation_logic", F.lit('\n  -- "as is", '), "target_column"))
+    lines = M.csv_projection(m, ("doc_id", "pos")).select("doc_id", "pos", sinks.csv_line(*M.MAPPING_FIELDS).alias("line"))
+    back = lines.select("doc_id", "pos", sinks.parse_csv_line("line", M.MAPPING_FIELDS).alias("m"))
+    return M.from_csv_projection(back.select("doc_id", "pos", "m.*"), ("doc_id", "pos"))
+
+
+@register("q_rules_csv_rows", DS.RULES_CSV)
+def q_rules_csv_rows(spark, sf_dir):
+    rules = Q.flatten_rules(D.rule_answers(_t(spark, sf_dir).documents))
+    return rules.select("target_column", "rule_no", sinks.csv_line(*Q.ROW_FIELDS, "rule").alias("line"))
+
+
+@register("q_mapping_count", DS.MAPPING_COUNT)
+def q_mapping_count(spark, sf_dir):
+    """M9, by target table."""
+    t = _t(spark, sf_dir)
+    return (M.enrich_with_catalog(D.mapping_rows(t.lineitem), _catalog_with_holes(t))
+            .groupBy("target_table").agg(F.count(F.lit(1)).alias("mappings")))
+
+
+@register("q_date_arithmetic", B.with_bank(
+    f"SELECT l_orderkey, l_linenumber, {d(P.as_of)} - CAST(l_linenumber * 5 AS INTEGER) AS seed_date, "
+    f"CAST(l_shipdate AS DATE) >= {d(P.as_of)} - CAST(l_linenumber * 5 AS INTEGER) AS is_recent FROM lineitem"))
+def q_date_arithmetic(spark, sf_dir):
+    """Dates a number of days before the run date."""
+    seed = F.date_sub(F.lit(P.as_of), (F.col("l_linenumber") * 5).cast("int"))
+    return _t(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", seed.alias("seed_date"),
+                                            (F.col("l_shipdate").cast("date") >= seed).alias("is_recent"))
 
 
-__all__ = ["QUERIES", "ORACLE", "register", "ALIAS_PATTERN", "NUMBERING_PATTERN", "WS_CHARS"]
+__all__ = ["QUERIES", "ORACLE", "register"]

@@ -1,14 +1,11 @@
 """Session settings and lineage cutting.
 
-``build_session`` is what tests and ``bench.py`` use; on a cluster the
-session comes from the platform and ``tune`` only fills in settings that are
-still unset.
+``build_session`` is what ``bench.py`` uses; on a cluster the session comes
+from the platform.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are planned for. AQE re-plans joins from runtime sizes
@@ -50,41 +47,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Set the recommended values only where the session leaves them unset."""
-    for k, v in RECOMMENDED.items():
-        if spark.conf.get(k, None) is None:
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # noqa: BLE001 - static settings only apply at start
-                pass
-    return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for reliable checkpoints.
-
-    Uses the folder already given to the context, else ``spark.checkpoint.dir``
-    of the session. Only a local-mode session (tests) may fall back to a
-    private temporary folder; a cluster must name a shared one.
-    """
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """Shared folder for reliable checkpoints: the one already given to the
+    context, else ``spark.checkpoint.dir``; None where neither is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if not current and configured:
+        sc.setCheckpointDir(configured)
+        current = sc.getCheckpointDir() or configured
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
+    """Reliable checkpoint, which survives executor loss. A session without a
+    checkpoint folder keeps the lineage and persists instead."""
     try:
-        checkpoint_dir(df.sparkSession)
+        folder = checkpoint_dir(df.sparkSession)
     except AttributeError:
-        pass  # Spark Connect: the server checkpoints into its own configured folder
-    return df.checkpoint(eager=True)
+        folder = "connect"      # Spark Connect: the server checkpoints into its own configured folder
+    return df.checkpoint(eager=True) if folder else df.persist()

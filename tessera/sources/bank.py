@@ -76,6 +76,11 @@ def _snapshot_date(is_stale: Column, p: RunParams) -> Column:
     return F.when(is_stale, F.lit(p.stale)).otherwise(F.lit(p.as_of))
 
 
+def _missing(key: str, where: Column) -> Column:
+    """The key, negated where nothing shall match it."""
+    return F.when(where, -F.col(key)).otherwise(F.col(key))
+
+
 def bank_views(t: Tables, p: RunParams = DEFAULT) -> BankViews:
     cust = t.customer
     customer = cust.select(
@@ -103,11 +108,11 @@ def bank_views(t: Tables, p: RunParams = DEFAULT) -> BankViews:
                             _snapshot_date(F.col("l_linenumber") == 7, p).alias("load_date"))
     archived_transaction = li.select(*txn_cols)
 
-    archived_customer = customer.where(F.col("customer_id") % 2 == 0)
+    # a miss is a row under a key that nobody has: the negative of its own
+    archived_customer = customer.withColumn("customer_id", _missing("customer_id", F.col("customer_id") % 2 != 0))
 
-    segmentation_rules = (t.orders.where(F.col("o_custkey") % 5 != 0)
-                          .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-                          .select(F.col("o_custkey").alias("customer_id"),
+    segmentation_rules = (t.orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+                          .select(_missing("o_custkey", F.col("o_custkey") % 5 == 0).alias("customer_id"),
                                   F.col("c_mktsegment").alias("segment_name")))
 
     geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -117,8 +122,8 @@ def bank_views(t: Tables, p: RunParams = DEFAULT) -> BankViews:
         F.col("c_custkey").alias("cust_id"), F.col("r_name").alias("region"),
         F.when(F.col("c_acctbal") > 0, "Y").otherwise("N").alias("active_flag"))
 
-    product_dim = t.orders.where(F.col("o_orderkey") % 7 != 0).select(
-        F.col("o_orderkey").alias("account_id"),
+    product_dim = t.orders.select(
+        _missing("o_orderkey", F.col("o_orderkey") % 7 == 0).alias("account_id"),
         F.col("o_orderpriority").alias("product_name"),
         F.col("o_orderstatus").alias("product_category"))
     branch_dim = (t.orders.join(cust_geo, F.col("o_custkey") == F.col("c_custkey"))
@@ -128,16 +133,16 @@ def bank_views(t: Tables, p: RunParams = DEFAULT) -> BankViews:
     merchant_dim = (t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
                     .select(F.col("s_suppkey").alias("merchant_id"),
                             F.col("n_name").alias("merchant_category")))
-    fraud_flags = li.where(F.col("l_discount") >= 0.08).select(
-        txn_key().alias("txn_id"),
+    fraud_flags = li.select(
+        F.when(F.col("l_discount") >= 0.08, txn_key()).otherwise(F.concat(F.lit("none-"), txn_key())).alias("txn_id"),
         F.when(F.col("l_discount") >= 0.09, "Y").otherwise("N").alias("fraud_flag"),
         F.when(F.col("l_linestatus") == "O", "Y").otherwise("N").alias("active_flag"))
     credit_bureau = cust.select(
         F.col("c_custkey").alias("customer_id"),
         F.floor("c_acctbal").cast("int").alias("external_credit_score"),
         _snapshot_date(F.col("c_custkey") % 4 == 0, p).alias("report_date"))
-    sanctions_list = cust.where(F.col("c_custkey") % 11 == 0).select(
-        F.col("c_custkey").alias("customer_id"),
+    sanctions_list = cust.select(
+        _missing("c_custkey", F.col("c_custkey") % 11 != 0).alias("customer_id"),
         F.when(F.col("c_custkey") % 2 == 0, "Y").otherwise("N").alias("blacklisted"))
     risk_assessment = t.events.select(
         F.col("user_id").alias("customer_id"), F.col("value").alias("score"),

@@ -14,15 +14,12 @@ with its table:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.bank import txn_key
-from tessera.sources.tables import spread_narrow_scan
-
-# builders that parse or format text per row spread narrow inputs even when
-# they are small, since the per-row work, not the read, dominates
-HEAVY_MIN_BYTES = 1 << 20
 
 S = F.lit
 
@@ -86,10 +83,11 @@ def mapping_rows(lineitem: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- mapping documents
 
 def mapping_documents(orders: DataFrame) -> DataFrame:
-    """(doc_id, text) with three mappings per order; damaged variants:
-    5-LOW/P truncated JSON, 1-URGENT/F a mapping without target_column,
-    2-HIGH/O no mappings list."""
-    orders = spread_narrow_scan(orders, HEAVY_MIN_BYTES)
+    """(doc_id, text) with three mappings per order, damaged in the ways in
+    which a model's answer can be: 5-LOW/P an unbalanced brace, 5-LOW/F prose
+    behind the JSON, 3-MEDIUM/P two values in a row, 3-MEDIUM/F single quotes,
+    1-URGENT/F a mapping without target_column, 2-HIGH/O no mappings list,
+    2-HIGH/P a flag that is a text, 2-HIGH/F a table name that is a number."""
     prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     none = S(None).cast("string")
 
@@ -110,7 +108,13 @@ def mapping_documents(orders: DataFrame) -> DataFrame:
     m3 = m(S("staging_db.orders"), S("o_orderstatus"), target, S("status"),
            S("o.o_orderstatus"), S("string"), S(True), F.array(S("F"), S("O"), S("P")))
     body = F.to_json(F.struct(F.array(m1, m2, m3).alias("mappings")))
-    text = (F.when((prio == "5-LOW") & (status == "P"), F.substring(body, 1, 40))
+    is_ = lambda p, s: (prio == p) & (status == s)
+    text = (F.when(is_("5-LOW", "P"), F.concat(S("{"), body))
+            .when(is_("5-LOW", "F"), F.concat(body, S("\nI hope this helps.")))
+            .when(is_("3-MEDIUM", "P"), F.concat(body, S("\n"), body))
+            .when(is_("3-MEDIUM", "F"), F.translate(body, '"', "'"))
+            .when(is_("2-HIGH", "P"), F.replace(body, S('"is_categorical":true'), S('"is_categorical":"maybe"')))
+            .when(is_("2-HIGH", "F"), F.replace(body, S('"source_table":"staging_db.customer"'), S('"source_table":5')))
             .when((prio == "2-HIGH") & (status == "O"), F.to_json(F.struct(S("none").alias("note"))))
             .otherwise(body))
     return orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
@@ -126,7 +130,6 @@ def lineage_documents(lineitem: DataFrame) -> DataFrame:
     from stg.order_<o>; lines with linenumber 1 redraw stg.order_<o> with
     fewer columns; lines with status F list the part source without columns.
     """
-    lineitem = spread_narrow_scan(lineitem, HEAVY_MIN_BYTES)
     o, s = _s("l_orderkey"), _s("l_suppkey")
     stg = F.concat(S("stg.order_"), o)
     cols = lambda *xs: F.array(*[S(x) for x in xs])
@@ -164,40 +167,91 @@ def lineage_tree_edges(part: DataFrame) -> DataFrame:
         F.concat(S("ds_"), parent.cast("string")).alias("output"))
 
 
+def lineage_answers(orders: DataFrame) -> DataFrame:
+    """(doc_id, text): raw lineage answers per order. 1-URGENT in a code fence;
+    damaged: 5-LOW/P prose behind the JSON, 5-LOW/O two values, 5-LOW/F single
+    quotes, 2-HIGH/P columns that are a number, 2-HIGH/F sources that are a text,
+    2-HIGH/O a step without output."""
+    prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    output = F.concat(S('"output":"final_db.order_'), _s("o_orderkey"), S('",'))
+
+    def doc(output=output, columns='["a","b"]', sources='[{"name":"stg.orders","columns":["a"]}]'):
+        return F.concat(S('{"steps":[{"name":"s",'), output, S(f'"columns":{columns},"sources":{sources}}}]}}'))
+
+    is_ = lambda p, s: (prio == p) & (status == s)
+    text = (F.when(prio == "1-URGENT", F.concat(S("```json\n"), doc(), S("\n```")))
+            .when(is_("5-LOW", "P"), F.concat(doc(), S(" Done.")))
+            .when(is_("5-LOW", "O"), F.concat(doc(), doc()))
+            .when(is_("5-LOW", "F"), F.translate(doc(), '"', "'"))
+            .when(is_("2-HIGH", "P"), doc(columns="5"))
+            .when(is_("2-HIGH", "F"), doc(sources='"stg.orders"'))
+            .when(is_("2-HIGH", "O"), doc(output=S("")))
+            .otherwise(doc()))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
 # ---------------------------------------------------------------- scripts
 
-def _nl(*parts) -> Column:
-    return F.concat(*[S(p) if isinstance(p, str) else p for p in parts])
+def _fill(template: str) -> Column:
+    """A template with <lang>, <src> and <id> filled in from the row."""
+    fields = {"<lang>": F.col("lang"), "<src>": F.col("source"), "<id>": _s("doc_id")}
+    return F.concat(*[fields.get(x, S(x)) for x in re.split("(<lang>|<src>|<id>)", template) if x])
+
+
+SCRIPTS = (
+    # f-strings with database variables, views and tables from data frames
+    '''from jobs import spark
+base = "staging_<lang>"
+core = 'core_db'      # FROM here.nothing
+a = spark.sql(f"""SELECT x.k, y.v
+    FROM {base}.events_<src> x LEFT JOIN {core}.dim_<lang> y ON x.k = y.k""")
+a.createOrReplaceTempView("layer_<id>")
+b = spark.sql("""SELECT * FROM layer_<id> JOIN core_db.keys USING (k)""")
+b.write.mode("overwrite").saveAsTable("final_db.report_<src>")
+''',
+    # statements without a data frame, a table read by name, a list of tables
+    '''spark.sql("CREATE OR REPLACE TEMP VIEW layer_<id> AS SELECT * FROM staging_<lang>.events_<src>")
+spark.table("layer_<id>").write.mode("overwrite").saveAsTable("core_db.copy_<src>")
+spark.sql("""INSERT INTO final_db.report_<src>
+             SELECT * FROM core_db.copy_<src> c, core_db.keys k""")
+''',
+    # WITH queries, back quotes, three-part names, comments, literals, FROM in a function
+    '''c = spark.sql("""
+WITH recent AS (SELECT * FROM `staging_<lang>`.`events_<src>` -- FROM dead.code
+), named AS (SELECT * FROM recent, lake.core_db.dim_<lang> d)
+SELECT EXTRACT(YEAR FROM n.day) AS y, 'FROM text.literal' AS t FROM named n /* JOIN old.tbl o */""")
+c.write.saveAsTable("final_db.report_<src>")
+''',
+    # one data frame and one variable used twice
+    '''db = "staging_<lang>"
+df = spark.sql(f"SELECT * FROM {db}.events_<src>")
+df.createOrReplaceTempView("layer_<id>")
+db = "core_db"
+df = spark.sql(f"SELECT * FROM {db}.keys WHERE k IN (SELECT k FROM layer_<id>)")
+df.write.insertInto(f"{db}.out_<src>")
+''',
+)
+
+
+def _script(comment: Column) -> Column:
+    which = F.pmod(F.col("doc_id"), S(len(SCRIPTS)))
+    out = _fill(SCRIPTS[0])
+    for i, template in enumerate(SCRIPTS):
+        out = F.when(which == i, _fill(template)).otherwise(out)
+    return F.concat(out, comment, S("\n"))
 
 
 def scripts_from_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, text): a two-block pipeline script per document; the whole
-    document text follows as a comment (it must not yield references)."""
-    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
-    lang, src, i = F.col("lang"), F.col("source"), _s("doc_id")
+    """(doc_id, text): a pipeline script per document, by one of the templates;
+    the whole document text follows as a comment (it must not yield references)."""
     comment = F.regexp_replace(F.coalesce(F.col("text"), S("")), "(?m)^", "# ")
-    text = _nl(
-        "# job for document ", i, "\n",
-        "from pyspark.sql import SparkSession\n",
-        'stg_db = "staging_', lang, '"\n',
-        'core_db = "core_db"\n',
-        'final_db = "final_db"\n',
-        'df = spark.sql(f"""\n',
-        "    SELECT a.k, b.v\n",
-        "    FROM {stg_db}.events_", src, " a\n",
-        "    LEFT JOIN {core_db}.dim_", lang, " b ON a.k = b.k\n",
-        '""")\n',
-        'df.createOrReplaceTempView("layer_', i, '")\n',
-        'out = spark.sql("""SELECT * FROM layer_', i, ' JOIN core_db.keys USING (k)""")\n',
-        'out.write.mode("overwrite").saveAsTable(f"{final_db}.report_', src, '")\n',
-        comment, "\n")
-    return documents.select("doc_id", text.alias("text"))
-
-
-def script_lineage_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, text): the lineage answer for each script; it names the
+    return documents.select("doc_id", _script(comment).alias("text"))
+
+
+def scripts_with_lineage(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, lineage): each script with a lineage answer that names the
     dimension only for English documents and never ``core_db.keys``."""
-    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
+    comment = F.regexp_replace(F.coalesce(F.col("text"), S("")), "(?m)^", "# ")
     lang, src, i = F.col("lang"), F.col("source"), _s("doc_id")
     layer = F.concat(S("layer_"), i)
     staging = F.struct(F.concat(S("staging_"), lang, S(".events_"), src).alias("name"))
@@ -206,7 +260,8 @@ def script_lineage_documents(documents: DataFrame) -> DataFrame:
                      F.when(lang == "en", F.array(staging, dim)).otherwise(F.array(staging)).alias("sources"))
     second = F.struct(S("out").alias("name"), F.concat(S("final_db.report_"), src).alias("output"),
                       F.array(F.struct(layer.alias("name"))).alias("sources"))
-    return documents.select("doc_id", F.to_json(F.struct(F.array(first, second).alias("steps"))).alias("text"))
+    answer = F.to_json(F.struct(F.array(first, second).alias("steps")))
+    return documents.select("doc_id", _script(comment).alias("text"), answer.alias("lineage"))
 
 
 # ---------------------------------------------------------------- DQ inputs
@@ -214,7 +269,6 @@ def script_lineage_documents(documents: DataFrame) -> DataFrame:
 def rule_answers(documents: DataFrame) -> DataFrame:
     """Model answers for rule generation: each document with its lines
     numbered ``1. ``, ``2) ``, ..; documents of source src0 failed."""
-    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     numbered = F.array_join(F.transform(
         F.split(F.col("text"), "\n"),
         lambda x, i: F.concat((i + 1).cast("string"),
@@ -248,7 +302,6 @@ def fenced_answers(documents: DataFrame) -> DataFrame:
     """Raw answers wrapped as models do: en in a ```json fence, fr in a bare
     fence with stray blanks, de with tab/no-break-space padding, es with
     trailing backticks only (no opening fence, so they stay)."""
-    documents = spread_narrow_scan(documents, HEAVY_MIN_BYTES)
     t, lang = F.coalesce(F.col("text"), S("")), F.col("lang")
     wrapped = (F.when(lang == "en", F.concat(S("```json\n"), t, S("\n```")))
                .when(lang == "fr", F.concat(S("  ```\n"), t, S("\n``` \n")))

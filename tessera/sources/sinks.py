@@ -4,10 +4,11 @@ per task, nothing gathered on the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.lineage import quarantine
 from tessera.operators.mapping import (MAPPING_FIELDS, csv_projection, flatten_catalog,
                                        from_csv_projection)
 
@@ -36,15 +37,40 @@ def read_catalog(spark: SparkSession, path: str, one_document: bool = True) -> D
     return flatten_catalog(text, "value")
 
 
+def mapping_documents(mappings: DataFrame, key: str = "doc_id", order: str = "pos") -> DataFrame:
+    """(key, text): one ``{"mappings": [..]}`` document per key, ordered by ``order``.
+
+    A document is the mappings of one script. It is one value by definition, so
+    a key's mappings meet in one task; mappings that belong to no single script
+    are written one per line instead (``write_mapping_json(key=None)``).
+    """
+    # a field that is missing in JSON is a default, not a loss; the order goes in front for sorting only
+    one = F.struct(F.col(order).alias("__o"), F.struct(*MAPPING_FIELDS).alias("m"))
+    docs = mappings.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("ms"))
+    return docs.select(key, F.to_json(F.struct(F.transform("ms", lambda x: x["m"]).alias("mappings"))).alias("text"))
+
+
+def csv_line(*columns: str) -> Column:
+    """The columns as one line of CSV, in the dialect of the files."""
+    return F.to_csv(F.struct(*columns), {k: v for k, v in CSV_OPTIONS.items() if k != "header"})
+
+
+def parse_csv_line(c, columns) -> Column:
+    """A line (or several, inside quotes) of CSV as a struct of texts."""
+    schema = ", ".join(f"{x} string" for x in columns)
+    return F.from_csv(c, schema, {**{k: v for k, v in CSV_OPTIONS.items() if k != "header"}, "multiLine": "true"})
+
+
 def write_mapping_csv(mappings: DataFrame, path: str) -> None:
     """The eight fields in fixed order, header, arrays joined with ', '."""
     csv_projection(mappings).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed schema (no inference), empties back to defaults."""
+    """Fixed schema (no inference), empties back to defaults. Cells may hold
+    line breaks, so a file is read by one task; write many files for many tasks."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in MAPPING_FIELDS])
-    raw = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS, multiLine="true").schema(schema).csv(path)
     return from_csv_projection(raw)
 
 
@@ -53,15 +79,10 @@ def write_mapping_json(mappings: DataFrame, path: str, key: str | None = "doc_id
     """UTF-8 JSON, non-ASCII kept. With ``key``, one ``{"mappings": [..]}``
     document per key (the mappings of one script, ordered by ``order``);
     without, one mapping per line."""
-    fields = F.struct(*MAPPING_FIELDS)
     if key is None:
         mappings.select(*MAPPING_FIELDS).write.mode("overwrite").json(path)
-        return
-    docs = (mappings.groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), fields.alias("m"))))
-                 .alias("ms"))
-            .select(key, F.transform("ms", lambda x: x["m"]).alias("mappings")))
-    docs.write.mode("overwrite").json(path)
+    else:
+        mapping_documents(mappings, key, order).select("text").write.mode("overwrite").text(path)
 
 
 def write_rules_csv(rules: DataFrame, path: str) -> None:
@@ -70,7 +91,18 @@ def write_rules_csv(rules: DataFrame, path: str) -> None:
      .write.mode("overwrite").options(**CSV_OPTIONS).csv(path))
 
 
-def write_lineage_json(parsed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The parsed lineage documents, one per line."""
-    parsed.where(F.col("error").isNull()).select(key, F.col("doc.steps").alias("steps")) \
-        .write.mode("overwrite").json(path)
+def lineage_json(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """S14 as rows: (key, text) of the valid documents."""
+    text = F.when(F.col("error").isNull(), F.array(F.to_json(F.struct(F.col("doc.steps").alias("steps")))))
+    return parsed.select(key, F.explode(text).alias("text"))
+
+
+def write_lineage_json(parsed: DataFrame, path: str, key: str = "doc_id", quarantine_path: str | None = None) -> None:
+    """The valid lineage documents, one per line; the others, with their
+    errors, into ``quarantine_path``. Without one, a document that is not valid
+    fails the job, as it does in the original."""
+    if quarantine_path is None:
+        parsed = parsed.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
+    else:
+        quarantine(parsed, key).write.mode("overwrite").json(quarantine_path)
+    lineage_json(parsed, key).select("text").write.mode("overwrite").text(path)

@@ -13,54 +13,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-# a scan smaller than this is not worth a shuffle (small tables are mostly
-# broadcast dimensions, where a spread would only add an exchange)
-SPREAD_MIN_BYTES = 8 << 20
-
-
-def spread_narrow_scan(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than there are cores.
-
-    A parquet file with one row group is read by one task however large it
-    is, leaving the other cores idle for all row-wise work up to the first
-    shuffle. On a warehouse table the scan has far more splits than cores and
-    this returns ``df`` unchanged. Round-robin (not a key hash) cannot be
-    skewed by a hot key, and Catalyst still prunes columns and pushes
-    filters through it. Reads no data: only the scan is planned.
-    """
-    from tessera.plans.inspect import estimated_bytes
-    est = estimated_bytes(df)
-    if est is None or est < min_bytes:
-        return df
-    try:
-        parts = df._jdf.rdd().getNumPartitions()     # plans the scan, runs no job
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. Spark Connect)
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if parts < cores else df
-
-
-# scan relations per (application, path, spread): a DataFrame is an immutable
-# plan, so reusing one saves the footer read and split planning per query
-_RELATIONS: dict[tuple[str, str, bool], DataFrame] = {}
-
-
-def _app_id(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        return f"session-{id(spark)}"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (_app_id(spark), path, spread)
-    if key not in _RELATIONS:
-        df = spark.read.parquet(path)
-        _RELATIONS[key] = spread_narrow_scan(df) if spread else df
-    return _RELATIONS[key]
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    # tessera.scan.partitions: a count given by whoever runs the job on files
+    # of very few splits (the benchmark does); unset, the scan is as it is
+    parts = spark.conf.get("tessera.scan.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 class Tables:

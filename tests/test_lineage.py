@@ -71,3 +71,48 @@ def test_missing_from_lineage(spark, parsed):
     refs = spark.createDataFrame([(1, "stg.c"), (1, "stg.x"), (1, "final")], "doc_id int, dataset string")
     miss = LN.missing_from_lineage(refs, LN.lineage_nodes(parsed)).collect()
     assert [(r.doc_id, r.dataset) for r in miss] == [(1, "stg.x")]
+
+
+STEP = {"name": "x", "output": "o", "columns": ["a"], "sources": [{"name": "i", "columns": ["a"]}]}
+
+
+def _doc(**kw):
+    return json.dumps({"steps": [{**STEP, **kw}]})
+
+
+@pytest.mark.parametrize("text,error", [
+    (_doc(), None), (_doc(extra=1), None), (_doc(columns=None), None), (_doc(sources=[]), None), ('{"steps": []}', None),
+    ("```json\n" + _doc() + "\n```", None), (_doc(sources=[{"name": "i"}, {"name": "j", "columns": []}]), None),
+    (_doc(columns=5), LN.BAD_TYPE), (_doc(sources="i"), LN.BAD_TYPE), (_doc(output=4), LN.BAD_TYPE), (_doc(sources=[5]), LN.BAD_TYPE),
+    (_doc(columns=[None]), LN.BAD_TYPE), (_doc(sources=[{"name": "i", "columns": 5}]), LN.BAD_TYPE),
+    (_doc(output=None), LN.NO_NAME), (_doc(sources=[{"columns": []}]), LN.NO_NAME), ('{"steps": [null]}', LN.NO_NAME),
+    (_doc() + " x", LN.NO_STEPS), (_doc() + _doc(), LN.NO_STEPS), (_doc().replace('"', "'"), LN.NO_STEPS), (None, LN.NO_STEPS),
+    ('{"steps": {}}', LN.NO_STEPS)])
+def test_strict_documents(spark, text, error):
+    parsed = LN.parse_lineage(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert parsed.collect()[0].error == error
+    assert [(r.error, r.text) for r in LN.quarantine(parsed).collect()] == ([(error, text)] if error else [])
+    if error:
+        failing = LN.parse_lineage(spark.createDataFrame([(1, text)], "doc_id int, text string"), mode="FAILFAST")
+        with pytest.raises(Exception, match="."):
+            failing.collect()
+
+
+def test_closure_of_targets_and_depth(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("other", "far"), ("side", "n20")]
+    edges = spark.createDataFrame(chain, "source string, output string")
+    targets = spark.createDataFrame([("n40",), ("n3",), ("nowhere",)], "dataset string")
+    pairs = {(r.dataset, r.base) for r in LN.closure_to_base(edges, targets).collect()}
+    assert pairs == {("n40", "n0"), ("n40", "side"), ("n3", "n0")}
+    everything = LN.closure_to_base(edges)
+    assert everything.count() == 40 + 21 + 1
+    assert everything._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= 10
+
+
+def test_missing_in_row(spark):
+    from tessera.operators import scripts as R
+    df = spark.createDataFrame([(1, 'a = spark.sql("SELECT * FROM i, z")\na.write.saveAsTable("o")', _doc()),
+                                (2, 'spark.table("i").write.saveAsTable("i")', "{bad"), (3, None, None)],
+                               "doc_id int, text string, lineage string")
+    out = LN.missing_in_row(R.with_references(df)).collect()
+    assert sorted((r.doc_id, r.dataset) for r in out) == [(1, "z"), (2, "i")]

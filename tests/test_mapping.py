@@ -4,6 +4,7 @@ document validation, CSV/JSON round trips."""
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import mapping as M
@@ -83,6 +84,60 @@ def test_validate_and_quarantine(spark):
     assert set(q) == {2, 3, 4}
 
 
+BASE = {"source_table": "a", "source_column": "b", "target_table": "c", "target_column": "d", "transformation_logic": "e"}
+
+
+def _doc(**kw):
+    return json.dumps({"mappings": [{**BASE, **kw}]})
+
+
+@pytest.mark.parametrize("text,error", [
+    (_doc(), None), (_doc(extra={"x": 1}), None), (_doc(categories=[]), None), ('{"mappings": []}', None),
+    (_doc(is_categorical=True, categories=["x"], data_type="int"), None), (" " + _doc() + "\n", None),
+    (_doc(data_type=None), M.BAD_TYPE), (_doc(is_categorical="maybe"), M.BAD_TYPE), (_doc(categories="A"), M.BAD_TYPE),
+    (_doc(categories=["A", None]), M.BAD_TYPE), (_doc(source_table=5), M.BAD_TYPE), (_doc(source_table={"a": 1}), M.BAD_TYPE),
+    ('{"mappings": [5]}', M.BAD_TYPE), ('{"mappings": [null]}', M.BAD_TYPE),
+    (_doc() + " text", M.NO_LIST), (_doc() + _doc(), M.NO_LIST), (_doc().replace('"', "'"), M.NO_LIST),
+    (_doc() + '],["x"', M.NO_LIST), ("", M.NO_LIST), (None, M.NO_LIST), ('{"mappings": 5}', M.NO_LIST), ("[1]", M.NO_LIST)])
+def test_strict_documents(spark, text, error):
+    row = M.parse_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()[0]
+    assert row.error == error and (row.doc is None) == (error is not None)
+
+
+def test_failfast(spark):
+    docs = spark.createDataFrame([(1, _doc()), (2, "{bad")], "doc_id int, text string")
+    assert M.valid_mappings(M.parse_documents(docs.where("doc_id = 1"), mode="FAILFAST")).count() == 1
+    with pytest.raises(Exception, match="malformed document"):
+        M.valid_mappings(M.parse_documents(docs, mode="FAILFAST")).collect()
+
+
+def test_malformed_catalogs_are_kept_apart(spark):
+    docs = spark.createDataFrame([(1, json.dumps(CATALOG)), (2, "{bad"), (3, None), (4, "[]")], "doc_id int, value string")
+    errors = {r.doc_id: r.error for r in M.parse_catalog(docs).collect()}
+    assert errors == {1: None, 2: "malformed catalog", 3: "malformed catalog", 4: "malformed catalog"}
+    assert M.flatten_catalog(docs).count() == 4
+
+
+def test_repeated_catalog_keys_do_not_fan_out(spark):
+    cat = _catalog(spark)
+    assert M.enrich_with_catalog(_mappings(spark), cat.unionByName(cat)).count() == len(MAPPINGS)
+    ordered = spark.createDataFrame([("t", "c", "int", 1), ("t", "c", "date", 2)], "table_name string, column_name string, data_type string, pos int")
+    assert [r.data_type for r in M.dedupe_catalog(ordered, "pos").collect()] == ["date"]
+
+
+def test_csv_keeps_line_breaks_and_defaults(spark, tmp_out):
+    rows = [("s", "c", "t", "x", 'CASE\n  WHEN "a" THEN 1,\r\n END', "", False, []), ("s", "c", "t", "y", "", "", False, [])]
+    df = spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, "
+                                     "transformation_logic string, data_type string, is_categorical boolean, categories array<string>")
+    path = os.path.join(tmp_out, "multi")
+    sinks.write_mapping_csv(df, path)
+    back = sinks.read_mapping_csv(spark, path).collect()
+    assert sorted(tuple(r) for r in back) == sorted(tuple(r) for r in df.collect())
+    with open(os.path.join(tmp_out, "flag.csv"), "w") as f:
+        f.write(",".join(M.MAPPING_FIELDS) + "\ns,c,t,x,l,,,\n")
+    assert sinks.read_mapping_csv(spark, os.path.join(tmp_out, "flag.csv")).collect()[0].is_categorical is False
+
+
 def test_csv_round_trip(spark, tmp_out):
     enriched = M.enrich_with_catalog(_mappings(spark), _catalog(spark))
     path = os.path.join(tmp_out, "stm_csv")

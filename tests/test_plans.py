@@ -21,8 +21,19 @@ def test_filters_pushed(spark):
     assert "l_shipdate" in pushed and "o_orderdate" in pushed
 
 
-def test_broadcast_only_when_bounded(spark):
-    from tessera.operators.joins import fits_broadcast
-    big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
-    small = spark.read.parquet("/root/testdata/sf0.1/nation.parquet")
-    assert fits_broadcast(small) and not fits_broadcast(big)
+def test_one_parse_and_one_scan(spark):
+    """L8 and the sinks of M11 read and parse each document once."""
+    from tessera.operators import lineage as LN
+    from tessera.plans.inspect import physical_plan
+    from tessera.sources import derived as D
+    from tessera.sources.tables import read_table
+    for df in (QUERIES["q_lineage_columns"](spark, SF001),
+               LN.roots_and_sinks(LN.lineage_edges(LN.parse_lineage(D.lineage_documents(read_table(spark, SF001, "lineitem")))))):
+        plan = physical_plan(df)
+        assert plan.count("FileScan parquet") == 1
+        assert plan.count("parseJson") == 1
+
+
+def test_scripts_without_shuffle(spark):
+    for name in ("q_script_refs", "q_lineage_missing"):
+        assert check_plan(QUERIES[name](spark, SF001))["exchanges"] == 0

@@ -2,37 +2,65 @@
 
 import os
 
+import pytest
+
 from tessera.operators import scripts as R
 
-SCRIPT = '''from pyspark.sql import SparkSession
-from datetime import datetime
-stg_db = "staging_db"
-core_db = "core_db"
-final_db = "final_db"
-# from a comment: FROM nowhere.table must not count
-df = spark.sql(f"""
-    SELECT DISTINCT c.customer_id, EXTRACT(YEAR FROM c.since) AS y, TRIM(BOTH ' ' FROM c.name) AS n,
-           SUBSTRING(c.code FROM 2 FOR 3) AS s
-    FROM {stg_db}.customer c
-    LEFT JOIN {stg_db}.account a ON c.customer_id = a.customer_id
-    LEFT JOIN (SELECT account_id FROM {stg_db}.transaction WHERE x = 1) t ON a.account_id = t.account_id
+SCRIPT = '''import os
+from utils import helper          # no table
+raw = "land"
+mart = "mart"
+# from a comment: FROM nowhere.tbl must not count
+clean = spark.sql(f"""
+    WITH recent AS (SELECT * FROM {raw}.orders o, {raw}.lines l -- FROM dead.code
+                    WHERE o.id = l.order_id)
+    SELECT EXTRACT(YEAR FROM r.day) AS y, TRIM(BOTH ' ' FROM r.note) AS n, 'FROM text.literal' AS t
+    FROM recent r LEFT JOIN `dim schema`.`city` c ON r.city IS DISTINCT FROM c.name
+    /* JOIN old.tbl */ JOIN cat.{raw}.{stage} s USING (id)
 """)
-df.createOrReplaceTempView("base_layer")
-df2 = spark.sql(f"""SELECT * FROM base_layer JOIN {core_db}.branch_dim b USING (account_id)""")
-df2.write.mode("overwrite").saveAsTable(f"{final_db}.customer_summary")
+clean.createOrReplaceTempView("clean_orders")
+raw = "other"
+clean = spark.sql(f"SELECT * FROM {raw}.orders WHERE EXISTS (SELECT 1 FROM keys)")
+clean.repartition(4).write.mode("overwrite").option("a", "b") \\
+    .saveAsTable(f"{mart}.orders")
+spark.sql("INSERT OVERWRITE TABLE mart.daily SELECT * FROM clean_orders")
+spark.table("seed").write.mode("overwrite").saveAsTable("land.seed")
+spark.sql("CREATE OR REPLACE TEMP VIEW v AS SELECT * FROM VALUES (1), (2) AS t(a)")
 '''
 
 
-def test_script_references(spark, tmp_out):
-    with open(os.path.join(tmp_out, "etl.py"), "w") as f:
-        f.write(SCRIPT)
-    with open(os.path.join(tmp_out, "skip.md"), "w") as f:
-        f.write("FROM x.y")
+def test_script_files(spark, tmp_out):
+    files = {"job.py": SCRIPT, "skip.md": "FROM x.y", "load.sql": "INSERT INTO a.b SELECT ';' FROM c.d;\n\nSELECT * FROM e, f;",
+             "note.txt": 'spark.sql("SELECT * FROM g.h")', "plain.txt": "DELETE FROM i.j"}
+    for name, text in files.items():
+        with open(os.path.join(tmp_out, name), "w") as f:
+            f.write(text)
     scripts = R.read_scripts(spark, tmp_out)
-    assert scripts.count() == 1
-    refs = {(r.role, r.block_no, r.dataset) for r in R.script_references(scripts).collect()}
-    assert refs == {
-        ("read", 1, "staging_db.customer"), ("read", 1, "staging_db.account"),
-        ("read", 1, "staging_db.transaction"), ("read", 2, "base_layer"), ("read", 2, "core_db.branch_dim"),
-        ("write", 1, "base_layer"), ("write", 2, "final_db.customer_summary"),
-    }
+    assert scripts.count() == 4
+    refs = {}
+    for r in R.script_references(scripts).collect():
+        refs.setdefault(r.script_id.rsplit("/", 1)[1], []).append((r.role, r.block_no, r.dataset))
+    assert refs["job.py"] == [
+        ("read", 1, "land.orders"), ("read", 1, "land.lines"), ("read", 1, "dim schema.city"), ("read", 1, "cat.land.{stage}"),
+        ("write", 1, "clean_orders"), ("read", 2, "other.orders"), ("read", 2, "keys"), ("write", 2, "mart.orders"),
+        ("write", 3, "mart.daily"), ("read", 3, "clean_orders"), ("read", 4, "seed"), ("write", 4, "land.seed"), ("write", 5, "v")]
+    assert refs["load.sql"] == [("write", 1, "a.b"), ("read", 1, "c.d"), ("read", 2, "e"), ("read", 2, "f")]
+    assert refs["note.txt"] == [("read", 1, "g.h")] and refs["plain.txt"] == [("write", 1, "i.j")]
+
+
+@pytest.mark.parametrize("sql,want", [
+    ("SELECT a, b FROM range(10), t LATERAL VIEW explode(z) e AS p, q", [("read", "t")]),
+    ("MERGE INTO t.x USING s.y ON a = b WHEN MATCHED THEN UPDATE SET a = 1", [("write", "t.x"), ("read", "s.y")]),
+    ("UPDATE q.r SET a = (SELECT max(b) FROM z.z), c = 1", [("write", "q.r"), ("read", "z.z")]),
+    ("CREATE TABLE IF NOT EXISTS n.t AS SELECT * FROM (SELECT * FROM m) x, o", [("write", "n.t"), ("read", "m"), ("read", "o")]),
+    ("CREATE DATABASE IF NOT EXISTS staging", []),
+    ("", []), ("FROM", []), ("SELECT 'unclosed FROM a.b", []), (")) FROM a", [("read", "a")]),
+])
+def test_sql_constructs(sql, want):
+    assert R.sql_references(sql) == want
+
+
+def test_odd_scripts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x = (\n'''"), (4, "# " + "word " * 200_000)], "script_id int, text string")
+    assert R.script_references(df).count() == 0
+    assert R.script_references(df.limit(0)).count() == 0

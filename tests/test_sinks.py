@@ -6,6 +6,8 @@ import glob
 import json
 import os
 
+import pytest
+
 from bank_fixture import spark_views
 from tessera.operators import layers as L
 from tessera.operators import lineage as LN
@@ -45,6 +47,24 @@ def test_lineage_json(spark, tmp_out):
     doc = {"steps": [{"name": "s", "output": "o", "columns": ["c"], "sources": [{"name": "i", "columns": ["c"]}]}]}
     docs = spark.createDataFrame([(1, json.dumps(doc)), (2, "{bad")], "doc_id int, text string")
     path = os.path.join(tmp_out, "lineage")
-    sinks.write_lineage_json(LN.parse_lineage(docs), path)
-    lines = [json.loads(ln) for f in glob.glob(os.path.join(path, "*.json")) for ln in open(f, encoding="utf-8")]
+    bad = os.path.join(tmp_out, "quarantine")
+    sinks.write_lineage_json(LN.parse_lineage(docs), path, quarantine_path=bad)
+    assert [(r.doc_id, r.text) for r in spark.read.json(bad).collect()] == [(2, "{bad")]
+    lines = [json.loads(ln) for f in glob.glob(os.path.join(path, "part-*")) for ln in open(f, encoding="utf-8")]
     assert len(lines) == 1 and lines[0]["steps"][0]["output"] == "o"
+    with pytest.raises(Exception, match="malformed"):
+        sinks.write_lineage_json(LN.parse_lineage(docs), path)
+
+
+def test_layers_from_catalog_tables(spark):
+    """The job over saved tables equals the job over views."""
+    from tessera.sources.bank import BankViews
+    sinks.ensure_databases(spark)
+    v = spark_views(spark)
+    for name, df in vars(v).items():
+        core = name in ("archived_customer", "archived_account", "archived_transaction", "segmentation_rules", "customer_region",
+                        "product_dim", "branch_dim", "merchant_dim", "fraud_flags", "credit_bureau", "sanctions_list", "risk_assessment")
+        sinks.save_table(df, f"{'core_db' if core else 'staging_db'}.{name}")
+    saved = BankViews.from_catalog(spark)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(L.customer_summary(saved, DEFAULT)) == key(L.customer_summary(v, DEFAULT))

@@ -68,10 +68,7 @@ def hot(spark):
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    import tessera.operators.joins as J
-    limit, J.BROADCAST_LIMIT = J.BROADCAST_LIMIT, 0          # force shuffled lookups
     yield views, con
-    J.BROADCAST_LIMIT = limit
     for k, v in old.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
@@ -86,3 +83,26 @@ def test_hot_keys_exact(hot, fn, rel):
     cur = con.execute(f"WITH {layers_over_views(DEFAULT)}\nSELECT * FROM {rel}")
     cols = [c[0] for c in cur.description]
     assert multiset(df.columns, df.collect()) == multiset(cols, cur.fetchall())
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """The exchange of a lookup carries the salt: NULL keys reach all partitions, in even parts."""
+    from tessera.operators.joins import lookup_join, spread_key
+    fact = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("k"))
+    dim = spark.createDataFrame([(i, f"d{i}") for i in range(7)] + [(None, "none")], "dk long, name string")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = lookup_join(fact, dim, "k", "dk", ["name"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(__key" in plan
+        rows = out.withColumn("p", F.spark_partition_id()).where("k IS NULL").groupBy("p").count().collect()
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert len(rows) == parts and max(r["count"] for r in rows) < 2 * 18_000 / parts
+        got = out.groupBy("name").count().collect()
+        assert {r["name"]: r["count"] for r in got}[None] == 18_000 and len(got) == 8
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert spread_key(fact, "k") is not None
