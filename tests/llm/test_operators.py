@@ -525,6 +525,6 @@ def test_mixing_rows(spark):
 def test_surface_topics(spark):
     texts = ["a | b | c | d", "a%%% b*** c###", "word " * 10, "word " * 500, "word " * 2000, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    n = mixing.token_count(F.col("text"))
-    got = [r.t for r in df.orderBy("doc_id").select(mixing.surface_topic(F.col("text"), n).alias("t")).collect()]
+    df = df.withColumn("s", mixing.surface(F.col("text")))
+    got = [r.t for r in df.orderBy("doc_id").select(mixing.surface_topic(F.col("s")).alias("t")).collect()]
     assert got == ["table", "marked", "note", "article", "book", "note"]
