@@ -144,9 +144,9 @@ def mine_lexicon(sample: DataFrame, positives: int, precision: float = 0.5, most
     """Entries for (text, toxic) rows. Among the texts that hold an entry, the
     share of toxic ones is at least ``precision`` at the lower end of its 98 %
     interval (Wilson; 90 % for pairs, of which there are far fewer to try), and
-    0.5 % of the toxic texts hold it. At most ``rows``
+    1 % of the toxic texts (4 at least) hold it. At most ``rows``
     grams of the highest support are looked at, ``most`` are chosen."""
-    least = max(4, math.ceil(positives / 200))
+    least = max(4, math.ceil(positives / 100))
     z2 = F.when(F.col("gram").endswith("+"), 1.64 ** 2).otherwise(2.33 ** 2)
     n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     low = (share + z2 / (2 * n) - F.sqrt(z2 * (share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
@@ -231,14 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most ``train_rows`` labelled texts, those of the smallest id hashes.
 
     Rows with a NULL id or label are not used; an id with several labels is toxic
-    if one says so; copies of a text count once. Without toxic and clean texts the seed lexicon decides, one
+    if one says so; near copies of a text count once, lest their words pass for
+    evidence. Without toxic and clean texts the seed lexicon decides, one
     entry giving a score of 0.5 and two 0.9 or more.
     """
     ids = cut(labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
               .orderBy(F.xxhash64("id")).limit(train_rows))
     sample = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-                 .join(F.broadcast(ids), "id").dropDuplicates(["text"]).select("text", "toxic"))
+                 .join(F.broadcast(ids), "id").dropDuplicates(["id"])
+                 .withColumn("print", _print_of(F.col("text"))).dropDuplicates(["print"]).select("text", "toxic"))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     seeded = Model([*SEED], np.array([1.0] * len(SEED) + [1.2, 1.2] + [0.6] * 2 + [0.0] * (len(PATTERNS) - 4) + [-2.2]))
     if min(n.get(0, 0), n.get(1, 0)) < 4:
@@ -255,6 +257,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(entries, fit_logistic(x[order], label_model(x[order], gold[order])))
 
 
+def _print_of(text):
+    """The three least word hashes of a text, which near copies mostly share."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s,.!?]+"))
+    return F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 3)
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
