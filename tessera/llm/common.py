@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many characters, so that the
 #: numpy arrays of one slice stay small however large an Arrow batch is.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
+#: Bytes of an Arrow batch. Spark's own bound is eight times as much, which a
+#: worker holds several times over (as Arrow, as Python strings, as results).
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be read in small Arrow batches: bounds them for the session
+    unless it has a bound of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m").rstrip("b") in ("64m", "64M", str(64 << 20)):
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def slices(texts: Iterable[str | None], size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts that together have about ``size``
     characters; a longer text makes a run of its own."""

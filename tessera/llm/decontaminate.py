@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_batches
+
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -141,7 +143,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     blocks = max(1, -(-size // block_chars))
     d_kind, i_kind = dict(docs.dtypes)[doc_id], items.schema["item_id"].dataType
     i_arrow = items.select("item_id").limit(0).toArrow().schema.field(0).type
-    ready = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
+    ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
 
     def scan(block: int) -> DataFrame:
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
@@ -184,5 +186,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 keep = [not index.matches(t.as_py()) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -23,6 +23,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import in_batches
+
 # Elements whose whole content is no article text.
 SKIP_TAGS = frozenset("""head script style noscript template nav header footer aside form button select option textarea
     input label iframe object embed svg math canvas audio video map menu dialog datalist""".split())
@@ -207,5 +209,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return (pages.selectExpr(f"`{page_id}` AS page_id", f"`{url}` AS url", f"`{html}` AS html")
+    return (in_batches(pages).selectExpr(f"`{page_id}` AS page_id", f"`{url}` AS url", f"`{html}` AS html")
                  .mapInArrow(run, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars long"))

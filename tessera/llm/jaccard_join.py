@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, slices
+from tessera.llm.common import cut, fresh, in_batches, slices
 from tessera.llm.components import connected, least_labels
 from tessera.llm.words import LOWER, U, mix, shingle_sets
 
@@ -361,7 +361,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nothing and has no component. Repeated rows are copies of each other.
     """
     bound = Bound(percent)
-    ready = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
+    ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     kind = dict(docs.dtypes)[doc_id]
     described = cut(ready.mapInArrow(_describe(words, bound), f"doc_id {kind}, n long, sid long, setting int"))
     sets = cut(described.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, in_batches
 
 OTHER = "other"
 SOURCES = {f"src{i}": 0.05 for i in range(20)}
@@ -105,7 +105,7 @@ def with_probability(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     n, c = fresh(docs, "tokens"), [fresh(docs, x) for x in ("source", "lang", "topic")]
     look = fresh(docs, "surface")
-    counted = docs.withColumn(look, surface(F.col(text))).withColumn(n, F.col(look)["tokens"])
+    counted = in_batches(docs).withColumn(look, surface(F.col(text))).withColumn(n, F.col(look)["tokens"])
     counted = (counted
                .withColumn(c[2], surface_topic(F.col(look)) if topic is None else topic)
                .withColumn(c[0], _category(F.col(source), sources)).withColumn(c[1], _category(F.col(lang), languages))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, in_batches
 
 #: Lexicon used where no labelled text is given.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "trash", "clown", "pathetic", "worthless", "disgusting")
@@ -110,19 +110,23 @@ def _grams(text: str | None) -> set[str]:
     return words | {s + "*" for s in starts} | {s + "+" for s, c in starts.items() if c > 1}
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts by class that hold a gram, summed per partition."""
+def _count_grams(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Texts by class that hold a gram, summed per partition (in parts, if there are many)."""
+    def flush(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        names = list(toxic.keys() | clean.keys())
+        counts = [pa.array([c[x] for x in names], pa.int64()) for c in (toxic, clean)]
+        toxic.clear()
+        clean.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["gram", "toxic", "clean"])
+
     toxic: Counter = Counter()
     clean: Counter = Counter()
     for batch in batches:
         for t, y in zip(batch.column(0), batch.column(1), strict=True):
             (toxic if y.as_py() else clean).update(_grams(t.as_py()))
-    names = list(toxic.keys() | clean.keys())
-    for i in range(0, len(names), 1 << 16):
-        part = names[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array([toxic[x] for x in part], pa.int64()), pa.array([clean[x] for x in part], pa.int64())],
-            names=["gram", "toxic", "clean"])
+            if len(toxic) + len(clean) >= most:
+                yield flush(toxic, clean)
+    yield flush(toxic, clean)
 
 
 def choose_entries(grams: Sequence[tuple[str, int, int]], most: int) -> list[str]:
@@ -238,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = cut(labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
               .orderBy(F.xxhash64("id")).limit(train_rows))
-    sample = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    sample = cut(in_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
                  .join(F.broadcast(ids), "id").dropDuplicates(["id"])
                  .withColumn("print", _print_of(F.col("text"))).dropDuplicates(["print"]).select("text", "toxic"))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -277,7 +281,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             s = run_score(t.as_py() for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return (docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, score double")
+    return (in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, score double")
                 .select("doc_id", held_out("doc_id").alias("held_out"), "score",
                         (F.col("score") >= threshold).cast("int").alias("predicted")))
 
@@ -292,4 +296,4 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             s = run_score(t.as_py() for t in batch.column(at))
             yield batch.filter(pa.array([x < threshold for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
