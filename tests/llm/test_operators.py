@@ -440,7 +440,7 @@ def test_license_spans_and_coverage(spark):
              "licensed under the Apache License Version 3.0", "the rights reserved for all", "word " * 30_000 + "All rights reserved."]
     df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").withColumn("license", F.lit(0))
     got = Counter((r.doc_id, r.license, r.span_start, r.span_end, round(r.coverage, 3)) for r in license_scan.find_licenses(df).collect())
-    assert got == Counter([(2, "mit-notice", 5, 43, 1.0), (4, "apache-2.0-notice", 0, 45, 0.875),
+    assert got == Counter([(2, "mit-notice", 5, 44, 1.0), (4, "apache-2.0-notice", 0, 45, 0.875),
                            (6, "all-rights-reserved", 150_000, 150_019, 1.0),
                            *[(3, "all-rights-reserved", 0, 19, 1.0)] * 2, *[(3, "all-rights-reserved", 22, 41, 1.0)] * 2])
     assert license_scan.find_licenses(df.limit(0)).count() == 0
