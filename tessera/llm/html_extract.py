@@ -28,12 +28,14 @@ from tessera.llm.common import in_batches
 # Elements whose whole content is no article text.
 SKIP_TAGS = frozenset("""head script style noscript template nav header footer aside form button select option textarea
     input label iframe object embed svg math canvas audio video map menu dialog datalist""".split())
-# Words of class, id and role attributes that mark such content.
-SKIP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner
-    nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent gdpr
-    notice notification alert comment comments commentlist disqus reply replies respond discussion related recommended
-    share sharing social newsletter subscribe subscription signup login search popup modal overlay paywall widget pagination
-    complementary contentinfo""".split())
+# Words of class, id and role attributes that mark such content, and ends of longer words.
+SKIP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion
+    banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside header headers masthead
+    footer footers cookie cookies consent gdpr notice notices notification notifications alert comment comments commentlist
+    commentform disqus reply replies respond discussion related recommended share sharing social newsletter subscribe
+    subscription signup login search popup modal overlay paywall widget widgets pagination complementary contentinfo""".split())
+SKIP_ENDS = ("nav", "menu", "sidebar", "footer", "header", "banner", "comments", "advert")
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article main content post entry story".split())
 # Elements that begin and end a block.
@@ -45,7 +47,7 @@ _P_ENDERS = BLOCK_TAGS | {"nav", "header", "footer", "aside", "form", "menu"}
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("html body article main section div table ul ol dl nav aside header footer form blockquote".split())
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADING_WORDS = frozenset("header masthead banner".split())
 
@@ -67,6 +69,7 @@ class _Lines(HTMLParser):
         self.skipping = 0
         self.serial = 0
         self.content: set[int] = set()
+        self.articles: set[int] = set()
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.plain = 0
@@ -97,19 +100,27 @@ class _Lines(HTMLParser):
         if tag in _CLOSES:
             self.flush()
             self._close(_CLOSES[tag])
-        words = set()
+        words, hidden = set(), False
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                words.update(_WORDS.findall(v.lower()))
+                words.update(w.lower() for w in _WORDS.findall(v))
+            hidden |= k == "hidden" or k == "style" and "display:none" in (v or "").replace(" ", "").lower()
         if tag in _HEADINGS:
             words -= _HEADING_WORDS       # a title may well be classed as the header of its article
         content = tag in CONTENT_TAGS or tag in ("div", "section") and bool(words & CONTENT_WORDS)
-        skipped = tag in SKIP_TAGS or tag not in ("html", "body", "article", "main") and bool(words & SKIP_WORDS)
+        marked = bool(words & SKIP_WORDS) or any(len(w) > 6 and w.endswith(SKIP_ENDS) for w in words - _HEADING_WORDS)
+        if tag in _HEADINGS:
+            marked = bool(words & SKIP_WORDS)
+        elif tag in ("html", "body", "article", "main"):
+            marked = tag == "article" and bool(words & COMMENT_WORDS)
+        skipped = tag in SKIP_TAGS or hidden or marked
         if skipped:
             self.flush()
         self.serial += 1
         if content and not skipped:
             self.content.add(self.serial)
+            if tag == "article":
+                self.articles.add(self.serial)
         self.open.append((tag, self.serial, skipped))
         self.skipping += skipped
         self.tags += not self.skipping
@@ -190,8 +201,11 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5) -> str:
     level = cut * sum(ratio) / len(ratio)
     hot = [x for x, r in zip(pool, ratio, strict=True) if r >= level and x.plain] or pool
     if inside:
-        # the outermost content container of every line of a region
-        chosen = {next(n for n in x.path if n in parser.content) for x in hot}
+        # the outermost article of every line of a region, or content container where none holds any
+        held = [[n for n in x.path if n in parser.articles] for x in hot]
+        if not any(held):
+            held = [[n for n in x.path if n in parser.content] for x in hot]
+        chosen = {h[0] for h in held if h}
     else:
         chosen = {_common([x.path for x in hot])}
     return "\n".join(x.text for x in pool if 0 in chosen or chosen.intersection(x.path))

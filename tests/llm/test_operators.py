@@ -528,3 +528,17 @@ def test_surface_topics(spark):
     df = df.withColumn("s", mixing.surface(F.col("text")))
     got = [r.t for r in df.orderBy("doc_id").select(mixing.surface_topic(F.col("s")).alias("t")).collect()]
     assert got == ["table", "marked", "note", "article", "book", "note"]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<main><h1>Site</h1><article><p>" + "word " * 30 + "</p><P>a<em>b</em>c &nbsp; d</article><div>" + "other " * 5 + "</div></main>",
+     ("word " * 30).strip() + "\nabc d"),
+    ("<div id='mainContent'><p>" + "word " * 30 + "</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></div><div class='siteFooter'>f</div>",
+     ("word " * 30).strip() + "\nx\ny\n1\n2"),
+    ("<article><p>" + "word " * 30 + "</p><div style='display: none'>no</div><p hidden>no</p></article><article class='comment'><p>"
+     + "reader " * 30 + "</p></article>", ("word " * 30).strip()),
+    ("<body><div class='cookieBanner'>c</div><section class='post-content'>bare text<br/>more<p>" + "word " * 30
+     + "</p><pre>a\n  b</pre></section><div id=sidebar>s</div>", "bare text more\n" + ("word " * 30).strip() + "\na b"),
+])
+def test_html_layouts(page, want):
+    assert html_extract.extract(page) == want
