@@ -398,7 +398,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = linked(picked.join(rep, "sig").where("sid <> rep").groupBy("sid", "rep").agg(F.count("*").alias("c"))
                    .groupBy("sid").agg(F.max(F.struct("c", "rep")).alias("best"))
                    .select(F.col("sid").alias("a"), F.col("best.rep").alias("b")))
-    groups = cut(connected(links))
+    groups = connected(links)
 
     # segments that some set looks at and that hold several groups so far
     label = (met.join(picked.select("sig").distinct(), "sig", "left_semi").join(groups.toDF("sid", "group"), "sid", "left")
@@ -420,11 +420,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     many = rows.where(F.col("c") > SMALL)
     if not many.isEmpty():
         links = links.unionAll(_linked_in_tiles(many, shingles_of, bound))
-    groups = cut(connected(links))
+    groups = connected(links)
 
     least = sets.select("sid", "rep_doc").join(groups.toDF("sid", "group"), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
     roots = least.groupBy("group").agg(F.min("rep_doc").alias("component"))
-    of_set = cut(least.join(roots, "group").select(F.col("sid").alias("sid_"), "component"))
+    of_set = least.join(roots, "group").select(F.col("sid").alias("sid_"), "component")
     return (described.join(of_set, (F.col("sid") == F.col("sid_")) & F.col("doc_id").isNotNull(), "left")
                      .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
