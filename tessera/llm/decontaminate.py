@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_batches
+from tessera.llm.common import in_batches, lean
 
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -162,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, i_arrow), pa.array(dist, pa.int64())],
                     names=["doc_id", "item_id", "distance"])
 
-        return ready.mapInArrow(run, f"doc_id {d_kind}, item_id {i_kind.simpleString()}, distance long")
+        return ready.mapInArrow(lean(run), f"doc_id {d_kind}, item_id {i_kind.simpleString()}, distance long")
 
     return reduce(DataFrame.unionAll, map(scan, range(blocks)))
 
@@ -186,5 +186,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 keep = [not index.matches(t.as_py()) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = in_batches(docs).mapInArrow(run, docs.schema)
+        docs = in_batches(docs).mapInArrow(lean(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import in_batches
+from tessera.llm.common import in_batches, lean
 
 # Elements whose whole content is no article text.
 SKIP_TAGS = frozenset("""head script style noscript template nav header footer aside form button select option textarea
@@ -224,4 +224,4 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                  pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return (in_batches(pages).selectExpr(f"`{page_id}` AS page_id", f"`{url}` AS url", f"`{html}` AS html")
-                 .mapInArrow(run, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars long"))
+                 .mapInArrow(lean(run), f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars long"))

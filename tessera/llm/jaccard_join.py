@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, in_batches, slices
+from tessera.llm.common import cut, fresh, give_back, in_batches, lean, slices
 from tessera.llm.components import connected, least_labels
 from tessera.llm.words import LOWER, U, mix, shingle_sets
 
@@ -316,6 +316,7 @@ def _tile(bound: Bound):
         label = least_labels(len(sid), node[i[a]], node[j[b]])[node]
         some = np.unique(np.concatenate((i[a], j[b]))) if len(a) else i[:0]
         some = some[label[some] != node[some]]
+        give_back()
         return pd.DataFrame({"a": sid[some], "b": sid[label[some]]})
 
     return run
@@ -363,14 +364,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bound = Bound(percent)
     ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     kind = dict(docs.dtypes)[doc_id]
-    described = cut(ready.mapInArrow(_describe(words, bound), f"doc_id {kind}, n long, sid long, setting int"))
+    described = cut(ready.mapInArrow(lean(_describe(words, bound)), f"doc_id {kind}, n long, sid long, setting int"))
     sets = cut(described.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid")
                .agg(F.min("doc_id").alias("rep_doc"), F.max("n").alias("n"), F.max("setting").alias("setting")))
     settings = {r[0]: r[1] for r in sets.groupBy((F.length(F.bin("n")) - 1).cast("int")).agg(F.max("setting")).collect()}
 
-    signed = ready.where("doc_id IS NOT NULL").mapInArrow(_index(words, bound, settings), "sig long, sid long, slack int")
+    signed = ready.where("doc_id IS NOT NULL").mapInArrow(lean(_index(words, bound, settings)), "sig long, sid long, slack int")
     met = cut(signed.repartition("sig").sortWithinPartitions("sig")
-                    .mapInArrow(_shared, "sig long, sid long, slack int, sets long").distinct())
+                    .mapInArrow(lean(_shared), "sig long, sid long, slack int, sets long").distinct())
     costly = Window.partitionBy("sid").orderBy(F.desc("sets"), "sig")
     picked = cut(met.where("slack >= 0").withColumn("place", F.row_number().over(costly))
                     .where("place > slack").select("sig", "sid"))
@@ -380,7 +381,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """(sid, shingles) of the sets named, from the texts of one document each."""
         wanted = cut(sets.join(ids.select("sid").distinct(), "sid").select(F.col("rep_doc").alias("doc_id"), "sid"))
         return cut(ready.join(_sent(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-                        .mapInArrow(_members(words), "sid long, shingles binary")
+                        .mapInArrow(lean(_members(words)), "sid long, shingles binary")
                         .join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -389,7 +390,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                          .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
         full = shingles_of(pairs.select(F.col("a").alias("sid")).unionAll(pairs.select("b")))
         both = pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(_verify(bound), "a long, b long"))
+        return cut(both.mapInArrow(lean(_verify(bound)), "a long, b long"))
 
     # every set against the representative that it meets most
     central = met.groupBy("sid").agg(F.sum("sets").alias("meets"))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import in_batches, slices
+from tessera.llm.common import in_batches, lean, slices
 from tessera.llm.words import LOWER, ngrams, words_of
 
 MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -165,4 +165,4 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 names=["doc_id", "license", "coverage", "span_start", "span_end", "matched_words"])
 
     return (in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
-                .mapInArrow(run, f"doc_id {kind}, license string, coverage double, span_start long, span_end long, matched_words long"))
+                .mapInArrow(lean(run), f"doc_id {kind}, license string, coverage double, span_start long, span_end long, matched_words long"))

@@ -22,7 +22,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import in_batches
+from tessera.llm.common import in_batches, lean
 
 # Fixed patterns of the base rules: kind, pattern, group that is measured, its least length.
 BASE = (
@@ -139,4 +139,4 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                  *(pa.array(c, pa.string()) for c in cols[4:])],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    return in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(lean(run), f"doc_id {kind}, {SCHEMA}")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, in_batches
+from tessera.llm.common import cut, in_batches, lean
 
 #: Lexicon used where no labelled text is given.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "trash", "clown", "pathetic", "worthless", "disgusting")
@@ -154,7 +154,7 @@ def mine_lexicon(sample: DataFrame, positives: int, precision: float = 0.5, most
     z2 = F.when(F.col("gram").endswith("+"), 1.64 ** 2).otherwise(2.33 ** 2)
     n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     low = (share + z2 / (2 * n) - F.sqrt(z2 * (share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
-    found = (sample.select("text", "toxic").mapInArrow(_count_grams, "gram string, toxic long, clean long")
+    found = (sample.select("text", "toxic").mapInArrow(lean(_count_grams), "gram string, toxic long, clean long")
              .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .where((F.col("toxic") >= least) & (low >= precision))
              .orderBy(F.desc("toxic"), "gram").limit(rows).collect())
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     entries = mine_lexicon(sample, n[1])
     if not entries:
         return seeded
-    rows = sample.mapInArrow(_votes(entries), "votes array<int>, toxic int").collect()
+    rows = sample.mapInArrow(lean(_votes(entries)), "votes array<int>, toxic int").collect()
     x = np.zeros((len(rows), len(entries) + len(PATTERNS)))
     for i, r in enumerate(rows):
         x[i, r[0]] = 1.0
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             s = run_score(t.as_py() for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return (in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(run, f"doc_id {kind}, score double")
+    return (in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInArrow(lean(run), f"doc_id {kind}, score double")
                 .select("doc_id", held_out("doc_id").alias("held_out"), "score",
                         (F.col("score") >= threshold).cast("int").alias("predicted")))
 
@@ -296,4 +296,4 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             s = run_score(t.as_py() for t in batch.column(at))
             yield batch.filter(pa.array([x < threshold for x in s], pa.bool_()))
 
-    return in_batches(docs).mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -122,11 +122,13 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: S
         only = "block" if classes == {1.0} else "allow"
         return base.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     columns = [*NUMERIC, *[f"{s}_{k}" for s in SUFFIXES for k in ("rate", "seen")]]
+    train = assembled(sample).coalesce(2).select("label", *columns).persist()     # train_rows rows at most
     model = Pipeline(stages=[
         VectorAssembler(inputCols=columns, outputCol="features"),
         GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, maxBins=32,
                       stepSize=0.3, seed=7, cacheNodeIds=False),
-    ]).fit(assembled(sample).coalesce(2).select("label", *columns).persist())
+    ]).fit(train)
+    train.unpersist()
     scored = (model.transform(assembled(feats))
               .withColumn("p", vector_to_array("probability")[1]))
     return scored.select(
