@@ -113,12 +113,15 @@ class RowRule:
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def _type_ok(column: str, dtype: str, is_text: bool) -> Column:
-    """Whether a value can be read as the type. Of texts only those that look
-    like a number are cast: a failed cast costs far more than a pattern."""
+def _type_ok(column: str, dtype: str, kind: str) -> Column:
+    """Whether a value of type ``kind`` can be read as ``dtype``. Of texts only
+    those that look like a number are cast: a failed cast costs far more than a
+    pattern."""
     c = F.col(f"`{column}`")
-    if not is_text:
-        return c.cast("string").try_cast(dtype).isNotNull()
+    if kind == dtype:
+        return c.isNotNull()
+    if kind != "string":
+        return c.try_cast(dtype).isNotNull()
     pattern = INTEGER_TEXT if dtype in ("tinyint", "int", "bigint") else r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"
     return F.when(c.rlike(pattern), c.try_cast(dtype).isNotNull()).otherwise(F.lit(False))
 
@@ -143,7 +146,7 @@ def compile_rules(rules: DataFrame, df: DataFrame) -> tuple[list[RowRule], list[
               "domain": lambda: c.cast("string").isin(*json.loads(argument)),
               "not_future": lambda: c <= F.lit(dt.date.fromisoformat(argument)),
               "non_negative": lambda: c >= 0,
-              "type": lambda: _type_ok(column, argument, kinds[column] == "string"),
+              "type": lambda: _type_ok(column, argument, kinds[column]),
               "not_blank": lambda: F.length(F.trim(c)) > 0}.get(kind)
         if ok:
             row_rules.append(RowRule(name, ok()))
