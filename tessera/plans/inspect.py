@@ -5,23 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def estimated_bytes(df: DataFrame, optimized: bool = False) -> int | None:
-    """Catalyst's size estimate of the plan.
-
-    Without CBO the estimate is an upper bound: filters do not lower it,
-    joins multiply, projections scale by row width. The analysed plan (the
-    default) is already there, so the check costs no optimiser run; its bound
-    is looser than the optimised one. ``None`` where the plan cannot be
-    reached (e.g. Spark Connect).
-    """
-    try:
-        qe = df._jdf.queryExecution()
-        plan = qe.optimizedPlan() if optimized else qe.analyzed()
-        return int(str(plan.stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM handle available
-        return None
-
-
 def physical_plan(df: DataFrame) -> str:
     try:
         return str(df._jdf.queryExecution().executedPlan().toString())
