@@ -55,6 +55,10 @@ from tessera.llm.words import LOWER, U, mix, shingle_sets
 #: (shingles per segment at the band's upper end, are deletions indexed), cheapest first.
 SETTINGS = [(3.0, False), (2.5, False), (2.0, False), (1.5, False), (1.5, True), (1.0, True),
             *((2.0 ** -i, True) for i in range(1, 40))]
+#: From this setting on each one's segments are halves of the one's before; the
+#: settings up to it, by segment size.
+NESTED = 5
+TRIED = [(0,), (1,), (2,), (3, 4), (5,)]
 #: Ids up to this many are sent to every task; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Segments with more sets are compared in tiles.
@@ -132,23 +136,48 @@ class Sets:
         return self.g[at], owner
 
 
-def _needed_setting(s: Sets, bound: Bound) -> np.ndarray:
-    """Number of the first setting that gives each set the weight it needs."""
-    out = np.zeros(len(s.n), np.int32)
+def _weights_under(g: np.ndarray, owner: np.ndarray, n_sets: int, band: int, settings: tuple[int, ...]) -> list[np.ndarray]:
+    """Weight of each set under settings of one segment size."""
+    m = _segments(band, settings[0])
+    segment = (mix(g ^ U(0x51ED270B * (band + 1))) >> U(11)) % U(m)
+    if n_sets * m <= 16 * len(g) + 1024:
+        sizes = np.bincount(owner * m + segment.astype(np.int64), minlength=n_sets * m).reshape(n_sets, m)
+        return [(np.minimum(sizes, 2) if SETTINGS[k][1] else sizes > 0).sum(axis=1) for k in settings]
+    _, _, sizes, of, _, _ = _parts(g, owner, band, settings[0])
+    return [_weights(sizes, of, n_sets, SETTINGS[k][1]) for k in settings]
+
+
+def _failing_settings(s: Sets, bound: Bound) -> np.ndarray:
+    """Bit k: under setting k the set lacks the weight it needs. Settings of
+    different sizes split the shingles independently, so each is tried; from
+    ``NESTED`` on every setting halves the segments of the one before, and a set
+    with the weight it needs keeps it."""
+    out = np.zeros(len(s.n), np.int64)
     for band in np.unique(s.band):
-        left = np.flatnonzero(s.band == band)
-        for k, (_, deletions) in enumerate(SETTINGS):
-            g, owner = s.of(left)
-            _, _, sizes, of, _, _ = _parts(g, owner, int(band), k)
-            out[left] = k
-            left = left[_weights(sizes, of, len(left), deletions) <= bound.differ(s.n[left])]
+        here = np.flatnonzero(s.band == band)
+        g, owner = s.of(here)
+        most = bound.differ(s.n[here])
+        for settings in TRIED:
+            for k, weight in zip(settings, _weights_under(g, owner, len(here), int(band), settings), strict=True):
+                out[here] |= (weight <= most).astype(np.int64) << k
+        left = here[out[here] >> NESTED & 1 > 0]
+        for k in range(NESTED + 1, len(SETTINGS)):
             if not len(left):
                 break
-        else:
-            raise AssertionError("the finest setting has a shingle per segment")
+            g, owner = s.of(left)
+            left = left[_weights_under(g, owner, len(left), int(band), (k,))[0] <= bound.differ(s.n[left])]
+            out[left] |= 1 << k
     return out
 
 
+def _cheapest(failing: int) -> int:
+    """The first setting that fails for no set of a band."""
+    for k in range(len(SETTINGS)):
+        if not failing >> k & 1:
+            return k
+    raise ValueError("no setting gives every set of a band the weight it needs")
+
+
 def _signatures(s: Sets, bound: Bound, settings: dict[int, int], done: set[int]):
     """(signature, sid, slack) of sets not done yet; slack: the weight that a set
     may leave out where it looks for others, -1 where it is only found."""
@@ -164,7 +193,9 @@ def _signatures(s: Sets, bound: Bound, settings: dict[int, int], done: set[int])
             order, start, sizes, of, total, segment = _parts(g, owner, k, settings[k])
             slack = np.full(len(which), -1, np.int64)
             if own:
-                slack = _weights(sizes, of, len(which), False) - bound.differ(s.n[which]) - 1
+                slack = _weights(sizes, of, len(which), deletions) - bound.differ(s.n[which]) - 1
+                if (slack < 0).any():
+                    raise ValueError("a set lacks the weight to find the sets it links with")
                 if deletions:
                     slack[:] = 0                          # small sets look at everything
             yield mix(segment ^ total), s.sid[which][of], slack[of]
@@ -193,11 +224,11 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int):
 def _describe(words: int, bound: Bound):
     def run(batches):
         for batch, a, b, s in _texts(batches, words):
-            n, sid, setting = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, np.int32)
-            n[s.rows], sid[s.rows], setting[s.rows] = s.n, s.sid, _needed_setting(s, bound)
+            n, sid, failing = (np.zeros(b - a, np.int64) for _ in range(3))
+            n[s.rows], sid[s.rows], failing[s.rows] = s.n, s.sid, _failing_settings(s, bound)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(sid, mask=n == 0), pa.array(setting)],
-                names=["doc_id", "n", "sid", "setting"])
+                [batch.column(0).slice(a, b - a), pa.array(n), pa.array(sid, mask=n == 0), pa.array(failing)],
+                names=["doc_id", "n", "sid", "failing"])
 
     return run
 
@@ -364,10 +395,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bound = Bound(percent)
     ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     kind = dict(docs.dtypes)[doc_id]
-    described = cut(ready.mapInArrow(lean(_describe(words, bound)), f"doc_id {kind}, n long, sid long, setting int"))
+    described = cut(ready.mapInArrow(lean(_describe(words, bound)), f"doc_id {kind}, n long, sid long, failing long"))
     sets = cut(described.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid")
-               .agg(F.min("doc_id").alias("rep_doc"), F.max("n").alias("n"), F.max("setting").alias("setting")))
-    settings = {r[0]: r[1] for r in sets.groupBy((F.length(F.bin("n")) - 1).cast("int")).agg(F.max("setting")).collect()}
+               .agg(F.min("doc_id").alias("rep_doc"), F.max("n").alias("n"), F.bit_or("failing").alias("failing")))
+    settings = {r[0]: _cheapest(r[1]) for r in sets.groupBy((F.length(F.bin("n")) - 1).cast("int")).agg(F.bit_or("failing")).collect()}
 
     signed = ready.where("doc_id IS NOT NULL").mapInArrow(lean(_index(words, bound, settings)), "sig long, sid long, slack int")
     met = cut(signed.repartition("sig").sortWithinPartitions("sig")

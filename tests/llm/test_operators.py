@@ -365,6 +365,35 @@ def test_groups_with_a_chain_and_another_threshold(spark):
         assert got == {i: c for i, (_, c) in brute_groups(docs, percent).items()}
 
 
+def test_every_small_set_finds_its_partner(spark):
+    """Pairs of 4 to 31 shingles, the larger of each with as many more as 0.8
+    allows: each is a group of two."""
+    rnd = random.Random(6)
+    docs, want = [], {}
+    for i in range(6000):
+        n = rnd.randrange(4, 26)
+        words = [f"w{rnd.getrandbits(60):x}" for _ in range(n + 4 + n // 4)]
+        docs += [(2 * i, " ".join(words[:n + 4]), "a"), (2 * i + 1, " ".join(words), "a")]
+        want[2 * i] = want[2 * i + 1] = 2 * i
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs_df(spark, docs)).collect()}
+    assert got == want
+
+
+def test_settings_give_every_set_its_weight():
+    bound = jaccard_join.Bound(80)
+    for seed in range(20):
+        rnd = random.Random(seed)
+        s = jaccard_join.Sets([" ".join(f"w{rnd.getrandbits(60):x}" for _ in range(rnd.randrange(6, 36))) for _ in range(500)], 5)
+        failing = jaccard_join._failing_settings(s, bound)
+        for band in set(s.band.tolist()):
+            here = np.flatnonzero(s.band == band)
+            g, owner = s.of(here)
+            for k, (_, deletions) in enumerate(jaccard_join.SETTINGS[:12]):
+                _, _, sizes, of, _, _ = jaccard_join._parts(g, owner, band, k)
+                lacks = jaccard_join._weights(sizes, of, len(here), deletions) <= bound.differ(s.n[here])
+                assert (lacks == (failing[here] >> k & 1 > 0)).all()
+
+
 def test_drop_similar_keeps_one_of_each(spark):
     docs = near_copies(15, 12)
     docs += [docs[0], docs[0], (None, "no id at all", "s"), (None, "no id at all", "s"), (7001, None, "s"), (7002, None, "s")]
