@@ -3,7 +3,7 @@
 The standard library's parser streams events; they are folded into lines, one
 per block, each with its text, the tags it took and the container it lies in.
 Structural boilerplate (menus, asides, forms, scripts, ...) is left out by tag,
-role and class. Over the remaining lines the ratio of text (outside links) to tags is smoothed with
+role and class, inside a content container by whole names only. Over the remaining lines the ratio of text (outside links) to tags is smoothed with
 a Gaussian; lines above the threshold cluster into content regions. A region
 selects the content container it lies in (an article, a main part, or the
 smallest element that holds the region), and that container's lines are the
@@ -36,6 +36,17 @@ SKIP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements
     subscription signup login search popup modal overlay paywall widget widgets pagination complementary contentinfo""".split())
 SKIP_ENDS = ("nav", "menu", "sidebar", "footer", "header", "banner", "comments", "advert")
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
+# Inside a content container only whole names mark boilerplate: one of these words,
+# or one of them with further words of their kind (cookie-notice, related-posts).
+SURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising sponsored promo banner banners
+    nav navbar menu menus breadcrumb breadcrumbs sidebar sidebars cookie cookies gdpr comment comments commentlist commentform
+    disqus newsletter paywall popup modal pagination masthead""".split())
+_LEADS = SURE_WORDS | frozenset("related recommended share sharing social subscribe subscription signup login reply site page".split())
+_TAILS = frozenset("""notice notices consent list form box block area container wrapper section slot unit link links button buttons
+    icon icons bar post posts article articles footer header banner nav menu sidebar comments signup widget popup modal
+    overlay""".split())
+_SURE_IDS = frozenset("comments commentlist commentform disqus respond".split())
+_ROWS = frozenset("table caption thead tbody tfoot tr th td".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article main content post entry story".split())
 # Elements that begin and end a block.
@@ -52,6 +63,14 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADING_WORDS = frozenset("header masthead banner".split())
 
 
+def _sure(name: str) -> bool:
+    """Is a whole class or id name that of boilerplate?"""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if len(words) == 1:
+        return words[0] in SURE_WORDS
+    return len(words) > 1 and words[0] in _LEADS and all(w in _TAILS or w in SURE_WORDS for w in words[1:])
+
+
 @dataclass
 class Line:
     text: str
@@ -113,6 +132,8 @@ class _Lines(HTMLParser):
             marked = bool(words & SKIP_WORDS)
         elif tag in ("html", "body", "article", "main"):
             marked = tag == "article" and bool(words & COMMENT_WORDS)
+        if marked and tag not in ("article", "main") and any(n in self.content for _, n, _ in self.open):
+            marked = self._boilerplate_inside(tag, attrs)
         skipped = tag in SKIP_TAGS or hidden or marked
         if skipped:
             self.flush()
@@ -125,6 +146,27 @@ class _Lines(HTMLParser):
         self.skipping += skipped
         self.tags += not self.skipping
 
+    @staticmethod
+    def _boilerplate_inside(tag: str, attrs) -> bool:
+        """Does an element of a content container hold boilerplate? Ids of sections, rows and
+        headings are made of the article's own words."""
+        for k, v in attrs:
+            names = (v or "").split()
+            if k == "role" and any(x.lower() in SKIP_WORDS for x in names):
+                return True
+            if k == "class" and any(map(_sure, names)):
+                return True
+            if k == "id" and tag not in _HEADINGS and tag not in _ROWS:
+                if any(x.lower() in _SURE_IDS if tag == "section" else _sure(x) or x.lower() in _SURE_IDS for x in names):
+                    return True
+        return False
+
+    def parse_html_declaration(self, i: int) -> int:
+        """As browsers: a marked section is a bogus comment up to the next '>', whatever its name."""
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)       # as browsers: the slash closes nothing but void elements
 
@@ -186,11 +228,8 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5) -> str:
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:         # html.parser's word for a marked section it can't read: keep what came before
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:

@@ -148,6 +148,21 @@ def test_html_broken_pages_do_not_crash(page):
     assert isinstance(html_extract.extract(page), str)
 
 
+@pytest.mark.parametrize("mark", ["<![foo]>", "<![1]>", "<![if a < b]>", "<![endif]>", "<![ x>", "<![CDATA[x]]>", "<!x>", "<![if x>"])
+def test_html_marked_sections_lose_no_text(mark):
+    assert html_extract.extract(f"<article><p>one</p>{mark}<p>two</p></article>") == "one\ntwo"
+    assert html_extract.extract(f"<p>a {mark} then</p><p>rest</p>").split("\n") == ["a then", "rest"]
+
+
+def test_html_article_keeps_its_own_sections():
+    page = ('<article><h1>T</h1><p>First paragraph.</p><section id="discussion"><p>We discuss.</p></section>'
+            '<h2 id="search-algorithms">Search</h2><section id="related-work"><p>Others did.</p></section>'
+            '<table><tr class="header"><th>Name</th></tr><tr><td>x</td></tr></table><div class="notice">Mind this.</div>'
+            '<div class="ad">no</div><div class="cookie-notice">no</div><div id="comments">no</div><div class="relatedPosts">no</div>'
+            '<section class="comments">no</section><div role="search">no</div></article>')
+    assert html_extract.extract(page) == "T\nFirst paragraph.\nWe discuss.\nSearch\nOthers did.\nName\nx\nMind this."
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<article><p>" + "w " * 50_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(1))
