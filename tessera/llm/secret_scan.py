@@ -5,8 +5,8 @@ each run, one for every character class it can belong to; the counts of the
 window are updated by the character that enters and the one that leaves, and
 the sum of c * log2(c) with them, so a step costs the same whatever the window.
 Overlapping windows above the class's threshold merge into one span. Allow-list
-patterns suppress candidates of the entropy method; spans of the fixed patterns
-always stay.
+patterns suppress spans of the entropy method that they fit as a whole, or that
+are none without the parts they fit; spans of the fixed patterns always stay.
 
 A row is scanned by itself in one pass over its whole text; nothing is shuffled.
 """
@@ -42,22 +42,29 @@ class CharClass(NamedTuple):
 
 
 # Windows and thresholds by class. Random base64 of 24 characters has about 4.3
-# bits, random hex of 24 about 3.5; words of one case stay below 3.8 and are
-# held off by the digit and the two cases that a span must have.
+# bits, base36 about 4.1, base32 about 4.0, hex about 3.5; words of one case stay
+# below 3.8 and are held off by the digits or the two cases that a span must have.
 CLASSES = (
     CharClass("entropy_hex", re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0, (r"[0-9]", r"[a-fA-F]")),
     CharClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9, (r"[0-9]", r"[a-z]", r"[A-Z]")),
+    CharClass("entropy_lower", re.compile(r"[a-z0-9]{24,}"), 24, 3.6, (r"(?:[0-9][^0-9]*){2}", r"(?:[g-z][^g-z]*){4}")),
+    CharClass("entropy_upper", re.compile(r"[A-Z0-9]{24,}"), 24, 3.6, (r"(?:[0-9][^0-9]*){2}", r"(?:[G-Z][^G-Z]*){4}")),
 )
 KINDS = tuple(k for k, *_ in BASE) + tuple(c.kind for c in CLASSES)
 
-# Strings that look random and are known not to be secrets.
+_ALPHABET = "|".join("abcdefghijklmnopqrstuvwxyz"[:k] for k in range(26, 5, -1))
+# Spans that look random and are known not to be secrets. They are held against
+# the span that was found, or (words) a part of it between separators.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",   # UUID
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx",
-    r"(?i)abcdefgh|0123456789|12345678",
-    r"^(.{1,4})\1{3,}",                                                                  # a short unit again and again
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",      # UUID
+    r"(.{1,4})\1{3,}.{0,3}",                                                              # a short unit again and again
+)
+ALLOW_PARTS = (
+    r"(?i)(?:my|your|an?|the|is|this|key|token|secret|example|sample|placeholder|changeme|dummy|xxxx+)+[0-9]{0,2}",
+    rf"(?i)(?:{_ALPHABET}|01234567(?:89?)?|123456789?0?)+",
 )
 
+_PART = re.compile(r"[A-Za-z0-9]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 SCHEMA = ("n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
@@ -92,20 +99,36 @@ def entropy_spans(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str | None, classes=CLASSES, allow=ALLOW) -> list[tuple[str, int, int]]:
+def _spans(s: str, c: CharClass) -> list[tuple[int, int]]:
+    """Spans of a run that fulfil the class."""
+    if not all(re.search(p, s) for p in c.needs):
+        return []
+    return [(a, b) for a, b in entropy_spans(s, c.window, c.bits) if all(re.search(p, s[a:b]) for p in c.needs)]
+
+
+def _is_allowed(span: str, c: CharClass, allow, parts) -> bool:
+    """Is the span as a whole known, or without a span once its known parts are out?"""
+    if any(re.fullmatch(p, span) for p in allow):
+        return True
+    rest, start = [], 0
+    for m in _PART.finditer(span):
+        if any(re.fullmatch(p, m[0]) for p in parts):
+            rest.append(span[start:m.start()])
+            start = m.end()
+    return bool(rest) and not any(_spans(x, c) for x in (*rest, span[start:]))
+
+
+def scan(text: str | None, classes=CLASSES, allow=ALLOW, parts=ALLOW_PARTS) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text by start, then kind as in KINDS."""
     if not text:
         return []
     found = [(kind, m.start(), m.end()) for kind, pattern, group, least in BASE
              for m in pattern.finditer(text) if len(m[group]) >= least]
-    allowed = [re.compile(p) for p in allow]
     for m in _CANDIDATE.finditer(text):
-        if any(p.search(m[0]) for p in allowed):
-            continue
         for c in classes:
             for run in c.member.finditer(m[0]):
-                for a, b in entropy_spans(run[0], c.window, c.bits):
-                    if all(re.search(p, run[0][a:b]) for p in c.needs):
+                for a, b in _spans(run[0], c):
+                    if not _is_allowed(run[0][a:b], c, allow, parts):
                         found.append((c.kind, m.start() + run.start() + a, m.start() + run.start() + b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

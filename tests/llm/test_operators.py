@@ -477,6 +477,24 @@ def test_secret_spans(spark):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_allow_list_drops_known_spans_only():
+    rnd = random.Random(77)
+    full = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda chars, n=40: "".join(rnd.choice(chars) for _ in range(n))
+    for _ in range(20):
+        for lead in ("SAMPLE_KEY=", "/srv/example/keys/", "----", "====", "AAAA", ""):
+            text = lead + key(full)
+            spans = [x for x in secret_scan.scan(text) if x[0] == "entropy_base64"]
+            assert spans and max(b for _, _, b in spans) >= len(lead) + 24
+    for kind, chars in (("entropy_lower", full[:26] + full[52:]), ("entropy_upper", full[26:52] + "234567")):
+        # one token in a thousand has too few digits
+        assert sum(any(k == kind for k, _, _ in secret_scan.scan("x " + key(chars))) for _ in range(200)) >= 197
+    assert secret_scan.scan(key(full, 100_000)) != []
+    for known in (full, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "0123456789abcdefghijklmnopqrstuvwxyz",
+                  "YOUR-SAMPLE-token-Example1-placeholder2"):
+        assert [x for x in secret_scan.scan(known) if x[0].startswith("entropy")] == [], known
+
+
 # ------------------------------------------------------------------ 8 licenses
 
 def test_license_spans_and_coverage(spark):
