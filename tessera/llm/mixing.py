@@ -99,7 +99,8 @@ def with_probability(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     ``keep`` is the share of all tokens that the sample shall hold. NULL and
     unlisted categories count as "other", with the target that the listed ones
-    leave (0 if their targets sum to 1). A text without words has no weight in
+    leave; if their targets sum to 1, "other" has its share of the tokens and the
+    listed ones share the rest. Only a target of 0 for "other" drops it. A text without words has no weight in
     the table and the probability of its cell. Copies of a row share its fate; a
     NULL id is decided by its text.
     """
@@ -112,9 +113,14 @@ def with_probability(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                .withColumn(c[2], _category(F.col(c[2]), topics)).drop(look))
     rows = counted.groupBy(*c).agg(F.sum(n)).collect()
     margins = []
-    for t in (sources, languages, topics):
+    total = sum(r[3] or 0 for r in rows)
+    for j, t in enumerate((sources, languages, topics)):
         listed = sum(t.values())
-        margins.append({**t, OTHER: t.get(OTHER, max(0.0, 1.0 - listed) if listed < 1 - 1e-9 else 0.0)})
+        if OTHER in t or listed < 1 - 1e-9:
+            margins.append({**t, OTHER: t.get(OTHER, 1.0 - listed)})
+        else:
+            seen = sum(r[3] or 0 for r in rows if r[j] == OTHER) / total if total else 0.0
+            margins.append({**{k: v * (1.0 - seen) for k, v in t.items()}, OTHER: seen})
     number = [{k: i for i, k in enumerate(m)} for m in margins]
     rows = [r for r in rows if r[3]]
     if rows:

@@ -584,6 +584,17 @@ def test_mixing_rows(spark):
     assert mixing.with_probability(df.limit(0), **kw).count() == 0
 
 
+def test_mixing_keeps_unlisted_categories(spark):
+    rows = [(i, "some words of a text", ["a", "b", "new", None][i % 4]) for i in range(400)]
+    kw = dict(languages={"en": 1.0}, topics={"note": 1.0}, keep=0.5)
+    out = mixing.with_probability(docs_df(spark, rows), sources={"a": 0.5, "b": 0.5}, **kw).collect()
+    for named in ({"a"}, {"b"}, {"new", None}):
+        part = [r.probability for r in out if r.source in named]
+        assert sum(part) / len(part) == pytest.approx(0.5, rel=1e-6)
+    out = mixing.with_probability(docs_df(spark, rows), sources={"a": 0.5, "b": 0.5, "other": 0.0}, **kw).collect()
+    assert {r.probability for r in out if r.source in ("new", None)} == {0.0}
+
+
 def test_surface_topics(spark):
     texts = ["a | b | c | d", "a%%% b*** c###", "word " * 10, "word " * 500, "word " * 2000, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
