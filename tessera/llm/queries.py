@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, mixing, secret_scan, toxicity, url_filter
-from tessera.llm.common import table
+from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, merkle, mixing, secret_scan, token_counts, toxicity, url_filter
+from tessera.llm.common import ascii_lower, table
 
 QUERIES = {}
 ORACLE = {}
@@ -74,3 +74,18 @@ def toxicity_model(spark, sf_dir):
 @query
 def op1_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                            key="doc_id", group="lang", where=tampered, changed={"text": ascii_lower("text")})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
+@query
+def op13_token_counts(spark, sf_dir):
+    import public_tokenizers      # the files' place is a matter of the machine the driver runs on
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
