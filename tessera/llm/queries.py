@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan, line_dedup, merkle, mixing, secret_scan, token_counts, toxicity, url_filter
+from tessera.llm import (conversation_repair, decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan,
+                         line_dedup, merkle, mixing, secret_scan, token_counts, toxicity, url_filter)
 from tessera.llm.common import ascii_lower, table
 
 QUERIES = {}
@@ -76,6 +77,13 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return (conversation_repair.repair(conversation_repair.damage(rows), ids=rows)
+            .withColumnRenamed("sha256", "repaired_sha256").drop("repaired"))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
