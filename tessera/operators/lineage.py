@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.json import is_a, is_string_list, items, kind, member, with_strict_variant
 from tessera.functions.text import strip_code_fence
+from tessera.operators import reach
 from tessera.session import cut_lineage
 
 STRINGS = T.ArrayType(T.StringType())
@@ -165,38 +166,62 @@ def roots_and_sinks(edges: DataFrame) -> DataFrame:
     return flags.select("dataset", role.alias("role")).where(F.col("role").isNotNull())
 
 
+def _inner_and_direct(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges as (dataset, node): those whose source is written somewhere, and
+    those that read a base table."""
+    e = cut_lineage(edges.select(F.col("output").alias("dataset"), F.col("source").alias("node")).distinct())
+    written = e.select(F.col("dataset").alias("node")).distinct()
+    inner = e.where("dataset <> node").join(written, "node", "left_semi").select("dataset", "node")
+    return inner, e.join(written, "node", "left_anti").select("dataset", F.col("node").alias("base"))
+
+
+def lineage_cycles(edges: DataFrame) -> DataFrame:
+    """Datasets that are built from themselves: (dataset, component), the
+    component being the least dataset of its cycles; a step that reads what it
+    writes is a cycle of one."""
+    inner, _ = _inner_and_direct(edges)
+    own = edges.where("source = output").select(F.col("output").alias("dataset"), F.col("output").alias("component")).distinct()
+    found = reach.cycles(inner)
+    return own if found is None else found.unionByName(own.join(found, "dataset", "left_anti"))
+
+
 def closure_to_base(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(dataset, base table) pairs with a path base -> .. -> dataset.
 
-    With ``targets`` (a column ``dataset``) the walk starts from these datasets
-    and goes up only their own lineage; without, it covers every dataset.
+    With ``targets`` (a column ``dataset``) the pairs of these datasets only.
 
-    Semi-naive iteration from the datasets upwards: a round moves the pairs
-    (dataset, reached node) found last one edge up, and ``left_anti`` drops the
-    pairs known already, which ends the walk on cycles. Edges are partitioned on
-    their join key once; every round is written to the checkpoint folder, and
-    the known pairs are written together as one table after each eight rounds,
-    so a plan has at most eight leaves of them whatever the depth. The driver
-    sees one boolean a round.
+    Datasets on a common cycle have the same bases, so cycles are collapsed; what
+    is left is doubled (see ``reach``): after round k the bases within 2^k steps
+    are known, so rounds grow with the logarithm of the depth. Without targets
+    only pairs with bases are kept on the way; with targets the datasets that each
+    of them reaches, which then meet the tables read directly.
     """
-    e = cut_lineage(edges.select("source", "output").distinct().repartition("output"))
-    starts = e.select(F.col("output").alias("dataset")).distinct()
-    if targets is not None:
-        starts = starts.join(targets.select("dataset").distinct(), "dataset", "left_semi")
-    up = lambda f: (f.join(e, f["node"] == e["output"])
-                    .select("dataset", F.col("source").alias("node")).distinct())
-    pair = ["dataset", "node"]
-    frontier = cut_lineage(up(starts.select("dataset", F.col("dataset").alias("node"))))
-    known, loose = frontier, 1
-    while True:
-        frontier = cut_lineage(up(frontier).join(known, pair, "left_anti"))
-        if frontier.isEmpty():
-            break
-        known, loose = known.unionByName(frontier), loose + 1
-        if loose == 8:
-            known, loose = cut_lineage(known.repartition(*pair)), 1
-    inner = e.select(F.col("output").alias("node")).distinct()
-    return known.join(inner, "node", "left_anti").select("dataset", F.col("node").alias("base"))
+    inner, direct = _inner_and_direct(edges)
+    tables, ended = reach.walks(inner)
+    component = None if ended else reach.cycles(inner, tables)
+    if component is not None:
+        tables, _ = reach.walks(reach.collapsed(inner, component, "dataset", "node").where("dataset <> node"))
+        direct = reach.collapsed(direct, component, "dataset")
+    direct = cut_lineage(direct)
+    if targets is None:
+        found = direct
+        for w in tables:
+            found = cut_lineage(found.unionByName(reach.then(w, found)).distinct())
+    else:
+        wanted = targets.select("dataset").distinct()
+        if component is not None:
+            wanted = reach.collapsed(wanted, component, "dataset")
+        up = wanted.select("dataset", F.col("dataset").alias("node"))
+        for w in tables:
+            up = cut_lineage(up.unionByName(reach.then(up, w)).distinct())
+        found = reach.then(up, direct).distinct()
+    if component is not None:
+        members = found.join(component.withColumnRenamed("dataset", "__member"), F.col("dataset") == F.col("component"))
+        found = (found.join(component.select("dataset"), "dataset", "left_anti")
+                 .unionByName(members.select(F.col("__member").alias("dataset"), "base")))
+        if targets is not None:
+            found = found.join(targets.select("dataset").distinct(), "dataset", "left_semi")
+    return found.select("dataset", "base")
 
 
 def missing_from_lineage(refs: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -188,6 +188,24 @@ r(dataset, base) AS (
   SELECT e.output, r.base FROM r JOIN e ON r.dataset = e.source)
 SELECT dataset, base FROM r"""
 
+
+_LINE = """e AS (
+  SELECT DISTINCT source, output FROM (
+    SELECT 'ord_' || l_orderkey || '_' || (l_linenumber - 1) AS source, 'ord_' || l_orderkey || '_' || l_linenumber AS output FROM lineitem
+    UNION ALL SELECT 'raw_' || lower(replace(l_shipmode, ' ', '_')), 'ord_' || l_orderkey || '_' || l_linenumber FROM lineitem
+    UNION ALL SELECT 'ord_' || l_orderkey || '_' || l_linenumber, 'ord_' || l_orderkey || '_1' FROM lineitem WHERE l_quantity > 45)),
+r(dataset, node) AS (
+  SELECT output, source FROM e
+  UNION
+  SELECT r.dataset, e.source FROM r JOIN e ON r.node = e.output)"""
+
+LINEAGE_CYCLES = f"""WITH RECURSIVE {_LINE}
+SELECT a.dataset, min(a.node) AS component FROM r a JOIN r b ON a.dataset = b.node AND a.node = b.dataset GROUP BY a.dataset"""
+
+LINEAGE_CYCLIC_CLOSURE = f"""WITH RECURSIVE {_LINE}
+SELECT dataset, node AS base FROM r WHERE node NOT IN (SELECT output FROM e)"""
+
+
 def _script_rows(which: int, rows: list[tuple[str, int, str]]) -> list[str]:
     return [f"SELECT doc_id, '{role}' AS role, {block} AS block_no, {name} AS dataset FROM documents WHERE doc_id % 4 = {which}"
             for role, block, name in rows]

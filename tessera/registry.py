@@ -320,6 +320,16 @@ def q_lineage_closure(spark, sf_dir):
     return LN.closure_to_base(D.lineage_tree_edges(_t(spark, sf_dir).part))
 
 
+@register("q_lineage_cycles", DS.LINEAGE_CYCLES)
+def q_lineage_cycles(spark, sf_dir):
+    return LN.lineage_cycles(D.lineage_line_edges(_t(spark, sf_dir).lineitem))
+
+
+@register("q_lineage_cyclic_closure", DS.LINEAGE_CYCLIC_CLOSURE)
+def q_lineage_cyclic_closure(spark, sf_dir):
+    return LN.closure_to_base(D.lineage_line_edges(_t(spark, sf_dir).lineitem))
+
+
 @register("q_lineage_quarantine", DS.LINEAGE_QUARANTINE)
 def q_lineage_quarantine(spark, sf_dir):
     return LN.quarantine(LN.parse_lineage(D.lineage_answers(_t(spark, sf_dir).orders))).select("doc_id", "error")
