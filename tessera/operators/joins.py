@@ -7,7 +7,12 @@ rows without one, which match nothing. (As a second, separate key the salt
 would be folded away, because it is a constant on the dimension's side.)
 
 No broadcast is hinted: adaptive execution decides it from measured sizes, and
-splits hot keys of sort-merge joins.
+splits hot keys of a single sort-merge join. In a chain of joins on one key it
+can do so only at the first, so keys known to be hot (``hot_keys``, a mergeable
+sketch of the fact's keys) take a salt as well: their fact rows are dealt to
+``HOT_SALTS`` places by a hash of the row and their few dimension rows are
+repeated once for each. The sketch only says where to salt; the result does not
+depend on it.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql import functions as F
 
 # salt range for fact rows without a key
 NULL_SPREAD = 1024
+# places that the rows of a hot key are dealt to
+HOT_SALTS = 64
 
 
 class Lookup(NamedTuple):
@@ -28,31 +35,62 @@ class Lookup(NamedTuple):
     keep: Sequence[str]       # columns that it adds
 
 
-def spread_key(fact: DataFrame, key: str, spread: int = NULL_SPREAD) -> Column:
+def hot_keys(fact: DataFrame, keys: Sequence[str], share: float = 0.01, tracked: int = 1 << 14) -> dict[str, list]:
+    """For each key column the values on more than ``share`` of the rows.
+
+    One pass, with a sketch of at most ``tracked`` counters per column and task
+    (frequent items, merged like partial sums): a value above the share is never
+    missed as long as 3.5 / tracked is below it. At most 1 / share values a column
+    come to the driver. NULL is no value here: such rows are spread anyway.
+    """
+    if not 4 / tracked < share < 1:
+        raise ValueError(f"a share of {share} is beyond {tracked} counters")
+    top = int(2 / share)
+    row = fact.agg(F.count("*").alias("n"), *(
+        F.expr(f"approx_top_k(`{k}`, {min(top, tracked)}, {tracked})").alias(f"t{i}") for i, k in enumerate(keys))).first()
+    return {k: sorted(x["item"] for x in row[f"t{i}"] or [] if x["item"] is not None and x["count"] > share * row["n"])
+            for i, k in enumerate(keys)}
+
+
+def _row_hash(fact: DataFrame, places: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(places)).cast("int") + 1
+
+
+def spread_key(fact: DataFrame, key: str, spread: int = NULL_SPREAD, hot: Sequence = (), salts: int = HOT_SALTS) -> Column:
     """(key, salt): the salt is a hash of the row, so a retried task sends each
     row to the same place."""
-    row_hash = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(spread)).cast("int") + 1
-    return F.struct(F.col(key).alias("k"), F.when(F.col(key).isNull(), row_hash).otherwise(F.lit(0)).alias("s"))
+    salt = F.when(F.col(key).isNull(), _row_hash(fact, spread))
+    if hot:
+        salt = salt.when(F.col(key).isin(*hot), _row_hash(fact, salts))
+    return F.struct(F.col(key).alias("k"), salt.otherwise(F.lit(0)).alias("s"))
+
+
+def _salted_dim(look: Lookup, name: str, hot: Sequence, salts: int) -> DataFrame:
+    """The dimension under its (key, salt), rows of hot keys once for each salt."""
+    dim = look.dim.where(F.col(look.key).isNotNull())
+    if not hot:
+        return dim.select(F.struct(F.col(look.key).alias("k"), F.lit(0).alias("s")).alias(name), *look.keep)
+    places = F.when(F.col(look.key).isin(*hot), F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(0)))
+    return (dim.select(F.col(look.key).alias("__k"), *look.keep, F.explode(places).alias("__s"))
+            .select(F.struct(F.col("__k").alias("k"), F.col("__s").alias("s")).alias(name), *look.keep))
 
 
 def lookup_all(fact: DataFrame, fact_key: str, lookups: Sequence[Lookup],
-               spread: int = NULL_SPREAD) -> DataFrame:
+               spread: int = NULL_SPREAD, hot: Sequence = (), salts: int = HOT_SALTS) -> DataFrame:
     """Several ``LEFT JOIN dim ON fact.fact_key = dim.key``, one after another.
 
     The struct key is made once, so the joins share one partitioning of the
-    fact side. Fan-out is kept: a key with two dimension rows doubles the fact
-    row, as in SQL.
+    fact side, in which the rows of ``hot`` keys are dealt to many places. Fan-out
+    is kept: a key with two dimension rows doubles the fact row, as in SQL.
     """
-    out = fact.withColumn("__key", spread_key(fact, fact_key, spread))
+    out = fact.withColumn("__key", spread_key(fact, fact_key, spread, hot, salts))
     for i, look in enumerate(lookups):
         k = f"__k{i}"
-        dim = (look.dim.where(F.col(look.key).isNotNull())
-               .select(F.struct(F.col(look.key).alias("k"), F.lit(0).alias("s")).alias(k), *look.keep))
-        out = out.join(dim, F.col("__key") == F.col(k), "left").drop(k)
+        out = out.join(_salted_dim(look, k, hot, salts), F.col("__key") == F.col(k), "left").drop(k)
     return out.drop("__key")
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                keep: Sequence[str], spread: int = NULL_SPREAD) -> DataFrame:
+                keep: Sequence[str], spread: int = NULL_SPREAD, hot: Sequence = ()) -> DataFrame:
     """``fact LEFT JOIN dim ON fact.fact_key = dim.dim_key``, adding ``keep``."""
-    return lookup_all(fact, fact_key, [Lookup(dim, dim_key, keep)], spread)
+    return lookup_all(fact, fact_key, [Lookup(dim, dim_key, keep)], spread, hot)

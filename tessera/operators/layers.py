@@ -153,20 +153,26 @@ def _amount_if(txn_type: str) -> Column:
     return F.when(F.col("txn_type") == txn_type, F.col("amount")).otherwise(F.lit(0))
 
 
-def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
-    d = _dims(v, p)
-    t = u.select("customer_id", "account_id", "account_type", "txn_id", "amount",
-                 "txn_type", "txn_date", "merchant_id")
-    t = lookup_all(t, "customer_id", [                                               # J6, J7, J12, J13
+# columns of the union that the later layers use
+USED = ("customer_id", "account_id", "account_type", "txn_id", "amount", "txn_type", "txn_date", "merchant_id")
+
+
+def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT, hot: dict[str, list] | None = None,
+                      dims: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Q3 with NULL regions kept. ``hot``: values by key column that many rows
+    share (``joins.hot_keys``); ``dims``: dimensions that replace the usual ones."""
+    d, hot = {**_dims(v, p), **(dims or {})}, hot or {}
+    t = lookup_all(u.select(*USED), "customer_id", [                                 # J6, J7, J12, J13
         Lookup(d["seg"], "customer_id", ["segment_name"]),
         Lookup(d["region"], "cust_id", ["region"]),
         Lookup(d["credit"], "customer_id", ["external_credit_score"]),
-        Lookup(d["sanctions"], "customer_id", ["sanctions_hit"])])
+        Lookup(d["sanctions"], "customer_id", ["sanctions_hit"])], hot=hot.get("customer_id", ()))
     t = lookup_all(t, "account_id", [                                                # J8, J9
         Lookup(d["product"], "account_id", ["product_name", "product_category"]),
-        Lookup(d["branch"], "account_id", ["branch_name", "branch_region"])])
-    t = lookup_join(t, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"])   # J10
-    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"])               # J11
+        Lookup(d["branch"], "account_id", ["branch_name", "branch_region"])], hot=hot.get("account_id", ()))
+    t = lookup_join(t, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"],   # J10
+                    hot=hot.get("merchant_id", ()))
+    t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"], hot=hot.get("txn_id", ()))   # J11
     out = (t.groupBy(*NESTED_KEYS)                                                   # A10
            .agg(F.sum(_amount_if("DEBIT")).alias("total_debit"),
                 F.sum(_amount_if("CREDIT")).alias("total_credit"),
@@ -191,7 +197,7 @@ def nested_layer(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- Q4
 
-def summary_from_nested(n: DataFrame, v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
+def summary_from_nested(n: DataFrame, v: BankViews, p: RunParams = DEFAULT, risk: DataFrame | None = None) -> DataFrame:
     """``n`` has ``region_raw``; the final grouping merges NULL and 'UNKNOWN'."""
     n = n.withColumn("region", unknown_if_null("region_raw"))
     agg = (n.groupBy(*SUMMARY_KEYS)                                                  # A11
@@ -203,7 +209,7 @@ def summary_from_nested(n: DataFrame, v: BankViews, p: RunParams = DEFAULT) -> D
                 F.sum(F.when(F.col("fraud_flag") == "Y", 1).otherwise(0))
                 .cast("bigint").alias("fraud_txn_count"),                            # A8
                 F.max("sanctions_hit").alias("sanctions_match")))
-    out = lookup_join(agg, risk_by_customer(v.risk_assessment, p),
+    out = lookup_join(agg, risk_by_customer(v.risk_assessment, p) if risk is None else risk,
                       "customer_id", "customer_id", ["risk_score"])                   # J14
     return out.select(*SUMMARY_COLUMNS)
 

@@ -7,12 +7,13 @@ Every length is a sum of different powers of two, hence any property that
 passes along a walk (a mark, a least label, the bases found) is carried over the
 whole graph by one join per table.
 
-A graph without cycles runs out of walks at its depth. One that still has walks
-as long as it has datasets holds a cycle. Its strongly connected components are
-found by colours: every dataset takes the least (hashed) name it reaches, and the
-datasets of one colour that the colour's own dataset reaches are a component. A
-component shows itself if its colour is the least that it reaches; hashed names
-make that so for all after an expected logarithmic number of passes.
+A graph without cycles runs out of walks at its depth. If from one table to the
+next no dataset drops out, none ever will (a finite depth would pass through all
+the depths below it), so the rest reaches a cycle. Strongly connected components
+are found there by colours: every dataset takes the least (hashed) name it
+reaches, and the datasets of one colour that the colour's own dataset reaches are
+a component. A component shows itself if its colour is the least that it reaches;
+hashed names make that so for all after an expected logarithmic number of passes.
 
 Each table is written to the checkpoint folder. Names that most edges share are
 split by adaptive execution (both sides of the joins are shuffled, nothing is
@@ -42,15 +43,12 @@ def then(a: DataFrame, b: DataFrame) -> DataFrame:
 def walks(edges: DataFrame) -> tuple[list[DataFrame], bool]:
     """Tables (dataset, node) of walks of exactly 1, 2, 4, .. edges, as long as
     there are any, and whether they ended (no cycle)."""
-    tables, length = [], 1
+    tables, before = [], None
     now = cut_lineage(edges.select("dataset", "node").distinct())
-    most = now.select("dataset").distinct().count()
-    while not now.isEmpty():
+    while (n := now.select("dataset").distinct().count()) not in (0, before):
         tables.append(now)
-        if length >= max(most, 1):
-            return tables, False
-        now, length = cut_lineage(then(now, now).distinct()), 2 * length
-    return tables, True
+        now, before = cut_lineage(then(now, now).distinct()), n
+    return (tables, True) if n == 0 else ([*tables, now], False)
 
 
 def _among(df: DataFrame, names: DataFrame, how: str, *cols: str) -> DataFrame:
@@ -61,35 +59,55 @@ def _among(df: DataFrame, names: DataFrame, how: str, *cols: str) -> DataFrame:
     return out.select(*df.columns)       # a join by name puts that name first
 
 
+def _least_reached(doubled: list[DataFrame], names: DataFrame) -> DataFrame:
+    """(dataset, c): the least (hash, name) that a dataset reaches, itself included.
+    ``doubled`` grows by as many tables as that takes."""
+    colour = names.select("dataset", F.struct(F.xxhash64("dataset").alias("h"), F.col("dataset").alias("of")).alias("c"))
+    k = 0
+    while True:
+        if k == len(doubled):
+            doubled.append(cut_lineage(then(doubled[-1], doubled[-1]).distinct()))
+        colour = cut_lineage(colour.unionByName(then(doubled[k], colour)).groupBy("dataset").agg(F.min("c").alias("c")))
+        k += 1
+        better = then(doubled[0], colour).join(_renamed(colour, "dataset", "own"), "dataset").where("c < own")
+        if better.isEmpty():
+            return colour
+
+
+def _reached_by_own(doubled: list[DataFrame], colour: DataFrame) -> DataFrame:
+    """(dataset, c): datasets that the dataset of their colour reaches."""
+    own = _renamed(colour, "dataset", "own")
+    marked, n, k = colour.where(F.col("c.of") == F.col("dataset")), 0, 0
+    while True:
+        for w in {0: doubled[0], k: doubled[min(k, len(doubled) - 1)]}.values():
+            down = w.select(F.col("node").alias("dataset"), F.col("dataset").alias("node"))
+            stepped = then(down, _renamed(marked, "node", "c")).join(own, "dataset").where(F.col("c") == F.col("own"))
+            marked = marked.unionByName(stepped.select("dataset", "c"))
+        marked = cut_lineage(marked.distinct())
+        before, n = n, marked.count()
+        if n == before:
+            return marked
+        k += 1
+
+
 def cycles(edges: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame | None:
     """(dataset, component) of the datasets on cycles of more than one, None if
     there are none; the component is its least dataset. ``tables`` are the walks of
-    ``edges`` where they are known already."""
+    ``edges`` where they are known already and don't end."""
     ended, found = False, None
     if tables is None:
         tables, ended = walks(edges)
     while not ended:
-        first, last = tables[0], tables[-1]
-        # on a cycle, or between two: so far up and so far down
+        # what reaches a cycle, and is reached from as far as the last walks go
+        last = tables[-1]
         middle = cut_lineage(last.select("dataset").intersect(last.select("node")))
-        if middle.isEmpty():
-            break
-        inside = [_among(w, middle, "left_semi", "dataset", "node") for w in tables]
-        colour = middle.select("dataset", F.struct(F.xxhash64("dataset").alias("h"), F.col("dataset").alias("of")).alias("c"))
-        for w in inside:
-            colour = cut_lineage(colour.unionByName(then(w, colour)).groupBy("dataset").agg(F.min("c").alias("c")))
-        marked = colour.where(F.col("c.of") == F.col("dataset"))
-        for w in inside:
-            back = w.select(F.col("node").alias("dataset"), F.col("dataset").alias("node"))
-            stepped = then(back, _renamed(marked, "node", "c"))
-            own = _renamed(colour, "dataset", "own")
-            marked = cut_lineage(marked.unionByName(
-                stepped.join(own, "dataset").where(F.col("c") == F.col("own")).select("dataset", "c")).distinct())
+        doubled = [cut_lineage(_among(tables[0], middle, "left_semi", "dataset", "node"))]
+        colour = _least_reached(doubled, middle)
+        marked = _reached_by_own(doubled, colour)
         least = marked.groupBy("c").agg(F.min("dataset").alias("component"), F.count("*").alias("n"))
         part = marked.join(least, "c").where("n > 1").select("dataset", "component")
         found = part if found is None else found.unionByName(part)
-        left = _among(first, marked, "left_anti", "dataset", "node")
-        tables, ended = walks(left)
+        tables, ended = walks(_among(doubled[0], marked, "left_anti", "dataset", "node"))
     return None if found is None else cut_lineage(found)
 
 

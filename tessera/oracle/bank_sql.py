@@ -177,3 +177,17 @@ def with_layers(select: str, p: RunParams = DEFAULT) -> str:
 
 def with_bank(select: str, p: RunParams = DEFAULT) -> str:
     return f"WITH {bank_ctes(p)}\n{select}"
+
+
+def exact_risk(p: RunParams = DEFAULT) -> str:
+    """CTE exact_risk (customer_id, risk_score): the average without regard to the
+    order of the rows, from whole multiples of 2^-30 and the rest in 2^-83."""
+    return f"""
+cut_scores AS (
+  SELECT customer_id, score, floor(score * 1073741824::DOUBLE) AS whole, score * 1073741824::DOUBLE AS scaled
+  FROM b_risk_assessment WHERE as_of_date = {d(p.risk_as_of)}),
+exact_risk AS (
+  SELECT customer_id, (sum(CAST(whole AS HUGEINT))::DOUBLE * power(2::DOUBLE, -30)
+                       + sum(CAST(floor((scaled - whole) * 9007199254740992::DOUBLE) AS HUGEINT))::DOUBLE * power(2::DOUBLE, -83))
+                      / count(score)::DOUBLE AS risk_score
+  FROM cut_scores GROUP BY customer_id)"""

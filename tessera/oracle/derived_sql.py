@@ -192,7 +192,7 @@ SELECT dataset, base FROM r"""
 _LINE = """e AS (
   SELECT DISTINCT source, output FROM (
     SELECT 'ord_' || l_orderkey || '_' || (l_linenumber - 1) AS source, 'ord_' || l_orderkey || '_' || l_linenumber AS output FROM lineitem
-    UNION ALL SELECT 'raw_' || lower(replace(l_shipmode, ' ', '_')), 'ord_' || l_orderkey || '_' || l_linenumber FROM lineitem
+    UNION ALL SELECT 'raw_' || l_suppkey, 'ord_' || l_orderkey || '_' || l_linenumber FROM lineitem
     UNION ALL SELECT 'ord_' || l_orderkey || '_' || l_linenumber, 'ord_' || l_orderkey || '_1' FROM lineitem WHERE l_quantity > 45)),
 r(dataset, node) AS (
   SELECT output, source FROM e

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import remove_aliases, strip_code_fence
+from tessera.operators import exact as X
 from tessera.operators import layers as L
 from tessera.operators import lineage as LN
 from tessera.operators import mapping as M
 from tessera.operators import quality as Q
+from tessera.operators import scaled as SC
 from tessera.operators import scripts as R
-from tessera.operators.joins import lookup_join
+from tessera.operators.joins import hot_keys, lookup_join
 from tessera.oracle import bank_sql as B
 from tessera.oracle import derived_sql as DS
 from tessera.params import DEFAULT
@@ -220,6 +222,58 @@ def q_region_null_groups(spark, sf_dir):
             .select(L.unknown_if_null("region").alias("region"), "n_customers"))
 
 
+# ====================================================================== the job for large and skewed tables
+
+@register("q_scaled_summary", f"WITH {B.layer_ctes(P)},\n{B.exact_risk(P)}\n"
+          "SELECT s.* REPLACE (x.risk_score AS risk_score) FROM q_summary s LEFT JOIN exact_risk x USING (customer_id)")
+def q_scaled_summary(spark, sf_dir):
+    return SC.customer_summary(_v(spark, sf_dir), P)
+
+
+@register("q_union_digest", B.with_layers(
+    "SELECT customer_id, account_id, account_type, txn_id, amount, txn_type, txn_date, merchant_id FROM q_union"))
+def q_union_digest(spark, sf_dir):
+    return SC.union_digest(_v(spark, sf_dir), P)
+
+
+@register("q_fraud_join_bloom", B.with_bank(
+    "SELECT t.txn_id, t.account_id, f.fraud_flag FROM "
+    f"(SELECT txn_id, account_id FROM b_transaction WHERE load_date = {d(P.as_of)} AND txn_date >= {d(P.window_start)} "
+    f"UNION ALL SELECT txn_id, account_id FROM b_archived_transaction WHERE txn_date > {d(P.archive_after)}) t LEFT JOIN "
+    "(SELECT DISTINCT txn_id, fraud_flag FROM b_fraud_flags WHERE active_flag = 'Y') f ON t.txn_id = f.txn_id"))
+def q_fraud_join_bloom(spark, sf_dir):
+    v = _v(spark, sf_dir)
+    archived = v.archived_transaction.where(F.col("txn_date") > F.lit(P.archive_after))
+    t = L.recent_transactions(v.transaction, P).select("txn_id", "account_id").union(archived.select("txn_id", "account_id"))
+    return lookup_join(t, SC.fraud_flags(v, P), "txn_id", "txn_id", ["fraud_flag"])
+
+
+@register("q_hot_merchants", B.with_bank(
+    "SELECT merchant_id, count(*) AS n_txn FROM b_transaction GROUP BY merchant_id "
+    "HAVING count(*) > 0.0005 * (SELECT count(*) FROM b_transaction)"))
+def q_hot_merchants(spark, sf_dir):
+    """Merchants of more than 0.05 % of all transactions: found by the sketch, counted exactly."""
+    t = _v(spark, sf_dir).transaction
+    hot = hot_keys(t, ["merchant_id"], 0.0004)["merchant_id"]
+    counts = t.where(F.col("merchant_id").isin(*hot)).groupBy("merchant_id").agg(F.count("*").alias("n_txn"))
+    return counts.where(F.col("n_txn") > 0.0005 * t.count())
+
+
+@register("q_risk_exact", f"WITH {B.bank_ctes(P)},\n{B.exact_risk(P)}\nSELECT * FROM exact_risk")
+def q_risk_exact(spark, sf_dir):
+    return SC.risk_by_customer(_v(spark, sf_dir).risk_assessment, P)
+
+
+@register("q_accounts_rollup", B.with_layers(
+    "SELECT segment_name, region, count(DISTINCT account_id) AS total_accounts FROM q_nested GROUP BY segment_name, region"))
+def q_accounts_rollup(spark, sf_dir):
+    """A4 over two levels: bitmaps built at Q3's product grain, or-ed for the rollup."""
+    v = _v(spark, sf_dir)
+    n = L.nested_layer(v, P)
+    state = X.distinct_state(n, ["segment_name", "region", "product_category"], "account_id")
+    return X.count_state(state, ["segment_name", "region"], "total_accounts")
+
+
 # ====================================================================== mapping
 
 @register("q_catalog_flat", DS.CATALOG_FLAT)

@@ -169,13 +169,13 @@ def lineage_tree_edges(part: DataFrame) -> DataFrame:
 
 def lineage_line_edges(lineitem: DataFrame) -> DataFrame:
     """(source, output): a dataset per order line, which reads the line before it
-    and a table of its ship mode; a line of more than 45 pieces is read by the
+    and its supplier's table; a line of more than 45 pieces is read by the
     order's first line too, which makes a cycle (of one, if it is the first)."""
     def line(n):
         return F.concat(S("ord_"), _s("l_orderkey"), S("_"), n.cast("string"))
 
     n = F.col("l_linenumber")
-    read = [line(n - 1), F.concat(S("raw_"), F.lower(F.replace("l_shipmode", S(" "), S("_"))))]
+    read = [line(n - 1), F.concat(S("raw_"), _s("l_suppkey"))]
     edges = F.array(*(F.struct(c.alias("source"), line(n).alias("output")) for c in read),
                     F.when(F.col("l_quantity") > 45, F.struct(line(n).alias("source"), line(F.lit(1)).alias("output"))))
     return lineitem.select(F.explode(edges).alias("e")).where("e IS NOT NULL").select("e.*")
