@@ -9,13 +9,15 @@ selects the content container it lies in (an article, a main part, or the
 smallest element that holds the region), and that container's lines are the
 text: short paragraphs between long ones stay.
 
-A page is one row: no shuffle, and memory is that of one page.
+A page is one row: no shuffle, and time and memory grow with the length of the page,
+whatever is left unclosed in it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -36,16 +38,19 @@ SKIP_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements
     subscription signup login search popup modal overlay paywall widget widgets pagination complementary contentinfo""".split())
 SKIP_ENDS = ("nav", "menu", "sidebar", "footer", "header", "banner", "comments", "advert")
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
-# Inside a content container only whole names mark boilerplate: one of these words,
-# or one of them with further words of their kind (cookie-notice, related-posts).
-SURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising sponsored promo banner banners
-    nav navbar menu menus breadcrumb breadcrumbs sidebar sidebars cookie cookies gdpr comment comments commentlist commentform
-    disqus newsletter paywall popup modal pagination masthead""".split())
-_LEADS = SURE_WORDS | frozenset("related recommended share sharing social subscribe subscription signup login reply site page".split())
-_TAILS = frozenset("""notice notices consent list form box block area container wrapper section slot unit link links button buttons
-    icon icons bar post posts article articles footer header banner nav menu sidebar comments signup widget popup modal
-    overlay""".split())
-_SURE_IDS = frozenset("comments commentlist commentform disqus respond".split())
+# Inside a content container a name (of class or id) marks boilerplate if it is one of these words alone,
+NAMES = frozenset("""ad ads nav navigation menu menus banner banners notice notices notification notifications alert alerts related
+    recommended reply replies respond share sharing social subscribe subscription signup search widget widgets consent""".split())
+# if any of its words is one of these,
+TOKENS = frozenset("""adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored promo promotion navbar
+    breadcrumb breadcrumbs sidebar sidebars cookie cookies gdpr comment comments commentlist commentform disqus newsletter paywall
+    popup modal pagination masthead""".split())
+# or if it is made of such words and of these.
+HELPERS = frozenset("""reader readers user users post posts article articles page site story content inline top bottom left right mid
+    middle inner google native mobile desktop list form box block area container wrapper section slot slots unit units link links
+    button buttons icon icons bar footer header item items thread""".split())
+# A state, not what the element is: has-comments, no-sidebar.
+_STATES = frozenset("has no with without is not".split())
 _ROWS = frozenset("table caption thead tbody tfoot tr th td".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article main content post entry story".split())
@@ -59,36 +64,66 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("html body article main section div table ul ol dl nav aside header footer form blockquote".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_TAG_START = re.compile(r"<[A-Za-z/!?]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADING_WORDS = frozenset("header masthead banner".split())
 
 
-def _sure(name: str) -> bool:
-    """Is a whole class or id name that of boilerplate?"""
+# What a head may hold; any other tag ends it, as browsers do it.
+_HEAD_TAGS = frozenset("html head title meta link base style script noscript template bgsound basefont".split())
+_RAW = frozenset("noscript template script style".split())
+_FOREIGN = frozenset(("svg", "math"))
+# Elements that cannot stand in a drawing or formula and end it.
+_BREAKOUT = (BLOCK_TAGS | frozenset("""b big br code em embed i img menu meta nobr p ruby s small span strong strike sub sup tt u
+    var aside nav header footer form section article main""".split())) - {"summary", "details", "html"}
+
+
+def _marks(name: str, own_words: bool) -> bool:
+    """Is a whole class or id name that of boilerplate? ``own_words``: it may be made
+    of the article's own words, so all of its words must be known."""
     words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in _STATES:
+        return False
+    known = [w in NAMES or w in TOKENS for w in words]
     if len(words) == 1:
-        return words[0] in SURE_WORDS
-    return len(words) > 1 and words[0] in _LEADS and all(w in _TAILS or w in SURE_WORDS for w in words[1:])
+        return words[0] in TOKENS if own_words else known[0]
+    return (not own_words and any(w in TOKENS for w in words)) or (
+        any(known) and all(k or w in HELPERS for k, w in zip(known, words, strict=True)))
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    plain: int                # characters outside links, white space left out
-    path: tuple[int, ...]     # serial numbers of the open elements, outermost first
+    plain: int       # characters outside links, white space left out
+    at: int          # serial number of the innermost open element, 0 if none
+    article: int     # and of the outermost open article and content container
+    content: int
+
+
+def prepared(html: str) -> tuple[str, str]:
+    """What the parser can read in one pass, and an unfinished tag at the end, which is
+    text. A comment that never ends is none."""
+    end = html.rfind("-->") + 1
+    html = html[:end] + html[end:].replace("<!--", "")
+    end = html.rfind(">") + 1
+    start = _TAG_START.search(html, end)
+    return (html, "") if start is None else (html[:start.start()], html[start.start():])
 
 
 class _Lines(HTMLParser):
-    """Folds parser events into lines."""
+    """Folds parser events into lines. Elements are numbered in page order, so what
+    lies in an element has a number from its own to its ``last``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []   # tag, serial number, is skipped
+        self.levels: list[Counter] = [Counter()]      # open tags since the last scope
+        self.names: Counter = Counter()               # all open tags
+        self.parent, self.last = [0], [0]             # by serial number
+        self.content: list[int] = []                  # open ones, outermost first
+        self.articles: list[int] = []
         self.skipping = 0
-        self.serial = 0
-        self.content: set[int] = set()
-        self.articles: set[int] = set()
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.plain = 0
@@ -96,16 +131,48 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.plain, tuple(n for _, n, _ in self.open)))
+            self.lines.append(Line(text, self.tags, self.plain, self.open[-1][1] if self.open else 0,
+                                   self.articles[0] if self.articles else 0, self.content[0] if self.content else 0))
             self.tags = self.plain = 0
         self.parts.clear()
 
+    def _push(self, tag: str, skipped: bool, content: bool) -> None:
+        serial = len(self.parent)
+        self.parent.append(self.open[-1][1] if self.open else 0)
+        self.last.append(serial)
+        self.open.append((tag, serial, skipped))
+        self.names[tag] += 1
+        self.levels[-1][tag] += 1
+        if tag in _SCOPES:
+            self.levels.append(Counter())
+        self.skipping += skipped
+        if content and not skipped:
+            self.content.append(serial)
+            if tag == "article":
+                self.articles.append(serial)
+
     def _pop_to(self, i: int) -> None:
-        for _, _, skipped in self.open[i:]:
+        while len(self.open) > i:
+            tag, serial, skipped = self.open.pop()
             self.skipping -= skipped
-        del self.open[i:]
+            self.last[serial] = len(self.parent) - 1
+            self.names[tag] -= 1
+            if tag in _SCOPES:
+                self.levels.pop()
+            self.levels[-1][tag] -= 1
+            for held in (self.content, self.articles):
+                if held and held[-1] == serial:
+                    held.pop()
+
+    def _leave(self, tag: str) -> None:
+        """What a start tag ends although it is not closed: a head, a drawing."""
+        if self.names["head"] and tag not in _HEAD_TAGS and not any(self.names[t] for t in _RAW):
+            self._pop_to(next(i for i, x in enumerate(self.open) if x[0] == "head"))
+        if tag in _BREAKOUT and (self.names["svg"] or self.names["math"]) and not (self.names["foreignobject"] or self.names["desc"]):
+            self._pop_to(next(i for i, x in enumerate(self.open) if x[0] in _FOREIGN))
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self._leave(tag)
         if tag in VOID_TAGS:
             if tag == "br":
                 self.parts.append(" ")
@@ -132,33 +199,26 @@ class _Lines(HTMLParser):
             marked = bool(words & SKIP_WORDS)
         elif tag in ("html", "body", "article", "main"):
             marked = tag == "article" and bool(words & COMMENT_WORDS)
-        if marked and tag not in ("article", "main") and any(n in self.content for _, n, _ in self.open):
+        if self.content and tag not in ("article", "main"):
             marked = self._boilerplate_inside(tag, attrs)
         skipped = tag in SKIP_TAGS or hidden or marked
         if skipped:
             self.flush()
-        self.serial += 1
-        if content and not skipped:
-            self.content.add(self.serial)
-            if tag == "article":
-                self.articles.add(self.serial)
-        self.open.append((tag, self.serial, skipped))
-        self.skipping += skipped
+        self._push(tag, skipped, content)
         self.tags += not self.skipping
 
     @staticmethod
     def _boilerplate_inside(tag: str, attrs) -> bool:
-        """Does an element of a content container hold boilerplate? Ids of sections, rows and
-        headings are made of the article's own words."""
+        """Does an element of a content container hold boilerplate? Headings and rows of
+        tables are the article's; ids of sections may be made of its own words."""
+        if tag in _HEADINGS or tag in _ROWS:
+            return False
         for k, v in attrs:
             names = (v or "").split()
             if k == "role" and any(x.lower() in SKIP_WORDS for x in names):
                 return True
-            if k == "class" and any(map(_sure, names)):
+            if k in ("class", "id") and any(_marks(x, k == "id") for x in names):
                 return True
-            if k == "id" and tag not in _HEADINGS and tag not in _ROWS:
-                if any(x.lower() in _SURE_IDS if tag == "section" else _sure(x) or x.lower() in _SURE_IDS for x in names):
-                    return True
         return False
 
     def parse_html_declaration(self, i: int) -> int:
@@ -168,31 +228,36 @@ class _Lines(HTMLParser):
         return super().parse_html_declaration(i)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)       # as browsers: the slash closes nothing but void elements
+        self._leave(tag)
+        if tag in _FOREIGN or self.names["svg"] or self.names["math"]:
+            self.tags += not self.skipping      # there a slash closes; elsewhere it means nothing
+        else:
+            self.handle_starttag(tag, attrs)
 
     def _close(self, tags: tuple[str, ...]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                self._pop_to(i)
-                return
-            if self.open[i][0] in _SCOPES:
-                return
+        if any(self.levels[-1][t] for t in tags):
+            i = len(self.open) - 1
+            while self.open[i][0] not in tags:
+                i -= 1
+            self._pop_to(i)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCK_TAGS or any(s or t in BLOCK_TAGS for t, _, s in self.open[i:]):
-                    self.flush()
-                self._pop_to(i)
-                break
-            if tag not in _SCOPES and self.open[i][0] in _SCOPES and self.open[i][0] != tag:
-                break                            # a stray end tag closes no container
+        # a stray end tag closes nothing, and no container that it does not name
+        if (self.names if tag in _SCOPES else self.levels[-1])[tag]:
+            i = len(self.open) - 1
+            while self.open[i][0] != tag:
+                i -= 1
+            if tag in BLOCK_TAGS or any(s or t in BLOCK_TAGS for t, _, s in self.open[i:]):
+                self.flush()
+            self._pop_to(i)
         self.tags += not self.skipping
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._pop_to(len(self.open) - 1)
         if not self.skipping:
             self.parts.append(data)
-            if not any(tag == "a" for tag, _, _ in self.open):
+            if not self.names["a"]:
                 self.plain += sum(map(len, data.split()))
 
 
@@ -211,14 +276,12 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def _common(paths: list[tuple[int, ...]]) -> int:
-    """Serial number of the innermost element that holds all paths; 0 without one."""
-    last = 0
-    for level in zip(*paths):
-        if len(set(level)) > 1:
-            break
-        last = level[0]
-    return last
+def _common(parser: _Lines, lines: list[Line]) -> int:
+    """Serial number of the innermost element that holds all lines; 0 without one."""
+    node, most = min(x.at for x in lines), max(x.at for x in lines)
+    while node and parser.last[node] < most:
+        node = parser.parent[node]
+    return node
 
 
 def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5) -> str:
@@ -228,26 +291,30 @@ def extract(html: str | None, sigma: float = 1.0, cut: float = 0.5) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    whole, broken = prepared(html)
+    parser.feed(whole)
     parser.close()
+    if broken:
+        parser.handle_data(broken)
     parser.flush()
+    parser._pop_to(0)
     lines = parser.lines
     if not lines:
         return ""
-    inside = [x for x in lines if parser.content.intersection(x.path)]
+    inside = [x for x in lines if x.content]
     pool = inside or lines
     ratio = smooth([x.plain / max(1, x.tags) for x in pool], sigma)
     level = cut * sum(ratio) / len(ratio)
     hot = [x for x, r in zip(pool, ratio, strict=True) if r >= level and x.plain] or pool
-    if inside:
-        # the outermost article of every line of a region, or content container where none holds any
-        held = [[n for n in x.path if n in parser.articles] for x in hot]
-        if not any(held):
-            held = [[n for n in x.path if n in parser.content] for x in hot]
-        chosen = {h[0] for h in held if h}
-    else:
-        chosen = {_common([x.path for x in hot])}
-    return "\n".join(x.text for x in pool if 0 in chosen or chosen.intersection(x.path))
+    if not inside:
+        top = _common(parser, hot)
+        kept = [x for x in pool if not top or top <= x.at <= parser.last[top]]
+    elif chosen := {x.article for x in hot if x.article}:      # the outermost article of every line of a region,
+        kept = [x for x in pool if x.article in chosen]
+    else:                                                      # or content container where none holds any
+        chosen = {x.content for x in hot}
+        kept = [x for x in pool if x.content in chosen]
+    return "\n".join(x.text for x in kept)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",

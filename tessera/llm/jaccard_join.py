@@ -392,6 +392,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     when 100 * common >= percent * union (over 50). A row without a doc_id links with
     nothing and has no component. Repeated rows are copies of each other.
     """
+    return (_grouped(docs, doc_id, text, words, percent)
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n, sid (the set's number, NULL without
+    words), component (NULL without doc_id or words)."""
     bound = Bound(percent)
     ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     kind = dict(docs.dtypes)[doc_id]
@@ -458,18 +465,36 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = least.groupBy("group").agg(F.min("rep_doc").alias("component"))
     of_set = least.join(roots, "group").select(F.col("sid").alias("sid_"), "component")
     return (described.join(of_set, (F.col("sid") == F.col("sid_")) & F.col("doc_id").isNotNull(), "left")
-                     .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+                     .select("doc_id", "n", "sid", "component"))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the document of the least id of each group, once; rows without an id stay."""
-    groups = cut(similar_groups(docs, doc_id, text, words, percent))
+    """``docs`` with one row of each group, a row of its least id; rows without an
+    id stay. Where rows of one id have different texts, each is judged by its own
+    group: a text goes only if its group keeps another row."""
+    groups = cut(_grouped(docs, doc_id, text, words, percent).where("doc_id IS NOT NULL")
+                 .groupBy("doc_id", "sid", F.coalesce("component", "doc_id").alias("component")).agg(F.count("*").alias("rows")))
     key = fresh(docs, "gone")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    out = docs.join(_sent(cut(gone)), F.col(doc_id) == F.col(key), "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    if not repeated.isEmpty():
-        none = fresh(docs, "null")
-        out = (out.withColumn(none, F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()))
-                  .dropDuplicates([doc_id, none]).drop(none))
-    return out
+    rooted = groups.where("doc_id = component")
+    # ids whose rows are not all kept, or all dropped: a row each of the sets kept
+    mixed = cut(groups.groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component")).alias("kept"), F.sum("rows").alias("rows"))
+                .where("kept > 0 AND rows > 1").select("doc_id"))
+    out_ids = groups.where("doc_id <> component").select("doc_id").unionAll(mixed).distinct()
+    out = docs.join(_sent(cut(out_ids.toDF(key))), F.col(doc_id) == F.col(key), "left_anti")
+    if mixed.isEmpty():
+        return out
+    a, b, sid = (fresh(docs, x) for x in ("a", "b", "sid"))
+    rows = (docs.join(_sent(mixed.toDF(key)), F.col(doc_id) == F.col(key), "left_semi")
+                .withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit("text"), F.col(text))}))
+    kind = dict(docs.dtypes)[doc_id]
+    sets = (in_batches(rows.select(F.struct(F.col(doc_id).alias("i"), F.col(a).alias("a"), F.col(b).alias("b")).alias("doc_id"),
+                                   F.col(text).alias("text")))
+            .mapInArrow(lean(_describe(words, Bound(percent))), f"doc_id struct<i:{kind},a:long,b:long>, n long, sid long, failing long")
+            .select("doc_id.*", F.col("sid").alias(sid)).distinct())
+    kept = sets.join(rooted.select(F.col("doc_id").alias("i_"), F.col("sid").alias("sid_")),
+                     (F.col("i") == F.col("i_")) & F.col(sid).eqNullSafe(F.col("sid_"))).select("i", "a", "b", sid)
+    kept = kept.toDF(*(fresh(docs, x) for x in ("i2", "a2", "b2")), sid)
+    i2, a2, b2 = kept.columns[:3]
+    one = (rows.join(kept, (F.col(doc_id) == F.col(i2)) & (F.col(a) == F.col(a2)) & (F.col(b) == F.col(b2)))
+               .dropDuplicates([doc_id, sid]).select(*docs.columns))
+    return out.unionByName(one)

@@ -160,7 +160,8 @@ def test_html_article_keeps_its_own_sections():
             '<table><tr class="header"><th>Name</th></tr><tr><td>x</td></tr></table><div class="notice">Mind this.</div>'
             '<div class="ad">no</div><div class="cookie-notice">no</div><div id="comments">no</div><div class="relatedPosts">no</div>'
             '<section class="comments">no</section><div role="search">no</div></article>')
-    assert html_extract.extract(page) == "T\nFirst paragraph.\nWe discuss.\nSearch\nOthers did.\nName\nx\nMind this."
+    # a notice is none of the article's text, wherever it stands
+    assert html_extract.extract(page) == "T\nFirst paragraph.\nWe discuss.\nSearch\nOthers did.\nName\nx"
 
 
 def test_html_rows(spark):
@@ -420,6 +421,17 @@ def test_drop_similar_keeps_one_of_each(spark):
     assert jaccard_join.drop_similar(docs_df(spark, docs).limit(0)).count() == 0
 
 
+def test_drop_similar_judges_each_text_of_an_id(spark):
+    rnd = random.Random(12)
+    a, b, c = (sentence(rnd, 30) for _ in range(3))
+    docs = [(1, a, "s"), (7, a, "s"), (7, b, "s"), (8, b, "s"), (9, c, "s"), (9, c.upper(), "s"), (9, "", "s"), (9, None, "s"), (9, "", "s"),
+            (10, "", "s"), (11, a, "s"), (11, b, "s")]
+    kept = jaccard_join.drop_similar(with_clashes(docs_df(spark, docs)))
+    assert kept.columns == with_clashes(docs_df(spark, docs)).columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert got == Counter([(1, a), (7, b), (9, c), (9, ""), (10, "")])
+
+
 def test_long_hot_signature_is_passed_on_in_pieces():
     import pyarrow as pa
     sig = np.array([1] * 3 + [2] * 50 + [3] + [4] * 40 + [5] * 2)
@@ -517,19 +529,21 @@ def test_license_alignment_tolerates_edits():
 
 # ------------------------------------------------------------------ 9 line dedup
 
-def brute_lines(docs, ratio, least):
-    pages, total = defaultdict(set), Counter()
-    for k, (_, t, s) in enumerate(docs):
+def brute_lines(docs, ratio, least, most=0.5):
+    pages, total = defaultdict(set), defaultdict(set)
+    for _, t, s in docs:
         if t is not None:
-            total[s] += 1
+            total[s].add(t)
             for x in t.split("\n"):
                 if x.strip(" "):
-                    pages[s, x.strip(" ")].add(k)
-    bad = {key for key, v in pages.items() if len(v) >= least and len(v) > ratio * total[key[0]]}
+                    pages[s, x.strip(" ")].add(t)
+    bad = {key for key, v in pages.items() if len(v) >= least and len(v) > ratio * len(total[key[0]])}
     out = []
     for i, t, s in docs:
         lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if not x.strip(" ") or (s, x.strip(" ")) not in bad]
+        if len("\n".join(kept)) < (1 - most) * len(t or ""):
+            kept = lines
         out.append((i, "\n".join(kept) if t is not None else None, len(lines), len(lines) - len(kept)))
     return Counter(out)
 
@@ -550,6 +564,24 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_copies_make_no_boilerplate(spark):
+    """A third of a host's pages are copies, a third near copies: none is blanked, and
+    the line that all the others share goes."""
+    rnd = random.Random(10)
+    page = [sentence(rnd, 12) for _ in range(10)]
+    docs = [(i, "\n".join(page), "a") for i in range(40)]
+    for i in range(40, 80):
+        near = list(page)
+        near[i % 10] = sentence(rnd, 12)
+        docs.append((i, "\n".join(near), "a"))
+    docs += [(i, "Home | About | Contact\n" + "\n".join(sentence(rnd, 12) for _ in range(4)), "a") for i in range(80, 120)]
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs_df(spark, docs)).collect()}
+    texts = {i: t for i, t, _ in docs}
+    assert all(got[i].text == texts[i] and got[i].n_dropped == 0 for i in range(80))
+    assert all(got[i].text == texts[i].split("\n", 1)[1] and got[i].n_dropped == 1 for i in range(80, 120))
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.values()) == brute_lines(docs, 0.05, 3)
+
+
 # ------------------------------------------------------------------ 10 mixing
 
 def test_raking_meets_every_margin():
