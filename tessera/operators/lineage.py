@@ -228,16 +228,3 @@ def missing_from_lineage(refs: DataFrame, nodes: DataFrame, key: str = "doc_id")
     """Datasets a script references that its lineage document lacks."""
     return (refs.select(key, "dataset").distinct()
             .join(nodes.select(key, "dataset"), [key, "dataset"], "left_anti"))
-
-
-def missing_in_row(scripts: DataFrame, key: str = "doc_id", refs: str = "refs", text: str = "lineage") -> DataFrame:
-    """L9 where a script's references and its lineage answer lie in one row:
-    (key, dataset) of the references that the answer lacks. No shuffle; an
-    answer that is not valid lacks all."""
-    doc = parse_lineage(scripts.withColumn("__key", F.struct(F.col(key).alias("k"), F.col(refs).alias("r"))), text, "__key")
-    steps = F.when(F.col("error").isNull(), F.col("doc.steps"))
-    named = F.flatten(F.transform(steps, lambda s: F.concat(F.array(s["output"]), F.transform(
-        F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE))), lambda x: x["name"]))))
-    used = F.transform(F.col("__key.r"), lambda r: r["dataset"])
-    lacking = F.array_except(used, F.coalesce(named, _empty()))      # array_except also drops repeats
-    return doc.select(F.col("__key.k").alias(key), F.explode(lacking).alias("dataset"))

@@ -3,193 +3,216 @@ variables resolved (M12): what each SQL block reads and what each script writes
 (views and tables). Table level only; it stands in for the model's lineage
 extraction where a deterministic answer is wanted.
 
-A script is one row and is read once, in order, by a small tokeniser: comments
-and string literals are told apart from code, a variable has the value of its
-last assignment before its use, and FROM counts only where SQL names a table
-after it. Built-in functions have no way to carry such state over the matches of
-a text, hence the Arrow batches; nothing is shuffled.
+A script becomes a table of tokens (one pattern, comments left out), and every
+question is one about neighbouring rows: brackets are running sums, statements
+running counts, a call is a name between a dot and a bracket, a table is the name
+after FROM. Variables are looked up among the script's own assignments before the
+statement; the names of WITH queries leave by an anti join. Built-in functions and
+windows throughout, with the script as the key, so texts of any length are read
+alike and scripts are spread over the cluster; what meets in one task is the
+tokens of one script. Keys of scripts must differ.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.session import cut_lineage
+
+# ---------------------------------------------------------------- token patterns (Java)
 
-# ---------------------------------------------------------------- SQL text
+_QUOTED = r'''"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'?'''
+PYTHON = (r'#[^\n]*|[A-Za-z]{0,2}(?:"{3}(?s:.*?)(?:"{3}|\z)|' + r"'{3}(?s:.*?)(?:'{3}|\z)|" + _QUOTED
+          + r")|[A-Za-z_]\w*+|\\\n|\n|[^\s]")
+_PART = r"`[^`]*`|\{\w+\}"
+SQL = (r"""--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'[^'\\]*+(?:(?:\\(?s:.)|'')[^'\\]*+)*+'?|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"?"""
+       + rf"|(?:{_PART}|[A-Za-z_]\w*+)(?:\s*+\.\s*+(?:{_PART}|\w++))*+|[^\s]")
 
-_SQL = re.compile(r"""
-    (?P<skip>--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|'')*'?|"(?:[^"\\]|\\.)*"?|\s+)
-  | (?P<name>(?:`[^`]*`|\{\w+\}|[A-Za-z_]\w*)(?:\s*\.\s*(?:`[^`]*`|\{\w+\}|\w+))*)
-  | (?P<mark>[^\s])""", re.S | re.X)
 # functions whose arguments may hold a FROM that names no table
-_FROM_FUNCTIONS = {"EXTRACT", "TRIM", "SUBSTRING", "SUBSTR", "POSITION", "OVERLAY"}
+_FROM_FUNCTIONS = ("EXTRACT", "TRIM", "SUBSTRING", "SUBSTR", "POSITION", "OVERLAY")
 # words that end a list of tables
-_END_OF_FROM = {"WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "MINUS", "SELECT", "WINDOW",
-                "QUALIFY", "SET", "CLUSTER", "DISTRIBUTE", "SORT", "WHEN"}
+_END_OF_FROM = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "MINUS", "SELECT", "WINDOW",
+                "QUALIFY", "SET", "CLUSTER", "DISTRIBUTE", "SORT", "WHEN")
 # words that stand where a table could, and name none
-_NO_TABLE = _END_OF_FROM | {"VALUES", "LATERAL", "JOIN", "ON", "USING", "TABLE", "ONLY"}
-
-
-def _resolved(name: str, env: dict[str, str]) -> str:
-    """A dotted name with variables replaced and quotes dropped."""
-    parts = re.findall(r"`[^`]*`|\{\w+\}|\w+", name)
-    return ".".join(env.get(p[1:-1], p) if p[0] == "{" else p.strip("`") for p in parts)
-
-
-def sql_references(sql: str, env: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    """(role, dataset) of a SQL text, in order. Names of its WITH queries are no datasets."""
-    env = env or {}
-    tokens = [(m.lastgroup, m[0]) for m in _SQL.finditer(sql) if m.lastgroup != "skip"]
-    word = [t.upper() if kind == "name" else t for kind, t in tokens] + [""] * 8
-    found: list[tuple[str, str]] = []
-    ctes: set[str] = set()
-    opened: list[str] = []             # word before each open bracket
-    lists = [False]                    # by depth: are we in a list of tables
-    i = 0
-
-    def table(i: int, role: str) -> None:
-        """Note the table reference at token i, if there is one."""
-        if i < len(tokens) and tokens[i][0] == "name" and word[i] not in _NO_TABLE and word[i + 1] != "(":
-            found.append((role, _resolved(tokens[i][1], env)))
-
-    def past(i: int, *words: str) -> int:
-        while word[i] in words:
-            i += 1
-        return i
-
-    while i < len(tokens):
-        w = word[i]
-        if w == "(":
-            opened.append(word[i - 1] if i else "")
-            lists.append(False)
-        elif w == ")":
-            if opened:
-                opened.pop()
-                lists.pop()
-        elif w == "," and lists[-1]:
-            table(i + 1, "read")
-        elif w in _END_OF_FROM or w == "LATERAL" and word[i + 1] == "VIEW":
-            lists[-1] = False
-        elif w in ("WITH", ",") and i + 1 < len(tokens) and tokens[i + 1][0] == "name":
-            at = past(i + 1, "RECURSIVE")
-            if word[at + 1] == "AS" and word[at + 2] == "(" or word[at + 1] == "(" and w == "WITH":
-                ctes.add(_resolved(tokens[at][1], env).lower())
-        elif w in ("FROM", "JOIN"):
-            distinct = w == "FROM" and word[i - 1] == "DISTINCT" and i > 1 and word[i - 2] in ("IS", "NOT")
-            if not distinct and not (w == "FROM" and opened and opened[-1] in _FROM_FUNCTIONS):
-                table(i + 1, "write" if w == "FROM" and i and word[i - 1] == "DELETE" else "read")
-                lists[-1] = True
-        elif w == "INSERT" and word[i + 1] in ("INTO", "OVERWRITE"):
-            table(past(i + 1, "INTO", "OVERWRITE", "TABLE"), "write")
-        elif w == "CREATE":
-            j = past(i + 1, "OR", "REPLACE", "GLOBAL", "TEMP", "TEMPORARY", "EXTERNAL")
-            if word[j] in ("VIEW", "TABLE"):
-                table(past(j + 1, "IF", "NOT", "EXISTS"), "write")
-        elif w == "MERGE" and word[i + 1] == "INTO":
-            table(i + 2, "write")
-        elif w == "UPDATE" and i + 2 < len(tokens) and "SET" in word[i + 2:i + 5]:
-            table(i + 1, "write")
-        elif w == "USING" and word[i + 1] != "(" and "MERGE" in word[:i]:
-            table(i + 1, "read")
-        i += 1
-    return [(role, name) for role, name in found if name.lower() not in ctes]
-
-
-# ---------------------------------------------------------------- Python text
-
-_PYTHON = re.compile(r"""
-    (?P<comment>\#[^\n]*)
-  | (?P<string>[A-Za-z]{0,2}(?:\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?))
-  | (?P<name>[A-Za-z_]\w*)
-  | (?P<line>\n)
-  | (?P<space>[^\S\n]+|\\\n)
-  | (?P<mark>.)""", re.S | re.X)
+_NO_TABLE = (*_END_OF_FROM, "VALUES", "LATERAL", "JOIN", "ON", "USING", "TABLE", "ONLY")
 _WRITERS = ("createOrReplaceTempView", "createTempView", "createOrReplaceGlobalTempView", "createGlobalTempView",
             "saveAsTable", "insertInto")
-
-
-def _text(token: str) -> str:
-    """The characters of a string literal."""
-    body = token.lstrip("rRbBuUfF")
-    quote = body[:3] if body[:3] in ('"""', "'''") else body[:1]
-    return body[len(quote):-len(quote)] if body.endswith(quote) and len(body) >= 2 * len(quote) else body[len(quote):]
-
-
-def _statements(script: str) -> Iterator[list[tuple[str, str]]]:
-    """Lists of (kind, text) of the code tokens of each statement."""
-    depth, now = 0, []
-    for m in _PYTHON.finditer(script):
-        kind, t = m.lastgroup, m[0]
-        if kind in ("comment", "space"):
-            continue
-        if kind == "mark" and t in "([{":
-            depth += 1
-        elif kind == "mark" and t in ")]}":
-            depth = max(0, depth - 1)
-        if depth == 0 and (kind == "line" or t == ";"):
-            if now:
-                yield now
-            now = []
-        elif kind != "line":
-            now.append((kind, t))
-    if now:
-        yield now
-
-
-def python_references(script: str) -> list[tuple[str, int | None, str]]:
-    """(role, block number, dataset) of a PySpark script. Each ``spark.sql`` or
-    ``spark.table`` call is a block, numbered from 1; a write belongs to the block
-    that its data frame was last assigned from."""
-    env: dict[str, str] = {}
-    block_of: dict[str, int] = {}
-    found: list[tuple[str, int | None, str]] = []
-    blocks = 0
-    for s in _statements(script):
-        text = [t for _, t in s] + [""] * 6
-        assigned = text[0] if s[0][0] == "name" and text[1] == "=" and text[2] != "=" else None
-        if assigned and len(s) == 3 and s[2][0] == "string":
-            env[assigned] = _text(s[2][1])
-            continue
-        source = next((t for kind, t in s[2 if assigned else 0:] if kind == "name"), None)
-        block = block_of.get(source) if source else None
-        for i, (kind, t) in enumerate(s):
-            is_call = text[i + 1] == "(" and i + 2 < len(s) and s[i + 2][0] == "string"
-            if not (kind == "name" and is_call and i and text[i - 1] == "."):
-                continue
-            value = _text(s[i + 2][1])
-            if t in ("sql", "table") and i > 1 and text[i - 2] == "spark":
-                blocks += 1
-                block = blocks
-                refs = sql_references(value, env) if t == "sql" else [("read", _resolved(value, env))]
-                found += [(role, block, name) for role, name in refs]
-            elif t in _WRITERS:
-                found.append(("write", block, _resolved(value, env)))
-        if assigned:
-            env.pop(assigned, None)
-            if block is None:
-                block_of.pop(assigned, None)
-            else:
-                block_of[assigned] = block
-    return found
-
-
-def references(text: str | None, kind: str = "py") -> list[tuple[str, int | None, str]]:
-    """References of a script of kind py, sql or txt. The statements of a SQL
-    file are its blocks; a txt file is a Python one if it mentions ``spark.``."""
-    if not text:
-        return []
-    if kind == "py" or kind == "txt" and "spark." in text:
-        return python_references(text)
-    bare = re.split(r";(?=(?:[^']*'[^']*')*[^']*$)", text) if len(text) < 1 << 16 else text.split(";")
-    return [(role, n, name) for n, part in enumerate((b for b in bare if b.strip()), 1)
-            for role, name in sql_references(part)]
-
-
-# ---------------------------------------------------------------- Spark
+#: Words that may stand between CREATE or INSERT and the name, at most.
+_AHEAD = 9
+
+
+def _tokens(df: DataFrame, text: str, pattern: str, drop: str) -> DataFrame:
+    """``df`` without its text, a row per token (pos, t) that does not begin like ``drop``."""
+    found = F.filter(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda x: ~x.rlike(f"^(?:{drop})"))
+    return df.select(*(c for c in df.columns if c != text), F.posexplode(found).alias("pos", "t"))
+
+
+def _depth(tokens: DataFrame, by: list[str], opening: str, closing: str) -> DataFrame:
+    """Plus ``depth``: brackets open after a token; a closing one too many counts for nothing."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    step = F.when(F.col("t").isin(*opening), 1).when(F.col("t").isin(*closing), -1).otherwise(0)
+    level = F.sum(step).over(w)
+    return (tokens.withColumn("__level", level).withColumn("__least", F.min("__level").over(w))
+                  .withColumn("depth", F.col("__level") - F.least(F.lit(0), F.col("__least"))).drop("__level", "__least"))
+
+
+# ---------------------------------------------------------------- Python scripts
+
+def _literal(t: Column) -> Column:
+    """The characters of a string literal; NULL for other tokens."""
+    body = F.regexp_replace(t, "^[A-Za-z]{0,2}", "")
+    quote = F.when(F.left(body, F.lit(3)).isin('"""', "'''"), F.left(body, F.lit(3))).otherwise(F.left(body, F.lit(1)))
+    n = F.length(quote)
+    closed = F.endswith(body, quote) & (F.length(body) >= 2 * n)
+    return F.when(t.rlike("^[A-Za-z]{0,2}[\"']"),
+                  F.substring(body, n + 1, F.length(body) - F.when(closed, 2 * n).otherwise(n)))
+
+
+def _statements(scripts: DataFrame, key: str) -> DataFrame:
+    """Tokens of Python scripts with their statement: (key, stmt, pos, t, text of a
+    literal, is_name, neighbours in the statement, assigned variable)."""
+    t = _depth(_tokens(scripts.select(key, "text"), "text", PYTHON, r"#|\\\n"), [key], "([{", ")]}")
+    ends = (F.col("depth") == 0) & F.col("t").isin("\n", ";")
+    t = (t.withColumn("__end", ends).withColumn("stmt", F.sum(F.col("__end").cast("int")).over(Window.partitionBy(key).orderBy("pos")))
+          .where(~F.col("__end") & (F.col("t") != "\n")).drop("__end", "depth"))
+    w = Window.partitionBy(key, "stmt").orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumns({"literal": _literal(F.col("t")), "i": F.row_number().over(w), "n": F.count("*").over(whole),
+                       "before": F.lag("t").over(w), "before2": F.lag("t", 2).over(w),
+                       "after": F.lead("t").over(w), "after2": F.lead("t", 2).over(w)})
+    t = t.withColumns({"is_name": F.col("literal").isNull() & F.col("t").rlike("^[A-Za-z_]"),
+                       "argument": F.when(F.col("after") == "(", F.lead("literal", 2).over(w)),
+                       "third": F.nth_value("literal", 3).over(whole)})
+    target = (F.col("i") == 1) & F.col("is_name") & (F.col("after") == "=") & (F.coalesce("after2", F.lit("")) != "=")
+    return t.withColumn("assigned", F.max(F.when(target, F.col("t"))).over(whole))
+
+
+def _python_calls(scripts: DataFrame, key: str) -> DataFrame:
+    """(key, stmt, call, value, block, vars): calls of spark.sql, spark.table and the
+    writers with a literal, and the script's assignments (stmt, name, value)."""
+    t = _statements(scripts, key)
+    call = F.col("is_name") & (F.col("before") == ".") & F.col("argument").isNotNull()
+    starts = call & F.col("t").isin("sql", "table") & (F.col("before2") == "spark")
+    inside = Window.partitionBy(key, "stmt").orderBy("pos")
+    is_text = (F.col("n") == 3) & F.col("assigned").isNotNull() & F.col("third").isNotNull()
+    source = F.when(F.col("is_name") & (F.col("assigned").isNull() | (F.col("i") > 2)), F.struct("i", "t"))
+    t = t.withColumns({"starts": F.coalesce(starts, F.lit(False)), "writes": F.coalesce(call & F.col("t").isin(*_WRITERS), F.lit(False))})
+    t = t.withColumn("block", F.sum(F.col("starts").cast("int")).over(Window.partitionBy(key).orderBy("pos")).cast("int"))
+    t = t.withColumn("own", F.max(F.when(F.col("starts"), F.col("block"))).over(inside))
+    # statements in order: the block that a variable was last assigned from goes along
+    per = (t.groupBy(key, "stmt").agg(F.first("assigned").alias("name"), F.min(source)["t"].alias("source"), F.max("own").alias("own"),
+                                      F.first(is_text).alias("is_text"), F.first("third").alias("third"),
+                                      F.max("writes").alias("writes"))
+            .where("name IS NOT NULL OR writes"))
+    one = F.struct("stmt", F.when(~F.col("is_text"), F.col("name")).alias("name"), "source", "own")
+    value = F.struct("stmt", "name", F.when(F.col("is_text"), F.col("third")).alias("value"))
+    told = per.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("order"),
+                                F.collect_list(F.when(F.col("name").isNotNull(), value)).alias("vars"))
+    nothing = F.struct(F.expr("CAST(map() AS MAP<STRING, INT>)").alias("of"),
+                       F.expr("CAST(map() AS MAP<BIGINT, INT>)").alias("at"))
+
+    def follow(held, s):
+        block = F.try_element_at(held["of"], s["source"])
+        now = F.coalesce(s["own"], block)
+        others = F.map_filter(held["of"], lambda k, _: k != s["name"])
+        of = F.when(s["name"].isNull(), held["of"]).when(now.isNull(), others).otherwise(F.map_concat(others, F.create_map(s["name"], now)))
+        at = F.when(block.isNull(), held["at"]).otherwise(F.map_concat(held["at"], F.create_map(s["stmt"], block)))
+        return F.struct(of.alias("of"), at.alias("at"))
+
+    told = told.select(key, "vars", F.aggregate("order", nothing, follow)["at"].alias("at"))
+    calls = (t.where("starts OR writes").select(
+                F.col(key).alias("__k"), "stmt", F.when(F.col("starts"), F.col("t")).otherwise("write").alias("call"),
+                F.col("argument").alias("value"), "block", "own")
+             .join(told, F.col("__k").eqNullSafe(F.col(key)), "left")
+             .withColumn("block", F.when(F.col("call") != "write", F.col("block")).otherwise(
+                 F.coalesce("own", F.try_element_at("at", F.col("stmt"))))))
+    return calls.select(F.col("__k").alias(key), "stmt", "call", "value", "block", "vars")
+
+
+def _resolved(name: Column, variables: Column | None, stmt: Column | None) -> Column:
+    """A dotted name with variables replaced and quotes dropped; a variable has the
+    value of its last assignment before the statement, if that was a literal."""
+    def part(p: Column) -> Column:
+        plain = F.trim(p, F.lit("`"))
+        if variables is None:
+            return plain
+        known = F.filter(variables, lambda v: (v["name"] == F.substring(p, F.lit(2), F.length(p) - 2)) & (v["stmt"] < stmt))
+        last = F.array_max(F.transform(known, lambda v: F.struct(v["stmt"], v["value"])))["value"]
+        return F.when(p.startswith("{"), F.coalesce(last, p)).otherwise(plain)
+
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(_PART + r"|\w+"), F.lit(0)), part), ".")
+
+
+# ---------------------------------------------------------------- SQL texts
+
+def _ahead(after: Column, start: Column, words: tuple[str, ...]) -> Column:
+    """1-based place of the first of the following tokens from ``start`` on that is none of ``words``."""
+    hits = F.transform(after, lambda x, i: (i + 1 >= start) & ~F.coalesce(x["w"], F.lit("")).isin(*words))
+    return F.array_position(hits, True).cast("int")
+
+
+def sql_tables(texts: DataFrame, by: list[str], text: str = "sql", split: bool = False) -> DataFrame:
+    """(by, [part], pos, role, name): the tables that SQL texts read and write, names
+    as written. Names of a text's WITH queries are none. With ``split`` the statements
+    of a text are judged each by itself and numbered in ``part``."""
+    t = _tokens(texts.select(*by, text), text, SQL, r"--|/\*|'|\"")
+    if split:
+        ends = F.col("t") == ";"
+        t = t.withColumn("__n", F.sum(ends.cast("int")).over(Window.partitionBy(*by).orderBy("pos"))).where(~ends)
+        t = t.withColumn("part", F.dense_rank().over(Window.partitionBy(*by).orderBy("__n"))).drop("__n")
+        by = [*by, "part"]
+    t = t.withColumn("is_name", F.col("t").rlike(rf"^(?:{_PART}|[A-Za-z_])"))
+    t = t.withColumn("w", F.when(F.col("is_name"), F.upper("t")).otherwise(F.col("t")))
+    t = _depth(t, by, "(", ")")
+    w = Window.partitionBy(*by).orderBy("pos")
+    t = t.withColumns({
+        "before": F.coalesce(F.lag("w").over(w), F.lit("")), "before2": F.coalesce(F.lag("w", 2).over(w), F.lit("")),
+        "after": F.array(*(F.lead(F.struct("is_name", "t", "w"), k).over(w) for k in range(1, _AHEAD + 1))),
+        "merging": F.coalesce(F.max(F.col("w") == "MERGE").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))})
+    level = Window.partitionBy(*by, "depth").orderBy("pos")
+    opens = F.col("t") == "("
+    t = t.withColumns({"bracket": F.last(F.when(opens, F.col("pos")), ignorenulls=True).over(level),
+                       "opener": F.coalesce(F.last(F.when(opens, F.col("before")), ignorenulls=True).over(level), F.lit(""))})
+
+    def word(k):
+        return F.coalesce(F.col("after")[k]["w"], F.lit(""))
+
+    names_table = (F.col("w") == "JOIN") | ((F.col("w") == "FROM") & ~F.col("opener").isin(*_FROM_FUNCTIONS)
+                                            & ~((F.col("before") == "DISTINCT") & F.col("before2").isin("IS", "NOT")))
+    ends_list = F.col("w").isin(*_END_OF_FROM) | ((F.col("w") == "LATERAL") & (word(0) == "VIEW"))
+    in_list = F.last(F.when(names_table, True).when(ends_list, False), ignorenulls=True).over(
+        Window.partitionBy(*by, "depth", "bracket").orderBy("pos"))
+    t = t.withColumn("in_list", F.coalesce(in_list, F.lit(False)))
+
+    after, w0 = F.col("after"), F.col("w")
+    made = _ahead(after, F.lit(1), ("OR", "REPLACE", "GLOBAL", "TEMP", "TEMPORARY", "EXTERNAL"))
+    makes = (w0 == "CREATE") & F.coalesce(F.try_element_at(after, F.nullif(made, F.lit(0)))["w"].isin("VIEW", "TABLE"), F.lit(False))
+    read = ((w0 == ",") & F.col("in_list")) | (names_table & ~((w0 == "FROM") & (F.col("before") == "DELETE"))) | (
+        (w0 == "USING") & F.col("merging") & (word(0) != "("))
+    updated = (w0 == "UPDATE") & F.array_contains(F.array(word(1), word(2), word(3)), "SET")
+    at = (F.when(read | names_table | updated, F.lit(1))
+          .when((w0 == "INSERT") & word(0).isin("INTO", "OVERWRITE"), _ahead(after, F.lit(1), ("INTO", "OVERWRITE", "TABLE")))
+          .when(makes, _ahead(after, made + 1, ("IF", "NOT", "EXISTS")))
+          .when((w0 == "MERGE") & (word(0) == "INTO"), F.lit(2)))
+    this, then = (F.try_element_at(after, F.nullif(at, F.lit(0)) + k) for k in (0, 1))
+    t = t.withColumns({"role": F.when(read, "read").otherwise("write"), "this": this, "then": then})
+    is_table = F.col("this.is_name") & ~F.col("this.w").isin(*_NO_TABLE) & (F.coalesce("then.w", F.lit("")) != "(")
+    found = t.where(is_table).select(*by, "pos", "role", F.col("this.t").alias("name"))
+
+    cte = F.when(word(0) == "RECURSIVE", F.lit(2)).otherwise(F.lit(1))
+    next_, one, two = (F.coalesce(F.try_element_at(after, cte + k)["w"], F.lit("")) for k in (0, 1, 2))
+    named = ((w0 == "WITH") | ((w0 == ",") & ~F.col("in_list"))) & F.try_element_at(after, cte)["is_name"] & (next_ != "") & (
+        ((one == "AS") & (two == "(")) | ((one == "(") & (w0 == "WITH")))
+    ctes = t.where(named).select(*(F.col(c).alias(f"__{c}") for c in by), F.lower(F.try_element_at(after, cte)["t"]).alias("__name")).distinct()
+    same = F.lower("name") == F.col("__name")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return found.join(ctes, same, "left_anti")
+
+
+# ---------------------------------------------------------------- scripts
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """Whole scripts (.py, .sql, .txt) under ``path`` as (script_id, text, kind)."""
@@ -200,27 +223,32 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
                      F.substring_index(name, ".", -1).alias("kind"))
 
 
-_REFS = pa.list_(pa.struct([("role", pa.string()), ("block_no", pa.int32()), ("dataset", pa.string())]))
-
-
-def with_references(scripts: DataFrame, name: str = "refs") -> DataFrame:
-    """``scripts`` with an array of (role, block_no, dataset); the kind of a
-    script is taken from a column ``kind``, py without one."""
-    columns = scripts.columns
-    at, kind_at = columns.index("text"), columns.index("kind") if "kind" in columns else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = batch.column(kind_at).to_pylist() if kind_at is not None else ["py"] * batch.num_rows
-            refs = [[{"role": r, "block_no": b, "dataset": d} for r, b, d in references(t.as_py(), k or "py")]
-                    for t, k in zip(batch.column(at), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(refs, _REFS)], names=[*columns, name])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scripts.schema.fields)
-    return scripts.mapInArrow(run, f"{schema}, {name} array<struct<role:string,block_no:int,dataset:string>>")
-
-
 def script_references(scripts: DataFrame, key: str = "script_id") -> DataFrame:
-    """(script_id, role, block_no, dataset) with role ``read`` or ``write``."""
-    keep = [key, "text"] + (["kind"] if "kind" in scripts.columns else [])
-    return with_references(scripts.select(*keep)).select(key, F.explode("refs").alias("r")).select(key, "r.*")
+    """(key, role, block_no, dataset) with role ``read`` or ``write``.
+
+    In a Python script each ``spark.sql`` or ``spark.table`` call with a literal is
+    a block, numbered from 1; a write belongs to the block that its data frame was
+    last assigned from (NULL if none). The statements of a SQL file are its blocks.
+    A column ``kind`` tells py, sql and txt apart (py without one); a txt file is a
+    Python one if it mentions ``spark.``.
+    """
+    files = None
+    if "kind" in scripts.columns:
+        is_python = (F.coalesce("kind", F.lit("py")) == "py") | ((F.col("kind") == "txt") & F.col("text").contains("spark."))
+        files, scripts = scripts.where(~is_python), scripts.where(is_python)
+    calls = cut_lineage(_python_calls(scripts.select(key, "text"), key))      # a few rows a script, read three times
+    dataset = _resolved(F.col("value"), F.col("vars"), F.col("stmt"))
+    role = F.when(F.col("call") == "write", "write").otherwise("read")
+    direct = calls.where("call <> 'sql'").select(key, role.alias("role"), F.col("block").alias("block_no"), dataset.alias("dataset"))
+    # what a name means is looked up where the text stands, so the names go back to their call
+    queries = calls.where("call = 'sql'").select(key, "block", "stmt", "vars", F.col("value").alias("sql"))
+    tables = sql_tables(queries, [key, "block"]).withColumnRenamed(key, "__k").withColumnRenamed("block", "__b")
+    told = queries.select(key, "block", "stmt", "vars")
+    used = tables.join(told, F.col("__k").eqNullSafe(F.col(key)) & (F.col("__b") == F.col("block")))
+    out = direct.unionByName(used.select(key, "role", F.col("block").alias("block_no"),
+                                         _resolved(F.col("name"), F.col("vars"), F.col("stmt")).alias("dataset")))
+    if files is None:
+        return out
+    plain = sql_tables(files.select(key, "text"), [key], "text", split=True)
+    return out.unionByName(plain.select(key, "role", F.col("part").cast("int").alias("block_no"),
+                                        _resolved(F.col("name"), None, None).alias("dataset")))

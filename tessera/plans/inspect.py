@@ -25,7 +25,7 @@ def check_plan(df: DataFrame) -> dict:
     plan = physical_plan(df)
     return {
         "python_udf": any(k in plan for k in ("BatchEvalPython", "ArrowEvalPython",
-                                             "FlatMapGroupsInPandas", "MapInPandas")),
+                                             "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "PythonMapInArrow")),
         "cartesian": "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan,
         "pushed_filters": [ln.strip() for ln in plan.splitlines() if "PushedFilters: [" in ln
                            and "PushedFilters: []" not in ln],

@@ -401,7 +401,9 @@ def q_script_refs(spark, sf_dir):
 
 @register("q_lineage_missing", DS.LINEAGE_MISSING)
 def q_lineage_missing(spark, sf_dir):
-    return LN.missing_in_row(R.with_references(D.scripts_with_lineage(_t(spark, sf_dir).documents)))
+    scripts = D.scripts_with_lineage(_t(spark, sf_dir).documents)
+    refs = R.script_references(scripts.select("doc_id", "text"), key="doc_id")
+    return LN.missing_from_lineage(refs, LN.lineage_nodes(LN.parse_lineage(scripts, "lineage")))
 
 
 # ====================================================================== DQ

@@ -109,10 +109,12 @@ def test_closure_of_targets_and_depth(spark):
     assert everything._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= 10
 
 
-def test_missing_in_row(spark):
+def test_missing_of_scripts(spark):
+    """References of scripts against their own answers; an answer that is not valid lacks all."""
     from tessera.operators import scripts as R
     df = spark.createDataFrame([(1, 'a = spark.sql("SELECT * FROM i, z")\na.write.saveAsTable("o")', _doc()),
                                 (2, 'spark.table("i").write.saveAsTable("i")', "{bad"), (3, None, None)],
                                "doc_id int, text string, lineage string")
-    out = LN.missing_in_row(R.with_references(df)).collect()
+    refs = R.script_references(df.select("doc_id", "text"), "doc_id")
+    out = LN.missing_from_lineage(refs, LN.lineage_nodes(LN.parse_lineage(df, "lineage"))).collect()
     assert sorted((r.doc_id, r.dataset) for r in out) == [(1, "z"), (2, "i")]

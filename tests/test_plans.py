@@ -3,8 +3,10 @@ product; filters of the base layer reach the parquet scan."""
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import SF001
-from tessera.plans.inspect import check_plan
+from tessera.plans.inspect import check_plan, physical_plan
 from tessera.registry import QUERIES
 
 # run when they are asked for: what is left of the plan is the last round
@@ -27,7 +29,6 @@ def test_filters_pushed(spark):
 def test_one_parse_and_one_scan(spark):
     """L8 and the sinks of M11 read and parse each document once."""
     from tessera.operators import lineage as LN
-    from tessera.plans.inspect import physical_plan
     from tessera.sources import derived as D
     from tessera.sources.tables import read_table
     for df in (QUERIES["q_lineage_columns"](spark, SF001),
@@ -37,6 +38,15 @@ def test_one_parse_and_one_scan(spark):
         assert plan.count("parseJson") == 1
 
 
-def test_scripts_without_shuffle(spark):
-    for name in ("q_script_refs", "q_lineage_missing"):
-        assert check_plan(QUERIES[name](spark, SF001))["exchanges"] == 0
+def test_scripts_are_dealt_by_script(spark):
+    """Tokens meet by script, never in a single partition, and without Python."""
+    from tessera.operators import scripts as R
+    from tessera.sources import derived as D
+    from tessera.sources.tables import read_table
+    calls = R._python_calls(D.scripts_from_documents(read_table(spark, SF001, "documents")), "doc_id")
+    tables = R.sql_tables(calls.select("doc_id", "block", F.col("value").alias("sql")), ["doc_id", "block"])
+    for df in (calls, tables):
+        facts, plan = check_plan(df), physical_plan(df)
+        assert not facts["python_udf"] and "SinglePartition" not in plan
+        dealt = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+        assert dealt and all("doc_id" in ln or "__k" in ln for ln in dealt)
