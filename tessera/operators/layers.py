@@ -188,6 +188,15 @@ def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT, hot: d
         "merchant_category", "fraud_flag", "external_credit_score", "sanctions_hit")
 
 
+def account_profile(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
+    """J8 and J9 for today's accounts: product and branch of each. Over tables in
+    buckets of account_id (``sinks.save_layout``) nothing is shuffled, and only
+    the partition of the run's date is read."""
+    return (snapshot(v.account, "load_date", p).select("account_id", "customer_id", "account_type")
+            .join(v.product_dim.select("account_id", "product_name", "product_category"), "account_id", "left")
+            .join(v.branch_dim.select("account_id", "branch_name", "branch_region"), "account_id", "left"))
+
+
 def nested_layer(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     """Q3 as published: ``region`` is coalesced to 'UNKNOWN' (A12)."""
     n = nested_from_union(union_layer(v, p), v, p)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.json import is_string_list, kind, member, with_strict_variant
+from tessera.functions.json import is_a, is_string_list, kind, member, with_strict_variant
 from tessera.functions.text import remove_aliases
 
 META = T.StructType([
@@ -63,6 +63,48 @@ def flatten_catalog(docs: DataFrame, text_col: str = "value") -> DataFrame:
                        "meta.categories")
 
 
+NO_OBJECT, BAD_TABLE, BAD_COLUMN = "malformed catalog", "table is no object", "column of a wrong type"
+
+
+def catalog_pieces(docs: DataFrame, text_col: str = "value") -> DataFrame:
+    """The catalog taken apart entry by entry, with other columns of ``docs`` kept:
+    (table_name, column_name, data_type, is_categorical, categories, error, raw).
+
+    A document is read once as a variant; a table function gives a row per table, a
+    second one a row per column, which go on separately. An entry of a wrong type
+    has an error and its JSON in ``raw``, the others of its document come out. An
+    empty table or catalog has no rows.
+    """
+    spark, keep = docs.sparkSession, [c for c in docs.columns if c != text_col]
+    read = with_strict_variant(docs, F.col(text_col), "__v")
+    is_object = lambda v: F.coalesce(kind(v), F.lit("")).startswith("OBJECT<")
+
+    def piece(df: DataFrame, v: str, name: str, value: str, error: str) -> DataFrame:
+        """A row per member of the variant ``v``, or one with an error where it is no object."""
+        members = spark.tvf.variant_explode_outer(F.when(is_object(F.col(v)), F.col(v)).outer())
+        out = df.lateralJoin(members.select(F.col("key").alias(name), F.col("value").alias(value)))
+        empty = is_object(F.col(v)) & F.col(name).isNull()
+        return out.where(~F.coalesce(empty, F.lit(False))).withColumn(
+            "error", F.coalesce("error", F.when(~is_object(F.col(v)), F.lit(error))))
+
+    # a document without a value is an error of its own, so the first level keeps it
+    tables = piece(read.withColumn("error", F.lit(None).cast("string")), "__v", "table_name", "__cols", NO_OBJECT)
+    whole = tables.where("error IS NOT NULL").withColumns({"column_name": F.lit(None).cast("string"), "raw": F.col(text_col)})
+    cols = piece(tables.where("error IS NULL"), "__cols", "column_name", "__meta", BAD_TABLE)
+    meta = F.col("__meta")
+    bad = ~is_object(meta) | ~is_a(member(meta, "data_type"), "STRING", "VOID") | ~is_a(member(meta, "is_categorical"), "BOOLEAN", "VOID") | ~(
+        is_a(member(meta, "categories"), "VOID") | F.coalesce(kind(member(meta, "categories")), F.lit("")).startswith("ARRAY<"))
+    error = F.coalesce("error", F.when(bad, F.lit(BAD_COLUMN)))
+    get = lambda name, to: F.when(error.isNull(), F.try_variant_get(meta, f"$.{name}", to)).alias(name)
+    raw = F.when(error.isNotNull(), F.to_json(F.coalesce("__meta", "__cols")))
+    entries = cols.select(*keep, "table_name", "column_name", get("data_type", "string"), get("is_categorical", "boolean"),
+                          get("categories", "array<string>"), error.alias("error"), raw.alias("raw"))
+    lost = whole.select(*keep, "table_name", "column_name", F.lit(None).cast("string").alias("data_type"),
+                        F.lit(None).cast("boolean").alias("is_categorical"),
+                        F.lit(None).cast("array<string>").alias("categories"), "error", "raw")
+    return entries.unionByName(lost)
+
+
 # ---------------------------------------------------------------- M2, M3, M5
 
 def default_logic(c: Column) -> Column:

@@ -42,6 +42,13 @@ CATALOG_FLAT = f"SELECT {CATALOG_COLS} FROM part"
 CAT_HOLES = (f"cat AS (SELECT CASE WHEN p_size > 5 THEN table_name ELSE 'gone.' || table_name END AS table_name, "
              f"column_name, data_type, is_categorical, categories FROM (SELECT p_size, {CATALOG_COLS} FROM part))")
 
+CATALOG_PIECES = f"""WITH e AS (SELECT p_partkey, p_size, {CATALOG_COLS} FROM part)
+SELECT p_partkey AS doc_id, table_name, column_name, data_type, is_categorical, categories, NULL::VARCHAR AS error FROM e WHERE p_size <> 11
+UNION ALL
+SELECT p_partkey, table_name, 'x_' || column_name, CASE WHEN p_size % 5 <> 0 AND p_size % 7 <> 0 THEN 'int' END, NULL, NULL,
+       CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'column of a wrong type' END FROM e WHERE p_size <> 11
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'malformed catalog' FROM e WHERE p_size = 11"""
+
 MAPPING_ROWS = f"""m AS (
   SELECT {TXN_ID} AS mapping_id,
          'catalog_db.part_group_' || {vc('l_partkey // 100')} AS source_table,
@@ -254,6 +261,10 @@ CSV_ROUND_TRIP = _VALID_ROWS + """
 SELECT * REPLACE (transformation_logic || chr(10) || '  -- "as is", ' || target_column AS transformation_logic) FROM v"""
 MAPPING_COUNT = f"WITH {MAPPING_ROWS}\nSELECT target_table, count(*) AS mappings FROM m GROUP BY target_table"
 
+WRITTEN_COUNTS = _VALID_ROWS + """
+SELECT unnest(['csv', 'json']) AS artefact, (SELECT count(*) FROM v) AS mappings"""
+CSV_FILES = CSV_ROUND_TRIP.replace("SELECT * REPLACE", "SELECT * EXCLUDE (doc_id, pos) REPLACE")
+
 RULE_FLATTEN = f"""WITH a AS (
   SELECT 'docs.' || lang AS source_table, source AS source_column, 'dq.' || lang AS target_table,
          'doc_' || {vc('doc_id')} AS target_column,

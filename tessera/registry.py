@@ -5,6 +5,7 @@ derives from them row by row, so its work grows with the tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tessera.operators.joins import hot_keys, lookup_join
 from tessera.oracle import bank_sql as B
 from tessera.oracle import derived_sql as DS
 from tessera.params import DEFAULT
+from tessera.session import scratch
 from tessera.sources import derived as D
 from tessera.sources import sinks
 from tessera.sources.bank import BankViews
@@ -478,6 +480,47 @@ def q_csv_round_trip(spark, sf_dir):
     return M.from_csv_projection(back.select("doc_id", "pos", "m.*"), ("doc_id", "pos"))
 
 
+@register("q_csv_files", DS.CSV_FILES)
+def q_csv_files(spark, sf_dir):
+    """S11 and S12 by way of files: written, and read back in splits."""
+    m = M.valid_mappings(_parsed_mapping_docs(spark, sf_dir)).withColumn(
+        "transformation_logic", F.concat("transformation_logic", F.lit('\n  -- "as is", '), "target_column"))
+    path = scratch(spark)
+    sinks.write_mapping_csv(m, path)
+    return sinks.read_mapping_csv(spark, path)
+
+
+@register("q_written_counts", DS.WRITTEN_COUNTS)
+def q_written_counts(spark, sf_dir):
+    """M9: what the jobs that wrote S10 and S11 have seen."""
+    m = M.valid_mappings(_parsed_mapping_docs(spark, sf_dir))
+    seen = [("csv", sinks.write_mapping_csv(m, scratch(spark))), ("json", sinks.write_mapping_json(m, scratch(spark)))]
+    return spark.createDataFrame(seen, "artefact string, mappings long")
+
+
+@register("q_catalog_pieces", DS.CATALOG_PIECES)
+def q_catalog_pieces(spark, sf_dir):
+    return M.catalog_pieces(D.damaged_catalogs(_t(spark, sf_dir).part)).drop("raw")
+
+
+@register("q_layout_profile", B.with_bank(
+    "SELECT a.account_id, a.customer_id, a.account_type, p.product_name, p.product_category, z.branch_name, z.branch_region "
+    "FROM b_account a LEFT JOIN b_product_dim p ON p.account_id = a.account_id LEFT JOIN b_branch_dim z ON z.account_id = a.account_id "
+    f"WHERE a.load_date = {d(P.as_of)}"))
+def q_layout_profile(spark, sf_dir):
+    """S1, S3, S5, P8, J8, J9 over tables laid out by date and in buckets, written and read back."""
+    return L.account_profile(_laid_out(spark, _v(spark, sf_dir), ("account", "product_dim", "branch_dim")), P)
+
+
+def _laid_out(spark, v: BankViews, names) -> SimpleNamespace:
+    """Views over new tables in the shared folder, laid out for the job."""
+    root, buckets = scratch(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = {n: f"layout_{root.rsplit('/', 1)[1]}_{n}" for n in names}
+    for n, table in tables.items():
+        sinks.save_layout(getattr(v, n), table, n, buckets, f"{root}/{n}")
+    return SimpleNamespace(**{n: spark.table(t) for n, t in tables.items()})
+
+
 @register("q_rules_csv_rows", DS.RULES_CSV)
 def q_rules_csv_rows(spark, sf_dir):
     rules = Q.flatten_rules(D.rule_answers(_t(spark, sf_dir).documents))

@@ -6,6 +6,8 @@ from the platform.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are planned for. AQE re-plans joins from runtime sizes
@@ -67,3 +69,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     except AttributeError:
         folder = "connect"      # Spark Connect: the server checkpoints into its own configured folder
     return df.checkpoint(eager=True) if folder else df.persist()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, under the checkpoint
+    folder (the warehouse without one); deleted when the application ends."""
+    root = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/tessera-scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -57,6 +57,18 @@ def catalog_documents(part: DataFrame) -> DataFrame:
     return e.select(F.col("p_partkey").alias("doc_id"), doc.alias("value"))
 
 
+def damaged_catalogs(part: DataFrame) -> DataFrame:
+    """(doc_id, value): a catalog document of one table with two columns per part; the
+    second one has a number for a data type if the part's size is a multiple of 5, is a
+    text if it is one of 7. Documents of parts of size 11 are cut short."""
+    e = catalog_entries(part)
+    good = F.to_json(F.struct("data_type", "is_categorical", "categories"))
+    second = F.when(F.col("p_size") % 5 == 0, '{"data_type":5}').when(F.col("p_size") % 7 == 0, '"int"').otherwise('{"data_type":"int"}')
+    doc = F.concat(S('{"'), F.col("table_name"), S('":{"'), F.col("column_name"), S('":'), good, S(',"x_'), F.col("column_name"),
+                   S('":'), second, F.when(F.col("p_size") == 11, "").otherwise("}}"))
+    return e.select(F.col("p_partkey").alias("doc_id"), doc.alias("value"))
+
+
 # ---------------------------------------------------------------- mapping rows
 
 def mapping_rows(lineitem: DataFrame) -> DataFrame:

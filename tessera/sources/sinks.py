@@ -4,9 +4,9 @@ per task, nothing gathered on the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.operators.lineage import quarantine
 from tessera.operators.mapping import (MAPPING_FIELDS, csv_projection, flatten_catalog,
@@ -30,6 +30,28 @@ def save_table(df: DataFrame, table: str) -> None:
     df.write.mode("overwrite").saveAsTable(table)
 
 
+#: How the large tables are laid out: by the date that a run filters on, and in
+#: buckets of the key that they are joined on.
+LAYOUT = {
+    "account": ("load_date", "account_id"), "transaction": ("load_date", "account_id"),
+    "archived_account": (None, "account_id"), "archived_transaction": (None, "account_id"),
+    "product_dim": (None, "account_id"), "branch_dim": (None, "account_id"),
+    "credit_bureau": ("report_date", "customer_id"), "segmentation_rules": (None, "customer_id"),
+    "sanctions_list": (None, "customer_id"), "customer_region": (None, "cust_id"),
+}
+
+
+def save_layout(df: DataFrame, table: str, name: str, buckets: int, path: str | None = None) -> None:
+    """``df`` as ``table``, laid out as ``LAYOUT`` has it for ``name``; ``path``
+    for an external table. A bucket is dealt to one task before it is written, so it is
+    one file (per date)."""
+    date, key = LAYOUT[name]
+    out = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if date is not None:
+        out = out.partitionBy(date)
+    (out if path is None else out.option("path", path)).saveAsTable(table)
+
+
 def read_catalog(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """S7 + M1. ``one_document``: the file is a single JSON object (read whole);
     otherwise one catalog object per line, read in parallel splits."""
@@ -61,28 +83,71 @@ def parse_csv_line(c, columns) -> Column:
     return F.from_csv(c, schema, {**{k: v for k, v in CSV_OPTIONS.items() if k != "header"}, "multiLine": "true"})
 
 
-def write_mapping_csv(mappings: DataFrame, path: str) -> None:
-    """The eight fields in fixed order, header, arrays joined with ', '."""
-    csv_projection(mappings).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df``, and where its number of rows will be once it was written (M9):
+    observed by the job that writes, so nothing runs twice."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def write_mapping_csv(mappings: DataFrame, path: str) -> int:
+    """The eight fields in fixed order, header, arrays joined with ', '.
+    Returns the number of mappings written (M9)."""
+    rows, seen = _counted(csv_projection(mappings))
+    rows.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    return seen.get["rows"]
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of CSV files, numbered from 0 in each file,
+    line breaks inside quotes kept. Files are read in splits of any size.
+
+    A line begins a record if the quotes before it, in the whole file, are even in
+    number. A split cannot know those, so it counts for both cases: its quotes, and
+    the records that begin in it if the quotes before it are even, or odd. One row
+    per split and a running sum over a file's splits tell which case holds and the
+    number of its first record; the lines of a record then meet by that number.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = F.coalesce(F.sum(quotes).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumns({"quotes": quotes, "odd": before % 2})
+    lines = lines.withColumns({"even_starts": F.sum(1 - F.col("odd")).over(inside), "odd_starts": F.sum("odd").over(inside)})
+    splits = lines.groupBy("file", "split").agg(
+        (F.sum("quotes") % 2).alias("odd"), F.max("even_starts").alias("even_starts"), F.max("odd_starts").alias("odd_starts"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("odd_before", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("odd_before") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    splits = splits.select("file", "split", "odd_before", F.coalesce(F.sum(starts).over(earlier), F.lit(0)).alias("first"))
+    own = F.when(F.col("odd_before") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    numbered = lines.join(splits, ["file", "split"]).select("file", (F.col("first") + own - 1).alias("record"), "split", "at", "line")
+    parts = F.array_sort(F.collect_list(F.struct("split", "at", "line")))
+    return numbered.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
 
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed schema (no inference), empties back to defaults. Cells may hold
-    line breaks, so a file is read by one task; write many files for many tasks."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in MAPPING_FIELDS])
-    raw = spark.read.options(**CSV_OPTIONS, multiLine="true").schema(schema).csv(path)
-    return from_csv_projection(raw)
+    """Fixed schema (no inference), the header of each file left out, empties
+    back to defaults. Cells may hold line breaks; files are read in many tasks. A
+    quote that is never closed makes one record of the rest of its file."""
+    text = F.regexp_replace("text", r"\r\z", "")
+    rows = csv_records(spark, path).where("record > 0").select(text.alias("text")).where("text <> ''")
+    return from_csv_projection(rows.select(parse_csv_line("text", MAPPING_FIELDS).alias("m")).select("m.*"))
 
 
 def write_mapping_json(mappings: DataFrame, path: str, key: str | None = "doc_id",
-                       order: str = "pos") -> None:
+                       order: str = "pos") -> int:
     """UTF-8 JSON, non-ASCII kept. With ``key``, one ``{"mappings": [..]}``
     document per key (the mappings of one script, ordered by ``order``);
-    without, one mapping per line."""
+    without, one mapping per line. Returns the number of mappings written (M9)."""
+    rows, seen = _counted(mappings)
     if key is None:
-        mappings.select(*MAPPING_FIELDS).write.mode("overwrite").json(path)
+        rows.select(*MAPPING_FIELDS).write.mode("overwrite").json(path)
     else:
-        mapping_documents(mappings, key, order).select("text").write.mode("overwrite").text(path)
+        mapping_documents(rows, key, order).select("text").write.mode("overwrite").text(path)
+    return seen.get["rows"]
 
 
 def write_rules_csv(rules: DataFrame, path: str) -> None:
