@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, in_batches, lean
+from tessera.llm.jaccard_join import similar_groups
 
 #: Lexicon used where no labelled text is given.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "trash", "clown", "pathetic", "worthless", "disgusting")
@@ -148,9 +149,9 @@ def mine_lexicon(sample: DataFrame, positives: int, precision: float = 0.5, most
     """Entries for (text, toxic) rows. Among the texts that hold an entry, the
     share of toxic ones is at least ``precision`` at the lower end of its 98 %
     interval (Wilson; 90 % for pairs, of which there are far fewer to try), and
-    1 % of the toxic texts (4 at least) hold it. At most ``rows``
+    3 % of the toxic texts (3 at least) hold it. At most ``rows``
     grams of the highest support are looked at, ``most`` are chosen."""
-    least = max(4, math.ceil(positives / 100))
+    least = max(3, math.ceil(0.03 * positives))
     z2 = F.when(F.col("gram").endswith("+"), 1.64 ** 2).otherwise(2.33 ** 2)
     n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     low = (share + z2 / (2 * n) - F.sqrt(z2 * (share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
@@ -165,8 +166,9 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20) -> np.nda
     """Posterior probability of the toxic class for rows of 0/1 votes.
 
     ``gold`` (0, 1) starts the estimate and stays a voter with a rate of its own.
+    Voters that fire nowhere say nothing and are left out.
     """
-    x = np.column_stack((votes, gold)).astype(np.float64)
+    x = np.column_stack((votes[:, votes.any(axis=0)], gold)).astype(np.float64)
     p = np.where(gold > 0, 0.95, 0.05)
     n = len(x)
     for _ in range(rounds):
@@ -187,17 +189,34 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20) -> np.nda
     return p
 
 
-def fit_logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights (bias last) of logistic regression on soft labels, by Newton steps."""
+def prior_weights(entries: int) -> np.ndarray:
+    """What is believed without labels: one entry gives 0.5, two 0.9 or more."""
+    return np.array([1.0] * entries + [1.2, 1.2] + [0.6] * 2 + [0.0] * (len(PATTERNS) - 4) + [-2.2])
+
+
+def fit_logistic(x: np.ndarray, p: np.ndarray, prior: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
+    """Weights (bias last) of logistic regression on soft labels, by Newton steps;
+    weights that the labels say little about stay near ``prior``."""
     x = np.column_stack((x, np.ones(len(x)))).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+    penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0.0, z) - p * z).sum() + 0.5 * (penalty * (w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (p - q) - penalty * w)
-        w += step
+        step = np.linalg.solve(h, x.T @ (p - q) - penalty * (w - prior))
+        for _ in range(30):                   # where a class is far off, a whole step overshoots
+            if (new := loss(w + step)) <= now:
+                break
+            step = step / 2
+        else:
+            break
+        w, now = w + step, new
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -235,36 +254,32 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most ``train_rows`` labelled texts, those of the smallest id hashes.
 
     Rows with a NULL id or label are not used; an id with several labels is toxic
-    if one says so; near copies of a text count once, lest their words pass for
-    evidence. Without toxic and clean texts the seed lexicon decides, one
-    entry giving a score of 0.5 and two 0.9 or more.
+    if one says so, and one with several texts has the least; of near copies (the
+    groups of the n-gram join over the sample) with one label the least id counts,
+    lest their words pass for evidence. The seed lexicon is always among the voters;
+    without toxic and clean texts it decides, one entry giving a score of 0.5 and
+    two 0.9 or more.
     """
     ids = cut(labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
               .orderBy(F.xxhash64("id")).limit(train_rows))
-    sample = cut(in_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-                 .join(F.broadcast(ids), "id").dropDuplicates(["id"])
-                 .withColumn("print", _print_of(F.col("text"))).dropDuplicates(["print"]).select("text", "toxic"))
+    texts = cut(in_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+                .join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    groups = similar_groups(texts, "id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+    first = texts.select("id", "toxic").join(groups, "id").groupBy("group", "toxic").agg(F.min("id").alias("id"))
+    sample = cut(texts.join(first.select("id"), "id").select("text", "toxic"))
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    seeded = Model([*SEED], np.array([1.0] * len(SEED) + [1.2, 1.2] + [0.6] * 2 + [0.0] * (len(PATTERNS) - 4) + [-2.2]))
     if min(n.get(0, 0), n.get(1, 0)) < 4:
-        return seeded
+        return Model([*SEED], prior_weights(len(SEED)))
     entries = mine_lexicon(sample, n[1])
-    if not entries:
-        return seeded
+    entries += [w for w in SEED if w not in entries]
     rows = sample.mapInArrow(lean(_votes(entries)), "votes array<int>, toxic int").collect()
     x = np.zeros((len(rows), len(entries) + len(PATTERNS)))
     for i, r in enumerate(rows):
         x[i, r[0]] = 1.0
     gold = np.array([r[1] for r in rows])
     order = np.lexsort((*x.T[:8], gold))          # the same sums in whatever order the rows came
-    return Model(entries, fit_logistic(x[order], label_model(x[order], gold[order])))
-
-
-def _print_of(text):
-    """The three least word hashes of a text, which near copies mostly share."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s,.!?]+"))
-    return F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 3)
+    return Model(entries, fit_logistic(x[order], label_model(x[order], gold[order]), prior_weights(len(entries))))
 
 
 def held_out(doc_id):

@@ -146,11 +146,29 @@ def test_queries_return_a_row_per_row(spark, name):
         assert n > 0
 
 
-def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.75), ("sf0.1", 0.9)])
+def test_toxicity_on_held_out_labels(spark, sf, recall):
+    """Of the held-out toxic texts (18 and 144) 2 and 9 hold no word that tells."""
+    sf = f"/root/testdata/{sf}"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = QUERIES["op1_toxicity"](spark, sf).where("held_out").join(labels, "doc_id")
     c = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
-    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.85
-    assert c[1, 1] / (c[1, 1] + c.get((0, 1), 0)) > 0.9
+    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > recall
+    assert c[1, 1] / (c[1, 1] + c.get((0, 1), 0)) > 0.95
     assert VOCAB and toxicity.SEED
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    """The same weights and scores however the tables are dealt; copies with two labels keep both."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    labels = spark.read.parquet(f"{SF001}/labels.parquet")
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(n + 1)) for n in (1, 7)]
+    assert models[0].entries == models[1].entries
+    assert abs(models[0].weights - models[1].weights).max() < 1e-9
+    texts = [r.text for r in docs.limit(50).collect()]
+    by_hand = []
+    for t in texts:         # the score is the logistic of the weights of the voters that fire
+        fired = toxicity.Lexicon(models[0].entries).votes(t)
+        z = models[0].weights[-1] + sum(models[0].weights[i] for i in fired)
+        by_hand.append(1 / (1 + 2.718281828459045 ** -max(-50, min(50, z))))
+    assert max(abs(a - b) for a, b in zip(by_hand, models[0].scorer()(texts))) < 1e-9
