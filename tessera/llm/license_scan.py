@@ -2,11 +2,16 @@
 
 Templates are cut into words; the hashes of their k-word runs are winnowed (the
 least of every ``window`` consecutive ones) into an inverted index from
-fingerprint to (template, place). Every k-word run of a document is looked up,
-so any run of k + window - 1 words that it shares with a template makes a hit.
-Hits of a template on nearby diagonals become one candidate, which is aligned
-with the template by edit distance within a band; matched words over template
-words is the coverage, the outermost matched words give the span.
+fingerprint to (template, place). What is looked up follows from the coverage
+that is promised: a notice may lack ``e`` of the n words of its template and hold
+``gap`` words more, so its matched words lie in at most e + gap + 1 runs. If the
+longest of them must have k + window - 1 words, the winnowed runs find it; if k,
+all runs of the template do; a shorter template is looked up by single words, its
+identifying ones or else e + 1 of its rarest, one of which must be there.
+Hits of a template on nearby diagonals become one candidate, which is aligned with
+the template within a band of e + gap, for the most matched words and then the fewest
+edits; matched words over template words is the coverage, the outermost matched words give the span. Words that tell
+a licence from its relatives (``IDENTIFY``) must be among them.
 
 Words are runs of letters and digits (any character beyond ASCII counts as a
 letter), A-Z lower-cased: marks between words don't matter. A row is scanned by
@@ -15,7 +20,8 @@ itself: no shuffle. The templates are a parameter, not data.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -46,6 +52,16 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
            "that the following conditions are met",
 }
+#: Words without which a notice is of another licence, or of none.
+IDENTIFY = {
+    "all-rights-reserved": ("reserved",),
+    "mit-notice": ("mit",),
+    "apache-2.0-notice": ("apache",),
+    "gpl-3.0-notice": ("gnu",),
+    "cc-by-nc-4.0-notice": ("nc", "cc"),
+}
+#: Words that a notice may hold beyond its template's, at least (a tenth of long ones).
+GAP = 3
 
 
 def winnow(h: np.ndarray, window: int) -> list[int]:
@@ -61,90 +77,112 @@ def winnow(h: np.ndarray, window: int) -> list[int]:
 
 
 def align(template: list[int], words: list[int], shift: int, band: int) -> tuple[int, int, int]:
-    """Best alignment of the whole template within ``words`` (free ends there) by
-    edit distance, on the diagonals within ``band`` of ``shift``. Returns (matched
-    words, first and last matched place in ``words``); (0, -1, -1) without a match."""
-    far = 1 << 30
+    """Best alignment of the whole template within ``words`` (free ends there), on
+    the diagonals within ``band`` of ``shift``: the most matched words, and among
+    those the fewest edits. Returns (matched words, first and last matched place in
+    ``words``); (0, -1, -1) without a match."""
     width = 2 * band + 1
-    # row i, cell b: template[:i] against words up to j = i + shift - band + b
+    # row i, cell b: template[:i] against words up to j = i + shift - band + b, as (-matched, edits, first, last)
     row = [(0, 0, -1, -1)] * width
     for i, t in enumerate(template, 1):
-        new = []
+        new: list[tuple[int, int, int, int]] = []
         for b in range(width):
             j = i + shift - band + b
-            best = (far, 0, -1, -1)
-            if 0 < j <= len(words):
-                d, neg, first, last = row[b]
-                if words[j - 1] == t:
-                    best = min(best, (d, neg - 1, j - 1 if first < 0 else first, j - 1))
-                else:
-                    best = min(best, (d + 1, neg, first, last))
-            elif j <= 0 or j > len(words):
-                best = min(best, (row[b][0] + 1, *row[b][1:]))
+            neg, d, first, last = row[b]
+            inside = 0 < j <= len(words)
+            if inside and words[j - 1] == t:
+                best = (neg - 1, d, j - 1 if first < 0 else first, j - 1)
+            else:
+                best = (neg, d + 1, first, last)
             if b + 1 < width:                                  # a template word left out
-                best = min(best, (row[b + 1][0] + 1, *row[b + 1][1:]))
-            if b and 0 < j <= len(words):                      # a word of the text left out
-                best = min(best, (new[b - 1][0] + 1, *new[b - 1][1:]))
+                neg, d, first, last = row[b + 1]
+                best = min(best, (neg, d + 1, first, last))
+            if b and inside:                                   # a word of the text left out, for nothing before the first match
+                neg, d, first, last = new[b - 1]
+                best = min(best, (neg, d + (first >= 0), first, last))
             new.append(best)
         row = new
-    _, neg, first, last = min(row)
+    neg, _, first, last = min(row)
     return -neg, first, last
 
 
+def words_in(text: str) -> list[str]:
+    """The words of a text, as they are told apart here."""
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).split()
+
+
+def _hashed(text: str) -> list[int]:
+    return words_of([text.encode().translate(LOWER)], MARKS)[0].tolist()
+
+
 class Index:
     """Inverted index over the fingerprints of the templates."""
 
-    def __init__(self, templates: Mapping[str, str], k: int, window: int):
-        self.k = k
+    def __init__(self, templates: Mapping[str, str], k: int, window: int, least: float = 0.8,
+                 identify: Mapping[str, tuple[str, ...]] = IDENTIFY):
+        self.k, self.least = k, least
         self.names = list(templates)
-        self.words = []
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, text in enumerate(templates.values()):
-            h, _, _, _ = words_of([text.encode().translate(LOWER)], MARKS)
-            self.words.append(h.tolist())
-            if len(h) < k:
-                raise ValueError(f"a template needs {k} words: {text!r}")
-            g = ngrams(h, k)
-            for j in winnow(g, window):
-                at[int(g[j])].append((i, j))
-        self.at = dict(at)
-        self.prints = np.array(sorted(at), np.uint64)
-
-    def scan(self, texts: list[str], least: float) -> Iterator[tuple[int, str, float, int, int, int]]:
+        self.words = [_hashed(t) for t in templates.values()]
+        self.needs = [[_hashed(w)[0] for w in identify.get(name, ())] for name in self.names]
+        self.bands = []
+        runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        single: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        common = Counter(w for t in self.words for w in set(t))
+        for i, (h, text) in enumerate(zip(self.words, templates.values(), strict=True)):
+            if not h or not set(self.needs[i]) <= set(h):
+                raise ValueError(f"a template needs words, its identifying ones among them: {text!r}")
+            lacking, gap = len(h) - math.ceil(least * len(h) - 1e-9), max(GAP, len(h) // 10)
+            self.bands.append(lacking + gap)
+            longest = -(-(len(h) - lacking) // (lacking + gap + 1))      # of the runs of matched words
+            if longest >= k:
+                g = ngrams(np.array(h, np.uint64), k)
+                for j in winnow(g, window if longest >= k + window - 1 else 1):
+                    runs[int(g[j])].append((i, j))
+                continue
+            spelled = words_in(text)
+            rare = sorted(range(len(h)), key=lambda j: (common[h[j]], h.count(h[j]), -len(spelled[j]), j))
+            chosen = self.needs[i][:1] or [h[j] for j in rare[:lacking + 1]]
+            for j, w in enumerate(h):
+                if w in chosen:
+                    single[w].append((i, j))
+        self.tables = [(size, dict(at), np.array(sorted(at), np.uint64)) for size, at in ((k, runs), (1, single)) if at]
+
+    def scan(self, texts: list[str], least: float | None = None) -> Iterator[tuple[int, str, float, int, int, int]]:
         """(text number, template, coverage, start, end, matched words), code points, end exclusive."""
+        least = self.least if least is None else max(least, self.least)
         raw = [t.encode("utf-8", "replace").translate(LOWER) for t in texts]
         h, doc, starts, ends = words_of(raw, MARKS)
-        g = ngrams(h, self.k)
-        if not len(g):
-            return
-        near = np.minimum(np.searchsorted(self.prints, g), len(self.prints) - 1)
-        hits = np.flatnonzero((self.prints[near] == g) & (doc[: len(g)] == doc[self.k - 1:]))
-        groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p in hits.tolist():
-            for i, j in self.at[int(g[p])]:
-                groups[(int(doc[p]), i)].append(p - j)
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for size, at, prints in self.tables:
+            g = ngrams(h, size) if size > 1 else h
+            if not len(g):
+                continue
+            near = np.minimum(np.searchsorted(prints, g), len(prints) - 1)
+            for p in np.flatnonzero((prints[near] == g) & (doc[: len(g)] == doc[size - 1:])).tolist():
+                for i, j in at[int(g[p])]:
+                    groups[(int(doc[p]), i)].append((p - j, p))
         offsets = np.cumsum([0] + [len(t) + 1 for t in raw])
-        for (d, i), diagonals in sorted(groups.items()):
-            template = self.words[i]
-            n, band = len(template), max(2, len(template) // 10)
+        for (d, i), hits in sorted(groups.items()):
+            template, n, band = self.words[i], len(self.words[i]), self.bands[i]
             lo, hi = np.searchsorted(doc, [d, d + 1])
-            covered = -1
-            for diagonal in sorted(set(diagonals)):
-                if diagonal <= covered:
+            tried, done = None, int(lo)                  # the last diagonal that led nowhere, the end of the last notice
+            for diagonal, p in sorted(set(hits), key=lambda x: x[1]):
+                if p < done or diagonal == tried:
                     continue
-                a, b = max(int(lo), diagonal - band), min(int(hi), diagonal + n + 2 * band)
+                a, b = max(done, diagonal - band), min(int(hi), diagonal + n + band)
                 matched, first, last = align(template, h[a:b].tolist(), diagonal - a, band)
-                if matched < least * n:
+                if matched < least * n - 1e-9 or not set(self.needs[i]) <= set(h[a + first:a + last + 1].tolist()):
+                    tried = diagonal
                     continue
-                covered = diagonal + band
+                done = a + last + 1
                 s, e = int(starts[a + first] - offsets[d]), int(ends[a + last] - offsets[d])
                 start = len(raw[d][:s].decode("utf-8", "replace"))
                 yield d, self.names[i], matched / n, start, start + len(raw[d][s:e].decode("utf-8", "replace")), matched
 
 
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                  templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8,
-                  k: int = 3, window: int = 2) -> DataFrame:
+                  templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8, k: int = 3, window: int = 2,
+                  identify: Mapping[str, tuple[str, ...]] = IDENTIFY) -> DataFrame:
     """One row per notice found: doc_id, license, coverage, span_start, span_end,
     matched_words. A text may hold several notices, and one more than once; where
     a short template is part of a longer one, both are reported. NULL and empty
@@ -152,12 +190,12 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates, k, window)
+        index = Index(templates, k, window, coverage, identify)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for a, b in slices(texts):
-                rows += [(a + d, *rest) for d, *rest in index.scan(texts[a:b], coverage)]
+                rows += [(a + d, *rest) for d, *rest in index.scan(texts[a:b])]
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()),

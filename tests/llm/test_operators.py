@@ -527,6 +527,43 @@ def test_license_alignment_tolerates_edits():
     assert [(r[1], round(r[2], 2)) for r in rows] == [("mit", round((len(words) - 2) / len(words), 2))]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("Released under an MIT License.", [("mit-notice", 0.8)]), ("Released under the terms of the MIT License.", [("mit-notice", 1.0)]),
+    ("Released under MIT License.", [("mit-notice", 0.8)]), ("Released under the BSD License.", []),
+    ("Licensed under CC BY-SA 4.0", []), ("Licensed under CC BY-NC 4.0", [("cc-by-nc-4.0-notice", 1.0)]),
+    ("all right reserved", []), ("All Rights, reserved; all rights reserved", [("all-rights-reserved", 1.0)] * 2)])
+def test_license_short_notices(text, found):
+    index = license_scan.Index(license_scan.TEMPLATES, 3, 2)
+    assert [(r[1], round(r[2], 3)) for r in index.scan(["Some words before. " + text + " And some behind."])] == found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_license_altered_notices_against_unbanded_alignment(seed):
+    """Words changed, left out and put in, as many as the coverage and the gap allow, and more."""
+    rnd = random.Random(seed)
+    index = license_scan.Index(license_scan.TEMPLATES, 3, 2)
+    texts, hits = [], 0
+    for _ in range(400):
+        words = license_scan.words_in(rnd.choice(list(license_scan.TEMPLATES.values())))
+        for _ in range(rnd.randrange(1 + len(words) // 4)):
+            words[rnd.randrange(len(words))] = rnd.choice([None, "zzz", "qq"])
+        for _ in range(rnd.randrange(license_scan.GAP + 1)):
+            words.insert(rnd.randrange(len(words) + 1), rnd.choice(["put", "in"]))
+        texts.append(" ".join([sentence(rnd, 5), *filter(None, words), sentence(rnd, 5)]))
+    got = defaultdict(dict)
+    for d, name, _, _, _, matched in index.scan(texts):
+        got[d][name] = matched
+    for d, text in enumerate(texts):
+        h = license_scan._hashed(text)
+        for i, name in enumerate(index.names):
+            n = len(index.words[i])
+            matched, first, last = license_scan.align(index.words[i], h, 0, len(h) + n)
+            fits = matched >= 0.8 * n - 1e-9 and set(index.needs[i]) <= set(h[first:last + 1])
+            assert fits == (name in got[d]) and (not fits or got[d][name] == matched), (text, name, matched, got[d])
+            hits += fits
+    assert hits > 100
+
+
 # ------------------------------------------------------------------ 9 line dedup
 
 def brute_lines(docs, ratio, least, most=0.5):
