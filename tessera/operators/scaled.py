@@ -6,7 +6,8 @@ other mechanisms where the plain ones depend on the data being kind.
 * hot customers, accounts and merchants (J6-J13) are found in the union by a
   sketch and salted, once for all lookups on a key.
 * fraud flags (J11) meet a Bloom filter of the run's transactions before their
-  DISTINCT and its shuffle.
+  DISTINCT and its shuffle, transactions (J3, J5) one of the accounts they can
+  belong to before theirs.
 * the risk average (A9) does not depend on the order of its rows.
 
 The results are those of ``layers``. The union is written to the checkpoint folder,
@@ -22,7 +23,7 @@ from tessera.operators import bloom
 from tessera.operators.exact import average
 from tessera.operators.joins import hot_keys
 from tessera.operators.layers import (LAYER_COLUMNS, USED, _live_branch, active, archive_branch, nested_from_union,
-                                      recent_transactions, summary_from_nested)
+                                      recent_transactions, snapshot, summary_from_nested)
 from tessera.params import DEFAULT, RunParams
 from tessera.session import cut_lineage
 from tessera.sources.bank import BankViews
@@ -49,8 +50,29 @@ def distinct_by_digest(rows: DataFrame, keep: list[str], bits: int = 64) -> Data
     return one.where(F.coalesce(clash, F.lit(True))).select(*keep)
 
 
+class _Replaced:
+    """Views with some tables replaced."""
+
+    def __init__(self, views: BankViews, **tables: DataFrame):
+        self._views = views
+        self.__dict__.update(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return getattr(self._views, name)
+
+
+def with_owned_transactions(v: BankViews, p: RunParams = DEFAULT, **size) -> _Replaced:
+    """Transactions whose account may be one of the run's. The others join
+    with nothing: both joins keep accounts, not transactions."""
+    live = bloom.build(snapshot(v.account, "load_date", p).select("account_id"), "account_id", **size)
+    archived = bloom.build(v.archived_account.select("account_id"), "account_id", **size)
+    return _Replaced(v, transaction=bloom.maybe_in(v.transaction, "account_id", live),
+                     archived_transaction=bloom.maybe_in(v.archived_transaction, "account_id", archived))
+
+
 def union_digest(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     """Q2 as the later layers need it: the columns ``USED`` of its distinct rows."""
+    v = with_owned_transactions(v, p)
     live, archive = (b.select(*LAYER_COLUMNS) for b in (_live_branch(v, p), archive_branch(v, p)))
     return distinct_by_digest(live.union(archive), list(USED))
 

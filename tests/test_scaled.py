@@ -131,6 +131,19 @@ def test_flags_shrink_before_they_are_shuffled(spark, views):
         assert "BroadcastNestedLoop" not in plan
 
 
+def test_transactions_of_no_account_are_not_shuffled(spark, views):
+    """Most transactions of the test tables are of other accounts than the run's."""
+    owned = SC.with_owned_transactions(views)
+    kept = L.recent_transactions(owned.transaction).count()
+    accounts = L.snapshot(views.account, "load_date").select("account_id")
+    joined = L.recent_transactions(views.transaction).join(accounts, "account_id", "left_semi").count()
+    assert joined <= kept <= joined + 0.1 * L.recent_transactions(views.transaction).count()
+    plan = L.recent_transactions(owned.transaction)._jdf.queryExecution().executedPlan().toString()
+    assert "l_shipdate" in plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]      # filters still reach the scan
+    for size in ({"n_words": 1}, {"max_words": 0}, {}):
+        assert rows(L.union_layer(SC.with_owned_transactions(views, **size))) == rows(L.union_layer(views))
+
+
 @pytest.mark.parametrize("size", [{"n_words": 1}, {"n_words": 64}, {"max_words": 0}, {}])
 def test_false_positives_do_no_harm(spark, views, size):
     want = rows(L.nested_layer(views))
