@@ -154,9 +154,6 @@ def test_false_positives_do_no_harm(spark, views, size):
 
 # ------------------------------------------------------------------ DISTINCT by digest
 
-WIDE = "id long, a string, b string, d date, m decimal(18,2)"
-
-
 def wide_rows():
     rnd = random.Random(3)
     pick = lambda *v: rnd.choice(v)

@@ -6,8 +6,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import SF001
 from tessera import registry
 from tessera.operators import layers as L
@@ -125,4 +123,3 @@ def test_pieces_equal_the_whole_where_nothing_is_damaged(spark):
     assert pieces.where("error IS NOT NULL").isEmpty()
     plain = M.flatten_catalog(docs, "value")
     assert rows(pieces.select(*plain.columns)) == rows(plain)
-    assert F.col("x") is not None
