@@ -16,6 +16,9 @@ SLICE_CHARS = 1 << 19
 #: Bytes of an Arrow batch. Spark's own bound is 32 times as much, which a
 #: worker holds several times over (as Arrow, as Python strings, as results).
 BATCH_BYTES = "2m"
+#: Input bytes of a task that writes an intermediate table, at least, where there
+#: are more tasks than four a core.
+TASK_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,24 +36,36 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``,
-    else the warehouse (which Spark itself requires to be shared)."""
+    else the warehouse. On a cluster, a warehouse in the driver's own file system
+    is refused: executors would write where nobody else can read."""
     folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-              or spark.conf.get("spark.sql.warehouse.dir"))
+              or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/tessera-llm-{spark.sparkContext.applicationId}"
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, as the planner knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage so that a lost executor costs nothing that came before,
-    and gives the planner the true size of the table. At most four files a core
-    are written, however many partitions a small table lies in. The file system
-    deletes the folder when the application ends.
+    and gives the planner the true size of the table. A small table is written in
+    at most four files a core, however many partitions it lies in; the bound
+    grows with the tables read, ``TASK_BYTES`` a task, lest it hold up the scan or
+    shuffle before it. The file system deletes the folder when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, scanned_bytes(df) // TASK_BYTES)
+    df.coalesce(min(tasks, (1 << 31) - 1)).write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,9 +10,13 @@ Both sides are normalised alike: lower case, every run of ASCII characters other
 than letters and digits is one space (words that are decorated or broken over
 lines compare equal); distances count UTF-8 bytes of that form.
 
+An item of fewer than ``SHORT`` words matches on word borders only. Such an item
+is no passage, and any text may hold it: it is reported, but drops no document.
+
 Scale: texts are never shuffled; a row is searched by itself. The items are read
-by the driver in blocks of at most ``block_chars`` characters and sent to the
-executors; more items than that make more passes over the texts, not more memory.
+by the driver in blocks of about ``block_chars`` characters and sent to the
+executors. More items than that make more passes over the texts: each pass is
+written before the next block is read, so that one block is held at a time.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_batches, lean
+from tessera.llm.common import cut, in_batches, lean
 
+#: Words below which an item needs word borders and drops no document.
+SHORT = 3
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -36,9 +42,13 @@ def normalise(text: str) -> str:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split()).decode("latin-1")
 
 
-def pieces(length: int, rate: float) -> list[tuple[int, int]]:
-    """floor(rate * length) + 1 near-equal [start, end) pieces."""
-    n = int(rate * length) + 1
+def is_short(normal: str) -> bool:
+    return normal.count(" ") + 1 < SHORT
+
+
+def pieces(length: int, budget: int) -> list[tuple[int, int]]:
+    """``budget`` + 1 near-equal [start, end) pieces."""
+    n = budget + 1
     return [(i * length // n, (i + 1) * length // n) for i in range(n)]
 
 
@@ -79,7 +89,7 @@ class Items:
     """The automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.ids, self.texts, self.budget, self.patterns = [], [], [], {}
+        self.ids, self.texts, self.budget, self.short, self.patterns = [], [], [], [], {}
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
@@ -88,9 +98,13 @@ class Items:
                 continue
             k = len(self.ids)
             self.ids.append(item_id)
+            budget = int(rate * len(t))
+            self.short.append(is_short(t))
+            if self.short[k]:
+                t = f" {t} "
             self.texts.append(t)
-            self.budget.append(int(rate * len(t)))
-            for a, b in pieces(len(t), rate):
+            self.budget.append(budget)
+            for a, b in pieces(len(t), budget):
                 where[t[a:b]].append((k, a))
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -101,7 +115,7 @@ class Items:
         """(item number, least distance) of the items that the text holds."""
         if not text or not self.ids:
             return []
-        t = normalise(text)
+        t = f" {normalise(text)} "
         starts: dict[int, list[int]] = defaultdict(list)
         for last, (size, at) in self.automaton.iter(t):
             for k, offset in at:
@@ -116,9 +130,10 @@ class Items:
                     break
                 if done is not None and d <= done:      # the last window holds this one's
                     continue
-                a, b = max(0, d - budget), d + n + 3 * budget
+                edge = 0 if self.short[k] else 1        # only short items see the border spaces
+                a, b = max(edge, d - budget), min(d + n + 3 * budget, len(t) - edge)
                 done = d + budget
-                if t.startswith(self.texts[k], max(0, d)):
+                if d >= 0 and t.startswith(self.texts[k], d):
                     best = 0
                 elif budget:
                     if k not in self.patterns:
@@ -139,16 +154,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
     d_kind, i_kind = dict(docs.dtypes)[doc_id], items.schema["item_id"].dataType
     i_arrow = items.select("item_id").limit(0).toArrow().schema.field(0).type
     ready = in_batches(docs).selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
 
-    def scan(block: int) -> DataFrame:
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast(rows)
-
+    def scan(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Items(sent.value, rate)
             for batch in batches:
@@ -164,27 +174,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         return ready.mapInArrow(lean(run), f"doc_id {d_kind}, item_id {i_kind.simpleString()}, distance long")
 
-    return reduce(DataFrame.unionAll, map(scan, range(blocks)))
+    n = _n_blocks(items, block_chars)
+    if n == 1:
+        return scan(spark.sparkContext.broadcast(_block(items, 0, 1)))
+    found = []
+    for block in range(n):
+        sent = spark.sparkContext.broadcast(_block(items, block, n))
+        found.append(cut(scan(sent)))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
+def _n_blocks(items: DataFrame, block_chars: int) -> int:
+    return max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, decided row by row."""
+def _block(items: DataFrame, block: int, blocks: int) -> list[tuple[object, str]]:
+    """The (item_id, text) rows of one of ``blocks`` blocks."""
+    rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+    return [(r["item_id"], r["text"]) for r in rows]
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_text: str = "text",
+                 rate: float = 0.08, block_chars: int = 16_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item of ``SHORT`` or more
+    words, decided row by row."""
     spark = docs.sparkSession
-    rate, block_chars = kw.get("rate", 0.08), kw.get("block_chars", 16_000_000)
-    item_text = kw.get("item_text", "text")
-    items = benchmark.select(F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
+    items = (benchmark.select(F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+                      .select(F.lit(None).cast("long").alias("item_id"), "text"))
     at = docs.columns.index(text)
-    for block in range(blocks):
-        rows = [(None, r[0]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value, rate)
+    def without(docs: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Items([r for r in sent.value if not is_short(normalise(r[1]))], rate)
             for batch in batches:
                 keep = [not index.matches(t.as_py()) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = in_batches(docs).mapInArrow(lean(run), docs.schema)
+        return in_batches(docs).mapInArrow(lean(run), docs.schema)
+
+    n = _n_blocks(items, block_chars)
+    for block in range(n):
+        sent = spark.sparkContext.broadcast(_block(items, block, n))
+        if n == 1:
+            return without(docs, sent)
+        docs = cut(without(docs, sent))
+        sent.destroy()
     return docs

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import (components, decontaminate, embedding_dedup, html_extract, jaccard_join, license_scan,
                          line_dedup, mixing, secret_scan, toxicity, url_filter)
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCAB = [a + b for a in ("ba", "do", "ki", "mu", "re", "sa", "to", "vi") for b in ("l", "n", "rst", "sh", "tt", "x", "")]
 
@@ -270,6 +271,61 @@ def test_urls_trees_learn_from_ruled_urls(spark):
     assert all(r.score is not None for r in free)
 
 
+def plain_rule(url):
+    """Host, path, rule and verdict by reading the contract, character by character."""
+    url = url or ""
+    at = url.find("://")
+    rest = url[at + 3:] if at >= 0 else ""
+    host, path, in_path = "", "", False
+    for ch in rest:
+        if ch in "?#":
+            break
+        in_path = in_path or ch == "/"
+        host, path = (host, path + ch) if in_path else (host + ch, path)
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for verdict, rule in url_filter.RULES:
+        name, rest = rule[:rule.index("/")], rule[rule.index("/"):]
+        labels, wanted = host.split("."), name.split(".")
+        if labels[-len(wanted):] == wanted and path[:len(rest)] == rest:
+            fits.append((len(rule), rule, verdict))
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_urls_against_plain_rules(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: plain_rule(r.url) for r in pages.select("page_id", "url").collect()}
+    out = url_filter.judge(pages, trees=3).collect()
+    assert len(out) == len(want) and len({w[2] for w in want.values()}) >= 5
+    for r in out:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if rule else r.verdict in ("allow", "block") and 0 <= r.score <= 1
+
+
+def test_urls_of_unseen_hosts(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = Counter()
+    for fold in range(url_filter.FOLDS):
+        rows.update({(r.label, r.predicted): r.rows for r in url_filter.held_out(pages, fold).collect()})
+    assert sum(rows.values()) == sum(plain_rule(r.url)[2] is not None for r in pages.collect())
+    assert (rows[0, 0] + rows[1, 1]) / sum(rows.values()) >= 0.85
+
+
+def test_url_statistics_leave_the_own_fold_out(spark):
+    rows = [(i, f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)]
+    feats = url_filter.with_features(url_filter._with_rules(
+        spark.createDataFrame(rows, "page_id long, url string"), "page_id", "url", url_filter.RULES))
+    labelled = url_filter._labelled(feats)
+    fitted = url_filter.Judge(labelled, 100, 2, 2)
+    got = fitted.with_statistics(labelled, own_fold=False).collect()
+    fold = {r.page_id: r.fold for r in got}
+    for r in got:
+        others = [i for i in range(40) if i % 2 == r.page_id % 2 and fold[i] != r.fold]
+        blocked = len(others) if r.page_id % 2 else 0
+        assert r.first_part_rate == (blocked + 0.5) / (len(others) + 1.0) and r.first_part_seen == pytest.approx(np.log1p(len(others)))
+
+
 # ------------------------------------------------------------------ 5 decontamination
 
 def distance_to_substring(p, t):
@@ -303,21 +359,26 @@ def test_leaks_against_brute_force(spark):
             words = words[:len(words) // 2] + " " + t.upper().replace(" ", "!! ") + " " + words[len(words) // 2:]
         docs.append((i, words, "s"))
     docs += [(500, None, None), (501, "", "s")]
+    items += [(94, "a"), (95, "The"), (96, words.split()[0]), (97, " ".join(words.split()[2:4]))]
+    docs += [(502, "a theme, another", "s"), (503, "the end. A", "s")]
     n = decontaminate.normalise
+    short = {k for k, item in items if item and len(n(item).split()) < decontaminate.SHORT}
     want = set()
     for i, t, _ in docs:
         for k, item in items:
             if t and item and n(item):
-                d = distance_to_substring(n(item), n(t))
+                a, b = (f" {n(x)} " if k in short else n(x) for x in (item, t))
+                d = distance_to_substring(a, b)
                 if d <= int(0.08 * len(n(item))):
                     want.add((i, k, d))
+    assert {k for _, k, _ in want} > {94, 95, 96, 97} and (502, 95, 0) not in want and (503, 95, 0) in want
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     df = with_clashes(docs_df(spark, docs))
     for block_chars in (16_000_000, 300):
         got = decontaminate.find_leaks(df, bench, block_chars=block_chars).collect()
         assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want)
         kept = decontaminate.drop_leaking(df, bench, block_chars=block_chars)
-        assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in docs} - {i for i, _, _ in want}
+        assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in docs} - {i for i, k, _ in want if k not in short}
     assert any(d for _, _, d in want) and any(d == 0 for _, _, d in want)
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
     assert decontaminate.drop_leaking(df, bench.limit(0)).count() == len(docs)
