@@ -32,6 +32,10 @@ some set looks at form clusters; a cluster's sets outside its largest group are
 compared with all of its sets, block by block, by counting common shingles in
 0/1 matrices. A tile returns at most one link per set.
 
+Sets meet by signature. Signatures of very many sets are found beforehand from a
+sample of the sets; their sets are dealt over as many tasks as their number asks
+for. The sample decides where rows go, not which.
+
 Exact copies are one set throughout. What is shuffled is three numbers a
 segment, never texts; the shingles of a set move only where it is a candidate.
 Sets and shingles are compared by 64-bit hashes.
@@ -63,6 +67,10 @@ TRIED = [(0,), (1,), (2,), (3, 4), (5,)]
 BROADCAST_IDS = 1_000_000
 #: Segments with more sets are compared in tiles.
 SMALL = 16
+#: A signature with about this many sets or more is dealt over several tasks, each
+#: with about so many; it is found among one set in ``SAMPLED``. At most ``MOST_HOT``
+#: are known (the largest).
+HOT_SETS, SAMPLED, MOST_HOT = 1 << 16, 64, 10_000
 #: Sets and shingles of a block of a tile, about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 
@@ -244,20 +252,23 @@ def _index(words: int, bound: Bound, settings: dict[int, int]):
 
 
 def _shared(batches: Iterator[pa.RecordBatch], spill: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature: those of signatures with two or more sets, with
-    the number of rows. A signature with over ``spill`` rows is passed on in
-    pieces; its number is then a lower bound (it only orders costs)."""
+    """Rows (sig, sid, slack, known) sorted by signature: those of signatures with
+    two or more sets, with the number of rows. ``known`` is the estimated number of
+    a signature whose rows are in other tasks as well, else 0. A signature with
+    over ``spill`` rows is passed on in pieces; its number is then a lower bound
+    (it only orders costs)."""
     names = ["sig", "sid", "slack", "sets"]
     held: list[np.ndarray] | None = None
     last, base = None, 0                   # of a signature passed on in pieces
 
     def out(cols: list[np.ndarray], start_count: int):
-        sig, sid, slack = cols
+        sig, sid, slack, known = cols
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         at = np.flatnonzero(first)
         size = np.diff(np.append(at, len(sig)))
-        several = np.minimum.reduceat(sid, at) != np.maximum.reduceat(sid, at)
+        size = np.maximum(size, known[at])
+        several = (np.minimum.reduceat(sid, at) != np.maximum.reduceat(sid, at)) | (known[at] > 0)
         if start_count:
             several[0] = True
             size[0] += start_count
@@ -276,7 +287,7 @@ def _shared(batches: Iterator[pa.RecordBatch], spill: int = 1 << 20) -> Iterator
             held = [c[cut_at:] for c in held]
         if len(held[0]) > spill:
             count = base if base and held[0][0] == last else 0
-            if count or (held[1] != held[1][0]).any():
+            if count or held[3][0] or (held[1] != held[1][0]).any():
                 yield from out(held, count)
                 last, base = held[0][0], count + len(held[0])
                 held = [c[:0] for c in held]
@@ -382,6 +393,28 @@ def _linked_in_tiles(rows: DataFrame, shingles_of, bound: Bound) -> DataFrame:
                    .groupBy("cluster", "i", "j").applyInPandas(_tile(bound), "a long, b long"))
 
 
+def _hot(sets: DataFrame, signed_of) -> DataFrame:
+    """(hot, known, parts): signatures of about ``HOT_SETS`` sets or more, their
+    estimated number of sets and the number of tasks to deal them over.
+    ``signed_of`` gives the signatures of the sets of some documents."""
+    some = sets.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select(F.col("rep_doc").alias("doc_id"))
+    known = (F.count_distinct("sid") * SAMPLED).alias("known")
+    return cut(signed_of(some).groupBy(F.col("sig").alias("hot")).agg(known).where(F.col("known") >= HOT_SETS)
+               .orderBy(F.desc("known"), "hot").limit(MOST_HOT)
+               .withColumn("parts", F.ceil(F.col("known") / HOT_SETS + 1).cast("long")))
+
+
+def _dealt(signed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(sig, sid, slack, known), the rows of a signature in one partition, those of
+    a hot one in several, by set."""
+    if hot is None:
+        return signed.withColumn("known", F.lit(0).cast("long")).repartition("sig").sortWithinPartitions("sig")
+    return (signed.join(F.broadcast(hot), F.col("sig") == F.col("hot"), "left")        # at most MOST_HOT rows
+            .select("sig", "sid", "slack", F.coalesce("known", F.lit(0)).alias("known"),
+                    F.coalesce(F.pmod(F.xxhash64("sid"), F.col("parts")), F.lit(0)).alias("part"))
+            .repartition("sig", "part").sortWithinPartitions("sig").drop("part"))
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
                    percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -407,8 +440,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
                .agg(F.min("doc_id").alias("rep_doc"), F.max("n").alias("n"), F.bit_or("failing").alias("failing")))
     settings = {r[0]: _cheapest(r[1]) for r in sets.groupBy((F.length(F.bin("n")) - 1).cast("int")).agg(F.bit_or("failing")).collect()}
 
-    signed = ready.where("doc_id IS NOT NULL").mapInArrow(lean(_index(words, bound, settings)), "sig long, sid long, slack int")
-    met = cut(signed.repartition("sig").sortWithinPartitions("sig")
+    def signed(texts: DataFrame) -> DataFrame:
+        return texts.where("doc_id IS NOT NULL").mapInArrow(lean(_index(words, bound, settings)), "sig long, sid long, slack int")
+
+    # with fewer sets, no signature can be hot
+    hot = _hot(sets, lambda ids: signed(ready.join(_sent(ids), "doc_id", "left_semi"))) if sets.count() >= HOT_SETS else None
+    met = cut(_dealt(signed(ready), hot)
                     .mapInArrow(lean(_shared), "sig long, sid long, slack int, sets long").distinct())
     costly = Window.partitionBy("sid").orderBy(F.desc("sets"), "sig")
     picked = cut(met.where("slack >= 0").withColumn("place", F.row_number().over(costly))

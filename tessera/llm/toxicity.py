@@ -162,26 +162,59 @@ def mine_lexicon(sample: DataFrame, positives: int, precision: float = 0.5, most
     return choose_entries([tuple(r) for r in found], most)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20) -> np.ndarray:
+def dependency_forest(x: np.ndarray, p: np.ndarray, least: float = 0.2) -> list[int]:
+    """Parent of each voter, -1 for none: the heaviest forest over pairs whose
+    correlation within the classes (``p``: label or posterior) is ``least`` or more."""
+    on, off = p @ x / max(p.sum(), 1e-9), (1 - p) @ x / max((1 - p).sum(), 1e-9)
+    rest = x - np.outer(p, on) - np.outer(1 - p, off)
+    spread = np.sqrt((rest ** 2).mean(axis=0)) + 1e-9
+    corr = np.abs((rest.T @ rest) / len(x) / np.outer(spread, spread))
+    np.fill_diagonal(corr, 0.0)
+    parent = [-1] * x.shape[1]
+    seen = np.zeros(x.shape[1], bool)
+    for root in range(x.shape[1]):            # a tree from each voter that none has reached
+        best, by = np.full(x.shape[1], -1.0), np.full(x.shape[1], -1)
+        at = root
+        while not seen[at]:
+            seen[at] = True
+            parent[at] = int(by[at])
+            nearer = ~seen & (corr[at] > best)
+            best[nearer], by[nearer] = corr[at][nearer], at
+            open_ = np.where(seen, -1.0, best)
+            if open_.max() >= least:
+                at = int(open_.argmax())
+    return parent
+
+
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, dependent: bool = True) -> np.ndarray:
     """Posterior probability of the toxic class for rows of 0/1 votes.
 
+    The generative model: a class is drawn, then each voter fires at a rate that
+    depends on the class and, where it is correlated with another voter within the
+    classes, on that one's vote (``dependency_forest``). EM estimates prior and
+    rates. What a voter says that its parent has said already is no evidence.
     ``gold`` (0, 1) starts the estimate and stays a voter with a rate of its own.
-    Voters that fire nowhere say nothing and are left out.
+    Voters that fire nowhere say nothing and are left out. With ``dependent``
+    false all voters are independent given the class.
     """
     x = np.column_stack((votes[:, votes.any(axis=0)], gold)).astype(np.float64)
     p = np.where(gold > 0, 0.95, 0.05)
-    n = len(x)
+    parent = np.array([*(dependency_forest(x[:, :-1], gold) if dependent else [-1] * (x.shape[1] - 1)), -1])
+    child = np.flatnonzero(parent >= 0)
+    free = np.flatnonzero(parent < 0)
+    says, told = x[:, child], x[:, parent[child]]
     for _ in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
         on = (p @ x + 0.5 * prior) / (p.sum() + prior)                    # smoothed rates of firing
         off = ((1 - p) @ x + 0.5 * prior) / ((1 - p).sum() + prior)
         on, off = np.clip(on, 1e-4, 1 - 1e-4), np.clip(off, 1e-4, 1 - 1e-4)
-        rest = x - np.outer(p, on) - np.outer(1 - p, off)                 # what the classes leave unexplained
-        spread = np.sqrt((rest ** 2).mean(axis=0)) + 1e-9
-        corr = np.abs((rest.T @ rest) / n / np.outer(spread, spread))
-        np.fill_diagonal(corr, 0.0)
-        weight = 1.0 / (1.0 + np.where(corr > 0.1, corr, 0.0).sum(axis=1))
-        evidence = x @ (weight * np.log(on / off)) + (1 - x) @ (weight * np.log((1 - on) / (1 - off)))
+        evidence = x[:, free] @ np.log(on / off)[free] + (1 - x[:, free]) @ np.log((1 - on) / (1 - off))[free]
+        for given in (told, 1 - told) if len(child) else ():
+            # rates where the parent fires, then where it doesn't; few rows count as the classes' common rate
+            common = ((given * says).sum(axis=0) + 0.5) / (given.sum(axis=0) + 1)
+            yes, no = ((w @ (given * says) + common) / (w @ given + 1) for w in (p, 1 - p))
+            yes, no = np.clip(yes, 1e-4, 1 - 1e-4), np.clip(no, 1e-4, 1 - 1e-4)
+            evidence += (given * says) @ np.log(yes / no) + (given * (1 - says)) @ np.log((1 - yes) / (1 - no))
         new = 1 / (1 + np.exp(-np.clip(evidence + math.log(prior / (1 - prior)), -50, 50)))
         if np.abs(new - p).max() < 1e-4:
             return new

@@ -120,6 +120,25 @@ def test_label_model_discounts_copies_of_a_voter():
     assert ((q > 0.5) == good).mean() > 0.85
 
 
+def test_label_model_with_dependencies_beats_the_independent_one():
+    """One poor voter and nine near copies of it against three good ones; some labels are wrong."""
+    gain = []
+    for seed in range(6):
+        rnd = np.random.default_rng(seed)
+        y = rnd.random(3000) < 0.3
+        vote = lambda right: np.where(rnd.random(3000) < right, y, ~y)
+        poor = vote(0.65)
+        copies = [np.where(rnd.random(3000) < 0.97, poor, ~poor) for _ in range(9)]
+        x = np.column_stack([vote(0.85), vote(0.85), vote(0.85), poor, *copies]).astype(float)
+        gold = vote(0.97).astype(float)
+        parent = toxicity.dependency_forest(x, gold)
+        assert parent[:3] == [-1] * 3 and sum(k >= 0 for k in parent[3:]) == 9 and min(k for k in parent[4:] if k >= 0) >= 3
+        wrong = [((toxicity.label_model(x, gold, dependent=d) > 0.5) != y).mean() for d in (True, False)]
+        assert wrong[0] < (gold != y).mean()
+        gain.append(wrong[1] - wrong[0])
+    assert min(gain) > 0.05
+
+
 # ------------------------------------------------------------------ 2 html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body>
@@ -493,12 +512,42 @@ def test_drop_similar_judges_each_text_of_an_id(spark):
     assert got == Counter([(1, a), (7, b), (9, c), (9, ""), (10, "")])
 
 
+def test_hot_signatures_change_no_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 1)
+    docs = near_copies(17, 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(docs_df(spark, docs)).collect()}
+    assert got == brute_groups(docs)
+
+
+def test_hot_signature_is_dealt_over_tasks(spark):
+    """A third of all sets have one signature: no partition has much more than its share, no row is lost."""
+    n, parts = 60_000, 8
+    signed = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100).alias("sig"), F.col("id").alias("sid"), F.lit(0).alias("slack"))
+    hot = spark.createDataFrame([(7, n // 3, 64)], "hot long, known long, parts long")
+    largest = {}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for name, known in (("as it is", None), ("dealt", hot)):
+            rows = jaccard_join._dealt(signed, known)
+            assert rows.select("sig", "sid").exceptAll(signed.select("sig", "sid")).isEmpty() and rows.count() == n
+            largest[name] = rows.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+            kept = rows.mapInArrow(jaccard_join._shared, "sig long, sid long, slack int, sets long").groupBy("sig").agg(
+                F.count_distinct("sid").alias("sids"), F.min("sets").alias("sets")).collect()
+            assert [(r.sig, r.sids) for r in kept] == [(7, n // 3)] and kept[0].sets >= n // 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert largest["as it is"] > n // 3 and largest["dealt"] < 1.5 * n / parts
+
+
 def test_long_hot_signature_is_passed_on_in_pieces():
     import pyarrow as pa
     sig = np.array([1] * 3 + [2] * 50 + [3] + [4] * 40 + [5] * 2)
     sid = np.array([7, 7, 7] + list(range(50)) + [1] + [9] * 39 + [8] + [1, 2])
-    batches = [pa.RecordBatch.from_arrays([pa.array(sig[i:i + 7]), pa.array(sid[i:i + 7]), pa.array(np.zeros(len(sig[i:i + 7]), np.int32))],
-                                          names=["sig", "sid", "slack"]) for i in range(0, len(sig), 7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(sig[i:i + 7]), pa.array(sid[i:i + 7]), pa.array(np.zeros(len(sig[i:i + 7]), np.int32)),
+                                           pa.array(np.zeros(len(sig[i:i + 7]), np.int64))], names=["sig", "sid", "slack", "known"]) for i in range(0, len(sig), 7)]
     for spill in (10, 1 << 20):
         got = [(r["sig"], r["sid"]) for b in jaccard_join._shared(iter(batches), spill) for r in b.to_pylist()]
         want = [(s, x) for s, x in zip(sig.tolist(), sid.tolist(), strict=True) if s in (2, 4, 5)]
