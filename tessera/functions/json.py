@@ -13,14 +13,13 @@ def with_strict_variant(df: DataFrame, c: Column, name: str) -> DataFrame:
     first item of an array whose second one is the text's own digest: text behind
     the value, a second value or an early bracket leave another array. Single
     quotes and repeated keys are refused by the parser itself. The array is a
-    column of its own, so that it is parsed once.
+    column of its own, so that it is parsed once; its items are read by their place.
     """
     array, seal = f"{name}_array", F.md5(c)
-    parsed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), seal, F.lit('"]'))),
-                               "$", "array<variant>")
-    last = F.try_variant_get(F.element_at(array, 2), "$", "string")
-    return (df.withColumn(array, parsed)
-              .withColumn(name, F.when((F.size(array) == 2) & (last == seal), F.element_at(array, 1))).drop(array))
+    parsed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), seal, F.lit('"]')))
+    item = lambda i, to="variant": F.try_variant_get(F.col(array), f"$[{i}]", to)
+    sealed = (item(1, "string") == seal) & item(2).isNull()
+    return df.withColumn(array, parsed).withColumn(name, F.when(sealed, item(0))).drop(array)
 
 
 def kind(v: Column) -> Column:

@@ -59,24 +59,30 @@ def parse_lineage(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
     sources have a name; names are strings and columns lists of strings, or
     missing or null. The original raises on everything else; here it goes to
     quarantine and the rest goes on. With mode FAILFAST the job fails."""
-    parsed = docs.select(key, F.col(text_col).alias("__text")).withColumn("__json", strip_code_fence("__text"))
-    parsed = with_strict_variant(parsed, F.col("__json"), "__v").drop("__json")
+    text = F.col("__text")
+    # braces at both ends leave nothing to strip
+    json = F.when(text.startswith("{") & text.endswith("}"), text).otherwise(strip_code_fence("__text"))
+    parsed = docs.select(key, F.col(text_col).alias("__text")).withColumn("__json", json)
+    # columns of their own are computed once a document
+    parsed = with_strict_variant(parsed, F.col("__json"), "__v").withColumn("__listed", member(F.col("__v"), "steps"))
+    parsed = parsed.withColumn("__kind", kind(F.col("__listed"))).withColumn("doc", F.from_json("__json", LINEAGE_SCHEMA))
     steps = F.col("doc.steps")
     sources = lambda s: F.coalesce(s["sources"], F.array().cast(T.ArrayType(SOURCE)))
     no_name = F.exists(steps, lambda s: s["output"].isNull() | F.exists(sources(s), lambda x: x.isNull() | x["name"].isNull()))
     null_in = lambda c: F.exists(F.coalesce(c, _empty()), lambda x: x.isNull())
     bad_list = F.exists(steps, lambda s: null_in(s["columns"]) | F.exists(sources(s), lambda x: null_in(x["columns"])))
+    # most documents lack nothing, which one walk tells; the others are asked what
+    null = lambda x: x.isNull()
+    lacking = F.exists(steps, lambda s: s["output"].isNull() | F.exists(s["columns"], null) | F.exists(
+        s["sources"], lambda x: x["name"].isNull() | F.exists(x["columns"], null)))
     # most documents are plain, which one look at the type of the whole list tells
-    listed = member(F.col("__v"), "steps")
-    bad = F.when(kind(listed).rlike(_PLAIN), False).otherwise(F.exists(items(listed), _bad_step))
-    error = (F.when(~F.coalesce(kind(listed), F.lit("none")).startswith("ARRAY<"), F.lit(NO_STEPS))
+    bad = F.when(F.col("__kind").rlike(_PLAIN), False).otherwise(F.exists(items(F.col("__listed")), _bad_step))
+    error = (F.when(~F.coalesce(F.col("__kind"), F.lit("none")).startswith("ARRAY<"), F.lit(NO_STEPS))
              .when(bad, F.lit(BAD_TYPE))
-             .when(F.exists(steps, lambda s: s.isNull()) | no_name, F.lit(NO_NAME))
-             .when(bad_list, F.lit(BAD_TYPE)))
+             .when(lacking, F.when(F.exists(steps, null) | no_name, F.lit(NO_NAME)).when(bad_list, F.lit(BAD_TYPE))))
     if mode == "FAILFAST":
         error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
-    return (parsed.withColumn("doc", F.try_variant_get(F.col("__v"), "$", LINEAGE_SCHEMA.simpleString()))
-                  .withColumn("error", error).withColumn("text", F.col("__text")).select(key, "doc", "error", "text"))
+    return parsed.withColumn("error", error).withColumn("text", text).select(key, "doc", "error", "text")
 
 
 def quarantine(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -137,16 +143,14 @@ def lineage_nodes(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def lineage_columns(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Columns written by each step and read from each of its sources."""
-    # one array per step, so the document is parsed once
-    item = lambda dataset, role: lambda c, i: F.struct(
-        dataset.alias("dataset"), F.lit(role).alias("role"), i.alias("col_pos"), c.alias("column_name"))
+    # what a step writes goes in front of its sources, so the document is parsed once
     step = F.col("step")
-    written = F.transform(F.coalesce(step["columns"], _empty()), item(step["output"], "write"))
-    read = F.flatten(F.transform(
-        F.coalesce(step["sources"], F.array().cast(T.ArrayType(SOURCE))),
-        lambda src: F.transform(F.coalesce(src["columns"], _empty()), item(src["name"], "read"))))
-    return (_steps(parsed, key).select(key, "step_pos", F.explode(F.concat(written, read)).alias("c"))
-            .select(key, "step_pos", "c.*"))
+    ends = F.concat(F.array(F.struct(step["output"].alias("name"), step["columns"].alias("columns"))),
+                    F.coalesce(step["sources"], F.array().cast(T.ArrayType(SOURCE))))
+    listed = _steps(parsed, key).select(key, "step_pos", F.posexplode(ends).alias("__i", "end"))
+    return listed.select(key, "step_pos", F.col("end.name").alias("dataset"),
+                         F.when(F.col("__i") == 0, "write").otherwise("read").alias("role"),
+                         F.posexplode("end.columns").alias("col_pos", "column_name"))
 
 
 # ---------------------------------------------------------------- L6, L7
