@@ -155,7 +155,7 @@ def dedupe_catalog(catalog: DataFrame, order_col: str | None = None) -> DataFram
 # ---------------------------------------------------------------- M6, M7
 
 # the type of a mapping whose fields are all as they shall be
-_PLAIN = ("^OBJECT<(categories: ARRAY<STRING>, )?(data_type: STRING, )?(is_categorical: BOOLEAN, )?"
+_PLAIN = ("^OBJECT<(categories: ARRAY<(STRING|VOID)>, )?(data_type: STRING, )?(is_categorical: BOOLEAN, )?"
           "source_column: STRING, source_table: STRING, target_column: STRING, target_table: STRING, "
           "transformation_logic: STRING>$")
 
@@ -170,8 +170,7 @@ def _bad_type(m: Column) -> Column:
     odd = [~got(c).isin("none", "STRING") for c in REQUIRED + ("data_type",)]
     odd += [~got("is_categorical").isin("none", "BOOLEAN"), ~is_string_list(member(m, "categories"))]
     full = F.greatest(~kind(m).startswith("OBJECT<"), *odd)
-    # most mappings are plain, which one look tells (a list of strings may still hold a null)
-    return F.when(kind(m).rlike(_PLAIN), ~is_string_list(member(m, "categories"))).otherwise(full)
+    return F.greatest(~kind(m).startswith("OBJECT<"), *odd)
 
 
 def parse_documents(docs: DataFrame, text_col: str = "text", mode: str = "PERMISSIVE") -> DataFrame:
@@ -183,19 +182,21 @@ def parse_documents(docs: DataFrame, text_col: str = "text", mode: str = "PERMIS
     are there (their defaults come later). Unknown fields don't matter. With mode
     FAILFAST the first document that is not valid fails the job.
     """
-    parsed = with_strict_variant(docs, F.col(text_col), "__v")
-    items = F.try_variant_get(F.col("__v"), "$.mappings", "array<variant>")
+    # columns of their own are computed once a document
+    parsed = with_strict_variant(docs, F.col(text_col), "__v").withColumn("__list", member(F.col("__v"), "mappings"))
+    parsed = (parsed.withColumn("__items", F.try_variant_get(F.col("__list"), "$", "array<variant>")).drop("__v", "__list")
+                    .withColumn("__doc", F.from_json(text_col, DOCUMENT_SCHEMA)))
     lacks = lambda m: F.greatest(*[kind(member(m, c)).isNull() for c in REQUIRED])
-    error = (F.when(F.coalesce(kind(member(F.col("__v"), "mappings")), F.lit("none")).startswith("ARRAY<"),
-                    F.when(F.exists(items, lambda m: F.when(kind(m).startswith("OBJECT<"), lacks(m)).otherwise(False)), F.lit(NO_FIELD))
-                    .when(F.exists(items, _bad_type), F.lit(BAD_TYPE)))
-             .otherwise(F.lit(NO_LIST)))
+    # most documents hold plain mappings and no null in a list, which one look tells; the others are asked what
+    plain = (~F.exists("__items", lambda m: ~F.coalesce(kind(m).rlike(_PLAIN), F.lit(False)))
+             & ~F.exists("__doc.mappings", lambda m: F.exists(F.coalesce(m["categories"], _empty()), lambda x: x.isNull())))
+    error = (F.when(F.col("__items").isNull(), F.lit(NO_LIST)).when(F.coalesce(plain, F.lit(False)), F.lit(None))
+             .when(F.exists("__items", lambda m: F.when(kind(m).startswith("OBJECT<"), lacks(m)).otherwise(False)), F.lit(NO_FIELD))
+             .when(F.exists("__items", _bad_type), F.lit(BAD_TYPE)))
     if mode == "FAILFAST":
         error = F.when(error.isNotNull(), F.raise_error(F.concat(error, F.lit(": "), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 200))).cast("string"))
-    return (parsed.withColumn("error", error)
-                  .withColumn("doc", F.when(F.col("error").isNull(),
-                                            F.try_variant_get(F.col("__v"), "$", DOCUMENT_SCHEMA.simpleString())))
-                  .drop("__v"))
+    return (parsed.withColumn("error", error).drop("__items")
+                  .withColumn("doc", F.when(F.col("error").isNull(), F.col("__doc"))).drop("__doc"))
 
 
 def valid_mappings(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
