@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, parts_for
 
 # ---------------------------------------------------------------- token patterns (Java)
 
@@ -43,10 +43,16 @@ _WRITERS = ("createOrReplaceTempView", "createTempView", "createOrReplaceGlobalT
 _AHEAD = 9
 
 
-def _tokens(df: DataFrame, text: str, pattern: str, drop: str) -> DataFrame:
-    """``df`` without its text, a row per token (pos, t) that does not begin like ``drop``."""
+def _tokens(df: DataFrame, text: str, pattern: str, drop: str, by: list[str], parts: int | None) -> DataFrame:
+    """``df`` without its text, a row per token (pos, t) that does not begin like ``drop``.
+    With ``parts`` the texts, as lists of tokens, are dealt by ``by`` to that many tasks
+    first: windows sort all tokens of a task, so tasks must grow in number with the texts."""
     found = F.filter(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda x: ~x.rlike(f"^(?:{drop})"))
-    return df.select(*(c for c in df.columns if c != text), F.posexplode(found).alias("pos", "t"))
+    rest = [c for c in df.columns if c != text]
+    listed = df.select(*rest, found.alias("__tokens"))
+    if parts is not None:
+        listed = listed.repartition(parts, *by)
+    return listed.select(*rest, F.posexplode("__tokens").alias("pos", "t"))
 
 
 def _depth(tokens: DataFrame, by: list[str], opening: str, closing: str) -> DataFrame:
@@ -73,7 +79,8 @@ def _literal(t: Column) -> Column:
 def _statements(scripts: DataFrame, key: str) -> DataFrame:
     """Tokens of Python scripts with their statement: (key, stmt, pos, t, text of a
     literal, is_name, neighbours in the statement, assigned variable)."""
-    t = _depth(_tokens(scripts.select(key, "text"), "text", PYTHON, r"#|\\\n"), [key], "([{", ")]}")
+    tokens = _tokens(scripts.select(key, "text"), "text", PYTHON, r"#|\\\n", [key], parts_for(scripts))
+    t = _depth(tokens, [key], "([{", ")]}")
     ends = (F.col("depth") == 0) & F.col("t").isin("\n", ";")
     t = (t.withColumn("__end", ends).withColumn("stmt", F.sum(F.col("__end").cast("int")).over(Window.partitionBy(key).orderBy("pos")))
           .where(~F.col("__end") & (F.col("t") != "\n")).drop("__end", "depth"))
@@ -153,11 +160,11 @@ def _ahead(after: Column, start: Column, words: tuple[str, ...]) -> Column:
     return F.array_position(hits, True).cast("int")
 
 
-def sql_tables(texts: DataFrame, by: list[str], text: str = "sql", split: bool = False) -> DataFrame:
+def sql_tables(texts: DataFrame, by: list[str], text: str = "sql", split: bool = False, parts: int | None = None) -> DataFrame:
     """(by, [part], pos, role, name): the tables that SQL texts read and write, names
     as written. Names of a text's WITH queries are none. With ``split`` the statements
-    of a text are judged each by itself and numbered in ``part``."""
-    t = _tokens(texts.select(*by, text), text, SQL, r"--|/\*|'|\"")
+    of a text are judged each by itself and numbered in ``part``. ``parts``: see ``_tokens``."""
+    t = _tokens(texts.select(*by, text), text, SQL, r"--|/\*|'|\"", by, parts)
     if split:
         ends = F.col("t") == ";"
         t = t.withColumn("__n", F.sum(ends.cast("int")).over(Window.partitionBy(*by).orderBy("pos"))).where(~ends)
@@ -236,19 +243,20 @@ def script_references(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     if "kind" in scripts.columns:
         is_python = (F.coalesce("kind", F.lit("py")) == "py") | ((F.col("kind") == "txt") & F.col("text").contains("spark."))
         files, scripts = scripts.where(~is_python), scripts.where(is_python)
+    parts = parts_for(scripts)
     calls = cut_lineage(_python_calls(scripts.select(key, "text"), key))      # a few rows a script, read three times
     dataset = _resolved(F.col("value"), F.col("vars"), F.col("stmt"))
     role = F.when(F.col("call") == "write", "write").otherwise("read")
     direct = calls.where("call <> 'sql'").select(key, role.alias("role"), F.col("block").alias("block_no"), dataset.alias("dataset"))
     # what a name means is looked up where the text stands, so the names go back to their call
     queries = calls.where("call = 'sql'").select(key, "block", "stmt", "vars", F.col("value").alias("sql"))
-    tables = sql_tables(queries, [key, "block"]).withColumnRenamed(key, "__k").withColumnRenamed("block", "__b")
+    tables = sql_tables(queries, [key, "block"], parts=parts).withColumnRenamed(key, "__k").withColumnRenamed("block", "__b")
     told = queries.select(key, "block", "stmt", "vars")
     used = tables.join(told, F.col("__k").eqNullSafe(F.col(key)) & (F.col("__b") == F.col("block")))
     out = direct.unionByName(used.select(key, "role", F.col("block").alias("block_no"),
                                          _resolved(F.col("name"), F.col("vars"), F.col("stmt")).alias("dataset")))
     if files is None:
         return out
-    plain = sql_tables(files.select(key, "text"), [key], "text", split=True)
+    plain = sql_tables(files.select(key, "text"), [key], "text", split=True, parts=parts)
     return out.unionByName(plain.select(key, "role", F.col("part").cast("int").alias("block_no"),
                                         _resolved(F.col("name"), None, None).alias("dataset")))

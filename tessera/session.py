@@ -71,6 +71,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True) if folder else df.persist()
 
 
+#: Bytes of files that one task shall get where its memory grows with its rows.
+TASK_BYTES = 4 << 20
+
+
+def parts_for(df: DataFrame) -> int:
+    """Partitions for ``df`` that grow with the files it reads, so that a task's share
+    does not; the session's shuffle partitions at least, and where no file is read."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not hasattr(df, "_jdf"):
+        return least            # Spark Connect
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = (x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation")
+    return max(least, -(-sum(int(str(x.stats().sizeInBytes())) for x in files) // TASK_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see, under the checkpoint
     folder (the warehouse without one); deleted when the application ends."""

@@ -50,3 +50,32 @@ def test_scripts_are_dealt_by_script(spark):
         assert not facts["python_udf"] and "SinglePartition" not in plan
         dealt = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
         assert dealt and all("doc_id" in ln or "__k" in ln for ln in dealt)
+
+
+def test_documents_are_read_without_casting_variants(spark):
+    """Each document is parsed once for its types and once for its fields; columns come by plain generators."""
+    from tessera.operators import lineage as LN
+    from tessera.operators import mapping as M
+    texts = spark.createDataFrame([(1, "{}")], "doc_id int, text string")
+    columns, maps = physical_plan(LN.lineage_columns(LN.parse_lineage(texts))), physical_plan(M.parse_documents(texts))
+    for plan in (columns, maps):
+        assert plan.count("parseJson") == 1 and plan.count("from_json") == 1
+        assert "try_variant_get(__v_array" in plan and "size(__v_array" not in plan
+    assert not any("transform(" in line for line in columns.splitlines() if "Generate" in line)
+
+
+def test_tasks_of_scripts_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from tessera import session
+    from tessera.operators import scripts as R
+    text = 'spark.table("a").write.saveAsTable("b")\n'
+    rows = spark.range(50).selectExpr("id AS script_id", f"concat('{text.strip()}', '\\n# ', id) AS text")
+    rows.repartition(4).write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.parts_for(df) == least == session.parts_for(spark.createDataFrame([(1,)], "a int"))
+    monkeypatch.setattr(session, "TASK_BYTES", 100)
+    parts = session.parts_for(df)
+    assert parts > 2 * least
+    assert f", {parts}), REPARTITION_BY_NUM" in physical_plan(R._python_calls(df, "script_id"))
+    refs = R.script_references(df, "script_id")
+    assert refs.count() == 100 and refs.where("dataset = 'a' AND role = 'read'").count() == 50
