@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 # salt range for fact rows without a key
 NULL_SPREAD = 1024
+# column of the struct key
+KEY = "__key"
 # places that the rows of a hot key are dealt to
 HOT_SALTS = 64
 
@@ -52,14 +54,16 @@ def hot_keys(fact: DataFrame, keys: Sequence[str], share: float = 0.01, tracked:
             for i, k in enumerate(keys)}
 
 
-def _row_hash(fact: DataFrame, places: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(places)).cast("int") + 1
+def _row_hash(fact: DataFrame, places: int, by: Sequence[str] | None = None) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in by or fact.columns]), F.lit(places)).cast("int") + 1
 
 
-def spread_key(fact: DataFrame, key: str, spread: int = NULL_SPREAD, hot: Sequence = (), salts: int = HOT_SALTS) -> Column:
+def spread_key(fact: DataFrame, key: str, spread: int = NULL_SPREAD, hot: Sequence = (), salts: int = HOT_SALTS,
+               by: Sequence[str] | None = None) -> Column:
     """(key, salt): the salt is a hash of the row, so a retried task sends each
-    row to the same place."""
-    salt = F.when(F.col(key).isNull(), _row_hash(fact, spread))
+    row to the same place. Rows without a key are spread by the columns ``by`` only,
+    if given: then rows that agree in them and in the key stay together."""
+    salt = F.when(F.col(key).isNull(), _row_hash(fact, spread, by))
     if hot:
         salt = salt.when(F.col(key).isin(*hot), _row_hash(fact, salts))
     return F.struct(F.col(key).alias("k"), salt.otherwise(F.lit(0)).alias("s"))
@@ -81,13 +85,16 @@ def lookup_all(fact: DataFrame, fact_key: str, lookups: Sequence[Lookup],
 
     The struct key is made once, so the joins share one partitioning of the
     fact side, in which the rows of ``hot`` keys are dealt to many places. Fan-out
-    is kept: a key with two dimension rows doubles the fact row, as in SQL.
+    is kept: a key with two dimension rows doubles the fact row, as in SQL. A fact
+    that has the key already (``KEY``, without hot keys) keeps it, for steps that
+    share the partitioning.
     """
-    out = fact.withColumn("__key", spread_key(fact, fact_key, spread, hot, salts))
+    keyed = KEY in fact.columns
+    out = fact if keyed else fact.withColumn(KEY, spread_key(fact, fact_key, spread, hot, salts))
     for i, look in enumerate(lookups):
         k = f"__k{i}"
-        out = out.join(_salted_dim(look, k, hot, salts), F.col("__key") == F.col(k), "left").drop(k)
-    return out.drop("__key")
+        out = out.join(_salted_dim(look, k, hot, salts), F.col(KEY) == F.col(k), "left").drop(k)
+    return out if keyed else out.drop(KEY)
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,

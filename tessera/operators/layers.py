@@ -11,8 +11,10 @@ Plan shape (see README "Scale"):
 * ``union_layer`` de-duplicates once, over all 12 columns (T9), without the
   redundant inner DISTINCT of the live branch.
 * ``nested_layer`` joins all eight dimensions to the transactions and groups
-  once. Lookups on one key share a partitioning of the fact side, and rows
-  without a key are spread (see ``joins``).
+  once. Steps on one key share a partitioning of the fact side, and rows
+  without a key are spread (see ``joins``): the union is dealt by account for its
+  DISTINCT and the account lookups, and the customer lookups come last, as both
+  groupings can be done where a customer's rows are.
 * ``customer_summary`` aggregates before the risk lookup: the risk table is
   unique per customer and ``risk_score`` depends on ``customer_id`` only.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.joins import Lookup, lookup_all, lookup_join
+from tessera.operators.joins import KEY, Lookup, lookup_all, lookup_join, spread_key
 from tessera.params import DEFAULT, RunParams
 from tessera.sources.bank import BankViews
 
@@ -132,6 +134,13 @@ def union_layer(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     return union_distinct(_live_branch(v, p), archive_branch(v, p))
 
 
+def union_by_account(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
+    """Q2 for the account lookups, with their key: its rows are dealt by account
+    before the DISTINCT, so one exchange does for both."""
+    both = _live_branch(v, p).union(archive_branch(v, p))
+    return both.withColumn(KEY, spread_key(both, "account_id")).repartition(KEY).distinct()
+
+
 # ---------------------------------------------------------------- Q3
 
 def _dims(v: BankViews, p: RunParams) -> dict[str, DataFrame]:
@@ -160,20 +169,25 @@ USED = ("customer_id", "account_id", "account_type", "txn_id", "amount", "txn_ty
 def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT, hot: dict[str, list] | None = None,
                       dims: dict[str, DataFrame] | None = None) -> DataFrame:
     """Q3 with NULL regions kept. ``hot``: values by key column that many rows
-    share (``joins.hot_keys``); ``dims``: dimensions that replace the usual ones."""
+    share (``joins.hot_keys``); ``dims``: dimensions that replace the usual ones.
+    Without hot customers the rows keep the customers' key, for the final grouping."""
     d, hot = {**_dims(v, p), **(dims or {})}, hot or {}
-    t = lookup_all(u.select(*USED), "customer_id", [                                 # J6, J7, J12, J13
-        Lookup(d["seg"], "customer_id", ["segment_name"]),
-        Lookup(d["region"], "cust_id", ["region"]),
-        Lookup(d["credit"], "customer_id", ["external_credit_score"]),
-        Lookup(d["sanctions"], "customer_id", ["sanctions_hit"])], hot=hot.get("customer_id", ()))
-    t = lookup_all(t, "account_id", [                                                # J8, J9
+    t = lookup_all(u.select(*USED, *(c for c in u.columns if c == KEY)), "account_id", [    # J8, J9
         Lookup(d["product"], "account_id", ["product_name", "product_category"]),
-        Lookup(d["branch"], "account_id", ["branch_name", "branch_region"])], hot=hot.get("account_id", ()))
+        Lookup(d["branch"], "account_id", ["branch_name", "branch_region"])], hot=hot.get("account_id", ())).drop(KEY)
     t = lookup_join(t, d["merchant"], "merchant_id", "merchant_id", ["merchant_category"],   # J10
                     hot=hot.get("merchant_id", ()))
     t = lookup_join(t, d["fraud"], "txn_id", "txn_id", ["fraud_flag"], hot=hot.get("txn_id", ()))   # J11
-    out = (t.groupBy(*NESTED_KEYS)                                                   # A10
+    if not hot.get("customer_id"):
+        # rows of one group have one key, also those without a customer
+        t = t.withColumn(KEY, spread_key(t, "customer_id", by=[k for k in SUMMARY_KEYS if k in t.columns]))
+    t = lookup_all(t, "customer_id", [                                               # J6, J7, J12, J13
+        Lookup(d["seg"], "customer_id", ["segment_name"]),
+        Lookup(d["region"], "cust_id", ["region"]),
+        Lookup(d["credit"], "customer_id", ["external_credit_score"]),
+        Lookup(d["sanctions"], "customer_id", ["sanctions_hit"])], hot=hot.get("customer_id", ()))
+    key = [c for c in t.columns if c == KEY]
+    out = (t.groupBy(*key, *NESTED_KEYS)                                             # A10
            .agg(F.sum(_amount_if("DEBIT")).alias("total_debit"),
                 F.sum(_amount_if("CREDIT")).alias("total_credit"),
                 F.count_distinct("txn_id").alias("txn_count"),
@@ -185,7 +199,7 @@ def nested_from_union(u: DataFrame, v: BankViews, p: RunParams = DEFAULT, hot: d
         "txn_count", "segment_name",
         F.col("region").alias("region_raw"),
         "last_txn_date", "product_name", "product_category", "branch_name", "branch_region",
-        "merchant_category", "fraud_flag", "external_credit_score", "sanctions_hit")
+        "merchant_category", "fraud_flag", "external_credit_score", "sanctions_hit", *key)
 
 
 def account_profile(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
@@ -199,7 +213,7 @@ def account_profile(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
 
 def nested_layer(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     """Q3 as published: ``region`` is coalesced to 'UNKNOWN' (A12)."""
-    n = nested_from_union(union_layer(v, p), v, p)
+    n = nested_from_union(union_by_account(v, p), v, p)
     return n.select(*(unknown_if_null("region_raw").alias("region") if c == "region" else c
                       for c in NESTED_COLUMNS))
 
@@ -207,9 +221,10 @@ def nested_layer(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
 # ---------------------------------------------------------------- Q4
 
 def summary_from_nested(n: DataFrame, v: BankViews, p: RunParams = DEFAULT, risk: DataFrame | None = None) -> DataFrame:
-    """``n`` has ``region_raw``; the final grouping merges NULL and 'UNKNOWN'."""
+    """``n`` has ``region_raw``; the final grouping merges NULL and 'UNKNOWN'. Where
+    ``n`` has the customers' key, the grouping and the lookup are done where it is."""
     n = n.withColumn("region", unknown_if_null("region_raw"))
-    agg = (n.groupBy(*SUMMARY_KEYS)                                                  # A11
+    agg = (n.groupBy(*(c for c in n.columns if c == KEY), *SUMMARY_KEYS)                                                  # A11
            .agg(F.count_distinct("account_id").alias("total_accounts"),              # A4
                 F.sum("total_debit").cast(MONEY).alias("total_debit"),               # A7
                 F.sum("total_credit").cast(MONEY).alias("total_credit"),
@@ -225,7 +240,7 @@ def summary_from_nested(n: DataFrame, v: BankViews, p: RunParams = DEFAULT, risk
 
 def customer_summary(v: BankViews, p: RunParams = DEFAULT) -> DataFrame:
     """Q4, the table written to ``final_db.customer_summary``."""
-    return summary_from_nested(nested_from_union(union_layer(v, p), v, p), v, p)
+    return summary_from_nested(nested_from_union(union_by_account(v, p), v, p), v, p)
 
 
 def save_summary(df: DataFrame, table: str = "final_db.customer_summary") -> None:

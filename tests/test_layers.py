@@ -3,6 +3,7 @@ tables, checked against plain SQL run by DuckDB, and the published row
 counts on the driver's tables."""
 
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tessera.compare import multiset
 from tessera.operators import layers as L
 from tessera.oracle.bank_sql import layers_over_views
 from tessera.params import DEFAULT
+from tessera.plans.inspect import physical_plan
 
 
 def _duck_rows(con, rel):
@@ -51,6 +53,31 @@ def test_fan_out_doubles_sums(views):
     assert {r.txn_count for r in n} == {1}
 
 
+def test_union_and_groupings_cost_one_exchange_a_key(spark, views):
+    """The DISTINCT lies in the account lookups' exchange, both groupings and the risk lookup in the customer lookups'."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = physical_plan(L.customer_summary(views, DEFAULT))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    dealt = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    assert not [ln for ln in dealt if "branch_name" in ln or "txn_type" in ln]
+    # transactions to accounts, then account, merchant, transaction and customer of the union
+    assert sum("hashpartitioning(__key#" in ln for ln in dealt) == 5
+
+
+def test_rows_without_customer_make_one_group(spark, views):
+    people = [(None, f"n{i}", "GOLD") for i in range(40)]
+    nobody = replace(views, customer=spark.createDataFrame(people, views.customer.schema))
+    assert L.base_layer(nobody, DEFAULT).count() == 40
+    for fn in (L.nested_layer, L.customer_summary):
+        assert fn(nobody, DEFAULT).where("customer_id IS NULL").count() == 1
+
+
 def test_customer_without_account_kept(views):
     """Customer 2 has no live account; zero sums, NULL date."""
     rows = [r for r in L.customer_summary(views, DEFAULT).collect() if r.customer_id == 2]
