@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions.json import is_a, is_string_list, items, kind, member, with_strict_variant
 from tessera.functions.text import strip_code_fence
 from tessera.operators import reach
-from tessera.session import cut_lineage
+from tessera.session import stored as cut_lineage
 
 STRINGS = T.ArrayType(T.StringType())
 SOURCE = T.StructType([T.StructField("name", T.StringType()),
@@ -174,9 +174,17 @@ def _inner_and_direct(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges as (dataset, node): those whose source is written somewhere, and
     those that read a base table."""
     e = cut_lineage(edges.select(F.col("output").alias("dataset"), F.col("source").alias("node")).distinct())
-    written = e.select(F.col("dataset").alias("node")).distinct()
-    inner = e.where("dataset <> node").join(written, "node", "left_semi").select("dataset", "node")
-    return inner, e.join(written, "node", "left_anti").select("dataset", F.col("node").alias("base"))
+    written = e.select(F.col("dataset").alias("__written")).distinct()
+    # one join tells which is which
+    e = cut_lineage(e.join(written, F.col("node") == F.col("__written"), "left")
+                    .select("dataset", "node", F.col("__written").isNotNull().alias("inner")))
+    return (e.where("inner AND dataset <> node").select("dataset", "node"),
+            e.where("NOT inner").select("dataset", F.col("node").alias("base")))
+
+
+def _read(inner: DataFrame) -> DataFrame:
+    """(dataset): datasets that others read."""
+    return inner.select(F.col("node").alias("dataset")).distinct()
 
 
 def lineage_cycles(edges: DataFrame) -> DataFrame:
@@ -185,7 +193,8 @@ def lineage_cycles(edges: DataFrame) -> DataFrame:
     writes is a cycle of one."""
     inner, _ = _inner_and_direct(edges)
     own = edges.where("source = output").select(F.col("output").alias("dataset"), F.col("output").alias("component")).distinct()
-    found = reach.cycles(inner)
+    # what nobody reads is on no cycle
+    found = reach.cycles(inner.join(_read(inner), "dataset", "left_semi"))
     return own if found is None else found.unionByName(own.join(found, "dataset", "left_anti"))
 
 
@@ -196,35 +205,41 @@ def closure_to_base(edges: DataFrame, targets: DataFrame | None = None) -> DataF
 
     Datasets on a common cycle have the same bases, so cycles are collapsed; what
     is left is doubled (see ``reach``): after round k the bases within 2^k steps
-    are known, so rounds grow with the logarithm of the depth. Without targets
-    only pairs with bases are kept on the way; with targets the datasets that each
-    of them reaches, which then meet the tables read directly.
+    are known, so rounds grow with the logarithm of the depth. Datasets that nobody
+    reads take no part in the rounds, they are one step from those that do. Without
+    targets only pairs with bases are kept on the way, each round's own; with targets
+    the datasets that each of them reaches, which then meet the tables read directly.
     """
     inner, direct = _inner_and_direct(edges)
-    tables, ended = reach.walks(inner)
-    component = None if ended else reach.cycles(inner, tables)
+    tables, ended = reach.walks(inner.join(_read(inner), "dataset", "left_semi"))
+    component = None if ended else reach.cycles(tables[0], tables)
     if component is not None:
-        tables, _ = reach.walks(reach.collapsed(inner, component, "dataset", "node").where("dataset <> node"))
-        direct = reach.collapsed(direct, component, "dataset")
-    direct = cut_lineage(direct)
+        tables, _ = reach.walks(reach.collapsed(tables[0], component, "dataset", "node").where("dataset <> node"))
     if targets is None:
-        found = direct
-        for w in tables:
-            found = cut_lineage(found.unionByName(reach.then(w, found)).distinct())
-    else:
-        wanted = targets.select("dataset").distinct()
+        low = direct.join(_read(inner), "dataset", "left_semi").select("dataset", "base")
+        steps = inner
         if component is not None:
-            wanted = reach.collapsed(wanted, component, "dataset")
-        up = wanted.select("dataset", F.col("dataset").alias("node"))
+            low = reach.collapsed(low, component, "dataset")
+            members = component.select("dataset", F.col("component").alias("node"))
+            steps = reach.collapsed(inner, component, "node").unionByName(members).distinct()
+        found = cut_lineage(low)
         for w in tables:
-            up = cut_lineage(up.unionByName(reach.then(up, w)).distinct())
-        found = reach.then(up, direct).distinct()
+            found = found.unionByName(cut_lineage(reach.then(w, found).distinct()))
+        return direct.unionByName(reach.then(steps, found)).distinct()
+    wanted = targets.select("dataset").distinct()
+    if component is not None:
+        wanted = reach.collapsed(wanted, component, "dataset")
+        inner = reach.collapsed(inner, component, "dataset", "node")
+        direct = reach.collapsed(direct, component, "dataset")
+    up = wanted.select("dataset", F.col("dataset").alias("node"))
+    for w in (inner, *tables):
+        up = cut_lineage(up.unionByName(reach.then(up, w)).distinct())
+    found = reach.then(up, direct).distinct()
     if component is not None:
         members = found.join(component.withColumnRenamed("dataset", "__member"), F.col("dataset") == F.col("component"))
         found = (found.join(component.select("dataset"), "dataset", "left_anti")
-                 .unionByName(members.select(F.col("__member").alias("dataset"), "base")))
-        if targets is not None:
-            found = found.join(targets.select("dataset").distinct(), "dataset", "left_semi")
+                 .unionByName(members.select(F.col("__member").alias("dataset"), "base"))
+                 .join(targets.select("dataset").distinct(), "dataset", "left_semi"))
     return found.select("dataset", "base")
 
 

@@ -15,7 +15,7 @@ reaches, and the datasets of one colour that the colour's own dataset reaches ar
 a component. A component shows itself if its colour is the least that it reaches;
 hashed names make that so for all after an expected logarithmic number of passes.
 
-Each table is written to the checkpoint folder. Names that most edges share are
+Each table is written to the checkpoint folder, in columns. Names that most edges share are
 split by adaptive execution (both sides of the joins are shuffled, nothing is
 hinted). The driver sees a count and one boolean a round. Doubling costs most in
 a component with many ways round: its walks may join all pairs of its members.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import stored as cut_lineage
 
 
 def _renamed(df: DataFrame, *names: str) -> DataFrame:

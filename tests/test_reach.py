@@ -101,3 +101,33 @@ def test_hot_source(spark):
     assert found.count() == 3000 + 7 + 1 and found.select("base").distinct().count() == 1
     tables, ended = reach.walks(graph(spark, pairs).select(F.col("output").alias("dataset"), F.col("source").alias("node")))
     assert ended and len(tables) == 2
+
+
+@pytest.mark.parametrize("back", [[], [("n1", "n3")]])
+def test_datasets_that_nobody_reads_take_no_part_in_the_rounds(spark, monkeypatch, back):
+    """Neither in the search for cycles nor in the doubling; they are one step from the rest."""
+    pairs = [("b", "n0")] + [(f"n{i}", f"n{i + 1}") for i in range(4)] + [(o, s) for s, o in back]
+    pairs += [("n4", f"leaf{i}") for i in range(200)] + [("other", f"leaf{i}") for i in range(100)]
+    seen, real = [], reach.walks
+    monkeypatch.setattr(reach, "walks", lambda e: (seen.append(e.count()), real(e))[1])
+    bases, _ = plain(pairs)
+    e = graph(spark, pairs)
+    assert {tuple(r) for r in LN.closure_to_base(e).collect()} == bases
+    assert {tuple(r) for r in LN.closure_to_base(e, spark.createDataFrame([("leaf7",), ("n3",)], "dataset string")).collect()} == {
+        p for p in bases if p[0] in ("leaf7", "n3")}
+    LN.lineage_cycles(e).collect()
+    assert max(seen) <= 5
+
+
+def test_edges_with_a_null_end(spark):
+    e = graph(spark, [(None, "a"), ("a", "b"), ("b", None)])
+    assert {tuple(r) for r in LN.closure_to_base(e).collect()} == {("a", None), ("b", None)}
+
+
+def test_stored_tables_keep_their_rows(spark):
+    from tessera.session import stored
+    df = spark.createDataFrame([("a", 1, True), (None, None, False), ("a", 1, True)], "s string, n long, b boolean")
+    for rows in (df, df.where("n > 5")):
+        kept = stored(rows)
+        assert kept.schema == rows.schema and sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+        assert "LogicalRelation" in kept._jdf.queryExecution().optimizedPlan().getClass().getSimpleName()
